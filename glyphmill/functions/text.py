@@ -6,6 +6,8 @@ differently, so both classes are spelled out once here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ NON_WS_RUN = f"[^{WS}]+"
 UNPRINTABLE = r"[\p{C}\p{Zl}\p{Zp}\p{Zs}&&[^ ]]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body's lambdas use it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def not_blank(text: Column) -> Column:
     """True for text that is neither NULL nor made of white space only."""
     return text.isNotNull() & text.rlike(f"[^{WS}]")
@@ -54,13 +61,20 @@ def clean_words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(WORD_RUN), F.lit(0)), F.lower)
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """All runs of ``n`` consecutive words joined by a space; empty below ``n`` words."""
+def ngrams(words: Column, n: int, plain: bool = False) -> Column:
+    """All runs of ``n`` consecutive words joined by a space; empty below ``n`` words.
+
+    ``plain`` says that ``words`` is a column of the table, not an expression to compute once.
+    """
     if n == 1:
         return words
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.coalesce(runs, F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        # Element access is constant time; slice() would copy the whole array for every start.
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))
+
+    return F.coalesce(runs(words) if plain else let(words, runs), F.array().cast("array<string>"))
 
 
 def shingles(text: Column, n: int = 3) -> Column:
@@ -95,7 +109,7 @@ def mask_word(text: Column, position_draw: Column, mask: str = "<mask>") -> Colu
     """Replace the word at ``position_draw mod n`` by the mask; words are split on single spaces."""
     parts = F.split(text, " ")
     hit = F.pmod(position_draw, F.size(parts).cast("bigint"))
-    return F.array_join(F.transform(parts, lambda w, i: F.when(i == hit, F.lit(mask)).otherwise(w)), " ")
+    return F.array_join(let(hit, lambda h: F.transform(parts, lambda w, i: F.when(i == h, F.lit(mask)).otherwise(w))), " ")
 
 
 def causal_prefix(text: Column, long_from: int = 45) -> Column:

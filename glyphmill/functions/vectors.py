@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphmill.functions.text import let
+
 
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
@@ -34,8 +36,7 @@ def cosine(a: Column, b: Column) -> Column:
 def truncate_normalize(v: Column, dims: int | None = None) -> Column:
     """Keep the first ``dims`` entries, then scale to unit length; a zero vector stays zero."""
     kept = as_double(v) if dims is None else F.slice(as_double(v), 1, dims)
-    length = norm(kept)
-    return F.when(length > 0, F.transform(kept, lambda x: x / length)).otherwise(kept)
+    return let(norm(kept), lambda length: F.when(length > 0, F.transform(kept, lambda x: x / length)).otherwise(kept))
 
 
 def argmax(v: Column) -> Column:
@@ -44,10 +45,8 @@ def argmax(v: Column) -> Column:
 
 
 def log_sum_exp(v: Column) -> Column:
-    top = F.array_max(v)
-    return top + F.ln(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+    return let(F.array_max(v), lambda top: top + F.ln(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))))
 
 
 def softmax(v: Column) -> Column:
-    lse = log_sum_exp(v)
-    return F.transform(v, lambda x: F.exp(x - lse))
+    return let(log_sum_exp(v), lambda lse: F.transform(v, lambda x: F.exp(x - lse)))

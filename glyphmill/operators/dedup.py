@@ -69,9 +69,9 @@ def best_bands(threshold: float, num_perm: int, steps: int = 1000) -> tuple[int,
     return min(choices, key=lambda c: 0.5 * area(*c, 0.0, threshold, False) + 0.5 * area(*c, threshold, 1.0, True))
 
 
-def shingle_hashes(text: Column, n: int = 3) -> Column:
-    """31-bit hashes of all word n-grams (repeats do not change a minimum, so they stay)."""
-    return F.transform(tx.ngrams(tx.word_tokens(text), n), int31)
+def shingle_hashes(words: Column, n: int = 3) -> Column:
+    """31-bit hashes of all n-grams of a word column (repeats do not change a minimum, so they stay)."""
+    return F.transform(tx.ngrams(words, n, plain=True), int31)
 
 
 def eligible(df: DataFrame, text: str, n: int) -> DataFrame:
@@ -102,6 +102,15 @@ def minhash_signature(hashes: Column, num_perm: int = 128, seed: int = 1) -> Col
     return sign(hashes)
 
 
+def signatures(
+    df: DataFrame, text: str, keep: list[str | Column], n: int = 3, num_perm: int = 128, seed: int = 1, name: str = "signature"
+) -> DataFrame:
+    """MinHash signature of every eligible row, next to the ``keep`` columns. No shuffle."""
+    worded = df.where(tx.not_blank(F.col(text))).select(*keep, tx.word_tokens(F.col(text)).alias("_w"))
+    hashed = worded.where(F.size("_w") >= n).withColumn("_h", shingle_hashes(F.col("_w"), n)).drop("_w")
+    return hashed.withColumn(name, minhash_signature(F.col("_h"), num_perm, seed)).drop("_h")
+
+
 def band_keys(signature: Column, bands: int, rows: int) -> Column:
     """Array of ``(band, key)``; the key holds the band's signature slice, so it is exact."""
     return F.transform(
@@ -116,9 +125,7 @@ def band_table(
 ) -> DataFrame:
     """One row ``(ord, [by..], band, key)`` per eligible row and band."""
     bands, rows = best_bands(threshold, num_perm)
-    signed = eligible(df, text, n).select(
-        F.col(ord_col).alias("ord"), *(by or []), minhash_signature(shingle_hashes(F.col(text), n), num_perm, seed).alias("_sig")
-    )
+    signed = signatures(df, text, [F.col(ord_col).alias("ord"), *(by or [])], n, num_perm, seed, "_sig")
     return signed.select("ord", *(by or []), F.inline(band_keys(F.col("_sig"), bands, rows)))
 
 

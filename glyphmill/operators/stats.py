@@ -72,17 +72,15 @@ def word_frequency(df: DataFrame, words: Column) -> DataFrame:
     return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def _sized_runs(words: Column, n: int) -> Column:
-    return F.transform(tx.ngrams(words, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("ngram")))
-
-
 def top_ngrams(df: DataFrame, text: str, sizes: list[int], k: int) -> DataFrame:
     """The ``k`` most frequent n-grams of each size, ties by n-gram."""
     words = df.select(tx.clean_words(F.col(text)).alias("_w"))
-    runs = F.flatten(F.array(*[_sized_runs(F.col("_w"), n) for n in sizes]))
-    counted = words.select(F.inline(runs)).groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("freq"))
+    runs = F.concat(*[tx.ngrams(F.col("_w"), n, plain=True) for n in sizes])
+    counted = words.select(F.explode(runs).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("freq"))
+    # Words hold no space, so the spaces tell the size.
+    sized = counted.select((F.length("ngram") - F.length(F.replace("ngram", F.lit(" "), F.lit(""))) + 1).alias("n"), "ngram", "freq")
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("freq"), "ngram"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= k)
+    return sized.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def word_cloud(df: DataFrame, text: str, k: int) -> DataFrame:

@@ -9,7 +9,7 @@ from glyphmill.functions import text as tx
 from glyphmill.operators import dedup, ordering, schema, stacking, stats
 from glyphmill.plans import assembly
 from glyphmill.plans.registry import (
-    SPLIT, documents, query, sql_clean, sql_clean_words, sql_draw, sql_not_blank, sql_runs, sql_words, table,
+    SPLIT, documents, query, spread_documents, sql_clean, sql_clean_words, sql_draw, sql_not_blank, sql_runs, sql_words, table,
 )
 from glyphmill.session import scratch_path
 from glyphmill.sources import tables
@@ -267,7 +267,7 @@ _NGRAM_ROWS = " UNION ALL ".join(
          c AS (SELECT n, ngram, count(*) AS freq FROM ({_NGRAM_ROWS}) GROUP BY 1, 2)
     SELECT n, ngram, freq, row_number() OVER (PARTITION BY n ORDER BY freq DESC, ngram) AS rank FROM c QUALIFY rank <= 20""")
 def top_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.top_ngrams(table(spark, sf, "documents"), "text", [1, 2, 3], 20)
+    return stats.top_ngrams(spread_documents(spark, sf, "text"), "text", [1, 2, 3], 20)
 
 
 @query("word_cloud", f"""

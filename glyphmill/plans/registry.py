@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.functions import text as tx
 from glyphmill.operators.schema import with_split
+from glyphmill.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +37,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_split(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def spread_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents for CPU-heavy queries, on all cores even when the file is one split."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
+
+
 # SQL fragments with the same text classes as functions/text.py.
 
 SPLIT = "CASE WHEN doc_id % 100 = 99 THEN 'test' ELSE 'train' END"

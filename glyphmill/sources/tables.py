@@ -21,6 +21,15 @@ def read_table(spark: SparkSession, folder: str, name: str, config: str | None =
     return df if split is None else df.where(F.col("split") == split)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a scan with fewer splits than cores out by ``key``; leave any larger scan as it is.
+
+    Meant for CPU-heavy work on small files; at scale a scan has far more splits than cores and no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with a header, quoted multi-line fields and an explicit schema."""
     return (
