@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["corpus_queries", "text_queries"]
+_MODULES = ["corpus_queries", "text_queries", "vector_queries"]
 
 
 def _load() -> None:
