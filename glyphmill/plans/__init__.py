@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["corpus_queries", "text_queries", "vector_queries"]
+_MODULES = ["corpus_queries", "text_queries", "vector_queries", "training_queries"]
 
 
 def _load() -> None:
