@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.hashing import draw
 from glyphmill.operators.components import components
+from glyphmill.operators.neighbors import BLOCK_ROWS, block_pairs, packed
 from glyphmill.operators.ordering import row_index
 from glyphmill.operators.skew import join_by_key
 from glyphmill.session import is_empty, materialize
@@ -115,7 +116,7 @@ def _linked_cells(grid: _Grid, core: DataFrame, max_levels: int = 50) -> DataFra
     dims, k = grid.dims, len(grid.dims)
     cells = core.groupBy("cell_id", *grid.cell).agg(F.count(F.lit(1)).alias("n_sites"))
     left = grid.around(cells.select(F.col("cell_id").alias("a"), *grid.cell), ["a"], forward_only=True)
-    open_cells = materialize(left.join(cells.select(F.col("cell_id").alias("b"), *grid.cell), grid.cell).select("a", "b"))
+    open_cells = left.join(cells.select(F.col("cell_id").alias("b"), *grid.cell), grid.cell).select("a", "b")
     links: list[DataFrame] = []
     open_pairs = open_cells.select("a", "b", *[F.lit(0).alias(f"{s}{i}") for s in ("ua", "ub") for i in range(k)])
     for level in range(max_levels):
@@ -141,7 +142,7 @@ def _linked_cells(grid: _Grid, core: DataFrame, max_levels: int = 50) -> DataFra
         done = judged.where("met").select("a", "b").distinct()
         links.append(done)
         left_open = judged.where("NOT met").join(done, ["a", "b"], "left_anti")
-        open_pairs = materialize(left_open.select("a", "b", *[F.col(f"b{s}{i}").alias(f"u{s}{i}") for s in ("a", "b") for i in range(k)]).distinct())
+        open_pairs = left_open.select("a", "b", *[F.col(f"b{s}{i}").alias(f"u{s}{i}") for s in ("a", "b") for i in range(k)])
         if is_empty(open_pairs):
             return reduce(DataFrame.unionByName, links)
     raise RuntimeError("cell links were not settled; the coordinates need rescaling")
@@ -183,6 +184,62 @@ def dbscan(points: DataFrame, id_col: str, dims: list[str], eps: float = 0.08, m
     return join_by_key(ids, by_place, dims, F.col("weight") > max(total // 1000, 1), [id_col]).select(id_col, "label")
 
 
+# ---------------------------------------------------------------- DBSCAN on whole vectors
+
+def _near_blocks(eps: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    return lambda a, b: np.stack([np.square(b - row).sum(axis=1) for row in a]) <= eps * eps
+
+
+def dbscan_vectors(
+    df: DataFrame, id_col: str, vec: str, eps: float = 0.08, min_samples: int = 50, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Exact DBSCAN on vectors of any length, by comparing blocks of rows.
+
+    Every pair of blocks is looked at (there is no exact shortcut in many dimensions), but a pair
+    only yields a count, a tree edge or a label per member, never the pairs within eps.
+    """
+    near = _near_blocks(eps)
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+
+    def count(a_ids, a, _a, b_ids, b, _b):
+        return pd.DataFrame({"id": a_ids, "n": near(a, b).sum(axis=1)})
+
+    counted = block_pairs(packed(rows, "id", "v", "a", block_rows), packed(rows, "id", "v", "b", block_rows), count, "id bigint, n bigint")
+    is_core = counted.groupBy("id").agg((F.sum("n") >= min_samples).alias("is_core"))
+    marked = materialize(rows.join(is_core, "id"))
+    core = marked.where("is_core")
+
+    def trees(a_ids, a, _a, b_ids, b, _b):
+        hit = near(a, b)
+        la, lb = a_ids.copy(), b_ids.copy()
+        top = np.iinfo(np.int64).max
+        while True:
+            na = np.minimum(la, np.where(hit, lb[None, :], top).min(axis=1))
+            nb = np.minimum(lb, np.where(hit, na[:, None], top).min(axis=0))
+            if (na == la).all() and (nb == lb).all():
+                break
+            la, lb = na, nb
+        return pd.DataFrame({"id": np.r_[a_ids, b_ids], "to": np.r_[la, lb]}).query("id != to")
+
+    blocks_a, blocks_b = packed(core, "id", "v", "a", block_rows), packed(core, "id", "v", "b", block_rows)
+    roots = components(block_pairs(blocks_a, blocks_b, trees, "id bigint, to bigint"), "id", "to")
+    rooted = materialize(core.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+    clusters = row_index(materialize(sizes), "root", name="_label").select("root", "_n", F.col("_label").cast("int").alias("label"))
+    limit = max(rooted.count() // 1000, 1)
+    labelled = materialize(join_by_key(rooted, clusters, ["root"], F.col("_n") > limit, ["id"]).select("id", "label"))
+
+    def border(a_ids, a, _a, b_ids, b, b_label):
+        first = np.where(near(a, b), b_label[None, :], np.iinfo(np.int64).max).min(axis=1)
+        return pd.DataFrame({"id": a_ids, "label": first})[first < np.iinfo(np.int64).max]
+
+    named = packed(core.join(labelled, "id"), "id", "v", "b", block_rows, extra="label")
+    edge = block_pairs(packed(marked.where("NOT is_core"), "id", "v", "a", block_rows), named, border, "id bigint, label bigint")
+    edge = edge.groupBy("id").agg(F.min("label").cast("int").alias("label"))
+    known = labelled.unionByName(edge)
+    return rows.select("id").join(known, "id", "left").select(F.col("id").alias(id_col), F.coalesce("label", F.lit(NOISE)).alias("label"))
+
+
 # ---------------------------------------------------------------- cluster tables
 
 def non_noise(df: DataFrame, label: str = "label", noise: int = NOISE) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,12 +30,6 @@ def _distances(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.stack([np.square(v - row).sum(axis=1) for row in q]) if len(q) else np.empty((0, len(v)))
 
 
-def _closest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` smallest ``(distance, id)`` of each row."""
-    order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-    return np.take_along_axis(d, order, 1), ids[order]
-
-
 class _Best:
     """Running k best per query."""
 
@@ -87,36 +81,57 @@ def knn(
     return part.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _packed(df: DataFrame, id_col: str, name: str) -> DataFrame:
-    """Rows packed per Arrow batch into blocks ``(name, ids, flat)``; the block's name is its content's hash."""
+def packed(df: DataFrame, id_col: str, vec: str, side: str, block_rows: int = BLOCK_ROWS, extra: str | None = None) -> DataFrame:
+    """Rows packed into blocks ``(side, side_ids, side_flat[, side_extra])``, named by their first id."""
+    slim = df.select(
+        F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"),
+        (F.col(extra) if extra else F.lit(0)).cast("bigint").alias("e"),
+    )
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), BLOCK_ROWS):
-                cut = pdf.iloc[at : at + BLOCK_ROWS]
-                yield pd.DataFrame({"first": [int(cut[id_col].iloc[0])], "ids": [cut[id_col].to_numpy()],
-                                    "flat": [np.concatenate(cut["v"].to_numpy())]})
+            for at in range(0, len(pdf), block_rows):
+                cut = pdf.iloc[at : at + block_rows]
+                yield pd.DataFrame({"first": [int(cut["id"].iloc[0])], "ids": [cut["id"].to_numpy()],
+                                    "flat": [np.concatenate(cut["v"].to_numpy())], "extra": [cut["e"].to_numpy()]})
 
-    out = df.select(id_col, "v").mapInPandas(pack, "first bigint, ids array<bigint>, flat array<double>")
-    return out.select(F.col("first").alias(name), F.col("ids").alias(f"{name}_ids"), F.col("flat").alias(f"{name}_flat"))
+    out = slim.mapInPandas(pack, "first bigint, ids array<bigint>, flat array<double>, extra array<bigint>")
+    return out.toDF(side, f"{side}_ids", f"{side}_flat", f"{side}_extra")
 
 
-def _knn_blocks(b: DataFrame, q: DataFrame, k: int) -> DataFrame:
-    """Query blocks dealt to ``slots``; each base block visits every slot."""
-    slots = max(int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    qb = _packed(q, "query_id", "q").withColumn("slot", F.pmod(F.xxhash64("q"), F.lit(slots)).cast("int"))
-    bb = _packed(b, "id", "b").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+def block_pairs(left: DataFrame, right: DataFrame, tile: Callable[..., pd.DataFrame | None], schema: str) -> DataFrame:
+    """Run ``tile`` on every left block with every right block.
+
+    Left blocks (side ``a``) are dealt to slots, right blocks (side ``b``) visit every slot; the
+    equi-join on the slot spreads the tiles evenly. ``tile`` reduces a pair of blocks to a table
+    with at most a few rows per member, so pairs of rows are never written.
+    """
+    slots = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = left.withColumn("slot", F.pmod(F.xxhash64("a"), F.lit(slots)).cast("int"))
+    visiting = right.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
 
-    def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                qm = np.asarray(row.q_flat).reshape(len(row.q_ids), -1)
-                bm = np.asarray(row.b_flat).reshape(len(row.b_ids), -1)
-                best = _Best(len(row.q_ids), k)
-                best.add(_distances(qm, bm), np.asarray(row.b_ids))
-                yield best.frame(np.asarray(row.q_ids))
+                a_ids, b_ids = np.asarray(row.a_ids), np.asarray(row.b_ids)
+                out = tile(
+                    a_ids, np.asarray(row.a_flat).reshape(len(a_ids), -1), np.asarray(row.a_extra),
+                    b_ids, np.asarray(row.b_flat).reshape(len(b_ids), -1), np.asarray(row.b_extra),
+                )
+                if out is not None and len(out):
+                    yield out
+
+    columns = [f"{s}_{c}" for s in "ab" for c in ("ids", "flat", "extra")]
+    return dealt.join(visiting, "slot").select(*columns).mapInPandas(run, schema)
+
+
+def _knn_blocks(b: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    def tile(q_ids, q_vecs, _q, b_ids, b_vecs, _b):
+        best = _Best(len(q_ids), k)
+        best.add(_distances(q_vecs, b_vecs), b_ids)
+        return best.frame(q_ids)
 
-    return qb.join(bb, "slot").select("q_ids", "q_flat", "b_ids", "b_flat").mapInPandas(tiles, _PART)
+    return block_pairs(packed(q, "query_id", "v", "a"), packed(b, "id", "v", "b"), tile, _PART)
 
 
 def vote(neighbours: DataFrame, labels: DataFrame, id_col: str = "vec_id", label: str = "label") -> DataFrame:

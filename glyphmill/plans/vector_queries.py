@@ -162,6 +162,22 @@ def dbscan(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.dbscan(points(spark, sf).drop("label"), "vec_id", ["x", "y"], EPS, MIN_SAMPLES)
 
 
+V_EPS = 1.15
+
+
+@query("dbscan_vectors", f"""
+    WITH RECURSIVE v AS (SELECT vec_id, {_V} AS e FROM embeddings),
+    nb AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) <= {V_EPS} * {V_EPS}),
+    core AS (SELECT a AS id FROM nb GROUP BY a HAVING count(*) >= {MIN_SAMPLES}),
+    cc AS (SELECT a, b FROM nb WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+    reach(a, b) AS (SELECT a, b FROM cc UNION SELECT r.a, c.b FROM reach r JOIN cc c ON c.a = r.b),
+    lab AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM (SELECT a AS id, min(b) AS root FROM reach GROUP BY a)),
+    border AS (SELECT nb.a AS id, min(l.label) AS label FROM nb JOIN lab l ON l.id = nb.b WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a)
+    SELECT v.vec_id, coalesce(l.label, b.label, -1)::INT AS label FROM v LEFT JOIN lab l ON l.id = v.vec_id LEFT JOIN border b ON b.id = v.vec_id""")
+def dbscan_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return clustering.dbscan_vectors(embeddings(spark, sf), "vec_id", "embedding", V_EPS, MIN_SAMPLES)
+
+
 @query("silhouette", """
     WITH c AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
          s AS (SELECT label, i, sum(v) AS s FROM c GROUP BY 1, 2), n AS (SELECT vec_id, label, sum(v * v) AS sq FROM c GROUP BY 1, 2),
