@@ -16,7 +16,7 @@ from glyphmill.functions.hashing import draw
 from glyphmill.operators.components import components
 from glyphmill.operators.neighbors import BLOCK_ROWS, block_pairs, packed
 from glyphmill.operators.ordering import row_index
-from glyphmill.operators.skew import join_by_key
+from glyphmill.operators.skew import hot_size, join_by_key
 from glyphmill.session import is_empty, materialize
 
 NOISE = -1
@@ -67,7 +67,7 @@ def _probe_cells(grid: _Grid, probes: DataFrame) -> DataFrame:
 def _meet(grid: _Grid, sites: DataFrame, probes: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
     """Sites next to the probes within eps of them, from the sites' side so that a full cell is spread."""
     per_cell = _probe_cells(grid, probes).join(sizes, grid.cell)
-    met = join_by_key(sites, per_cell, grid.cell, F.col("cell_points") > max(total // 1000, 1), ["site"])
+    met = join_by_key(sites, per_cell, grid.cell, F.col("cell_points") > hot_size(total), ["site"])
     opened = met.select(*sites.columns, F.inline("probes"))
     return opened.where(grid.near("", "p_"))
 
@@ -86,7 +86,7 @@ def density_sites(points: DataFrame, id_col: str, dims: list[str], eps: float, m
     sites = materialize(sites.select("site", "weight", *dims, *grid.cells()))
     total = sites.agg(F.sum("weight")).first()[0] or 0
     sizes = materialize(sites.groupBy(*grid.cell).agg(F.sum("weight").alias("cell_points")))
-    sized = join_by_key(sites, sizes, grid.cell, F.col("cell_points") > max(total // 1000, 1), ["site"])
+    sized = join_by_key(sites, sizes, grid.cell, F.col("cell_points") > hot_size(total), ["site"])
     sparse = sized.where(F.col("cell_points") < min_samples)
     counted = _meet(grid, sites, sparse, sizes, total).groupBy(F.col("probe").alias("site")).agg(F.sum("weight").alias("_near"))
     lonely = sparse.join(counted, "site").withColumn("is_core", F.col("_near") >= min_samples).drop("_near")
@@ -94,6 +94,14 @@ def density_sites(points: DataFrame, id_col: str, dims: list[str], eps: float, m
     return materialize(dense.unionByName(lonely))
 
 
+def core_points(points: DataFrame, id_col: str, dims: list[str], eps: float, min_samples: int) -> DataFrame:
+    """``(id, is_core)``: whether a point has ``min_samples`` points, itself included, within eps."""
+    sites = density_sites(points, id_col, dims, eps, min_samples).select(*dims, "weight", "is_core")
+    total = sites.agg(F.sum("weight")).first()[0] or 0
+    ids = points.select(F.col(id_col), *[(F.col(d).cast("double") + 0.0).alias(d) for d in dims])
+    return join_by_key(ids, sites, dims, F.col("weight") > hot_size(total), [id_col]).select(id_col, "is_core")
+
+
 def _boxes(grid: _Grid, core: DataFrame, level: int) -> DataFrame:
     """Occupied sub-boxes of the cells at a level: extent, a member and the number of places."""
     finer = 2**level
@@ -107,17 +115,35 @@ def _boxes(grid: _Grid, core: DataFrame, level: int) -> DataFrame:
     ).agg(*aggs)
 
 
+# Two cells of at most this many points are compared point by point.
+_FEW = 16
+
+
 def _linked_cells(grid: _Grid, core: DataFrame, max_levels: int = 50) -> DataFrame:
     """Pairs of neighbouring core cells with two core points within eps of each other.
 
-    Pairs of boxes are settled by one member each (near enough: linked) or by their extents (too
-    far apart: never); what stays open is cut into halves. Points are not paired within cells.
+    Two cells of few points are compared directly. For fuller cells, pairs of boxes are settled by
+    one member each (near enough: linked) or by their extents (too far apart: never); what stays
+    open is cut into halves. Points are not paired within cells.
     """
     dims, k = grid.dims, len(grid.dims)
-    cells = core.groupBy("cell_id", *grid.cell).agg(F.count(F.lit(1)).alias("n_sites"))
-    left = grid.around(cells.select(F.col("cell_id").alias("a"), *grid.cell), ["a"], forward_only=True)
-    open_cells = left.join(cells.select(F.col("cell_id").alias("b"), *grid.cell), grid.cell).select("a", "b")
-    links: list[DataFrame] = []
+    few = F.col("cell_points") <= _FEW
+    place = F.struct(*[F.col(d).alias(d) for d in dims])
+    cells = core.groupBy("cell_id", *grid.cell).agg(
+        F.max("cell_points").alias("points"), F.collect_list(F.when(few, place)).alias("few")
+    )
+    left = grid.around(cells.select(F.col("cell_id").alias("a"), *grid.cell, "points", "few"), ["a", "points", "few"], forward_only=True)
+    left = left.withColumnsRenamed({"points": "a_points", "few": "a_few"})
+    right = cells.select(F.col("cell_id").alias("b"), *grid.cell, F.col("points").alias("b_points"), F.col("few").alias("b_few"))
+    met_cells = left.join(right, grid.cell)
+    both_few = (F.col("a_points") <= _FEW) & (F.col("b_points") <= _FEW)
+    gap = lambda p, q: reduce(lambda x, y: x + y, [(p[d] - q[d]) ** 2 for d in dims])
+    touching = F.exists("a_few", lambda p: F.exists("b_few", lambda q: gap(p, q) <= grid.eps * grid.eps))
+    met_cells = materialize(met_cells.select("a", "b", F.when(both_few, touching).alias("touch")).where("touch IS NULL OR touch"))
+    links: list[DataFrame] = [met_cells.where("touch").select("a", "b")]
+    open_cells = met_cells.where("touch IS NULL")
+    if is_empty(open_cells):
+        return links[0]
     open_pairs = open_cells.select("a", "b", *[F.lit(0).alias(f"{s}{i}") for s in ("ua", "ub") for i in range(k)])
     for level in range(max_levels):
         boxes = _boxes(grid, core, level)
@@ -160,7 +186,7 @@ def dbscan(points: DataFrame, id_col: str, dims: list[str], eps: float = 0.08, m
     core = sites.where("is_core")
     named = core.groupBy(*grid.cell).agg(F.min("site").alias("cell_id"), F.max("cell_points").alias("_points"))
     core = materialize(
-        join_by_key(core, named, grid.cell, F.col("_points") > max(total // 1000, 1), ["site"]).drop("_points")
+        join_by_key(core, named, grid.cell, F.col("_points") > hot_size(total), ["site"]).drop("_points")
     )
     roots = components(_linked_cells(grid, core), "a", "b")
     cells = core.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_sites"), F.max("cell_points").alias("cell_points"))
@@ -171,7 +197,7 @@ def dbscan(points: DataFrame, id_col: str, dims: list[str], eps: float = 0.08, m
     # Each cell has one label; a cell's points meet it through the skew-safe join.
     cell_label = materialize(rooted.join(clusters, "root").select("cell_id", F.col("cell_points").alias("_points"), F.col("label").cast("int").alias("label")))
     labelled = materialize(
-        join_by_key(core, cell_label, ["cell_id"], F.col("_points") > max(total // 1000, 1), ["site"]).drop("_points")
+        join_by_key(core, cell_label, ["cell_id"], F.col("_points") > hot_size(total), ["site"]).drop("_points")
     )
     sizes = sites.select(*grid.cell, "cell_points").distinct()
     border = _meet(grid, labelled.select("site", "label", *dims, *grid.cell), sites.where("NOT is_core"), sizes, total)
@@ -181,7 +207,7 @@ def dbscan(points: DataFrame, id_col: str, dims: list[str], eps: float = 0.08, m
         *dims, "weight", F.coalesce("label", F.lit(NOISE)).alias("label")
     )
     ids = points.select(F.col(id_col), *[(F.col(d).cast("double") + 0.0).alias(d) for d in dims])
-    return join_by_key(ids, by_place, dims, F.col("weight") > max(total // 1000, 1), [id_col]).select(id_col, "label")
+    return join_by_key(ids, by_place, dims, F.col("weight") > hot_size(total), [id_col]).select(id_col, "label")
 
 
 # ---------------------------------------------------------------- DBSCAN on whole vectors
@@ -226,7 +252,7 @@ def dbscan_vectors(
     rooted = materialize(core.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
     sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
     clusters = row_index(materialize(sizes), "root", name="_label").select("root", "_n", F.col("_label").cast("int").alias("label"))
-    limit = max(rooted.count() // 1000, 1)
+    limit = hot_size(rooted.count())
     labelled = materialize(join_by_key(rooted, clusters, ["root"], F.col("_n") > limit, ["id"]).select("id", "label"))
 
     def border(a_ids, a, _a, b_ids, b, b_label):
@@ -249,7 +275,7 @@ def non_noise(df: DataFrame, label: str = "label", noise: int = NOISE) -> DataFr
 def members(df: DataFrame, id_col: str, label: str = "label") -> DataFrame:
     """One row per member with its cluster's size; long form, so no cluster is collected."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("cluster_size"))
-    limit = max(df.count() // 1000, 1)
+    limit = hot_size(df.count())
     return join_by_key(df.select(label, id_col), sizes, [label], F.col("cluster_size") > limit, [id_col])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
 from glyphmill.functions.hashing import MERSENNE_31, int31, py_int31
-from glyphmill.operators.skew import join_by_key
+from glyphmill.operators.skew import hot_size, join_by_key
 from glyphmill.session import is_empty, materialize
 
 
@@ -74,22 +74,24 @@ def shingle_hashes(words: Column, n: int = 3) -> Column:
     return F.transform(tx.ngrams(words, n, plain=True), int31)
 
 
-def eligible(df: DataFrame, text: str, n: int) -> DataFrame:
-    """Rows that can be compared at all: not blank and at least ``n`` words."""
-    return df.where(tx.not_blank(F.col(text)) & (F.size(tx.word_tokens(F.col(text))) >= n))
-
-
 def _signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = np.unique(np.asarray(hashes, dtype=np.int64))
+    h = np.asarray(hashes, dtype=np.int64)
     out = np.full(a.shape, MERSENNE_31, dtype=np.int64)
-    for start in range(0, len(h), 4096):
-        block = (a[:, None] * h[None, start : start + 4096] + b[:, None]) % MERSENNE_31
+    # Blocks small enough for the cache.
+    for start in range(0, len(h), 512):
+        block = np.multiply.outer(a, h[start : start + 512])
+        block += b[:, None]
+        # x mod (2^31 - 1): add the high bits to the low ones, then take off one modulus if needed.
+        high = block >> 31
+        block &= MERSENNE_31
+        block += high
+        np.subtract(block, MERSENNE_31, out=block, where=block >= MERSENNE_31)
         np.minimum(out, block.min(axis=1), out=out)
     return out
 
 
 def minhash_signature(hashes: Column, num_perm: int = 128, seed: int = 1) -> Column:
-    """MinHash signature of an array of 31-bit hashes (Arrow batches; one small matrix per row)."""
+    """MinHash signature of an array of 31-bit hashes, NULL for none (Arrow batches; one small matrix per row)."""
     ab = permutations(num_perm, seed)
 
     @F.pandas_udf("array<int>")
@@ -97,18 +99,21 @@ def minhash_signature(hashes: Column, num_perm: int = 128, seed: int = 1) -> Col
         a = np.array([x for x, _ in ab], dtype=np.int64)
         b = np.array([y for _, y in ab], dtype=np.int64)
         for s in batches:
-            yield s.map(lambda h: _signature(h, a, b).astype(np.int32))
+            yield s.map(lambda h: _signature(h, a, b).astype(np.int32) if h is not None and len(h) else None)
 
-    return sign(hashes)
+    # Keeps a later filter on the signature from being pushed below, where everything would be computed again.
+    return sign.asNondeterministic()(hashes)
 
 
 def signatures(
     df: DataFrame, text: str, keep: list[str | Column], n: int = 3, num_perm: int = 128, seed: int = 1, name: str = "signature"
 ) -> DataFrame:
-    """MinHash signature of every eligible row, next to the ``keep`` columns. No shuffle."""
-    worded = df.where(tx.not_blank(F.col(text))).select(*keep, tx.word_tokens(F.col(text)).alias("_w"))
-    hashed = worded.where(F.size("_w") >= n).withColumn("_h", shingle_hashes(F.col("_w"), n)).drop("_w")
-    return hashed.withColumn(name, minhash_signature(F.col("_h"), num_perm, seed)).drop("_h")
+    """MinHash signature of every row of at least ``n`` words, next to the ``keep`` columns. No shuffle."""
+    worded = df.select(*keep, tx.word_tokens(F.col(text)).alias("_w"))
+    hashed = worded.withColumn("_h", shingle_hashes(F.col("_w"), n)).drop("_w")
+    # Blank and short rows have no hashes and so no signature. Testing them earlier would be pushed
+    # below as a second tokenisation of every text.
+    return hashed.withColumn(name, minhash_signature(F.col("_h"), num_perm, seed)).drop("_h").where(F.col(name).isNotNull())
 
 
 def band_keys(signature: Column, bands: int, rows: int) -> Column:
@@ -123,7 +128,7 @@ def band_table(
     df: DataFrame, text: str, ord_col: str, by: list[str] | None = None,
     n: int = 3, num_perm: int = 128, threshold: float = 0.75, seed: int = 1,
 ) -> DataFrame:
-    """One row ``(ord, [by..], band, key)`` per eligible row and band."""
+    """One row ``(ord, [by..], band, key)`` per comparable row and band."""
     bands, rows = best_bands(threshold, num_perm)
     signed = signatures(df, text, [F.col(ord_col).alias("ord"), *(by or [])], n, num_perm, seed, "_sig")
     return signed.select("ord", *(by or []), F.inline(band_keys(F.col("_sig"), bands, rows)))
@@ -142,7 +147,7 @@ def candidate_links(bands: DataFrame, keys: list[str] | None = None) -> DataFram
     keys = keys or ["band", "key"]
     leaders = bucket_leaders(bands, keys)
     total = bands.count()
-    linked = join_by_key(bands, leaders, keys, F.col("size") > max(total // 1000, 1), ["ord"])
+    linked = join_by_key(bands, leaders, keys, F.col("size") > hot_size(total), ["ord"])
     return linked.where(F.col("ord") > F.col("leader")).select("ord", "leader").distinct()
 
 
@@ -173,8 +178,8 @@ def greedy_dropped(bands: DataFrame, keys: list[str], max_rounds: int = 200) ->
     # Rows alone in all of their buckets are kept at once; a row alone in one bucket ignores that bucket.
     leaders = bucket_leaders(bands, keys)
     total = bands.count()
-    hot_size = max(total // 1000, 1)
-    shared = join_by_key(bands, leaders, keys, F.col("size") > hot_size, ["ord"]).select("ord", *keys)
+    limit = hot_size(total)
+    shared = join_by_key(bands, leaders, keys, F.col("size") > limit, ["ord"]).select("ord", *keys)
     per_row = shared.groupBy("ord").agg(F.count(F.lit(1)).alias("n_buckets"))
     open_rows = materialize(shared.join(per_row, "ord"))
     dropped = []
@@ -187,7 +192,7 @@ def greedy_dropped(bands: DataFrame, keys: list[str], max_rounds: int = 200) ->
         firsts = materialize(firsts)
         kept = firsts.groupBy("leader", "need").agg(F.count(F.lit(1)).alias("led")).where(F.col("led") == F.col("need"))
         taken = firsts.join(kept.select("leader"), "leader", "left_semi").select(*keys, "leader", "size")
-        hit = join_by_key(open_rows, taken, keys, F.col("size") > hot_size, ["ord"])
+        hit = join_by_key(open_rows, taken, keys, F.col("size") > limit, ["ord"])
         decided = materialize(hit.groupBy("ord").agg(F.max(F.col("ord") != F.col("leader")).alias("is_drop")))
         dropped.append(decided.where("is_drop").select("ord"))
         open_rows = materialize(open_rows.join(decided.select("ord"), "ord", "left_anti"))
@@ -214,6 +219,9 @@ def drop_near(
     """
     by = by or []
     bands = materialize(band_table(df, text, ord_col, by, n, num_perm, threshold, seed))
-    dropped = greedy_dropped(bands, [*by, "band", "key"]).withColumnRenamed("ord", ord_col)
-    rows = df if keep_short else eligible(df, text, n)
-    return rows.join(dropped, ord_col, "left_anti").select(*df.columns)
+    dropped = greedy_dropped(bands, [*by, "band", "key"])
+    if keep_short:
+        return df.join(dropped.withColumnRenamed("ord", ord_col), ord_col, "left_anti").select(*df.columns)
+    # Every comparable row has exactly one entry in band 0.
+    kept = bands.where("band = 0").select("ord").join(dropped, "ord", "left_anti").withColumnRenamed("ord", ord_col)
+    return df.join(kept, ord_col, "left_semi").select(*df.columns)

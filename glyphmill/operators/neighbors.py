@@ -147,24 +147,34 @@ def knn_label(base: DataFrame, queries: DataFrame, k: int = 1, label: str = "lab
     return vote(knn(base, queries, k, **names), base, names.get("base_id", "vec_id"), label)
 
 
-def similarity_matrix(left: DataFrame, right: DataFrame, id_col: str, vec: str, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Cosine similarity of every left row with every row of a bounded right table."""
+_SIMILARITY = "left_id bigint, right_id bigint, similarity double"
+
+
+def _cosines(left_ids: np.ndarray, left: np.ndarray, right_ids: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    sims = unit(left) @ unit(right).T
+    return pd.DataFrame({"left_id": np.repeat(left_ids, len(right_ids)), "right_id": np.tile(right_ids, len(left_ids)), "similarity": sims.ravel()})
+
+
+def similarity_matrix(left: DataFrame, right: DataFrame, id_col: str, vec: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Cosine similarity of every left row with every right row, as the caller's two tables ask for.
+
+    A right table within ``broadcast_bytes`` goes to every task; a larger one is met block by block.
+    """
     small = _small_matrix(
-        right.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v")), "id", "v", limit_bytes
+        right.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v")), "id", "v", broadcast_bytes
     )
     if small is None:
-        raise ValueError("the right side of a similarity matrix is too large; use knn for the closest rows")
+        tile = lambda a_ids, a, _a, b_ids, b, _b: _cosines(a_ids, a, b_ids, b)
+        return block_pairs(packed(left, id_col, vec, "a", 512), packed(right, id_col, vec, "b", 512), tile, _SIMILARITY)
     shared = left.sparkSession.sparkContext.broadcast(small)
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, m = shared.value
-        unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         for pdf in batches:
-            if len(pdf) and len(ids):
-                v = np.stack(pdf["v"].to_numpy())
-                sims = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ unit.T
-                yield pd.DataFrame({"left_id": np.repeat(pdf["left_id"].to_numpy(), len(ids)),
-                                    "right_id": np.tile(ids, len(pdf)), "similarity": sims.ravel()})
+            for at in range(0, len(pdf) if len(ids) else 0, 512):
+                cut = pdf.iloc[at : at + 512]
+                yield _cosines(cut["left_id"].to_numpy(), np.stack(cut["v"].to_numpy()), ids, m)
 
     slim = left.select(F.col(id_col).cast("bigint").alias("left_id"), F.col(vec).cast("array<double>").alias("v"))
-    return slim.mapInPandas(block, "left_id bigint, right_id bigint, similarity double")
+    return slim.mapInPandas(block, _SIMILARITY)

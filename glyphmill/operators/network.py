@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
-from glyphmill.operators import ordering, stats
-from glyphmill.operators.skew import join_by_key
+from glyphmill.operators import ordering
+from glyphmill.operators.skew import hot_size, join_by_key
 from glyphmill.session import is_empty, materialize
 
 
@@ -29,7 +29,8 @@ def document_bigrams(df: DataFrame, text: str, keep: list[str] | None = None) ->
 
 def border_bigrams(df: DataFrame, text: str, order: str) -> DataFrame:
     """Pairs across neighbouring documents: last word of one, first word of the next with any words."""
-    ends = df.select(F.col(order).alias("_ord"), tx.clean_words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
+    worded = df.where(F.col(text).rlike(tx.WORD_RUN))
+    ends = worded.select(F.col(order).alias("_ord"), tx.clean_words(F.col(text)).alias("_w"))
     ends = ends.select("_ord", F.element_at("_w", 1).alias("_first"), F.element_at("_w", -1).alias("w1"))
     return ordering.follow(ends, "_ord", {"_first": "w2"}).where("w2 IS NOT NULL").select("w1", "w2")
 
@@ -48,22 +49,47 @@ def undirected(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("w1", "w2").alias("w1"), F.greatest("w1", "w2").alias("w2")).agg(F.sum(doubled).alias("weight"))
 
 
-def with_frequencies(edges: DataFrame, freq: DataFrame, min_freq: int = 1) -> DataFrame:
-    """Edges whose two words both occur at least ``min_freq`` times, with the two frequencies."""
+def counted_steps(df: DataFrame, text: str) -> DataFrame:
+    """Counts of each word followed by the next one (``w2`` is NULL after a document's last word).
+
+    One pass over the text gives both the pairs and, summed over ``w2``, the word frequencies.
+    """
+    def steps(w: Column) -> Column:
+        return F.transform(w, lambda x, i: F.struct(x.alias("w1"), F.get(w, i + 1).alias("w2")))
+
+    pairs = df.select(F.inline(tx.let(tx.clean_words(F.col(text)), steps)))
+    return pairs.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+def with_frequencies(edges: DataFrame, freq: DataFrame, total: int, min_freq: int = 1) -> DataFrame:
+    """Edges whose two words both occur at least ``min_freq`` times, with the two frequencies.
+
+    ``total`` is the number of words. A word has at most twice its occurrences as edges, so only
+    very frequent words can overload a task.
+    """
     known = freq.where(F.col("freq") >= min_freq)
-    # A word's neighbours are at most its occurrences, so only words above total/1000 can overload a task.
-    limit = freq.agg(F.greatest(F.floor(F.sum("freq") / 1000), F.lit(1))).first()[0] or 1
+    limit = hot_size(total)
     left = known.select(F.col("word").alias("w1"), F.col("freq").alias("freq1"))
     right = known.select(F.col("word").alias("w2"), F.col("freq").alias("freq2"))
     one = join_by_key(edges, left, ["w1"], F.col("freq1") > limit, ["w2"])
     return join_by_key(one, right, ["w2"], F.col("freq2") > limit, ["w1"])
 
 
+def frequent_edges(df: DataFrame, text: str, min_freq: int = 2, cross_document_order: str | None = None) -> DataFrame:
+    """Undirected weighted edges between words of at least ``min_freq`` occurrences, with both frequencies."""
+    steps = materialize(counted_steps(df, text))
+    freq = steps.groupBy(F.col("w1").alias("word")).agg(F.sum("n_pairs").alias("freq"))
+    pairs = steps.where("w2 IS NOT NULL")
+    if cross_document_order:
+        across = border_bigrams(df, text, cross_document_order)
+        pairs = pairs.unionByName(across.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n_pairs")))
+    total = steps.agg(F.sum("n_pairs")).first()[0] or 0
+    return with_frequencies(undirected(pairs), freq, total, min_freq)
+
+
 def word_edges(df: DataFrame, text: str, min_freq: int = 2, cross_document_order: str | None = None) -> DataFrame:
-    """Undirected weighted edges between words that occur at least ``min_freq`` times."""
-    freq = stats.word_frequency(df, tx.clean_words(F.col(text)))
-    edges = undirected(bigram_counts(df, text, cross_document_order))
-    return with_frequencies(edges, freq, min_freq).select("w1", "w2", "weight")
+    """The word network: undirected weighted edges between frequent words."""
+    return frequent_edges(df, text, min_freq, cross_document_order).select("w1", "w2", "weight")
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:

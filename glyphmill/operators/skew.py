@@ -6,13 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SALTS = 1024
+# Keys of fewer rows than this never need special care.
+MIN_HOT = 100_000
+
+
+def hot_size(total: int) -> int:
+    """Rows above which a key counts as hot; fewer than 1000 keys of ``total`` rows can exceed it."""
+    return max(total // 1000, MIN_HOT)
 
 
 def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], is_hot: Column, spread_by: list[str]) -> DataFrame:
     """Inner join of ``rows`` with ``per_key`` (one row per key) that no key can overload.
 
     ``is_hot`` marks the per-key rows that stand for many rows. The caller's condition must bound
-    their number (keys with more than total/1000 rows are fewer than 1000), so they are broadcast.
+    their number (see ``hot_size``), so they are broadcast.
     All other keys are joined by shuffle; rows of hot keys are spread over salts there, where
     they match nothing.
     """

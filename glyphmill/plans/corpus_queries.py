@@ -9,7 +9,7 @@ from glyphmill.functions import text as tx
 from glyphmill.operators import dedup, ordering, schema, stacking, stats
 from glyphmill.plans import assembly
 from glyphmill.plans.registry import (
-    SPLIT, documents, query, spread_documents, sql_clean, sql_clean_words, sql_draw, sql_not_blank, sql_runs, sql_words, table,
+    SPLIT, documents, query, spread_documents, spread_table, sql_clean, sql_clean_words, sql_draw, sql_not_blank, sql_runs, sql_words, table,
 )
 from glyphmill.session import scratch_path
 from glyphmill.sources import tables
@@ -135,9 +135,10 @@ def corpus_sources(spark: SparkSession, sf: str) -> list[stacking.SourceSpec]:
     """The four text tables as sources, in order of preference."""
     return [
         stacking.SourceSpec("benchmark", table(spark, sf, "benchmark"), ["item_id"]),
-        stacking.SourceSpec("documents", documents(spark, sf), ["doc_id"], ["lang", "source", "n_chars"], "source"),
+        stacking.SourceSpec(
+            "documents", schema.with_split(spread_table(spark, sf, "documents", "doc_id"), "doc_id"), ["doc_id"], ["lang", "source", "n_chars"], "source"),
         stacking.SourceSpec("conversations", table(spark, sf, "conversations"), ["conv_id", "turn"], ["role"]),
-        stacking.SourceSpec("pages", table(spark, sf, "pages"), ["page_id"]),
+        stacking.SourceSpec("pages", spread_table(spark, sf, "pages", "page_id"), ["page_id"]),
     ]
 
 
@@ -162,7 +163,7 @@ _MIXES = {"stage_two": {"en": 1, "fr": 2}, "decay": {"fr": 1, "de": 1, "es": 1}}
     FROM documents d JOIN (VALUES ('stage_two','en'),('stage_two','fr'),('stage_two','fr'),('decay','fr'),('decay','de'),('decay','es')) m(mix, lang)
       ON d.lang = m.lang GROUP BY mix""")
 def mix_sources(spark: SparkSession, sf: str) -> DataFrame:
-    counted = table(spark, sf, "documents").select("lang", tx.token_count(F.col("text")).alias("tokens"))
+    counted = spread_documents(spark, sf, "text", "lang").select("lang", tx.token_count(F.col("text")).alias("tokens"))
     mixed = stacking.mix(counted, "lang", _MIXES)
     return mixed.groupBy("mix").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("tokens").cast("bigint").alias("n_tokens"))
 
@@ -209,7 +210,7 @@ def split_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("token_totals", f"SELECT {SPLIT} AS split, sum(len({sql_runs('text')}))::BIGINT AS n_tokens FROM documents GROUP BY 1")
 def token_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.total_by(documents(spark, sf), "split", tx.token_count(F.col("text")), "n_tokens")
+    return stats.total_by(schema.with_split(spread_documents(spark, sf, "text"), "doc_id"), "split", tx.token_count(F.col("text")), "n_tokens")
 
 
 @query("value_counts", "SELECT source, count(*) AS n_rows FROM documents WHERE source IS NOT NULL GROUP BY source ORDER BY n_rows DESC, source")
@@ -236,7 +237,7 @@ def null_count(spark: SparkSession, sf: str) -> DataFrame:
                  avg(w) FILTER (w <= 500) AS mean_capped, stddev_pop(w) FILTER (w <= 500) AS std_capped
           FROM (SELECT doc_id, len({sql_words('text')}) AS w FROM documents) GROUP BY 1)""")
 def stat_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    counted = documents(spark, sf).select("split", tx.word_count(F.col("text")).alias("words"))
+    counted = schema.with_split(spread_documents(spark, sf, "text"), "doc_id").select("split", tx.word_count(F.col("text")).alias("words"))
     out = stats.distribution(counted, "words", 500, by="split")
     exact = ["split", "n_rows", "n_above"]
     return out.select(*[c if c in exact else F.round(c, 6).alias(c) for c in out.columns])
@@ -248,13 +249,13 @@ def stat_distribution(spark: SparkSession, sf: str) -> DataFrame:
     SELECT i::INT AS bin, round(lo + (hi - lo) / 30 * i, 6) AS bin_from, coalesce(n, 0) AS n_rows
     FROM range(30) r(i) CROSS JOIN e LEFT JOIN c ON c.bin = i""")
 def histogram30(spark: SparkSession, sf: str) -> DataFrame:
-    counted = table(spark, sf, "documents").select(tx.word_count(F.col("text")).alias("words"))
+    counted = spread_documents(spark, sf, "text").select(tx.word_count(F.col("text")).alias("words"))
     return stats.histogram(counted, "words", 30).withColumn("bin_from", F.round("bin_from", 6))
 
 
 @query("word_freq", f"SELECT w AS word, count(*) AS freq FROM (SELECT unnest({sql_clean_words('text')}) AS w FROM documents) GROUP BY w")
 def word_freq(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.word_frequency(table(spark, sf, "documents"), tx.clean_words(F.col("text")))
+    return stats.word_frequency(spread_documents(spark, sf, "text"), tx.clean_words(F.col("text")))
 
 
 _NGRAM_ROWS = " UNION ALL ".join(
@@ -275,31 +276,31 @@ def top_ngrams(spark: SparkSession, sf: str) -> DataFrame:
                ORDER BY freq DESC, w LIMIT 100)
     SELECT word, freq, round(freq / (SELECT max(freq) FROM f), 6) AS weight FROM f""")
 def word_cloud(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.word_cloud(table(spark, sf, "documents"), "text", 100).withColumn("weight", F.round("weight", 6))
+    return stats.word_cloud(spread_documents(spark, sf, "text"), "text", 100).withColumn("weight", F.round("weight", 6))
 
 
 @query("corpus_report", f"""
     SELECT {SPLIT} AS split, count(*) AS n_rows, sum(strlen(text))::BIGINT AS n_bytes, sum(len({sql_words('text')}))::BIGINT AS n_words,
            sum(len({sql_runs('text')}))::BIGINT AS n_tokens FROM documents GROUP BY 1""")
 def corpus_report(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.corpus_card(documents(spark, sf), "text", "split")
+    return stats.corpus_card(schema.with_split(spread_documents(spark, sf, "text"), "doc_id"), "text", "split")
 
 
 # ---------------------------------------------------------------- scalar text functions
 
 @query("word_count", f"SELECT doc_id, len({sql_words('text')})::INT AS word_count FROM documents")
 def word_count(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tx.word_count(F.col("text")).alias("word_count"))
+    return spread_documents(spark, sf, "text").select("doc_id", tx.word_count(F.col("text")).alias("word_count"))
 
 
 @query("clean_text", f"SELECT doc_id, {sql_clean('text')} AS text FROM documents")
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("text"))
+    return spread_documents(spark, sf, "text").select("doc_id", tx.clean_text(F.col("text")).alias("text"))
 
 
 @query("token_count", f"SELECT doc_id, least(len({sql_runs('text')}), 2048)::INT AS token_count FROM documents")
 def token_count(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tx.token_count(F.col("text"), 2048).alias("token_count"))
+    return spread_documents(spark, sf, "text").select("doc_id", tx.token_count(F.col("text"), 2048).alias("token_count"))
 
 
 @query("truncate_text", "SELECT doc_id, substring(text, 1, 1024) AS display_text, substring(text, 1, 420) AS prompt_text FROM documents")

@@ -37,8 +37,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_split(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table for CPU-heavy queries, on all cores even when its file is one split."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def spread_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Columns of the documents for CPU-heavy queries, on all cores even when the file is one split."""
     return spread(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
 from glyphmill.functions.hashing import draw
-from glyphmill.operators import dedup, network, ordering, stats
+from glyphmill.operators import dedup, network, ordering
 from glyphmill.plans.benchmark import benchmark_rows
 from glyphmill.plans.registry import (
     query, spread_documents, sql_clean_words, sql_draw, sql_int31, sql_ngrams, sql_not_blank, sql_tokens, sql_words, table,
@@ -124,7 +124,7 @@ def word_network(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bigrams", f"WITH {_PAIRS} SELECT doc_id, w1, w2 FROM pairs")
 def bigrams(spark: SparkSession, sf: str) -> DataFrame:
-    return network.document_bigrams(table(spark, sf, "documents"), "text", ["doc_id"])
+    return network.document_bigrams(spread_documents(spark, sf, "text"), "text", ["doc_id"])
 
 
 @query("bigram_counts", f"WITH {_PAIRS} SELECT w1, w2, count(*) AS n_pairs FROM pairs GROUP BY 1, 2")
@@ -147,10 +147,7 @@ def word_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("edge_freq_join", f"WITH {_NETWORK} SELECT w1, w2, weight, freq1, freq2 FROM net")
 def edge_freq_join(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "documents")
-    freq = stats.word_frequency(df, tx.clean_words(F.col("text")))
-    edges = network.undirected(network.bigram_counts(df, "text"))
-    return network.with_frequencies(edges, freq, MIN_FREQ).select("w1", "w2", "weight", "freq1", "freq2")
+    return network.frequent_edges(spread_documents(spark, sf, "text"), "text", MIN_FREQ)
 
 
 @query("degree_centrality", f"WITH {_NETWORK} SELECT word, degree, round(centrality, 9) AS centrality FROM cent")
@@ -201,7 +198,7 @@ def stratified_take(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("mask_word", f"SELECT doc_id, {_sql_mask(7)} AS masked FROM documents")
 def mask_word(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tx.mask_word(F.col("text"), draw(7, F.col("doc_id"))).alias("masked"))
+    return spread_documents(spark, sf, "text").select("doc_id", tx.mask_word(F.col("text"), draw(7, F.col("doc_id"))).alias("masked"))
 
 
 @query("swap_mask_token", f"SELECT doc_id, replace({_sql_mask(7)}, '<mask>', '[MASK]') AS masked FROM documents")
@@ -211,7 +208,7 @@ def swap_mask_token(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("causal_prefix", f"SELECT doc_id, {_sql_prefix('w')} AS prefix FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents)")
 def causal_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tx.causal_prefix(F.col("text")).alias("prefix"))
+    return spread_documents(spark, sf, "text").select("doc_id", tx.causal_prefix(F.col("text")).alias("prefix"))
 
 
 @query("lm_benchmark", f"""

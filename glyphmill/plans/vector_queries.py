@@ -141,10 +141,7 @@ _NEAR = f"""{_POINTS},
 @query("eps_neighbors", f"WITH {_NEAR} SELECT vec_id, vec_id IN (SELECT id FROM core) AS is_core FROM p")
 def eps_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     """Which points have at least ``min_samples`` points within eps (themselves included)."""
-    pts = points(spark, sf)
-    sites = clustering.density_sites(pts, "vec_id", ["x", "y"], EPS, MIN_SAMPLES)
-    return pts.select("vec_id", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y")).join(
-        sites.select("x", "y", "is_core"), ["x", "y"]).select("vec_id", "is_core")
+    return clustering.core_points(points(spark, sf), "vec_id", ["x", "y"], EPS, MIN_SAMPLES)
 
 
 _DBSCAN = f"""
