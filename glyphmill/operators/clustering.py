@@ -16,7 +16,7 @@ from glyphmill.functions.hashing import draw
 from glyphmill.operators.components import components
 from glyphmill.operators.neighbors import BLOCK_ROWS, block_pairs, packed
 from glyphmill.operators.ordering import row_index
-from glyphmill.operators.skew import hot_size, join_by_key
+from glyphmill.operators.skew import join_by_key
 from glyphmill.session import is_empty, materialize
 
 NOISE = -1
@@ -67,7 +67,7 @@ def _probe_cells(grid: _Grid, probes: DataFrame) -> DataFrame:
 def _meet(grid: _Grid, sites: DataFrame, probes: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
     """Sites next to the probes within eps of them, from the sites' side so that a full cell is spread."""
     per_cell = _probe_cells(grid, probes).join(sizes, grid.cell)
-    met = join_by_key(sites, per_cell, grid.cell, F.col("cell_points") > hot_size(total), ["site"])
+    met = join_by_key(sites, per_cell, grid.cell, "cell_points", total, ["site"])
     opened = met.select(*sites.columns, F.inline("probes"))
     return opened.where(grid.near("", "p_"))
 
@@ -86,7 +86,7 @@ def density_sites(points: DataFrame, id_col: str, dims: list[str], eps: float, m
     sites = materialize(sites.select("site", "weight", *dims, *grid.cells()))
     total = sites.agg(F.sum("weight")).first()[0] or 0
     sizes = materialize(sites.groupBy(*grid.cell).agg(F.sum("weight").alias("cell_points")))
-    sized = join_by_key(sites, sizes, grid.cell, F.col("cell_points") > hot_size(total), ["site"])
+    sized = join_by_key(sites, sizes, grid.cell, "cell_points", total, ["site"])
     sparse = sized.where(F.col("cell_points") < min_samples)
     counted = _meet(grid, sites, sparse, sizes, total).groupBy(F.col("probe").alias("site")).agg(F.sum("weight").alias("_near"))
     lonely = sparse.join(counted, "site").withColumn("is_core", F.col("_near") >= min_samples).drop("_near")
@@ -99,7 +99,7 @@ def core_points(points: DataFrame, id_col: str, dims: list[str], eps: float, min
     sites = density_sites(points, id_col, dims, eps, min_samples).select(*dims, "weight", "is_core")
     total = sites.agg(F.sum("weight")).first()[0] or 0
     ids = points.select(F.col(id_col), *[(F.col(d).cast("double") + 0.0).alias(d) for d in dims])
-    return join_by_key(ids, sites, dims, F.col("weight") > hot_size(total), [id_col]).select(id_col, "is_core")
+    return join_by_key(ids, sites, dims, "weight", total, [id_col]).select(id_col, "is_core")
 
 
 def _boxes(grid: _Grid, core: DataFrame, level: int) -> DataFrame:
@@ -186,7 +186,7 @@ def dbscan(points: DataFrame, id_col: str, dims: list[str], eps: float = 0.08, m
     core = sites.where("is_core")
     named = core.groupBy(*grid.cell).agg(F.min("site").alias("cell_id"), F.max("cell_points").alias("_points"))
     core = materialize(
-        join_by_key(core, named, grid.cell, F.col("_points") > hot_size(total), ["site"]).drop("_points")
+        join_by_key(core, named, grid.cell, "_points", total, ["site"]).drop("_points")
     )
     roots = components(_linked_cells(grid, core), "a", "b")
     cells = core.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_sites"), F.max("cell_points").alias("cell_points"))
@@ -197,7 +197,7 @@ def dbscan(points: DataFrame, id_col: str, dims: list[str], eps: float = 0.08, m
     # Each cell has one label; a cell's points meet it through the skew-safe join.
     cell_label = materialize(rooted.join(clusters, "root").select("cell_id", F.col("cell_points").alias("_points"), F.col("label").cast("int").alias("label")))
     labelled = materialize(
-        join_by_key(core, cell_label, ["cell_id"], F.col("_points") > hot_size(total), ["site"]).drop("_points")
+        join_by_key(core, cell_label, ["cell_id"], "_points", total, ["site"]).drop("_points")
     )
     sizes = sites.select(*grid.cell, "cell_points").distinct()
     border = _meet(grid, labelled.select("site", "label", *dims, *grid.cell), sites.where("NOT is_core"), sizes, total)
@@ -207,7 +207,7 @@ def dbscan(points: DataFrame, id_col: str, dims: list[str], eps: float = 0.08, m
         *dims, "weight", F.coalesce("label", F.lit(NOISE)).alias("label")
     )
     ids = points.select(F.col(id_col), *[(F.col(d).cast("double") + 0.0).alias(d) for d in dims])
-    return join_by_key(ids, by_place, dims, F.col("weight") > hot_size(total), [id_col]).select(id_col, "label")
+    return join_by_key(ids, by_place, dims, "weight", total, [id_col]).select(id_col, "label")
 
 
 # ---------------------------------------------------------------- DBSCAN on whole vectors
@@ -252,8 +252,7 @@ def dbscan_vectors(
     rooted = materialize(core.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
     sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
     clusters = row_index(materialize(sizes), "root", name="_label").select("root", "_n", F.col("_label").cast("int").alias("label"))
-    limit = hot_size(rooted.count())
-    labelled = materialize(join_by_key(rooted, clusters, ["root"], F.col("_n") > limit, ["id"]).select("id", "label"))
+    labelled = materialize(join_by_key(rooted, clusters, ["root"], "_n", rooted.count(), ["id"]).select("id", "label"))
 
     def border(a_ids, a, _a, b_ids, b, b_label):
         first = np.where(near(a, b), b_label[None, :], np.iinfo(np.int64).max).min(axis=1)
@@ -275,8 +274,7 @@ def non_noise(df: DataFrame, label: str = "label", noise: int = NOISE) -> DataFr
 def members(df: DataFrame, id_col: str, label: str = "label") -> DataFrame:
     """One row per member with its cluster's size; long form, so no cluster is collected."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("cluster_size"))
-    limit = hot_size(df.count())
-    return join_by_key(df.select(label, id_col), sizes, [label], F.col("cluster_size") > limit, [id_col])
+    return join_by_key(df.select(label, id_col), sizes, [label], "cluster_size", df.count(), [id_col])
 
 
 def centroids(df: DataFrame, label: str, dims: list[str]) -> DataFrame:

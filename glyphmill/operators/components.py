@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.operators.skew import hot_size, join_by_key
+from glyphmill.operators.skew import join_by_key
 from glyphmill.session import materialize
 
 
-def _to_smallest(pairs: DataFrame, hot: int) -> DataFrame:
+def _to_smallest(pairs: DataFrame, total: int) -> DataFrame:
     """Rows ``(u, v, m)`` with ``m`` the smallest of ``u`` and its partners ``v``."""
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("size"))
-    return join_by_key(pairs, least, ["u"], F.col("size") > hot, ["v"])
+    return join_by_key(pairs, least, ["u"], "size", total, ["v"])
 
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -30,11 +30,11 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
                 current.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
             )
         before = (n, mark)
-        hot = hot_size(2 * n)
+        total = 2 * n
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_smallest(both, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _to_smallest(both, total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # The small star works on pairs oriented from the larger to the smaller id.
-        small = _to_smallest(large, hot)
+        small = _to_smallest(large, total)
         linked = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
         current = materialize(linked.where("u <> v").distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
 from glyphmill.functions.hashing import MERSENNE_31, int31, py_int31
-from glyphmill.operators.skew import hot_size, join_by_key
+from glyphmill.operators.skew import join_by_key
 from glyphmill.session import is_empty, materialize
 
 
@@ -147,7 +147,7 @@ def candidate_links(bands: DataFrame, keys: list[str] | None = None) -> DataFram
     keys = keys or ["band", "key"]
     leaders = bucket_leaders(bands, keys)
     total = bands.count()
-    linked = join_by_key(bands, leaders, keys, F.col("size") > hot_size(total), ["ord"])
+    linked = join_by_key(bands, leaders, keys, "size", total, ["ord"])
     return linked.where(F.col("ord") > F.col("leader")).select("ord", "leader").distinct()
 
 
@@ -178,8 +178,7 @@ def greedy_dropped(bands: DataFrame, keys: list[str], max_rounds: int = 200) ->
     # Rows alone in all of their buckets are kept at once; a row alone in one bucket ignores that bucket.
     leaders = bucket_leaders(bands, keys)
     total = bands.count()
-    limit = hot_size(total)
-    shared = join_by_key(bands, leaders, keys, F.col("size") > limit, ["ord"]).select("ord", *keys)
+    shared = join_by_key(bands, leaders, keys, "size", total, ["ord"]).select("ord", *keys)
     per_row = shared.groupBy("ord").agg(F.count(F.lit(1)).alias("n_buckets"))
     open_rows = materialize(shared.join(per_row, "ord"))
     dropped = []
@@ -192,7 +191,7 @@ def greedy_dropped(bands: DataFrame, keys: list[str], max_rounds: int = 200) ->
         firsts = materialize(firsts)
         kept = firsts.groupBy("leader", "need").agg(F.count(F.lit(1)).alias("led")).where(F.col("led") == F.col("need"))
         taken = firsts.join(kept.select("leader"), "leader", "left_semi").select(*keys, "leader", "size")
-        hit = join_by_key(open_rows, taken, keys, F.col("size") > limit, ["ord"])
+        hit = join_by_key(open_rows, taken, keys, "size", total, ["ord"])
         decided = materialize(hit.groupBy("ord").agg(F.max(F.col("ord") != F.col("leader")).alias("is_drop")))
         dropped.append(decided.where("is_drop").select("ord"))
         open_rows = materialize(open_rows.join(decided.select("ord"), "ord", "left_anti"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
 from glyphmill.operators import ordering
-from glyphmill.operators.skew import hot_size, join_by_key
+from glyphmill.operators.skew import join_by_key
 from glyphmill.session import is_empty, materialize
 
 
@@ -68,11 +68,10 @@ def with_frequencies(edges: DataFrame, freq: DataFrame, total: int, min_freq: in
     very frequent words can overload a task.
     """
     known = freq.where(F.col("freq") >= min_freq)
-    limit = hot_size(total)
     left = known.select(F.col("word").alias("w1"), F.col("freq").alias("freq1"))
     right = known.select(F.col("word").alias("w2"), F.col("freq").alias("freq2"))
-    one = join_by_key(edges, left, ["w1"], F.col("freq1") > limit, ["w2"])
-    return join_by_key(one, right, ["w2"], F.col("freq2") > limit, ["w1"])
+    one = join_by_key(edges, left, ["w1"], "freq1", total, ["w2"])
+    return join_by_key(one, right, ["w2"], "freq2", total, ["w1"])
 
 
 def frequent_edges(df: DataFrame, text: str, min_freq: int = 2, cross_document_order: str | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SALTS = 1024
@@ -15,15 +15,18 @@ def hot_size(total: int) -> int:
     return max(total // 1000, MIN_HOT)
 
 
-def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], is_hot: Column, spread_by: list[str]) -> DataFrame:
+def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], size: str, total: int, spread_by: list[str]) -> DataFrame:
     """Inner join of ``rows`` with ``per_key`` (one row per key) that no key can overload.
 
-    ``is_hot`` marks the per-key rows that stand for many rows. The caller's condition must bound
-    their number (see ``hot_size``), so they are broadcast.
-    All other keys are joined by shuffle; rows of hot keys are spread over salts there, where
-    they match nothing.
+    ``size`` is the per-key column with a bound of the key's rows and ``total`` their sum, which
+    bounds the number of hot keys (see ``hot_size``), so those are broadcast. All other keys are
+    joined by shuffle; rows of hot keys are spread over salts there, where they match nothing.
     """
+    limit = hot_size(total)
     extra = [c for c in per_key.columns if c not in keys]
+    if total <= limit:
+        return rows.join(per_key, keys).select(*rows.columns, *extra)
+    is_hot = F.col(size) > limit
     hot = per_key.where(is_hot).select(*keys, F.struct(*extra).alias("_hot"))
     cold = per_key.where(~is_hot).select(*keys, F.lit(0).alias("_salt"), F.struct(*extra).alias("_cold"))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(_SALTS)).cast("int") + 1

@@ -14,3 +14,11 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(params=["plain", "hot"])
+def hot_keys(request, monkeypatch):
+    """Run a test with the plain joins and again with every key of two or more rows treated as hot."""
+    if request.param == "hot":
+        monkeypatch.setattr("glyphmill.operators.skew.MIN_HOT", 1)
+    return request.param

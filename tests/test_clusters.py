@@ -54,8 +54,12 @@ def test_dbscan_cases(spark, name):
     assert run_dbscan(spark, pts, eps, least) == plain_dbscan(pts, eps, least)
 
 
-@pytest.mark.parametrize("seed,dims,eps,least", [(1, 2, 0.09, 4), (2, 2, 0.2, 8), (3, 3, 0.25, 5), (4, 1, 0.02, 3), (5, 2, 0.05, 2)])
-def test_dbscan_random(spark, seed, dims, eps, least):
+@pytest.mark.parametrize("seed,dims,eps,least", [(1, 2, 0.09, 4), (2, 2, 0.2, 8), (3, 3, 0.25, 5), (4, 1, 0.02, 3)])
+def test_dbscan_random(spark, seed, dims, eps, least, monkeypatch):
+    if seed == 2:
+        # Every key treated as hot, and no cell small enough for direct comparison.
+        monkeypatch.setattr("glyphmill.operators.skew.MIN_HOT", 1)
+        monkeypatch.setattr(clustering, "_FEW", 0)
     rng = np.random.default_rng(seed)
     pts = np.vstack([rng.random((120, dims)), rng.normal(0.5, 0.03, (80, dims))]).round(3).tolist()
     assert run_dbscan(spark, pts, eps, least) == plain_dbscan(pts, eps, least)
@@ -70,8 +74,8 @@ def test_vector_dbscan_matches(spark):
     assert [got[i] for i in range(len(pts))] == plain_dbscan(pts, 0.8, 5)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize("seed", range(2))
+def test_components(spark, seed, hot_keys):
     rng = random.Random(seed)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(300 + i, 301 + i) for i in range(40)]
     parent = {}

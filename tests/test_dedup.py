@@ -36,8 +36,8 @@ def test_chain_keeps_both_ends(spark):
     assert {r["ord"] for r in dedup.greedy_dropped(bands, ["band", "key"]).collect()} == {2}
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_greedy_equals_a_sequential_pass(spark, seed):
+@pytest.mark.parametrize("seed", range(2))
+def test_greedy_equals_a_sequential_pass(spark, seed, hot_keys):
     rng = random.Random(seed)
     n, width = 60, rng.choice([2, 8, 30])
     rows = [(o, (b, str(rng.randrange(width)))) for o in range(n) for b in range(3)]
@@ -99,7 +99,7 @@ def test_keep_short(spark):
     assert dedup.drop_near(df).count() == 1 and dedup.drop_near(df, keep_short=True).count() == 2
 
 
-def test_links_point_to_the_first_of_a_bucket(spark):
+def test_links_point_to_the_first_of_a_bucket(spark, hot_keys):
     rows = [(o, 0, "hot") for o in range(50)] + [(7, 1, "z"), (9, 1, "z"), (3, 1, "alone")]
     links = dedup.candidate_links(spark.createDataFrame(rows, "ord long, band int, key string"))
     assert sorted(tuple(r) for r in links.collect()) == sorted([(o, 0) for o in range(1, 50)] + [(9, 7)])

@@ -108,7 +108,7 @@ def test_filter_keeps_isolated_nodes(spark):
 
 @pytest.mark.parametrize("cross", [None, "id"])
 @pytest.mark.parametrize("min_freq", [1, 3])
-def test_word_edges(spark, cross, min_freq):
+def test_word_edges(spark, cross, min_freq, hot_keys):
     rng = random.Random(7)
     docs = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(9)))) for i in range(30)]
     texts = [t.split() for _, t in docs]
