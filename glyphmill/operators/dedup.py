@@ -148,7 +148,7 @@ def candidate_links(bands: DataFrame, keys: list[str] | None = None) -> DataFram
     leaders = bucket_leaders(bands, keys)
     total = bands.count()
     linked = join_by_key(bands, leaders, keys, "size", total, ["ord"])
-    return linked.where(F.col("ord") > F.col("leader")).select("ord", "leader").distinct()
+    return materialize(linked.where(F.col("ord") > F.col("leader")).select("ord", "leader").distinct())
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -161,7 +161,10 @@ def verified_links(df: DataFrame, links: DataFrame, text: str, ord_col: str, n:
     """True Jaccard similarity of each link's two texts."""
     sets = df.select(F.col(ord_col).alias("ord"), tx.shingles(F.col(text), n).alias("_s"))
     left = links.join(sets.withColumnRenamed("_s", "_a"), "ord")
-    both = left.join(sets.withColumnRenamed("ord", "leader").withColumnRenamed("_s", "_b"), "leader")
+    # The first row of a large bucket is the leader of many links.
+    sizes = links.groupBy("leader").agg(F.count(F.lit(1)).alias("_n"))
+    leaders = sets.withColumnRenamed("ord", "leader").withColumnRenamed("_s", "_b").join(sizes, "leader")
+    both = join_by_key(left, leaders, ["leader"], "_n", links.count(), ["ord"])
     return both.select("ord", "leader", jaccard(F.col("_a"), F.col("_b")).alias("jaccard"))
 
 

@@ -149,18 +149,23 @@ def eigenvector(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: in
     if n == 0:
         return every.withColumn("eigenvector", F.lit(0.0))
     links = materialize(neighbours(edges))
-    current = every.withColumn("x", F.lit(1.0 / n))
+    total = links.count()
+    degree = links.groupBy("word").agg(F.count(F.lit(1)).alias("n_links"))
+    current = every.join(degree, "word", "left").select("word", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.lit(1.0 / n).alias("x"))
     for _ in range(max_rounds):
         # Each node's value goes to its neighbours and to itself; the hub sums combine before the shuffle.
-        sent = links.join(current, "word").select(F.col("next").alias("word"), "x", F.lit(0.0).alias("old"))
-        stay = current.select("word", "x", F.col("x").alias("old"))
-        summed = sent.unionByName(stay).groupBy("word").agg(F.sum("x").alias("x"), F.sum("old").alias("old"))
+        sent = join_by_key(links, current, ["word"], "n_links", total, ["next"])
+        sent = sent.select(F.col("next").alias("word"), F.lit(0).alias("n_links"), "x", F.lit(0.0).alias("old"))
+        stay = current.select("word", "n_links", "x", F.col("x").alias("old"))
+        summed = sent.unionByName(stay).groupBy("word").agg(
+            F.max("n_links").alias("n_links"), F.sum("x").alias("x"), F.sum("old").alias("old")
+        )
         raw = materialize(summed)
         length = raw.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
         change = raw.agg(F.sum(F.abs(F.col("x") / length - F.col("old")))).first()[0]
-        current = raw.select("word", (F.col("x") / length).alias("x"))
+        current = raw.select("word", "n_links", (F.col("x") / length).alias("x"))
         if change < n * tolerance:
-            return current.withColumnRenamed("x", "eigenvector")
+            return current.select("word", F.col("x").alias("eigenvector"))
     raise RuntimeError(f"eigenvector centrality did not converge in {max_rounds} rounds")
 
 

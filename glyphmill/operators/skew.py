@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SALTS = 1024
 # Keys of fewer rows than this never need special care.
 MIN_HOT = 100_000
 
@@ -18,19 +17,19 @@ def hot_size(total: int) -> int:
 def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], size: str, total: int, spread_by: list[str]) -> DataFrame:
     """Inner join of ``rows`` with ``per_key`` (one row per key) that no key can overload.
 
-    ``size`` is the per-key column with a bound of the key's rows and ``total`` their sum, which
-    bounds the number of hot keys (see ``hot_size``), so those are broadcast. All other keys are
-    joined by shuffle; rows of hot keys are spread over salts there, where they match nothing.
+    ``size`` is the per-key column with a bound of the key's rows and ``total`` their sum. A hot
+    key is cut into as many salts as it holds limits' worth of rows: its rows are spread over the
+    salts and its per-key row is repeated for each. Only the names of the hot keys, fewer than
+    1000 by the choice of the limit, are broadcast; the sum of all salts is bounded the same way.
     """
     limit = hot_size(total)
     extra = [c for c in per_key.columns if c not in keys]
     if total <= limit:
         return rows.join(per_key, keys).select(*rows.columns, *extra)
-    is_hot = F.col(size) > limit
-    hot = per_key.where(is_hot).select(*keys, F.struct(*extra).alias("_hot"))
-    cold = per_key.where(~is_hot).select(*keys, F.lit(0).alias("_salt"), F.struct(*extra).alias("_cold"))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(_SALTS)).cast("int") + 1
-    marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(salt))
-    both = marked.join(cold, [*keys, "_salt"], "left")
-    found = F.coalesce("_hot", "_cold")
-    return both.where(found.isNotNull()).select(*rows.columns, *[found[c].alias(c) for c in extra])
+    salts = F.ceil(F.col(size) / limit).cast("int")
+    hot = per_key.where(F.col(size) > limit).select(*keys, salts.alias("_salts"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.col("_salts")).cast("int")
+    marked = marked.withColumn("_salt", F.coalesce(spread, F.lit(0)))
+    repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return marked.join(repeated, [*keys, "_salt"]).select(*rows.columns, *extra)
