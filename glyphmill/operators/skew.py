@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Keys of fewer rows than this never need special care.
-MIN_HOT = 100_000
+# The least number of rows of a hot key.
+MIN_HOT = 2
 
 
 def hot_size(total: int) -> int:
@@ -21,11 +21,10 @@ def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], size: str,
     key is cut into as many salts as it holds limits' worth of rows: its rows are spread over the
     salts and its per-key row is repeated for each. Only the names of the hot keys, fewer than
     1000 by the choice of the limit, are broadcast; the sum of all salts is bounded the same way.
+    The plan is the same at every size. ``per_key`` is read twice: materialise it if it is dear.
     """
     limit = hot_size(total)
     extra = [c for c in per_key.columns if c not in keys]
-    if total <= limit:
-        return rows.join(per_key, keys).select(*rows.columns, *extra)
     salts = F.ceil(F.col(size) / limit).cast("int")
     hot = per_key.where(F.col(size) > limit).select(*keys, salts.alias("_salts"))
     marked = rows.join(F.broadcast(hot), keys, "left")
