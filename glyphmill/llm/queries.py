@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, line_dedup, mixing, rows, sharding
+from glyphmill.llm import chat, host_rules, line_dedup, mixing, rows, sharding, simhash
+from glyphmill.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -65,3 +66,21 @@ def op9_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("_n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"),
         F.sha2(kept, 256).alias("kept_sha256"),
     )
+
+
+@query
+def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    docs = table(spark, sf_dir, "documents")
+    prints = materialize(docs.select("doc_id", simhash.fingerprint(F.col("text")).alias("fp")))
+    grouped = simhash.near_duplicates(prints)
+    return grouped.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts of every document and the verdict with its host (the ``source``) considered."""
+    docs = table(spark, sf_dir, "documents")
+    counted = materialize(docs.select("doc_id", "source", host_rules.count_texts(F.col("text")).alias("c")).select("doc_id", "source", "c.*"))
+    judged = host_rules.judge(counted, "source")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
