@@ -15,7 +15,7 @@ def _to_smallest(pairs: DataFrame, total: int) -> DataFrame:
     return join_by_key(pairs, least, ["u"], "size", total, ["v"])
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(id, root)`` for every id in ``edges``: the smallest id of its component.
 
     Hub ids are handled by the skew-safe join, so a component of any size is spread over tasks.
@@ -23,7 +23,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     current = edges.select(F.greatest(a, b).cast("bigint").alias("u"), F.least(a, b).cast("bigint").alias("v")).where("u <> v").distinct()
     current = materialize(current)
     before = None
-    for _ in range(max_rounds):
+    while True:
         n, mark = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if n == 0 or (n, mark) == before:
             return current.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
@@ -37,4 +37,3 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         small = _to_smallest(large, total)
         linked = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
         current = materialize(linked.where("u <> v").distinct())
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
