@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, host_rules, line_dedup, mixing, rows, sharding, simhash
+from glyphmill.llm import chat, host_rules, line_dedup, mixing, rows, sharding, simhash, toxicity
 from glyphmill.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,24 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = materialize(docs.select("doc_id", "source", host_rules.count_texts(F.col("text")).alias("c")).select("doc_id", "source", "c.*"))
     judged = host_rules.judge(counted, "source")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+
+
+TOXIC_FROM = 0.7
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Fitted on the labels that are not held out."""
+    return toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"))))
+
+
+@query
+def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), toxicity.score(F.col("text"), model, spark).alias("s"))
+    return scored.select("doc_id", "held_out", "s.score", (F.col("s.score") >= TOXIC_FROM).cast("int").alias("predicted"), "s.n_segments")
