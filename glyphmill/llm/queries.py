@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, host_rules, line_dedup, mixing, rows, sharding, simhash, toxicity
+from glyphmill.llm import chat, host_rules, line_dedup, mixing, pieces, rows, sharding, simhash, toxicity
 from glyphmill.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,13 @@ def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), toxicity.score(F.col("text"), model, spark).alias("s"))
     return scored.select("doc_id", "held_out", "s.score", (F.col("s.score") >= TOXIC_FROM).cast("int").alias("predicted"), "s.n_segments")
+
+
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op10_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether they decode to it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, TOKENIZER).select("doc_id", F.size("ids").alias("n_ids"), "ids", "intact")
