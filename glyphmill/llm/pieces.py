@@ -280,7 +280,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
     """
     source = df.drop(ids, intact)
     pieces = Pieces(_read(model_path))
-    schema = StructType(source.schema.fields).add(ids, ArrayType(IntegerType(), False)).add(intact, BooleanType())
+    schema = StructType(list(source.schema.fields)).add(ids, ArrayType(IntegerType(), False)).add(intact, BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,4 +314,4 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "text")
             texts = [None if v.as_py() is None else pieces.decode(v.as_py()) for v in values]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
-    return source.mapInArrow(run, StructType(source.schema.fields).add(text, "string"))
+    return source.mapInArrow(run, StructType(list(source.schema.fields)).add(text, "string"))
