@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, host_rules, line_dedup, mixing, pieces, rows, sharding, simhash, toxicity
+from glyphmill.llm import chat, host_rules, line_dedup, mixing, pieces, rows, sharding, simhash, toxicity, vptree
 from glyphmill.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,14 @@ def op10_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether they decode to it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode(docs, TOKENIZER).select("doc_id", F.size("ids").alias("n_ids"), "ids", "intact")
+
+
+NEAREST, PRUNING = 20, 0.8
+
+
+@query
+def op4_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th, by inner product."""
+    vectors = materialize(vptree.vectors_of(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+    index = vptree.build_index(vectors, NEAREST + 1)
+    return vptree.nearest(index, vectors.where(F.pmod("vec_id", F.lit(20)) == 0), NEAREST, PRUNING)
