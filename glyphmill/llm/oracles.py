@@ -114,3 +114,20 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+# A SHA-1 has 160 bits: 32 characters of five bits each, read from its bit string.
+SQL["op2_seekable_warc"] = f"""
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS bits FROM pages
+),
+named AS (
+  SELECT page_id, payload_bytes,
+         array_to_string(list_transform(range(32), lambda i: substr('{_BASE32}', 1 + list_sum(list_transform(range(5), lambda j: substr(bits, 1 + 5 * i + j, 1)::INT * (16 >> j)))::INT, 1)), '') AS payload_digest
+  FROM hashed
+),
+kept AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM named)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < keeper THEN keeper END AS refers_to
+FROM kept
+"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, host_rules, line_dedup, mixing, pieces, rows, sharding, simhash, toxicity, vptree
-from glyphmill.session import materialize
+from glyphmill.llm import chat, host_rules, line_dedup, mixing, pieces, rows, sharding, simhash, toxicity, vptree, warc
+from glyphmill.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -126,3 +126,11 @@ def op4_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = materialize(vptree.vectors_of(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
     index = vptree.build_index(vectors, NEAREST + 1)
     return vptree.nearest(index, vectors.where(F.pmod("vec_id", F.lit(20)) == 0), NEAREST, PRUNING)
+
+
+@query
+def op2_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to seekable archives in the shared folder and read back from them."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    index = warc.write(pages, scratch_path(spark, "warc"))
+    return warc.read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
