@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.hashing import int31
-from glyphmill.llm.rows import in_order, numbered, running
+from glyphmill.llm.rows import in_order, numbered, row_key, running
 from glyphmill.session import materialize
 
 # Expected copies are whole numbers of 1 / UNIT copies, so that prefix sums are exact.
@@ -87,3 +87,19 @@ def mix(docs: DataFrame, size: Column, order: list[Column], weights: list[int],
     units = F.when(F.col("source_size") > 0, F.floor(F.col("target") * UNIT / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     rates = materialize(targets.withColumn("units", units))
     return systematic(rows, "source", [F.col("size"), *order], rates, seed).drop("units")
+
+
+def mixed_rows(docs: DataFrame, size: Column, weights: list[int], share: float, most: int, seed: int = 0) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it (rows taken no time go), columns unchanged.
+
+    Only ids, sources and sizes are sorted and sampled; texts move once, to meet their copies.
+    """
+    named = docs.withColumn("_row", row_key(docs))
+    slim = named.select("doc_id", "source", "_row", size.alias("size"))
+    mixed = mix(slim, F.col("size"), [F.col("doc_id"), F.col("_row")], weights, share, most, seed)
+    # Equal rows are one row here and their copies are added up.
+    taken = mixed.groupBy("_row", F.col("doc_id").alias("_id")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    taken = taken.withColumnRenamed("_row", "_key")
+    met = named.join(taken, (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    single = met.dropDuplicates(["_row", "doc_id"])
+    return single.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

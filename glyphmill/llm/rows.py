@@ -56,3 +56,9 @@ def words(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def row_key(df: DataFrame) -> Column:
+    """64-bit hash of all columns: with the id, it names a row up to equal rows. Maps are hashed as JSON."""
+    plain = [F.to_json(F.struct(c)) if kind.startswith(("map", "variant")) or "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]
+    return F.xxhash64(*plain)

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.rows import row_key
 from glyphmill.operators.components import components
 from glyphmill.operators.skew import join_by_key
 from glyphmill.session import is_empty, materialize
@@ -191,25 +192,42 @@ def near_links(prints: DataFrame, limit: int = 2, block_rows: int = BLOCK_ROWS)
 
 
 def near_duplicates(prints: DataFrame, limit: int = 2) -> DataFrame:
-    """``prints`` (``doc_id, fp``, any more columns) with ``component_id``: the smallest ``doc_id`` reachable over links.
+    """``prints`` (``doc_id, fp``, any more columns) with ``component_id`` and ``group``.
 
+    ``component_id`` is the smallest ``doc_id`` reachable over links, ``group`` the smallest fingerprint.
     Fingerprints link at ``limit`` or fewer differing bits; equal ones always. Rows without an id
     belong to components like others, and a component without any id has a NULL ``component_id``.
     Copies are never paired: links join distinct fingerprints. An empty table gives an empty table.
     """
-    prints = prints.drop("component_id")
+    prints = prints.drop("component_id", "group")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     links = near_links(distinct, limit)
     roots = materialize(components(links, "a", "b"))
     members = roots.join(distinct, roots["id"] == distinct["fp"]).select("fp", "root", "first")
     lowest = materialize(members.groupBy("root").agg(F.min("first").alias("low"), F.count(F.lit(1)).alias("m")))
     total = lowest.agg(F.sum("m")).first()[0] or 0
-    grouped = join_by_key(members, lowest, ["root"], "m", total, ["fp"]).select("fp", "low")
-    by_print = distinct.join(grouped, "fp", "left").select("fp", "n", F.coalesce("low", "first").alias("component_id"))
+    grouped = join_by_key(members, lowest, ["root"], "m", total, ["fp"]).select("fp", "low", "root")
+    by_print = distinct.join(grouped, "fp", "left").select(
+        "fp", "n", F.coalesce("low", "first").alias("component_id"), F.coalesce("root", "fp").alias("group")
+    )
     by_print = materialize(by_print)
     rows = by_print.agg(F.sum("n")).first()[0] or 0
     return join_by_key(prints, by_print, ["fp"], "n", rows, ["doc_id"]).drop("n")
 
 
+def drop_near_duplicates(docs: DataFrame, limit: int = 2, shingle: int = 3) -> DataFrame:
+    """One row of ``docs`` (``doc_id, text``, any more columns) for each group of near duplicates.
+
+    The row of the smallest ``doc_id`` (NULL first) stays, unchanged; of equal rows one. Texts are
+    read twice, and move once, to meet the few bytes that name the rows to keep.
+    """
+    named = docs.withColumn("_row", row_key(docs))
+    prints = materialize(named.select("doc_id", "_row", fingerprint(F.col("text"), shingle).alias("fp")))
+    keepers = near_duplicates(prints, limit).groupBy("group").agg(F.min(F.struct("doc_id", "_row")).alias("keep"))
+    keys = keepers.select(F.col("keep._row").alias("_row"), F.col("keep.doc_id").alias("_id"))
+    same = (named["_row"] == keys["_row"]) & named["doc_id"].eqNullSafe(keys["_id"])
+    return named.join(keys, same, "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+
+
 def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
