@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.rows import ASCII_SPACE
+from glyphmill.llm.rows import ASCII_SPACE, fresh
 from glyphmill.operators.skew import join_by_key
 from glyphmill.session import materialize
 
@@ -124,10 +124,11 @@ def judge(counted: DataFrame, host: str, max_rate: float = 0.6) -> DataFrame:
     failing = F.lit(False)
     for fails in rules().values():
         failing = failing | fails
-    named = counted.drop("base_failed", "host_rate", "kept").withColumns(
-        {"_host": F.when(F.col(host).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(host))), "_fails": failing, "base_failed": base_failed()}
-    )
-    rates = materialize(host_rates(named, "_host", "_fails"))
-    total = rates.agg(F.sum("n")).first()[0] or 0
-    judged = join_by_key(named, rates.select("_host", "n", "rate"), ["_host"], "n", total, [c for c in ("doc_id",) if c in counted.columns] or ["n_words", "word_chars"])
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rate") <= max_rate)).withColumnRenamed("rate", "host_rate").drop("_host", "_fails", "n")
+    counted = counted.drop("base_failed", "host_rate", "kept")
+    key, failed, size = fresh(counted, "_host", "_fails", "_n")
+    named = counted.withColumns({key: F.when(F.col(host).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(host))), failed: failing, "base_failed": base_failed()})
+    rates = materialize(host_rates(named, key, failed)).select(key, F.col("n").alias(size), F.col("rate").alias("host_rate"))
+    total = rates.agg(F.sum(size)).first()[0] or 0
+    # Copies have equal counts: the id spreads them.
+    judged = join_by_key(named, rates, [key], size, total, ["doc_id"] if "doc_id" in named.columns else COUNTS)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_rate)).drop(key, failed, size)

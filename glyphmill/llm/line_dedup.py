@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.rows import ASCII_SPACE, ascii_lower
+from glyphmill.llm.rows import ASCII_SPACE, ascii_lower, fresh
 from glyphmill.operators.skew import join_by_key
 from glyphmill.session import materialize
 
@@ -82,15 +82,17 @@ def kept_text(text: Column, bits: Column) -> Column:
     return F.array_join(F.filter(lines(text), lambda _, i: stays(i)), "\n")
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``_bits`` and ``_n_dropped`` (NULL where nothing is dropped)."""
-    marked = docs.withColumn("_mark", text_mark(F.col("text")))
-    verdicts = bitmaps.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_m"), F.col("bits").alias("_bits"), F.col("n_dropped").alias("_n_dropped"))
-    return marked.join(verdicts, (F.col("doc_id") == F.col("_id")) & (F.col("_mark") == F.col("_m")), "left").drop("_id", "_m", "_mark")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, bits: str = "_bits", n_dropped: str = "_n_dropped") -> DataFrame:
+    """``docs`` with the columns ``bits`` and ``n_dropped`` (NULL where nothing is dropped)."""
+    mark, own, its = fresh(docs, "_mark", "_id", "_m")
+    marked = docs.withColumn(mark, text_mark(F.col("text")))
+    verdicts = bitmaps.select(F.col("doc_id").alias(own), F.col("mark").alias(its), F.col("bits").alias(bits), F.col("n_dropped").alias(n_dropped))
+    return marked.join(verdicts, (F.col("doc_id") == F.col(own)) & (F.col(mark) == F.col(its)), "left").drop(own, its, mark)
 
 
 def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with the same columns and the shared lines taken out of ``text``; other texts are untouched."""
-    joined = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs))
-    text = F.when(F.col("_bits").isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col("_bits")))
+    bits, n_dropped = fresh(docs, "_bits", "_n_dropped")
+    joined = with_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs), bits, n_dropped)
+    text = F.when(F.col(bits).isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col(bits)))
     return joined.withColumn("text", text).select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.hashing import int31
-from glyphmill.llm.rows import in_order, numbered, row_key, running
+from glyphmill.llm.rows import fresh, in_order, numbered, row_key, running
 from glyphmill.session import materialize
 
 # Expected copies are whole numbers of 1 / UNIT copies, so that prefix sums are exact.
@@ -94,12 +94,12 @@ def mixed_rows(docs: DataFrame, size: Column, weights: list[int], share: float,
 
     Only ids, sources and sizes are sorted and sampled; texts move once, to meet their copies.
     """
-    named = docs.withColumn("_row", row_key(docs))
-    slim = named.select("doc_id", "source", "_row", size.alias("size"))
-    mixed = mix(slim, F.col("size"), [F.col("doc_id"), F.col("_row")], weights, share, most, seed)
+    row, copy, key, own, copies = fresh(docs, "_row", "_copy", "_key", "_id", "_copies")
+    named = docs.withColumn(row, row_key(docs))
+    slim = named.select("doc_id", "source", F.col(row).alias("row"), size.alias("size"))
+    mixed = mix(slim, F.col("size"), [F.col("doc_id"), F.col("row")], weights, share, most, seed)
     # Equal rows are one row here and their copies are added up.
-    taken = mixed.groupBy("_row", F.col("doc_id").alias("_id")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    taken = taken.withColumnRenamed("_row", "_key")
-    met = named.join(taken, (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    single = met.dropDuplicates(["_row", "doc_id"])
-    return single.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = mixed.groupBy(F.col("row").alias(key), F.col("doc_id").alias(own)).agg(F.sum("copies").cast("int").alias(copies))
+    met = named.join(taken.where(F.col(copies) > 0), (F.col(row) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(own)))
+    single = met.dropDuplicates([row, "doc_id"])
+    return single.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

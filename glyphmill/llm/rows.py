@@ -62,3 +62,13 @@ def row_key(df: DataFrame) -> Column:
     """64-bit hash of all columns: with the id, it names a row up to equal rows. Maps are hashed as JSON."""
     plain = [F.to_json(F.struct(c)) if kind.startswith(("map", "variant")) or "map<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]
     return F.xxhash64(*plain)
+
+
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names like ``stems`` that ``df`` does not have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        out.append(stem)
+    return out

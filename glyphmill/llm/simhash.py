@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.rows import row_key
+from glyphmill.llm.rows import fresh, row_key
 from glyphmill.operators.components import components
 from glyphmill.operators.skew import join_by_key
 from glyphmill.session import is_empty, materialize
@@ -212,7 +212,8 @@ def near_duplicates(prints: DataFrame, limit: int = 2) -> DataFrame:
     )
     by_print = materialize(by_print)
     rows = by_print.agg(F.sum("n")).first()[0] or 0
-    return join_by_key(prints, by_print, ["fp"], "n", rows, ["doc_id"]).drop("n")
+    (size,) = fresh(prints, "_n")
+    return join_by_key(prints, by_print.withColumnRenamed("n", size), ["fp"], size, rows, ["doc_id"]).drop(size)
 
 
 def drop_near_duplicates(docs: DataFrame, limit: int = 2, shingle: int = 3) -> DataFrame:
@@ -221,12 +222,13 @@ def drop_near_duplicates(docs: DataFrame, limit: int = 2, shingle: int = 3) -> D
     The row of the smallest ``doc_id`` (NULL first) stays, unchanged; of equal rows one. Texts are
     read twice, and move once, to meet the few bytes that name the rows to keep.
     """
-    named = docs.withColumn("_row", row_key(docs))
-    prints = materialize(named.select("doc_id", "_row", fingerprint(F.col("text"), shingle).alias("fp")))
-    keepers = near_duplicates(prints, limit).groupBy("group").agg(F.min(F.struct("doc_id", "_row")).alias("keep"))
-    keys = keepers.select(F.col("keep._row").alias("_row"), F.col("keep.doc_id").alias("_id"))
-    same = (named["_row"] == keys["_row"]) & named["doc_id"].eqNullSafe(keys["_id"])
-    return named.join(keys, same, "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    (row,) = fresh(docs, "_row")
+    named = docs.withColumn(row, row_key(docs))
+    prints = materialize(named.select("doc_id", F.col(row).alias("row"), fingerprint(F.col("text"), shingle).alias("fp")))
+    keepers = near_duplicates(prints, limit).groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("keep"))
+    keys = keepers.select(F.col("keep.row").alias("_key"), F.col("keep.doc_id").alias("_id"))
+    same = (named[row] == keys["_key"]) & named["doc_id"].eqNullSafe(keys["_id"])
+    return named.join(keys, same, "left_semi").dropDuplicates([row, "doc_id"]).select(*docs.columns)
 
 
 def as_hex(fp: Column) -> Column:
