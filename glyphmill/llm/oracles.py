@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import chat, mixing, queries, sharding
+from glyphmill.llm import chat, host_rules, mixing, queries, sharding
 
 SQL: dict[str, str] = {}
 
@@ -131,3 +131,41 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < keeper THEN '
        CASE WHEN page_id < keeper THEN keeper END AS refers_to
 FROM kept
 """
+
+_N = host_rules.WINDOW
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+SQL["op8_host_rules"] = f"""
+WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - {_N - 2})) AS i FROM docs),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + {_N - 1}], ' ') AS words FROM starts),
+marked AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words) AS n FROM windows),
+repeats AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + {_N})) AS place FROM marked WHERE n > 1) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE trim(line, {_SPACE}) <> '' GROUP BY doc_id
+),
+counted AS (
+  SELECT doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM docs LEFT JOIN lines USING (doc_id) LEFT JOIN repeats r USING (doc_id)
+),
+judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         word_chars / greatest(n_words, 1)::DOUBLE < 3 OR word_chars / greatest(n_words, 1)::DOUBLE > 10 OR n_symbols * 10 > greatest(n_words, 1)
+           OR n_dup_lines * 10 > greatest(n_lines, 1) * 3 AS soft_failed
+  FROM counted
+),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed OR soft_failed)::DOUBLE AS fails FROM judged GROUP BY source),
+mean AS (SELECT sum(fails) / sum(n) AS m, sum(n) AS n, sum(n * n) AS squares, count(*) AS hosts, max(n) AS largest FROM hosts),
+between_hosts AS (
+  SELECT mean.*, m * (1 - m) AS chance,
+         greatest(0, ((SELECT sum(h.n * (h.fails / h.n - m) ** 2) FROM hosts h) - (hosts - 1) * m * (1 - m)) / greatest(n - squares / n, 1e-9)) AS apart FROM mean
+),
+prior AS (
+  SELECT m, least(greatest(CASE WHEN apart > 0 THEN greatest(0, chance / apart - 1) ELSE largest END, 1), greatest(largest, 1)) AS strength FROM between_hosts
+),
+rates AS (SELECT source, (fails + m * strength) / (n + strength) AS rate FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= {queries.MAX_HOST_RATE} AS kept
+FROM judged j JOIN rates r ON j.source IS NOT DISTINCT FROM r.source
+"""

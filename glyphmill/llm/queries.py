@@ -77,13 +77,16 @@ def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+MAX_HOST_RATE = 0.6
+
+
 @query
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts of every document and the verdict with its host (the ``source``) considered."""
     docs = table(spark, sf_dir, "documents")
     counted = materialize(docs.select("doc_id", "source", host_rules.count_texts(F.col("text")).alias("c")).select("doc_id", "source", "c.*"))
-    judged = host_rules.judge(counted, "source")
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    judged = host_rules.judge(counted, "source", MAX_HOST_RATE)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 TOXIC_FROM = 0.7
