@@ -31,6 +31,8 @@ UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 # Stretches whose ids a task remembers, and their longest length.
 REMEMBER, SHORT = 1 << 19, 48
+# Lengths of beginnings whose windows a task remembers.
+HEADS = (4, 8)
 # Boundaries between two looks for a shared boundary.
 LOOK = 64
 
@@ -69,9 +71,9 @@ class Remembered(dict):
     When it is full, its results become the older half; those used again come back from there.
     """
 
-    def __init__(self, fn, longest: int | None = None):
+    def __init__(self, fn, longest: int | None = None, size: int = REMEMBER):
         super().__init__()
-        self.fn, self.longest, self.older = fn, longest, {}
+        self.fn, self.longest, self.size, self.older = fn, longest, size, {}
 
     def __missing__(self, value):
         found = self.older.get(value)
@@ -79,7 +81,7 @@ class Remembered(dict):
             found = self.fn(value)
             if self.longest is not None and len(value) > self.longest:
                 return found
-        if len(self) >= REMEMBER // 2:
+        if len(self) >= self.size // 2:
             self.older = dict(self)
             self.clear()
         self[value] = found
@@ -114,7 +116,13 @@ class Pieces:
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in inside)
         cut = f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
         self.stretch = re.compile("(?s).+" if crossing else cut)
+        spec = _field(model, 3)
+        rules = {k: next(iter(_field(spec[0], k)), default) for k, default in ((2, b""), (3, 1), (4, 1), (5, 1))} if spec else {}
+        # No character map, a space mark first, spaces kept and marked, and line ends in no longer piece.
+        self.plain = rules == {2: b"", 3: 1, 4: 0, 5: 1} and "\n" in alone and not crossing
         self.known = Remembered(self.window, SHORT)
+        self.marked = Remembered(lambda word: self.window(SPACE + word), SHORT)
+        self.heads = Remembered(self._head, size=1 << 16)
         self.apart = Remembered(self._apart)
         self.runs = Remembered(self._run)
         self.sizes = Remembered(self._sizes)
@@ -122,6 +130,7 @@ class Pieces:
         for piece in self.ids:
             if len(piece) > 2:
                 self.tails.setdefault(piece[-3:], set()).add(len(piece))
+        self.line_end = self.window("\n") if self.plain else ()
 
     def __reduce__(self):
         return Pieces, (self.model,)
@@ -187,16 +196,15 @@ class Pieces:
         longer = self.tails.get(tail, ()) if len(tail) == 3 else ()
         return (*sorted(longer, reverse=True), *((2,) if tail[-2:] in self.ids and len(tail) > 1 else ()), 1)
 
-    def steps(self, text: str) -> Iterator[str]:
-        """Pieces (or unknown characters) of one stretch, committed as soon as no path can change them.
+    def _grow(self, text: str, last: list[str], total: list[float], base: int, start: int, stop: int) -> None:
+        """Find the surviving step to each boundary from ``start`` to ``stop``.
 
         ``last`` and ``total`` hold, for the boundaries from ``base`` on, the last piece of the
         surviving path to it and (unigram) its score.
         """
-        n, ids, longest, apart, sizes, score = len(text), self.ids, self.longest, self.apart, self.sizes, self.score
+        ids, apart, sizes, score = self.ids, self.apart, self.sizes, self.score
         by_merges = self.kind == BPE
-        last, total, base, done = [""], [0.0], 0, 0
-        for i in range(1, n + 1):
+        for i in range(start, stop + 1):
             if by_merges:
                 for size in sizes[text[i - 3 : i] if i > 2 else text[:i]]:
                     if size < i:
@@ -220,8 +228,29 @@ class Pieces:
                         step, best = piece, value
                 total.append(best)
             last.append(step)
-            if i < n and i % LOOK:
-                continue
+
+    def _head(self, head: str) -> tuple[list[str], list[float]]:
+        """State of the window after the beginning of a stretch, which does not depend on how it goes on."""
+        if len(head) > HEADS[0]:
+            last, total = map(list, self.heads[head[: HEADS[0]]])
+        else:
+            last, total = [""], [0.0]
+        self._grow(head, last, total, 0, len(last), len(head))
+        return last, total
+
+    def steps(self, text: str) -> Iterator[str]:
+        """Pieces (or unknown characters) of one stretch, committed as soon as no path can change them."""
+        n, longest = len(text), self.longest
+        last, total = [""], [0.0]
+        for size in HEADS:
+            if n > size:
+                last, total = self.heads[text[:size]]
+        last, total, base, done = list(last), list(total), 0, 0
+        i = len(last) - 1
+        while i < n:
+            stop = min(n, i + LOOK)
+            self._grow(text, last, total, base, i + 1, stop)
+            i = stop
             # Boundaries from which a path can go on: those within one piece length, or the end.
             live = set(range(max(done, i - longest + 1), i + 1)) if i < n else {i}
             while len(live) > 1:
@@ -258,7 +287,19 @@ class Pieces:
         """Ids of a text; none for NULL and empty texts."""
         if not text:
             return []
-        return list(chain.from_iterable(map(self.known.__getitem__, self.stretch.findall(self.sp.normalize(text)))))
+        if not self.plain or "  " in text or SPACE in text or text[0] == " " or "\n " in text:
+            return list(chain.from_iterable(map(self.known.__getitem__, self.stretch.findall(self.sp.normalize(text)))))
+        # Single spaces and line ends alone are where the expression above would cut as well.
+        first, *lines = text.split("\n")
+        marked, out = self.marked.__getitem__, []
+        out += chain.from_iterable(map(marked, first.split(" ")))
+        for line in lines:
+            out += self.line_end
+            start, *rest = line.split(" ")
+            if start:
+                out += self.known[start]
+            out += chain.from_iterable(map(marked, rest))
+        return out
 
     def decode(self, ids) -> str:
         """Text of a sequence of ids; the space mark that encoding puts first is taken off."""
