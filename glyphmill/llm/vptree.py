@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from glyphmill.session import materialize
 
 SHARD_ROWS, QUERY_ROWS, LEAF = 2048, 2048, 64
+# Shards are searched in so many families, each by one task for a block of queries.
+FAMILIES = 16
 _SLACK = 1e-9
 
 
@@ -93,8 +95,11 @@ class Tree:
         grow(0, len(points))
         return {"points": points, "ids": ids[held], "first": first, "order": order, "nodes": np.array(nodes), "bounds": np.array(bounds), "top": np.array(top)}
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> np.ndarray:
-        """Places of the best ``k`` distinct vectors of each query (-1: none), best first."""
+    def search(self, queries: np.ndarray, k: int, factor: float, floor: np.ndarray) -> np.ndarray:
+        """Places of the best ``k`` distinct vectors of each query (-1: none), best first.
+
+        What scores below the query's ``floor`` need not be found.
+        """
         n = len(queries)
         scores, found = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
         lengths = np.einsum("ij,ij->i", queries, queries) + self.top
@@ -103,7 +108,7 @@ class Tree:
             return np.sqrt(np.maximum(lengths[who] - 2.0 * score, 0.0))
 
         def reachable(who: np.ndarray, least: np.ndarray) -> np.ndarray:
-            last = scores[who, k - 1]
+            last = np.maximum(scores[who, k - 1], floor[who])
             return who[least <= factor * np.where(np.isneginf(last), np.inf, distance(last, who)) + _SLACK]
 
         def visit(node: int, who: np.ndarray) -> None:
@@ -113,7 +118,7 @@ class Tree:
             if vantage < 0:
                 mine = self.order[start:end]
                 new = queries[who] @ self.points[mine].T
-                better = new.max(axis=1) >= scores[who, k - 1]
+                better = new.max(axis=1) >= np.maximum(scores[who, k - 1], floor[who])
                 who, new = who[better], new[better]
                 both = np.hstack([scores[who], new])
                 places = np.hstack([found[who], np.broadcast_to(mine, new.shape)])
@@ -149,31 +154,54 @@ def _packed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"dim": [rows["dim"].iloc[0]], "block": [rows["block"].iloc[0]], "queries": [blob]})
 
 
-def _searched(k: int, factor: float):
-    def one(tree: Tree, block: dict[str, np.ndarray]) -> pd.DataFrame:
-        own, queries = block["ids"], block["vectors"]
+class Best:
+    """The nearest so far of a block of queries, over the trees that were searched."""
+
+    def __init__(self, block: dict[str, np.ndarray], k: int):
+        self.own, self.queries, self.k = block["ids"], block["vectors"], k
+        self.q, self.ids, self.exact = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.floor = np.full(len(self.own), -np.inf)
+
+    def add(self, tree: Tree, factor: float) -> None:
         # One more than asked for: a query's own vector may be the best place.
-        places = tree.search(queries, k + 1, factor)
+        places = tree.search(self.queries, self.k + 1, factor, self.floor)
         q, col = np.nonzero(places >= 0)
         at = places[q, col]
         # Every id held of the places found, with the exact score of each place.
-        exact = (queries[q] * tree.points[at]).sum(axis=1)
+        exact = (self.queries[q] * tree.points[at]).sum(axis=1)
         sizes = tree.first[at + 1] - tree.first[at]
         row = np.repeat(np.arange(len(at)), sizes)
         within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         ids, q, exact = tree.ids[tree.first[at][row] + within], q[row], exact[row]
-        other = ids != own[q]
-        ids, q, exact = ids[other], q[other], exact[other]
+        other = ids != self.own[q]
+        q, ids, exact = (np.concatenate(x) for x in ((self.q, q[other]), (self.ids, ids[other]), (self.exact, exact[other])))
         sort = np.lexsort((ids, -exact, q))
-        ids, q, exact = ids[sort], q[sort], exact[sort]
+        q, ids, exact = q[sort], ids[sort], exact[sort]
         nth = np.arange(len(q)) - np.searchsorted(q, q)
-        top = nth < k
-        return pd.DataFrame({"query_id": own[q[top]], "vec_id": ids[top], "score": exact[top]})
+        top = nth < self.k
+        self.q, self.ids, self.exact, nth = q[top], ids[top], exact[top], nth[top]
+        full = nth == self.k - 1
+        # Less a little, since the trees add up products in another order.
+        self.floor[self.q[full]] = self.exact[full] - _SLACK * (1.0 + np.abs(self.exact[full]))
+
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": self.own[self.q], "vec_id": self.ids, "score": self.exact})
+
+
+def _searched(k: int, factor: float):
+    """Task function over rows sorted by their key: one result for each block of queries and group of shards."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, best = None, None
         for batch in batches:
-            for tree, queries in zip(batch["tree"], batch["queries"]):
-                yield one(Tree(_unpack(tree)), _unpack(queries))
+            for key, tree, queries in zip(zip(batch["dim"], batch["family"], batch["block"]), batch["tree"], batch["queries"]):
+                if key != at:
+                    if best is not None:
+                        yield best.rows()
+                    at, best = key, Best(_unpack(queries), k)
+                best.add(Tree(_unpack(tree)), factor)
+        if best is not None:
+            yield best.rows()
 
     return run
 
@@ -195,19 +223,21 @@ def build_index(vectors: DataFrame, keep: int, shard_rows: int = SHARD_ROWS) ->
 def nearest(index: DataFrame, queries: DataFrame, k: int, factor: float, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` best of each query over all shards of an index.
 
-    ``queries`` are vectors like those of the index. Blocks of queries meet shards; ``k`` rows per
-    query and shard come back. Ties in score go to the smaller id; a query is not its own neighbour.
+    ``queries`` are vectors like those of the index. Blocks of queries meet families of shards; ``k``
+    rows per query and family come back. Ties in score go to the smaller id; a query is not its own neighbour.
     Vectors of another length are no candidates. With fewer candidates than ``k`` all are
     returned; without queries or candidates nothing is.
     """
     blocks = max(1, -(-queries.count() // query_rows))
     dealt = queries.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int"))
     packed = materialize(dealt.groupBy("dim", "block").applyInPandas(_packed, "dim int, block int, queries binary"))
-    # One key per pair of shard and block, so that the pairs spread over all tasks.
-    pairs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(
-        packed.join(index.select("dim", "shard"), "dim"), ["dim", "shard", "block"]
-    )
-    hits = pairs.select("tree", "queries").mapInPandas(_searched(k, factor), "query_id bigint, vec_id bigint, score double")
+    # A task takes one block of queries through one family of shards, a tree at a time, and returns
+    # k rows a query: the families are a fixed number, so the rows returned follow the queries.
+    keyed = index.withColumn("family", F.pmod("shard", F.lit(FAMILIES))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    spread = packed.withColumn("family", F.explode(F.sequence(F.lit(0), F.lit(FAMILIES - 1))))
+    key = ["dim", "family", "block"]
+    pairs = keyed.join(spread, key).select(*key, "tree", "queries").sortWithinPartitions(*key)
+    hits = pairs.mapInPandas(_searched(k, factor), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
