@@ -17,21 +17,36 @@ from glyphmill.session import is_empty, materialize
 
 # ---------------------------------------------------------------- exact
 
-def first_occurrences(df: DataFrame, text: str, ord_col: str, by: list[str]) -> DataFrame:
-    """``ord`` of the first row of each distinct text per ``by`` group; NULL counts as one text.
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.concat(F.lit("+"), F.col(text)), F.lit("-")), 256))
 
-    Only a digest and ``ord`` are shuffled, and copies collapse before the shuffle.
+
+def later_copies(df: DataFrame, text: str, ord_col: str, by: list[str]) -> DataFrame:
+    """``by.., _digest, ord`` of the rows that are not the first, in ``ord``, of their text; NULL counts as one text.
+
+    Only digests and ``ord`` move; copies are counted before the shuffle, and a text that many
+    rows share is salted. Two equal texts with an equal ``ord`` have no first one: that raises.
     """
-    digest = F.unhex(F.sha2(F.col(text), 256))
-    return (
-        df.select(*by, digest.alias("_digest"), F.col(ord_col).alias("_first"))
-        .groupBy(*by, "_digest").agg(F.min("_first").alias(ord_col)).select(ord_col)
-    )
+    keys = [*by, "_digest"]
+    slim = df.select(*[F.col(c) for c in by], _digest(text).alias("_digest"), F.col(ord_col).alias("_ord"))
+    groups = slim.groupBy(*keys).agg(F.min("_ord").alias("_first"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    groups = materialize(groups)
+    total = groups.agg(F.sum("_size")).first()[0] or 0
+    copies = materialize(join_by_key(slim, groups, keys, "_size", total, ["_ord"]))
+    firsts = copies.where(F.col("_ord") == F.col("_first")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if not is_empty(firsts.where("n > 1")):
+        raise ValueError(f"{ord_col} is not unique: equal texts share one")
+    return copies.where(F.col("_ord") > F.col("_first")).select(*keys, "_ord")
 
 
 def drop_exact(df: DataFrame, text: str = "text", ord_col: str = "ord", by: list[str] | None = None) -> DataFrame:
-    """Keep the first row, in ``ord``, of each distinct text per ``by`` group."""
-    return df.join(first_occurrences(df, text, ord_col, by or []), ord_col, "left_semi").select(*df.columns)
+    """Keep the first row, in ``ord``, of each distinct text per ``by`` group.
+
+    The rows to drop are few, so they are what is joined. ``by`` columns and ``ord`` hold no NULLs.
+    """
+    by = by or []
+    gone = later_copies(df, text, ord_col, by).withColumnRenamed("_ord", ord_col)
+    return df.withColumn("_digest", _digest(text)).join(gone, [*by, "_digest", ord_col], "left_anti").select(*df.columns)
 
 
 def source_overlap(df: DataFrame, text: str, source: str) -> DataFrame:
@@ -117,10 +132,10 @@ def signatures(
 
 
 def band_keys(signature: Column, bands: int, rows: int) -> Column:
-    """Array of ``(band, key)``; the key holds the band's signature slice, so it is exact."""
+    """Array of ``(band, key)``; the key is the 16-byte digest of the band's signature slice."""
     return F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
-        lambda i: F.struct(i.alias("band"), F.array_join(F.slice(signature, i * rows + 1, rows), ",").alias("key")),
+        lambda i: F.struct(i.alias("band"), F.unhex(F.md5(F.array_join(F.slice(signature, i * rows + 1, rows), ","))).alias("key")),
     )
 
 
@@ -159,7 +174,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def verified_links(df: DataFrame, links: DataFrame, text: str, ord_col: str, n: int = 3) -> DataFrame:
     """True Jaccard similarity of each link's two texts."""
-    sets = df.select(F.col(ord_col).alias("ord"), tx.shingles(F.col(text), n).alias("_s"))
+    ids = materialize(links.select("ord").unionByName(links.select(F.col("leader").alias("ord"))).distinct())
+    linked = df.withColumnRenamed(ord_col, "ord").join(ids, "ord", "left_semi")
+    # Sorted-set work on 64-bit hashes instead of the shingles themselves.
+    sets = linked.select("ord", F.transform(tx.shingles(F.col(text), n), lambda x: F.xxhash64(x)).alias("_s"))
     left = links.join(sets.withColumnRenamed("_s", "_a"), "ord")
     # The first row of a large bucket is the leader of many links.
     sizes = links.groupBy("leader").agg(F.count(F.lit(1)).alias("_n"))
@@ -170,7 +188,7 @@ def verified_links(df: DataFrame, links: DataFrame, text: str, ord_col: str, n:
 
 # ---------------------------------------------------------------- greedy keep-first over buckets
 
-def greedy_dropped(bands: DataFrame, keys: list[str], max_rounds: int = 200) -> DataFrame:
+def greedy_dropped(bands: DataFrame, keys: list[str]) -> DataFrame:
     """``ord`` of the rows that a sequential pass would drop.
 
     A pass in ``ord`` keeps a row unless it shares a bucket with a kept earlier row. That is the
@@ -185,9 +203,8 @@ def greedy_dropped(bands: DataFrame, keys: list[str], max_rounds: int = 200) ->
     per_row = shared.groupBy("ord").agg(F.count(F.lit(1)).alias("n_buckets"))
     open_rows = materialize(shared.join(per_row, "ord"))
     dropped = []
-    for _ in range(max_rounds):
-        if is_empty(open_rows):
-            return _union(dropped, bands)
+    # Every round decides at least the first open row.
+    while not is_empty(open_rows):
         firsts = open_rows.groupBy(*keys).agg(
             F.min(F.struct("ord", "n_buckets")).alias("_first"), F.count(F.lit(1)).alias("size")
         ).select(*keys, F.col("_first.ord").alias("leader"), F.col("_first.n_buckets").alias("need"), "size")
@@ -198,7 +215,7 @@ def greedy_dropped(bands: DataFrame, keys: list[str], max_rounds: int = 200) ->
         decided = materialize(hit.groupBy("ord").agg(F.max(F.col("ord") != F.col("leader")).alias("is_drop")))
         dropped.append(decided.where("is_drop").select("ord"))
         open_rows = materialize(open_rows.join(decided.select("ord"), "ord", "left_anti"))
-    raise RuntimeError(f"near-duplicate rounds did not finish in {max_rounds}")
+    return _union(dropped, bands)
 
 
 def _union(parts: list[DataFrame], bands: DataFrame) -> DataFrame:

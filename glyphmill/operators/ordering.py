@@ -6,36 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.hashing import draw
+from glyphmill.operators.skew import join_by_key
+from glyphmill.session import materialize
 
 # A draw has 31 bits; its top 16 bits name one of 65,536 equally filled buckets.
 _BUCKET_SHIFT = 15
 
 
-def row_index(df: DataFrame, order: str, by: list[str] | None = None, name: str = "row_idx", buckets: int | None = None) -> DataFrame:
-    """Add the 0-based position of each row in ``order`` (a unique number), per ``by`` group.
+def in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order``, with its chunk ``_part`` and place ``_at`` in it.
 
-    Rows are cut into value ranges at approximate quantiles that are fixed before the plan is
-    built. Each range is numbered on its own and shifted by the rows of the ranges before it,
-    so one large group is spread over all ranges. The result does not depend on where the cuts are.
+    The rows are written once (checkpoint), so a chunk holds the same rows in every later read.
+    The chunks follow each other in the given order; an equal run of keys can span several.
     """
-    by = by or []
-    spark = df.sparkSession
-    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.select(F.percentile_approx(F.col(order), shares, 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    ranged = df.withColumn("_range", F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<bigint>"), lambda c: c < F.col(order))))
-    sizes = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    # At most ``buckets`` rows per group: the offsets table is bounded by construction.
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*by, "_range").orderBy(order)
-    numbered = ranged.withColumn("_rn", F.row_number().over(inside).cast("bigint") - 1)
-    return (
-        numbered.join(F.broadcast(offsets) if not by else offsets, [*by, "_range"])
-        .withColumn(name, F.col("_rn") + F.col("_before"))
-        .drop("_range", "_rn", "_before")
-    )
+    mark = F.monotonically_increasing_id()
+    placed = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mark", mark))
+    # The mark holds the partition above bit 33 and the row within it below.
+    return placed.withColumns({"_part": F.shiftright("_mark", 33).cast("int"), "_at": F.col("_mark").bitwiseAND(F.lit(2**33 - 1))}).drop("_mark")
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "row_no") -> DataFrame:
+    """Add each row's 0-based position in the global ``order``; no task sees all rows."""
+    placed = in_order(df, *order)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition of the range exchange: bounded by spark.sql.shuffle.partitions.
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def row_index(df: DataFrame, order: str, by: list[str] | None = None, name: str = "row_idx") -> DataFrame:
+    """Add the 0-based position of each row in ``order`` (unique), per ``by`` group.
+
+    Rows are numbered over all groups and shifted by the first number of their group, so one large
+    group is spread over all partitions. Give key columns only and join the payload afterwards.
+    """
+    if not by:
+        return numbered(df, F.col(order), name=name)
+    rows = numbered(df, *[F.col(c) for c in by], F.col(order), name="_row_no")
+    groups = materialize(rows.groupBy(*by).agg(F.min("_row_no").alias("_first"), F.count(F.lit(1)).alias("_size")))
+    total = groups.agg(F.sum("_size")).first()[0] or 0
+    joined = join_by_key(rows, groups, by, "_size", total, ["_row_no"])
+    return joined.withColumn(name, F.col("_row_no") - F.col("_first")).drop("_row_no", "_first", "_size")
 
 
 def first_drawn(df: DataFrame, id_col: str, n: Column | int, seed: int) -> Column:

@@ -7,8 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphmill.functions import text as tx
+from glyphmill.operators.ordering import numbered
 from glyphmill.operators.schema import require_columns
 
 BATCH_ROWS = 1000
@@ -18,8 +20,8 @@ BATCH_ROWS = 1000
 class SourceSpec:
     """How to stack one table.
 
-    ``row_key`` orders the rows (a dense row number first, where a source has several text
-    columns); every other column that is not metadata is text.
+    ``row_key`` names and orders the rows (whole numbers, texts, dates, booleans or nested ones);
+    every other column that is not metadata is text.
     """
 
     name: str
@@ -44,6 +46,23 @@ def metadata_map(names: list[str]) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[tx.as_text(F.col(f"`{n}`")) for n in names]))
 
 
+def sort_text(value: Column, kind: T.DataType) -> Column:
+    """Text that sorts like ``value``: any number of keys of any of these kinds then make one key. NULL comes first."""
+    if isinstance(kind, T.StructType):
+        body = F.concat(F.lit(""), *[sort_text(value[f.name], f.dataType) for f in kind.fields])
+    elif isinstance(kind, T.ArrayType):
+        body = F.concat(F.array_join(F.transform(value, lambda x: F.concat(F.lit("+"), sort_text(x, kind.elementType))), ""), F.lit(" "))
+    elif isinstance(kind, T.IntegralType):
+        # Shifted so that negative numbers sort as text as well.
+        body = F.lpad((value.cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    elif isinstance(kind, (T.StringType, T.DateType, T.TimestampType, T.BooleanType)):
+        # Shorter texts come before longer ones that begin with them.
+        body = F.concat(value.cast("string"), F.lit("\0"))
+    else:
+        raise ValueError(f"a row key cannot be of type {kind.simpleString()}")
+    return F.when(value.isNull(), "0").otherwise(F.concat(F.lit("1"), body))
+
+
 def stack_source(spec: SourceSpec, source_no: int = 0, keep_map: bool = False) -> DataFrame:
     """Rows ``(split, text, dataset_source, metadata, ord)``, one per input row and text column.
 
@@ -56,26 +75,27 @@ def stack_source(spec: SourceSpec, source_no: int = 0, keep_map: bool = False) -
     texts = spec.text_columns or [c for c in df.columns if c not in aside]
     if not texts:
         raise ValueError(f"source {spec.name} has no text column")
-    keys = [F.col(f"`{k}`").cast("bigint") for k in spec.row_key[:2]]
-    keys += [F.lit(0).cast("bigint")] * (2 - len(keys))
-    # One text column: order by row alone. Several: columns alternate per batch of rows.
-    batch = F.floor(keys[0] / BATCH_ROWS) if len(texts) > 1 else F.lit(0).cast("bigint")
+    key = F.concat(*[sort_text(F.col(f"`{k}`"), df.schema[k].dataType) for k in spec.row_key])
+    batch = F.lit(0).cast("bigint")
+    if len(texts) > 1:
+        # Several text columns alternate per batch of rows, counted in the order of the keys.
+        df = numbered(df.withColumn("_key", key), F.col("_key"), name="_row_no")
+        key, batch = F.col("_key"), F.expr(f"_row_no div {BATCH_ROWS}")
     wide = df.select(
         F.coalesce(F.col("split"), F.lit("train")).alias("_split") if "split" in df.columns else F.lit("train").alias("_split"),
         source_label(spec).alias("_source"),
         (metadata_map(spec.metadata) if keep_map else tx.render_map(spec.metadata)).alias("_metadata"),
-        batch.alias("_batch"), keys[0].alias("_k1"), keys[1].alias("_k2"),
+        batch.alias("_batch"), key.alias("_key"),
         *[F.col(f"`{c}`").cast("string").alias(f"_t{i}") for i, c in enumerate(texts)],
     )
     if len(texts) == 1:
         long = wide.withColumnRenamed("_t0", "text").withColumn("_col", F.lit(0))
     else:
         long = wide.unpivot(
-            ["_split", "_source", "_metadata", "_batch", "_k1", "_k2"], [f"_t{i}" for i in range(len(texts))], "_name", "text"
+            ["_split", "_source", "_metadata", "_batch", "_key"], [f"_t{i}" for i in range(len(texts))], "_name", "text"
         ).withColumn("_col", F.substring("_name", 3, 10).cast("int"))
     place = F.struct(
-        F.lit(source_no).alias("source_no"), F.col("_batch").alias("batch"), F.col("_col").alias("col"),
-        F.col("_k1").alias("k1"), F.col("_k2").alias("k2"),
+        F.lit(source_no).alias("source_no"), F.col("_batch").alias("batch"), F.col("_col").alias("col"), F.col("_key").alias("key")
     )
     return long.select(
         F.col("_split").alias("split"), "text", F.col("_source").alias("dataset_source"),

@@ -9,6 +9,29 @@ from glyphmill.functions import text as tx
 from glyphmill.operators import dedup, stacking
 
 
+def after_new(published: DataFrame, source_no: int) -> DataFrame:
+    """A published corpus with an ``ord`` behind all new sources, in its own order.
+
+    Its own ``ord``, of any type, is kept as the key within the corpus. Without one, rows go by their
+    text's digest, and rows with equal split and text are reduced to the least one.
+    """
+    if "split" not in published.columns:
+        published = published.withColumn("split", F.lit("train"))
+    if "ord" in published.columns:
+        key = stacking.sort_text(F.col("ord"), published.schema["ord"].dataType)
+    else:
+        others = [c for c in published.columns if c not in ("split", "text")]
+        if others:
+            published = published.groupBy("split", "text").agg(F.min(F.struct(*others)).alias("_row")).select("split", "text", "_row.*")
+        else:
+            published = published.distinct()
+        key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    place = F.struct(
+        F.lit(source_no).alias("source_no"), F.lit(0).cast("bigint").alias("batch"), F.lit(0).alias("col"), key.alias("key")
+    )
+    return published.withColumn("ord", place)
+
+
 def assemble(new: list[stacking.SourceSpec], published: DataFrame | None = None, max_tokens: int | None = None) -> DataFrame:
     """The deduplicated corpus with token and word counts.
 
@@ -16,7 +39,8 @@ def assemble(new: list[stacking.SourceSpec], published: DataFrame | None = None,
     """
     stacked = stacking.combine_sources(new)
     if published is not None:
-        stacked = stacking.concat_splits(stacked, published)
+        counts = [c for c in ("token_count", "word_count") if c in published.columns]
+        stacked = stacking.concat_splits(stacked, after_new(published.drop(*counts), len(new)))
     kept = dedup.drop_exact(stacked.where(tx.not_blank(F.col("text"))), "text", "ord", by=["split"])
     return kept.withColumn("token_count", tx.token_count(F.col("text"), max_tokens)).withColumn(
         "word_count", tx.word_count(F.col("text"))

@@ -328,3 +328,21 @@ def corpus_assembly(spark: SparkSession, sf: str) -> DataFrame:
     WHERE rn = 1""")
 def assembled_rows(spark: SparkSession, sf: str) -> DataFrame:
     return assembly.assemble(corpus_sources(spark, sf)).drop("ord")
+
+
+@query("assemble_published", f"""
+    WITH stacked AS (
+      SELECT 'train' AS split, text, 'benchmark' AS dataset_source, 0 AS s, item_id AS k FROM benchmark
+      UNION ALL SELECT {SPLIT}, text, source, 1, doc_id FROM documents
+      UNION ALL SELECT {SPLIT}, text, 'release', 2, doc_id FROM documents
+      UNION ALL SELECT 'train', text, 'release', 2, conv_id * 1000 + turn FROM conversations)
+    SELECT split, text, dataset_source FROM (
+      SELECT *, row_number() OVER (PARTITION BY split, text ORDER BY s, k) AS rn FROM stacked WHERE {sql_not_blank('text')}) WHERE rn = 1""")
+def assemble_published(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark and documents added to a release that holds the documents already, and conversations besides."""
+    release = documents(spark, sf).select("split", "text", F.lit("release").alias("dataset_source"), F.struct(F.lit("d").alias("t"), F.col("doc_id").alias("k")).alias("ord"))
+    talks = table(spark, sf, "conversations").select(
+        F.lit("train").alias("split"), "text", F.lit("release").alias("dataset_source"),
+        F.struct(F.lit("c").alias("t"), (F.col("conv_id") * 1000 + F.col("turn")).alias("k")).alias("ord"),
+    )
+    return assembly.assemble(corpus_sources(spark, sf)[:2], release.unionByName(talks)).select("split", "text", "dataset_source")
