@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.hashing import int31
-from glyphmill.llm.rows import fresh, in_order, numbered, row_key, running
+from glyphmill.llm.rows import fresh, row_key, running
+from glyphmill.operators.ordering import in_order, numbered
 from glyphmill.session import materialize
 
 # Expected copies are whole numbers of 1 / UNIT copies, so that prefix sums are exact.

@@ -1,40 +1,17 @@
-"""Global row numbers without a task that sees all rows, and a few expressions shared by the operators."""
+"""Running totals in a global order, and a few expressions shared by the operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.session import materialize
+from glyphmill.operators.ordering import in_order
 
 # The ASCII white space that separates words, and a run of anything else.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def in_order(df: DataFrame, *order: Column) -> DataFrame:
-    """``df`` range-partitioned and sorted by ``order``, with its chunk ``_part`` and place ``_at`` in it.
-
-    The rows are written once (checkpoint), so a chunk holds the same rows in every later read.
-    The chunks follow each other in the given order; an equal run of keys can span several.
-    """
-    mark = F.monotonically_increasing_id()
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mark", mark)
-    placed = materialize(placed)
-    inside = F.lit(2**33 - 1)
-    return placed.withColumns({"_part": F.shiftright("_mark", 33).cast("int"), "_at": F.col("_mark").bitwiseAND(inside)}).drop("_mark")
-
-
-def numbered(df: DataFrame, *order: Column, name: str = "row_no") -> DataFrame:
-    """Add each row's 0-based position in the global ``order``."""
-    placed = in_order(df, *order)
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition of the range exchange: bounded by spark.sql.shuffle.partitions.
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
-
-
 def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
     """Add exclusive running totals of the columns ``sums`` (new name -> column) in the global ``order``."""
     placed = in_order(df, *order)

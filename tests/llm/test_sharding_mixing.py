@@ -6,6 +6,7 @@ from helpers import as_set, docs_frame, make_docs
 from pyspark.sql import functions as F
 
 from glyphmill.llm import mixing, rows, sharding
+from glyphmill.operators import ordering
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
@@ -52,7 +53,7 @@ def test_numbers_and_running_totals(spark):
     df = spark.createDataFrame([(i % 7, i) for i in range(300)], "k int, v int").repartition(9)
     order = [F.col("k"), F.col("v")]
     want = sorted((i % 7, i) for i in range(300))
-    got = {(r.k, r.v): r.row_no for r in rows.numbered(df, *order).collect()}
+    got = {(r.k, r.v): r.row_no for r in ordering.numbered(df, *order).collect()}
     assert got == {kv: n for n, kv in enumerate(want)}
     total, sums = 0, {}
     for k, v in want:
