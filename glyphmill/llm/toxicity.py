@@ -137,19 +137,28 @@ def _spread(strength: np.ndarray) -> np.ndarray:
     return np.log1p(np.maximum(strength, -0.9))
 
 
-def feature_weights(counts: pd.DataFrame, prior: float, least_z: float) -> dict[int, float]:
+def feature_weights(counts: DataFrame, prior: float, least_z: float) -> dict[int, float]:
     """Log-odds of the features that are surely more frequent in toxic texts.
 
     ``counts`` has ``bucket, toxic, clean`` document counts. The Dirichlet prior of a feature is
     ``prior`` times its count in both classes, which pulls rare features to no difference; a feature
-    counts if its log-odds are above ``least_z`` of their standard deviations.
+    counts if its log-odds are above ``least_z`` of their standard deviations. Only those features,
+    at most ``BUCKETS``, come to the driver.
     """
-    toxic, clean = counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)
-    alpha = prior * (toxic + clean)
-    odds = lambda c: np.log(c + alpha) - np.log(np.maximum((c + alpha).sum() - c - alpha, 1e-12))
-    delta = odds(toxic) - odds(clean)
-    sure = delta > least_z * np.sqrt(1.0 / (toxic + alpha) + 1.0 / (clean + alpha))
-    return dict(zip(counts["bucket"][sure].tolist(), delta[sure].tolist()))
+    sums = counts.agg(F.sum("toxic"), F.sum("clean")).first()
+    toxic, clean = (float(x or 0) for x in sums)
+    if not toxic or not clean:
+        return {}
+    alpha, all_alpha = F.lit(prior) * (F.col("toxic") + F.col("clean")), prior * (toxic + clean)
+
+    def odds(count: Column, total: float) -> Column:
+        held = count + alpha
+        return F.log(held) - F.log(F.greatest(F.lit(total + all_alpha) - held, F.lit(1e-12)))
+
+    spread = F.sqrt(F.lit(1.0) / (F.col("toxic") + alpha) + F.lit(1.0) / (F.col("clean") + alpha))
+    scored = counts.select("bucket", (odds(F.col("toxic"), toxic) - odds(F.col("clean"), clean)).alias("delta"), spread.alias("spread"))
+    sure = scored.where(F.col("delta") > least_z * F.col("spread")).select("bucket", "delta")
+    return {r.bucket: r.delta for r in sure.toLocalIterator()}
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -196,39 +205,37 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, prior: float =
     # One row for each labelled text at most: bounded like the sample itself.
     chosen = texts.join(F.broadcast(single), "doc_id", "left_semi")
     partial = chosen.select("text", "toxic").mapInPandas(_counted, "bucket bigint, toxic bigint, clean bigint")
-    # At most BUCKETS rows.
-    counts = partial.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
-    if not len(counts) or not counts["toxic"].sum() or not counts["clean"].sum():
-        return Model({}, penalty, offset=-3.0)
-    return calibrate(Model(feature_weights(counts, prior, least_z), penalty), texts)
+    counts = materialize(partial.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    weights = feature_weights(counts, prior, least_z)
+    return calibrate(Model(weights, penalty), texts) if weights else Model({}, penalty, offset=-3.0)
 
 
 def calibrate(model: Model, texts: DataFrame) -> Model:
     """Fit the extreme-value law on the clean texts, then the map from strength to probability on all."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
-    def tops_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = shared.value.scorer()
         for batch in batches:
-            found = [sorted((x for _, _, x in segments(score(words_of(t)))), reverse=True) for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "n": [len(words_of(t)) for t in batch["text"]], "found": found})
-
-    tops = texts.select("text", "toxic").mapInPandas(tops_of, "toxic int, n bigint, found array<double>").toPandas()
-    clean = tops[(tops["toxic"] == 0) & (tops["n"] > 0)]
-    best = np.array([f[0] if len(f) else 0.0 for f in clean["found"]])
+            words = [words_of(t) for t in batch["text"]]
+            found = [[x for _, _, x in segments(score(w))] for w in words]
+            yield pd.DataFrame({"toxic": batch["toxic"], "n": list(map(len, words)), "found": found})
+
+    held = materialize(texts.select("text", "toxic").mapInPandas(found_in, "toxic int, n bigint, found array<double>"))
+    best = F.coalesce(F.array_max("found"), F.lit(0.0))
+    clean = held.where((F.col("toxic") == 0) & (F.col("n") > 0))
+    spread, mean, size = clean.agg(F.stddev_pop(best), F.avg(best), F.avg(F.log("n"))).first()
     # Gumbel by moments on the score left after the length's share; a least spread keeps the law defined
     # where clean texts hold no positive word.
-    spread = max(float(best.std()) if len(best) else 0.0, 0.25)
-    decay = math.pi / (spread * math.sqrt(6.0))
-    mode = float((best - np.log(np.maximum(clean["n"].to_numpy(), 1)) / decay).mean()) - 0.5772 / decay if len(best) else 0.0
-    law = Model(model.weights, model.penalty, decay, math.exp(decay * mode))
-    points = []
-    for found, n in zip(tops["found"], tops["n"]):
-        over = [decay * x - math.log(law.scale * n + 1.0) for x in found]
-        above = [x for x in over if x > 0]
-        points.append(sum(above) if above else max(over, default=-1.0))
-    slope, offset = _logistic(_spread(np.array(points)), tops["toxic"].to_numpy(float))
-    return Model(model.weights, model.penalty, law.decay, law.scale, slope, offset)
+    decay = math.pi / (max(spread or 0.0, 0.25) * math.sqrt(6.0))
+    scale = math.exp(decay * (mean or 0.0) - (size or 0.0) - 0.5772)
+    over = F.transform("found", lambda x: F.lit(decay) * x - F.log(F.lit(scale) * F.col("n") + 1.0))
+    above = F.aggregate(over, F.lit(0.0), lambda total, x: total + F.greatest(x, F.lit(0.0)))
+    strength = F.when(above > 0, above).otherwise(F.coalesce(F.array_max(over), F.lit(-1.0)))
+    # Two numbers for each labelled text of the bounded sample.
+    points = held.select("toxic", strength.alias("x")).toPandas()
+    slope, offset = _logistic(_spread(points["x"].to_numpy()), points["toxic"].to_numpy(float))
+    return Model(model.weights, model.penalty, decay, scale, slope, offset)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
