@@ -41,6 +41,8 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     hashed = keyed.where(F.length("key") >= min_chars).select(
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "mark", "pos"
     )
+    # Range bounds are sampled before rows are dealt: written once, the texts are not split twice.
+    hashed = materialize(hashed)
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("mark")]
     ordered = hashed.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
     return ordered.groupBy("h1", "h2", "doc_id", "mark").agg(F.collect_list("pos").alias("at"))
