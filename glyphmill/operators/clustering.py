@@ -6,6 +6,7 @@ import itertools
 import math
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -119,7 +120,7 @@ def _boxes(grid: _Grid, core: DataFrame, level: int) -> DataFrame:
 _FEW = 16
 
 
-def _linked_cells(grid: _Grid, core: DataFrame, max_levels: int = 50) -> DataFrame:
+def _linked_cells(grid: _Grid, core: DataFrame) -> DataFrame:
     """Pairs of neighbouring core cells with two core points within eps of each other.
 
     Two cells of few points are compared directly. For fuller cells, pairs of boxes are settled by
@@ -145,7 +146,7 @@ def _linked_cells(grid: _Grid, core: DataFrame, max_levels: int = 50) -> DataFra
     if is_empty(open_cells):
         return links[0]
     open_pairs = open_cells.select("a", "b", *[F.lit(0).alias(f"{s}{i}") for s in ("ua", "ub") for i in range(k)])
-    for level in range(max_levels):
+    for level in count():
         boxes = _boxes(grid, core, level)
 
         def side(name: str) -> DataFrame:
@@ -171,7 +172,6 @@ def _linked_cells(grid: _Grid, core: DataFrame, max_levels: int = 50) -> DataFra
         open_pairs = left_open.select("a", "b", *[F.col(f"b{s}{i}").alias(f"u{s}{i}") for s in ("a", "b") for i in range(k)])
         if is_empty(open_pairs):
             return reduce(DataFrame.unionByName, links)
-    raise RuntimeError("cell links were not settled; the coordinates need rescaling")
 
 
 def dbscan(points: DataFrame, id_col: str, dims: list[str], eps: float = 0.08, min_samples: int = 50) -> DataFrame:

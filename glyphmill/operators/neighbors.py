@@ -25,26 +25,44 @@ def _small_matrix(df: DataFrame, id_col: str, vec: str, limit_bytes: int) -> tup
     return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
 
 
-def _distances(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Squared L2 distances by differences, one query at a time (no cancellation near zero)."""
-    return np.stack([np.square(v - row).sum(axis=1) for row in q]) if len(q) else np.empty((0, len(v)))
+# Queries and rows of one tile of distances.
+TILE = (512, 4096)
 
 
 class _Best:
-    """Running k best per query."""
-
-    def __init__(self, n: int, k: int) -> None:
-        self.k, self.dist, self.ids = k, np.empty((n, 0)), np.empty((n, 0), dtype=np.int64)
-
-    def add(self, d: np.ndarray, ids: np.ndarray) -> None:
-        dist = np.concatenate([self.dist, d], axis=1)
-        every = np.concatenate([self.ids, np.broadcast_to(ids, d.shape)], axis=1)
-        order = np.lexsort((every, dist), axis=1)[:, : self.k]
-        self.dist, self.ids = np.take_along_axis(dist, order, 1), np.take_along_axis(every, order, 1)
-
-    def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
-        n, m = self.dist.shape
-        return pd.DataFrame({"query_id": np.repeat(query_ids, m), "id": self.ids.ravel(), "distance": self.dist.ravel()})
+    """Running k best per query over tiles of rows."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.names, self.queries, self.k = query_ids, queries, k
+        self.q, self.ids, self.dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        for start in range(0, len(rows), TILE[1]):
+            tile, tile_ids = rows[start : start + TILE[1]], ids[start : start + TILE[1]]
+            for at in range(0, len(self.queries), TILE[0]):
+                q, r = self._close(self.queries[at : at + TILE[0]], tile)
+                # Differences, not products: no cancellation near zero.
+                exact = np.square(tile[r] - self.queries[at + q]).sum(axis=1)
+                self.q, self.ids, self.dist = np.r_[self.q, at + q], np.r_[self.ids, tile_ids[r]], np.r_[self.dist, exact]
+            self._cut()
+
+    def _close(self, queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that can be among the k best of the tile, by a matrix product with a margin for its rounding."""
+        far = np.square(rows).sum(axis=1) - 2.0 * queries @ rows.T
+        if len(rows) <= self.k:
+            return tuple(x.ravel() for x in np.indices(far.shape))
+        margin = 1e-9 * (1.0 + np.square(queries).sum(axis=1) + np.square(rows).sum(axis=1).max())
+        limit = np.partition(far, self.k - 1, axis=1)[:, self.k - 1] + margin
+        return np.nonzero(far <= limit[:, None])
+
+    def _cut(self) -> None:
+        order = np.lexsort((self.ids, self.dist, self.q))
+        q = self.q[order]
+        best = order[np.arange(len(q)) - np.searchsorted(q, q) < self.k]
+        self.q, self.ids, self.dist = self.q[best], self.ids[best], self.dist[best]
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": self.names[self.q], "id": self.ids, "distance": self.dist})
 
 
 _PART = "query_id bigint, id bigint, distance double"
@@ -67,12 +85,12 @@ def knn(
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, matrix = shared.value
-            best = _Best(len(ids), k)
+            best = _Best(ids, matrix, k)
             for pdf in batches:
                 if len(pdf) and len(ids):
-                    best.add(_distances(matrix, np.stack(pdf["v"].to_numpy())), pdf["id"].to_numpy())
-            if best.dist.shape[1]:
-                yield best.frame(ids)
+                    best.add(pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy()))
+            if len(best.q):
+                yield best.frame()
 
         part = b.mapInPandas(scan, _PART)
     else:
@@ -127,9 +145,9 @@ def block_pairs(left: DataFrame, right: DataFrame, tile: Callable[..., pd.DataFr
 
 def _knn_blocks(b: DataFrame, q: DataFrame, k: int) -> DataFrame:
     def tile(q_ids, q_vecs, _q, b_ids, b_vecs, _b):
-        best = _Best(len(q_ids), k)
-        best.add(_distances(q_vecs, b_vecs), b_ids)
-        return best.frame(q_ids)
+        best = _Best(q_ids, q_vecs, k)
+        best.add(b_ids, b_vecs)
+        return best.frame()
 
     return block_pairs(packed(q, "query_id", "v", "a"), packed(b, "id", "v", "b"), tile, _PART)
 

@@ -38,12 +38,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table for CPU-heavy queries, on all cores even when its file is one split."""
-    return spread(table(spark, sf_dir, name), key)
+    """A table as it is scanned, or dealt to as many tasks as ``spark.glyphmill.spread`` asks for."""
+    return spread(table(spark, sf_dir, name), key, int(spark.conf.get("spark.glyphmill.spread", "0")))
 
 
 def spread_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
+    slim = table(spark, sf_dir, "documents").select("doc_id", *columns)
+    return spread(slim, "doc_id", int(spark.conf.get("spark.glyphmill.spread", "0")))
 
 
 # SQL fragments with the same text classes as functions/text.py.

@@ -12,36 +12,39 @@ from glyphmill.plans.registry import query, spread_documents, sql_draw, sql_runs
 from glyphmill.plans.text_queries import CENTRALITY, _NETWORK, _sql_mask, word_network
 from glyphmill.session import materialize
 
-VOCAB, LENGTH = 1000, 32
+# Length limits of the masked and of the causal models.
+VOCAB, MASKED, CAUSAL = 1000, 512, 2048
 
-_VOCAB = f"""
+
+def _vocab(length: int) -> str:
+    return f"""
     d AS (SELECT doc_id, {sql_tokens('text')} AS w FROM documents),
     vocab AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) + 4 AS id FROM
               (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM d) GROUP BY word ORDER BY n DESC, word LIMIT {VOCAB})),
-    tok AS (SELECT doc_id, unnest(w[1:{LENGTH - 2}]) AS word, generate_subscripts(w[1:{LENGTH - 2}], 1) AS pos FROM d),
+    tok AS (SELECT doc_id, unnest(w[1:{length - 2}]) AS word, generate_subscripts(w[1:{length - 2}], 1) AS pos FROM d),
     ids AS (SELECT doc_id, list(coalesce(id, 1) ORDER BY pos) AS ids FROM tok LEFT JOIN vocab USING (word) GROUP BY doc_id),
     seq AS (SELECT d.doc_id, list_concat(list_concat([2], coalesce(ids, [])), [3]) AS s FROM d LEFT JOIN ids ON ids.doc_id = d.doc_id),
-    padded AS (SELECT doc_id, len(s) AS n, list_concat(s, list_transform(range({LENGTH} - len(s)), lambda x: 0)) AS ids FROM seq)"""
+    padded AS (SELECT doc_id, len(s) AS n, list_concat(s, list_transform(range({length} - len(s)), lambda x: 0)) AS ids FROM seq)"""
 
 
-def _encoded(spark: SparkSession, sf: str, pad: bool = True) -> tuple[DataFrame, encoding.Vocabulary]:
+def _encoded(spark: SparkSession, sf: str, length: int, pad: bool = True) -> tuple[DataFrame, encoding.Vocabulary]:
     df = spread_documents(spark, sf, "text")
     vocab = encoding.word_vocabulary(df, tx.word_tokens(F.col("text")), VOCAB)
-    return encoding.encode(df, tx.word_tokens(F.col("text")), vocab, LENGTH, pad=pad, keep=["doc_id"]), vocab
+    return encoding.encode(df, tx.word_tokens(F.col("text")), vocab, length, pad=pad, keep=["doc_id"]), vocab
 
 
 @query("encode_pad", f"""
-    WITH {_VOCAB} SELECT doc_id, array_to_string(ids, ',') AS input_ids,
+    WITH {_vocab(CAUSAL)} SELECT doc_id, array_to_string(ids, ',') AS input_ids,
       array_to_string(list_transform(ids, lambda x, i: CASE WHEN i <= n THEN 1 ELSE 0 END), ',') AS attention_mask,
       array_to_string(list_transform(ids, lambda x, i: CASE WHEN i > 1 AND i < n THEN 0 ELSE 1 END), ',') AS special_tokens_mask FROM padded""")
 def encode_pad(spark: SparkSession, sf: str) -> DataFrame:
-    encoded, _ = _encoded(spark, sf)
+    encoded, _ = _encoded(spark, sf, CAUSAL)
     return encoded.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("input_ids", "attention_mask", "special_tokens_mask")])
 
 
-@query("encode_truncate", f"WITH {_VOCAB} SELECT doc_id, array_to_string(s, ',') AS input_ids, len(s)::INT AS n_ids FROM seq")
+@query("encode_truncate", f"WITH {_vocab(MASKED)} SELECT doc_id, array_to_string(s, ',') AS input_ids, len(s)::INT AS n_ids FROM seq")
 def encode_truncate(spark: SparkSession, sf: str) -> DataFrame:
-    encoded, _ = _encoded(spark, sf, pad=False)
+    encoded, _ = _encoded(spark, sf, MASKED, pad=False)
     return encoded.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"), F.size("input_ids").alias("n_ids"))
 
 
@@ -49,7 +52,7 @@ def _sql_mlm(p: float) -> str:
     span = 2147483648.0
     chosen, masked, random = int(p * span), int(0.8 * p * span), int(0.9 * p * span)
     return f"""
-    WITH {_VOCAB}, size AS (SELECT count(*) AS v FROM vocab),
+    WITH {_vocab(MASKED)}, size AS (SELECT count(*) AS v FROM vocab),
       pos AS (SELECT doc_id, n, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS i FROM padded),
       u AS (SELECT *, CASE WHEN i > 0 AND i < n - 1 THEN {sql_draw(1998, '0', 'doc_id', 'i')} ELSE 2147483647 END AS u FROM pos)
     SELECT doc_id,
@@ -60,14 +63,14 @@ def _sql_mlm(p: float) -> str:
 
 @query("mlm_mask", _sql_mlm(0.3))
 def mlm_mask(spark: SparkSession, sf: str) -> DataFrame:
-    encoded, vocab = _encoded(spark, sf)
+    encoded, vocab = _encoded(spark, sf, MASKED)
     masked = encoding.mlm_mask(encoded, "doc_id", vocab.size, p=0.3)
     return masked.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("input_ids", "labels")])
 
 
-@query("causal_labels", f"WITH {_VOCAB} SELECT doc_id, array_to_string(list_transform(ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END), ',') AS labels FROM padded")
+@query("causal_labels", f"WITH {_vocab(CAUSAL)} SELECT doc_id, array_to_string(list_transform(ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END), ',') AS labels FROM padded")
 def causal_labels(spark: SparkSession, sf: str) -> DataFrame:
-    encoded, _ = _encoded(spark, sf)
+    encoded, _ = _encoded(spark, sf, CAUSAL)
     return encoded.select("doc_id", F.array_join(encoding.causal_labels(F.col("input_ids")), ",").alias("labels"))
 
 

@@ -21,20 +21,20 @@ def read_table(spark: SparkSession, folder: str, name: str, config: str | None =
     return df if split is None else df.where(F.col("split") == split)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal a scan with fewer splits than cores out by ``key``; leave any larger scan as it is.
+def spread(df: DataFrame, key: str, parts: int = 0) -> DataFrame:
+    """Deal rows out to ``parts`` tasks by ``key`` where the caller asks for it (a few small files on many cores)."""
+    return df.repartition(parts, key) if parts else df
 
-    Meant for CPU-heavy work on small files; at scale a scan has far more splits than cores and no shuffle is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True) -> DataFrame:
+    """CSV with a header and an explicit schema.
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with a header, quoted multi-line fields and an explicit schema."""
+    Quoted fields may hold line ends (``multi_line``); each file is then one task. Switch it off for
+    data of one line per row, which Spark splits.
+    """
     return (
         spark.read.schema(schema)
-        .option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+        .option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
         .option("mode", "FAILFAST")
         .csv(path)
     )

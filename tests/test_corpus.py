@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.hashing import py_int31
 from glyphmill.operators import dedup, ordering, schema, stacking, stats
+from glyphmill.plans import assembly
 from glyphmill.session import scratch_path
 from glyphmill.sources import tables
 
@@ -62,13 +63,13 @@ def test_exact_keeps_first_per_split(spark):
     assert sorted(r["ord"] for r in dedup.drop_exact(df).collect()) == [0, 2, 5]
 
 
-@pytest.mark.parametrize("buckets", [2, 7, 64])
-def test_row_index_with_gaps_and_a_hot_group(spark, buckets):
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+def test_row_index_with_gaps_and_a_hot_group(spark, partitions):
     rng = random.Random(3)
     ids = rng.sample(range(10**6), 400)
     rows = [(i, "hot" if k % 3 else f"g{k % 5}") for k, i in enumerate(ids)]
     df = spark.createDataFrame(rows, "id long, g string")
-    got = {r["id"]: r["row_idx"] for r in ordering.row_index(df, "id", by=["g"], buckets=buckets).collect()}
+    got = {r["id"]: r["row_idx"] for r in ordering.row_index(df.repartition(partitions), "id", by=["g"]).collect()}
     want = {}
     for g in {g for _, g in rows}:
         for n, i in enumerate(sorted(i for i, h in rows if h == g)):
@@ -127,3 +128,52 @@ def test_csv_round_trip_with_quotes_and_newlines(spark):
     rows = [(1, 'say "hi", ok'), (2, "two\nlines"), (3, "plain")]
     path = tables.write_csv(spark.createDataFrame(rows, "id long, text string"), scratch_path(spark, "csv"))
     assert sorted(tuple(r) for r in tables.read_csv(spark, path, "id BIGINT, text STRING").collect()) == rows
+
+
+def test_configurations_and_rows_in_memory(spark):
+    folder = scratch_path(spark, "named")
+    tables.from_rows(spark, [(1, "train"), (2, "test")], "id long, split string").write.parquet(f"{folder}/books/plain")
+    assert [r["id"] for r in tables.read_table(spark, folder, "books", config="plain", split="test").collect()] == [2]
+    tables.from_rows(spark, [(3, "train")], "id long, split string").write.parquet(f"{folder}/books.parquet")
+    assert tables.head_pandas(tables.read_table(spark, folder, "books"), 1, "id")["id"].tolist() == [3]
+
+
+def test_thresholded_split_is_close_and_repeatable(spark):
+    out = ordering.split_threshold(spark.range(4000), "id", 0.1, seed=3)
+    test = {r["id"] for r in out.where("split = 'test'").collect()}
+    assert 300 < len(test) < 500
+    assert test == {r["id"] for r in ordering.split_threshold(spark.range(4000).repartition(7), "id", 0.1, seed=3).where("split = 'test'").collect()}
+
+
+@pytest.mark.parametrize("keys", [["a"], ["a", "b", "c"], ["c", "a"], ["d", "b"]])
+def test_keys_of_any_number_and_kind_order_the_rows(spark, keys):
+    rng = random.Random(6)
+    rows = [(rng.choice([-5, 0, 3, 10**12, None]), rng.choice(["", "a", "ab", "b", None]), i, (rng.randint(-2, 2), f"x{i % 3}")) for i in range(40)]
+    df = spark.createDataFrame(rows, "a long, b string, c int, d struct<n:int,t:string>")
+    key = F.concat(*[stacking.sort_text(F.col(k), df.schema[k].dataType) for k in keys])
+    got = [r["k"] for r in df.select("c", key.alias("k")).orderBy(*keys).collect()]
+    assert got == sorted(got)
+    with pytest.raises(ValueError):
+        stacking.sort_text(F.lit(1.5), df.select(F.lit(1.5).cast("double")).schema[0].dataType)
+
+
+def test_ties_in_the_order_raise_and_all_keys_count(spark):
+    rows = [(0, 0, 0, "a"), (0, 0, 1, "a"), (0, 0, 2, "b")]
+    table = spark.createDataFrame(rows, "x long, y long, z long, text string")
+    out = assembly.assemble([stacking.SourceSpec("s", table, ["x", "y", "z"])])
+    assert sorted(r["text"] for r in out.collect()) == ["a", "b"]
+    with pytest.raises(ValueError):
+        assembly.assemble([stacking.SourceSpec("s", table, ["x", "y"], text_columns=["text"], metadata=["z"])])
+
+
+@pytest.mark.parametrize("own", [None, "ord long", "ord string"])
+def test_new_rows_win_over_a_published_corpus(spark, own):
+    new = stacking.SourceSpec("new", spark.createDataFrame([(1, "same"), (2, "fresh")], "id long, text string"), ["id"])
+    rows = [("train", "same", "old"), ("train", "kept", "old"), ("train", "kept", "old"), ("test", "same", "old")]
+    published = spark.createDataFrame(rows, "split string, text string, dataset_source string")
+    if own:
+        published = spark.createDataFrame([(*r, i if "long" in own else f"k{i}") for i, r in enumerate(rows)], f"split string, text string, dataset_source string, {own}")
+    got = sorted((r["split"], r["text"], r["dataset_source"]) for r in assembly.assemble([new], published).collect())
+    assert got == [("test", "same", "old"), ("train", "fresh", "new"), ("train", "kept", "old"), ("train", "same", "new")]
+    again = assembly.assemble([new], assembly.assemble([new], published))
+    assert sorted(r["text"] for r in again.collect()) == ["fresh", "kept", "same", "same"]
