@@ -19,10 +19,23 @@ def embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings")
 
 
+def projected(axis: int) -> Column:
+    """Coordinate of a vector on one axis of a fixed orthogonal projection of all its entries.
+
+    The axis alternates in sign every ``2 ** axis`` entries; eight is the axis' length at 64 entries.
+    """
+    signed = F.transform("embedding", lambda x, i: x.cast("double") * (1 - 2 * F.pmod(F.shiftright(i, axis), F.lit(2))))
+    return F.aggregate(signed, F.lit(0.0), lambda total, x: total + x) / 8
+
+
+def sql_projected(axis: int) -> str:
+    signed = f"list_transform(embedding, lambda x, i: x::DOUBLE * (1 - 2 * (((i - 1) >> {axis}) % 2)))"
+    return f"list_reduce(list_prepend(0::DOUBLE, {signed}), lambda a, b: a + b) / 8"
+
+
 def points(spark: SparkSession, sf: str) -> DataFrame:
-    """The first two vector entries as a ready-made projection."""
-    e = F.col("embedding")
-    return embeddings(spark, sf).select("vec_id", e[0].cast("double").alias("x"), e[1].cast("double").alias("y"), "label")
+    """The vectors on two axes of a projection of all entries."""
+    return embeddings(spark, sf).select("vec_id", projected(0).alias("x"), projected(1).alias("y"), "label")
 
 
 def label_means(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,7 +43,7 @@ def label_means(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _V = "list_transform(embedding, lambda x: x::DOUBLE)"
-_POINTS = "p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label FROM embeddings)"
+_POINTS = f"p AS MATERIALIZED (SELECT vec_id, {sql_projected(0)} AS x, {sql_projected(1)} AS y, label FROM embeddings)"
 _MEANS = """
     long AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
     means AS (SELECT label AS query_id, list(m ORDER BY i) AS q FROM (SELECT label, i, avg(v) AS m FROM long GROUP BY 1, 2) GROUP BY 1)"""
@@ -94,12 +107,11 @@ def cluster_members(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.members(embeddings(spark, sf), "vec_id")
 
 
-@query("cluster_centroids", """
-    SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS x, round(avg(embedding[2]::DOUBLE), 6) AS y, round(avg(embedding[3]::DOUBLE), 6) AS z
+@query("cluster_centroids", f"""
+    SELECT label, round(avg({sql_projected(0)}), 6) AS x, round(avg({sql_projected(1)}), 6) AS y, round(avg({sql_projected(2)}), 6) AS z
     FROM embeddings GROUP BY label""")
 def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
-    e = F.col("embedding")
-    placed = embeddings(spark, sf).select("label", *[e[i].cast("double").alias(c) for i, c in enumerate("xyz")])
+    placed = embeddings(spark, sf).select("label", *[projected(i).alias(c) for i, c in enumerate("xyz")])
     return clustering.centroids(placed, "label", list("xyz")).select("label", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
