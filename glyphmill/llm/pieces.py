@@ -121,8 +121,8 @@ class Pieces:
         # No character map, a space mark first, spaces kept and marked, and line ends in no longer piece.
         self.plain = rules == {2: b"", 3: 1, 4: 0, 5: 1} and "\n" in alone and not crossing
         self.known = Remembered(self.window, SHORT)
-        self.marked = Remembered(lambda word: self.window(SPACE + word), SHORT)
-        self.heads = Remembered(self._head, size=1 << 16)
+        self.marked = Remembered(lambda word: self.window(SPACE + word), SHORT, 2 * REMEMBER)
+        self.heads = Remembered(self._head, size=1 << 17)
         self.apart = Remembered(self._apart)
         self.runs = Remembered(self._run)
         self.sizes = Remembered(self._sizes)
@@ -207,12 +207,10 @@ class Pieces:
         for i in range(start, stop + 1):
             if by_merges:
                 for size in sizes[text[i - 3 : i] if i > 2 else text[:i]]:
-                    if size < i:
-                        step = text[i - size : i]
-                        if (size == 1 or step in ids) and apart[last[i - size - base], step]:
-                            break
-                    elif size == i and (size == 1 or text[:i] in ids):
-                        step = text[:i]
+                    if size > i:
+                        continue
+                    step = text[i - size : i]
+                    if (step in ids or size == 1) and (size == i or apart[last[i - size - base], step]):
                         break
             else:
                 best = step = None
@@ -275,8 +273,11 @@ class Pieces:
         return [self.bytes[b] for b in piece.encode()] if self.fallback else [self.unknown]
 
     def window(self, stretch: str) -> tuple[int, ...]:
+        ids = [*map(self.ids.get, path := [*self.steps(stretch)])]
+        if None not in ids:
+            return tuple(ids)
         out: list[int] = []
-        for piece in self.steps(stretch):
+        for piece in path:
             found = self.ids_of(piece)
             # Unknown characters in a row are one unknown piece.
             if not (found == [self.unknown] and out[-1:] == found):
