@@ -172,20 +172,28 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(common, F.size(a) + F.size(b) - common)
 
 
-def verified_links(df: DataFrame, links: DataFrame, text: str, ord_col: str, n: int = 3) -> DataFrame:
-    """True Jaccard similarity of each link's two texts."""
-    ids = materialize(links.select("ord").unionByName(links.select(F.col("leader").alias("ord"))).distinct())
-    linked = df.withColumnRenamed(ord_col, "ord").join(ids, "ord", "left_semi")
-    # Sorted-set work on 64-bit hashes instead of the shingles themselves.
-    sets = linked.select("ord", F.transform(tx.shingles(F.col(text), n), lambda x: F.xxhash64(x)).alias("_s"))
+def shingle_sets(df: DataFrame, ids: DataFrame, text: str, ord_col: str, n: int = 3) -> DataFrame:
+    """``ord, _s``: the shingle set of each row named in ``ids``, as 64-bit hashes."""
+    wanted = df.withColumnRenamed(ord_col, "ord").join(ids, "ord", "left_semi")
+    return wanted.select("ord", F.transform(tx.shingles(F.col(text), n), lambda x: F.xxhash64(x)).alias("_s"))
+
+
+def link_similarity(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``ord, leader, jaccard`` of each link."""
     left = links.join(sets.withColumnRenamed("_s", "_a"), "ord")
     # The first row of a large bucket is the leader of many links.
     sizes = links.groupBy("leader").agg(F.count(F.lit(1)).alias("_n"))
-    leaders = sets.withColumnRenamed("ord", "leader").withColumnRenamed("_s", "_b").join(sizes, "leader")
+    leaders = materialize(sets.withColumnRenamed("ord", "leader").withColumnRenamed("_s", "_b").join(sizes, "leader"))
     both = join_by_key(left, leaders, ["leader"], "_n", links.count(), ["ord"])
     return both.select("ord", "leader", jaccard(F.col("_a"), F.col("_b")).alias("jaccard"))
 
 
+def verified_links(df: DataFrame, links: DataFrame, text: str, ord_col: str, n: int = 3) -> DataFrame:
+    """True Jaccard similarity of each link's two texts; only linked texts are cut into shingles."""
+    ids = materialize(links.select("ord").unionByName(links.select(F.col("leader").alias("ord"))).distinct())
+    return link_similarity(shingle_sets(df, ids, text, ord_col, n), links)
+
+
 # ---------------------------------------------------------------- greedy keep-first over buckets
 
 def greedy_dropped(bands: DataFrame, keys: list[str]) -> DataFrame:
@@ -218,6 +226,35 @@ def greedy_dropped(bands: DataFrame, keys: list[str]) -> DataFrame:
     return _union(dropped, bands)
 
 
+def verified_dropped(bands: DataFrame, keys: list[str], df: DataFrame, text: str, ord_col: str, n: int, threshold: float) -> DataFrame:
+    """``ord`` of the rows that a sequential pass with verification would drop.
+
+    A pass in ``ord`` drops a row if its true Jaccard similarity to an earlier **kept** row of one of its
+    buckets reaches ``threshold``. In rounds: a row that comes first in all of its open buckets is
+    kept, and the rest of these buckets is compared with it alone; what is similar is dropped, the
+    other rows go on without it. Every round decides the first open row at least, and a bucket takes
+    as many rounds as rows of it are kept, so pairs are never listed.
+    """
+    leaders = bucket_leaders(bands, keys)
+    total = bands.count()
+    open_rows = materialize(join_by_key(bands, leaders, keys, "size", total, ["ord"]).select("ord", *keys))
+    sets = materialize(shingle_sets(df, open_rows.select("ord").distinct(), text, ord_col, n))
+    dropped = []
+    while not is_empty(open_rows):
+        firsts = materialize(open_rows.groupBy(*keys).agg(F.min("ord").alias("leader"), F.count(F.lit(1)).alias("size")))
+        need = open_rows.groupBy(F.col("ord").alias("leader")).agg(F.count(F.lit(1)).alias("need"))
+        led = firsts.groupBy("leader").agg(F.count(F.lit(1)).alias("led"))
+        kept = materialize(led.join(need, "leader").where("led = need").select("leader"))
+        taken = firsts.join(kept, "leader", "left_semi").select(*keys, "leader", "size")
+        met = join_by_key(open_rows, taken, keys, "size", total, ["ord"])
+        links = materialize(met.where(F.col("ord") != F.col("leader")).select("ord", "leader").distinct())
+        similar = materialize(link_similarity(sets, links).where(F.col("jaccard") >= threshold).select("ord").distinct())
+        dropped.append(similar)
+        gone = similar.unionByName(kept.select(F.col("leader").alias("ord")))
+        open_rows = materialize(open_rows.join(gone, "ord", "left_anti"))
+    return _union(dropped, bands).distinct()
+
+
 def _union(parts: list[DataFrame], bands: DataFrame) -> DataFrame:
     if not parts:
         return bands.select("ord").limit(0)
@@ -229,16 +266,17 @@ def _union(parts: list[DataFrame], bands: DataFrame) -> DataFrame:
 
 def drop_near(
     df: DataFrame, text: str = "text", ord_col: str = "ord", by: list[str] | None = None,
-    n: int = 3, num_perm: int = 128, threshold: float = 0.75, seed: int = 1, keep_short: bool = False,
+    n: int = 3, num_perm: int = 128, threshold: float = 0.75, seed: int = 1, keep_short: bool = False, verify: bool = False,
 ) -> DataFrame:
-    """Near-duplicate removal, keep-first, without checking candidates' similarity.
+    """Near-duplicate removal, keep-first; ``verify`` drops a row only for a kept row of true similarity.
 
     ``by`` keeps separate indexes (for example per split); without it one index serves all rows in
     ``ord``. Blank rows and rows of fewer than ``n`` words are dropped unless ``keep_short``.
     """
     by = by or []
     bands = materialize(band_table(df, text, ord_col, by, n, num_perm, threshold, seed))
-    dropped = greedy_dropped(bands, [*by, "band", "key"])
+    keys = [*by, "band", "key"]
+    dropped = verified_dropped(bands, keys, df, text, ord_col, n, threshold) if verify else greedy_dropped(bands, keys)
     if keep_short:
         return df.join(dropped.withColumnRenamed("ord", ord_col), ord_col, "left_anti").select(*df.columns)
     # Every comparable row has exactly one entry in band 0.

@@ -219,10 +219,10 @@ def betweenness(edges: DataFrame, nodes: DataFrame | None = None, sources: DataF
     return every.join(summed, "word", "left").select("word", (F.coalesce("credit", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def network_metrics(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def network_metrics(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """Degree, betweenness and eigenvector centrality per word, highest degree first."""
     edges = materialize(edges)
     every = materialize(nodes if nodes is not None else nodes_of(edges))
     degree = degree_centrality(edges, every).select("word", F.col("centrality").alias("degree"))
-    out = degree.join(betweenness(edges, every), "word").join(eigenvector(edges, every), "word")
+    out = degree.join(betweenness(edges, every), "word").join(eigenvector(edges, every, max_rounds, tolerance), "word")
     return out.orderBy(F.desc("degree"), "word")

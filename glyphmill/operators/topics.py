@@ -112,3 +112,8 @@ def save_clusters(points: DataFrame, summaries: DataFrame | None, path: str) ->
 def load_clusters(spark: SparkSession, path: str) -> DataFrame:
     """The saved point table; members and centroids are derived from it again."""
     return spark.read.parquet(f"{path}/points")
+
+
+def load_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """The cluster summaries saved with the points."""
+    return spark.read.parquet(f"{path}/summaries")

@@ -136,13 +136,29 @@ def betweenness(spark: SparkSession, sf: str) -> DataFrame:
     return network.betweenness(edges, nodes).withColumn("betweenness", F.round("betweenness", 9))
 
 
-@query("eigenvector")
+# Rounds of the SQL iteration: many more than either side needs to agree in six digits.
+_EIGENVECTOR = """
+    links AS (SELECT a, b FROM adj UNION ALL SELECT w1, w1 FROM inner_net WHERE w1 = w2 UNION ALL SELECT word, word FROM kept),
+    eig(it, word, x) AS (
+      SELECT 0, word, 1.0::DOUBLE / (SELECT count(*) FROM kept) FROM kept
+      UNION ALL
+      SELECT it + 1, word, s / sqrt(sum(s * s) OVER ()) FROM (SELECT e.it, l.b AS word, sum(e.x) AS s FROM eig e JOIN links l ON l.a = e.word WHERE e.it < 200 GROUP BY e.it, l.b))"""
+_PRECISE = {"max_rounds": 1000, "tolerance": 1e-12}
+
+
+@query("eigenvector", f"WITH RECURSIVE {_ADJ}, {_EIGENVECTOR} SELECT word, round(x, 6) AS eigenvector FROM eig WHERE it = 200")
 def eigenvector(spark: SparkSession, sf: str) -> DataFrame:
+    """Eigenvector centrality of the network of hub words."""
     edges, nodes = hub_network(spark, sf)
-    return network.eigenvector(edges, nodes)
+    return network.eigenvector(edges, nodes, **_PRECISE).withColumn("eigenvector", F.round("eigenvector", 6))
 
 
-@query("network_metrics")
+@query("network_metrics", f"""
+    WITH RECURSIVE {_BETWEENNESS}, {_EIGENVECTOR}
+    SELECT k.word, round(d.degree / ((SELECT count(*) FROM kept) - 1), 6) AS degree, round({_BC}, 6) AS betweenness, round(e.x, 6) AS eigenvector
+    FROM kept k LEFT JOIN between b ON b.word = k.word JOIN inner_deg d ON d.word = k.word JOIN eig e ON e.word = k.word AND e.it = 200""")
 def network_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The three centralities of the network of hub words."""
     edges, nodes = hub_network(spark, sf)
-    return network.network_metrics(edges, nodes)
+    out = network.network_metrics(edges, nodes, **_PRECISE)
+    return out.select("word", *[F.round(c, 6).alias(c) for c in ("degree", "betweenness", "eigenvector")])

@@ -145,19 +145,21 @@ def cluster_hull(spark: SparkSession, sf: str) -> DataFrame:
     return hulls.select("label", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-_NEAR = f"""{_POINTS},
-    nb AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a, p b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {EPS} * {EPS}),
-    core AS (SELECT a AS id FROM nb GROUP BY a HAVING count(*) >= {MIN_SAMPLES})"""
+def _near(eps: float, least: int) -> str:
+    return f"""{_POINTS},
+    nb AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a, p b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {eps} * {eps}),
+    core AS (SELECT a AS id FROM nb GROUP BY a HAVING count(*) >= {least})"""
 
 
-@query("eps_neighbors", f"WITH {_NEAR} SELECT vec_id, vec_id IN (SELECT id FROM core) AS is_core FROM p")
+@query("eps_neighbors", f"WITH {_near(EPS, MIN_SAMPLES)} SELECT vec_id, vec_id IN (SELECT id FROM core) AS is_core FROM p")
 def eps_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     """Which points have at least ``min_samples`` points within eps (themselves included)."""
     return clustering.core_points(points(spark, sf), "vec_id", ["x", "y"], EPS, MIN_SAMPLES)
 
 
-_DBSCAN = f"""
-    {_NEAR},
+def _dbscan(eps: float, least: int) -> str:
+    return f"""
+    {_near(eps, least)},
     cc AS (SELECT a, b FROM nb WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
     reach(a, b) AS (SELECT a, b FROM cc UNION SELECT r.a, c.b FROM reach r JOIN cc c ON c.a = r.b),
     root AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a),
@@ -166,7 +168,7 @@ _DBSCAN = f"""
     done AS (SELECT p.vec_id, p.x, p.y, coalesce(l.label, b.label, -1)::INT AS label FROM p LEFT JOIN lab l ON l.id = p.vec_id LEFT JOIN border b ON b.id = p.vec_id)"""
 
 
-@query("dbscan", f"WITH RECURSIVE {_DBSCAN} SELECT vec_id, label FROM done")
+@query("dbscan", f"WITH RECURSIVE {_dbscan(EPS, MIN_SAMPLES)} SELECT vec_id, label FROM done")
 def dbscan(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.dbscan(points(spark, sf).drop("label"), "vec_id", ["x", "y"], EPS, MIN_SAMPLES)
 
@@ -200,9 +202,21 @@ def silhouette(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(value,)], "silhouette double").select(F.round("silhouette", 6).alias("silhouette"))
 
 
-@query("dbscan_sweep")
+_SWEEP = [(0.015, 4), (0.02, 4), (0.03, 8)]
+_SWEPT = " UNION ALL ".join(f"""
+    SELECT * FROM (WITH RECURSIVE {_dbscan(eps, least)},
+      q AS (SELECT * FROM done WHERE label <> -1),
+      k AS (SELECT label, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS psi FROM q GROUP BY label),
+      m AS (SELECT q.vec_id, q.label, k.label AS other, k.n, q.x * q.x + q.y * q.y + psi / k.n - 2 * (q.x * sx + q.y * sy) / k.n AS mean_sq FROM q, k),
+      ab AS (SELECT vec_id, max(n) FILTER (other = label) AS n, max(mean_sq * n / (n - 1)) FILTER (other = label AND n > 1) AS a, min(mean_sq) FILTER (other <> label) AS b FROM m GROUP BY vec_id)
+      SELECT {eps}::DOUBLE AS eps, {least} AS min_samples, (SELECT count(*) FROM k) AS n_clusters, (SELECT count(*) FROM done WHERE label = -1) AS n_noise,
+             CASE WHEN (SELECT count(*) FROM k) > 1 THEN (SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) FROM ab) END AS silhouette)""" for eps, least in _SWEEP)
+
+
+@query("dbscan_sweep", _SWEPT)
 def dbscan_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return clustering.sweep(materialize(points(spark, sf).drop("label")), "vec_id", ["x", "y"], [(0.015, 4), (0.02, 4), (0.03, 8)])
+    swept = clustering.sweep(materialize(points(spark, sf).drop("label")), "vec_id", ["x", "y"], _SWEEP)
+    return swept.withColumn("silhouette", F.round("silhouette", 6))
 
 
 # ---------------------------------------------------------------- topics

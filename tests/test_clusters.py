@@ -161,3 +161,13 @@ def test_save_and_load(spark):
     path = scratch_path(spark, "c")
     topics.save_clusters(pts, None, path)
     assert sorted(map(tuple, topics.load_clusters(spark, path).collect())) == sorted(map(tuple, pts.collect()))
+
+
+def test_summaries_are_read_back(spark):
+    from glyphmill.session import scratch_path
+
+    path = scratch_path(spark, "clusters")
+    points = spark.createDataFrame([(1, 0.0, 0), (2, 1.0, 1)], "id long, x double, label int")
+    topics.save_clusters(points, spark.createDataFrame([(0, "first"), (1, "second")], "label int, summary string"), path)
+    assert sorted(tuple(r) for r in topics.load_summaries(spark, path).collect()) == [(0, "first"), (1, "second")]
+    assert topics.load_clusters(spark, path).count() == 2

@@ -120,3 +120,31 @@ def test_source_overlap_counts_texts_once(spark):
     df = spark.createDataFrame([("t", "a"), ("t", "a"), ("t", "b"), ("t", "c"), ("u", "a"), ("u", "b"), ("v", "a")], "text string, source string")
     got = sorted(tuple(r) for r in dedup.source_overlap(df, "text", "source").collect())
     assert got == [("a", "b", 2), ("a", "c", 1), ("b", "c", 1)]
+
+
+def test_verified_removal_equals_a_sequential_pass(spark, hot_keys):
+    rows = corpus()
+    grams = lambda t: {tuple(t.lower().split()[i : i + 3]) for i in range(len(t.split()) - 2)}
+    kept, buckets = [], {}
+    for o, _, text in sorted(rows):
+        keys = plain_bands(text)
+        if keys is None:
+            continue
+        mates = {k for key in keys for k in buckets.get(key, [])}
+        if all(len(grams(text) & grams(m)) < 0.9 * len(grams(text) | grams(m)) for m in mates):
+            kept.append(o)
+            for key in keys:
+                buckets.setdefault(key, []).append(text)
+    df = spark.createDataFrame(rows, "ord long, split string, text string").repartition(5)
+    # Bands as for 0.75, verification at 0.9: some candidates are not similar enough.
+    bands = dedup.band_table(df, "text", "ord")
+    gone = {r["ord"] for r in dedup.verified_dropped(bands, ["band", "key"], df, "text", "ord", 3, 0.9).collect()}
+    assert sorted(o for o, _, t in rows if plain_bands(t) is not None and o not in gone) == kept
+    assert dedup.drop_near(df, verify=True).count() >= dedup.drop_near(df).count()
+
+
+def test_a_long_chain_of_links_finishes(spark):
+    rows = [(o, 0, f"{o // 2}") for o in range(300)] + [(o, 1, f"{(o + 1) // 2}") for o in range(300)]
+    bands = spark.createDataFrame(rows, "ord long, band int, key string")
+    gone = {r["ord"] for r in dedup.greedy_dropped(bands.where("ord < 40"), ["band", "key"]).collect()}
+    assert gone == set(range(1, 40, 2))
