@@ -70,12 +70,21 @@ def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # The sequential pass in SQL: one step per row with a collision, carrying the rows dropped so far.
-def _greedy_sql(ord_expr: str, separate: str, select: str) -> str:
+_ALL_PAIRS = "SELECT later, earlier FROM met"
+_SIMILAR = """
+    SELECT m.later, m.earlier FROM met m JOIN (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1) x ON x.doc_id = m.later
+    JOIN (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1) y ON y.doc_id = m.earlier
+    JOIN (SELECT m.later, m.earlier, count(*) AS c FROM met m JOIN sh a ON a.doc_id = m.later JOIN sh b ON b.doc_id = m.earlier AND a.s = b.s GROUP BY 1, 2) c
+      ON c.later = m.later AND c.earlier = m.earlier WHERE c.c / (x.n + y.n - c.c) >= 0.75"""
+
+
+def _greedy_sql(ord_expr: str, separate: str, select: str, pairs: str = _ALL_PAIRS) -> str:
     return f"""
     WITH RECURSIVE {_BANDED},
       o AS (SELECT doc_id, {ord_expr} AS o, {separate} AS grp FROM documents),
-      pairs AS (SELECT DISTINCT x.doc_id AS later, y.doc_id AS earlier FROM bands p JOIN bands q ON p.band = q.band AND p.key = q.key
+      met AS (SELECT DISTINCT x.doc_id AS later, y.doc_id AS earlier FROM bands p JOIN bands q ON p.band = q.band AND p.key = q.key
                 JOIN o x ON x.doc_id = p.doc_id JOIN o y ON y.doc_id = q.doc_id WHERE y.o < x.o AND x.grp = y.grp),
+      pairs AS ({pairs}),
       near AS (SELECT later, list(earlier) AS es, row_number() OVER (ORDER BY min(o.o)) AS step FROM pairs JOIN o ON o.doc_id = later GROUP BY later),
       run(step, gone) AS (
         SELECT 0::BIGINT, []::BIGINT[]
@@ -98,6 +107,11 @@ def dedup_minhash_cross_split(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.drop_near(with_split(spread_documents(spark, sf, "text"), "doc_id").withColumn("ord", place), "text", "ord").select("doc_id", "split")
 
 
+@query("dedup_minhash_verified", _greedy_sql("doc_id", "1", "doc_id", _SIMILAR))
+def dedup_minhash_verified(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.drop_near(spread_documents(spark, sf, "text"), "text", "doc_id", verify=True).select("doc_id")
+
+
 # ---------------------------------------------------------------- bigrams and the word network
 
 _WORDS = f"d AS (SELECT doc_id, {sql_clean_words('text')} AS w FROM documents)"
