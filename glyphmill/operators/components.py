@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.operators.skew import join_by_key
-from glyphmill.session import materialize
+from glyphmill.session import stored
 
 
 def _to_smallest(pairs: DataFrame, total: int) -> DataFrame:
@@ -21,7 +21,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Hub ids are handled by the skew-safe join, so a component of any size is spread over tasks.
     """
     current = edges.select(F.greatest(a, b).cast("bigint").alias("u"), F.least(a, b).cast("bigint").alias("v")).where("u <> v").distinct()
-    current = materialize(current)
+    current = stored(current)
     before = None
     while True:
         n, mark = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -36,4 +36,4 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # The small star works on pairs oriented from the larger to the smaller id.
         small = _to_smallest(large, total)
         linked = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        current = materialize(linked.where("u <> v").distinct())
+        current = stored(linked.where("u <> v").distinct())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as tx
 from glyphmill.operators import ordering
 from glyphmill.operators.skew import join_by_key
-from glyphmill.session import is_empty, materialize
+from glyphmill.session import is_empty, materialize, stored
 
 
 # ---------------------------------------------------------------- bigrams and edges
@@ -160,7 +160,7 @@ def eigenvector(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: in
         summed = sent.unionByName(stay).groupBy("word").agg(
             F.max("n_links").alias("n_links"), F.sum("x").alias("x"), F.sum("old").alias("old")
         )
-        raw = materialize(summed)
+        raw = stored(summed)
         length = raw.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
         change = raw.agg(F.sum(F.abs(F.col("x") / length - F.col("old")))).first()[0]
         current = raw.select("word", "n_links", (F.col("x") / length).alias("x"))

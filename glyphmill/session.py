@@ -81,5 +81,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, for tables that a loop makes from itself.
+
+    A checkpoint keeps the size that Spark estimated for its plan, and a join's estimate is a product:
+    over rounds the number of digits doubles. A file's size is what it is.
+    """
+    path = scratch_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
