@@ -235,10 +235,20 @@ def verified_dropped(bands: DataFrame, keys: list[str], df: DataFrame, text: str
     other rows go on without it. Every round decides the first open row at least, and a bucket takes
     as many rounds as rows of it are kept, so pairs are never listed.
     """
+    open_rows, total = shared_buckets(bands, keys)
+    sets = materialize(shingle_sets(df, open_rows.select("ord").distinct(), text, ord_col, n))
+    return similar_dropped(open_rows, total, keys, sets, threshold)
+
+
+def shared_buckets(bands: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """``ord, keys`` of the buckets that more than one row falls into, and the number of rows of ``bands``."""
     leaders = bucket_leaders(bands, keys)
     total = bands.count()
-    open_rows = materialize(join_by_key(bands, leaders, keys, "size", total, ["ord"]).select("ord", *keys))
-    sets = materialize(shingle_sets(df, open_rows.select("ord").distinct(), text, ord_col, n))
+    return materialize(join_by_key(bands, leaders, keys, "size", total, ["ord"]).select("ord", *keys)), total
+
+
+def similar_dropped(open_rows: DataFrame, total: int, keys: list[str], sets: DataFrame, threshold: float) -> DataFrame:
+    """The rounds of :func:`verified_dropped` over shared buckets and the shingle sets ``ord, _s`` of their rows."""
     dropped = []
     while not is_empty(open_rows):
         firsts = materialize(open_rows.groupBy(*keys).agg(F.min("ord").alias("leader"), F.count(F.lit(1)).alias("size")))
@@ -252,7 +262,7 @@ def verified_dropped(bands: DataFrame, keys: list[str], df: DataFrame, text: str
         dropped.append(similar)
         gone = similar.unionByName(kept.select(F.col("leader").alias("ord")))
         open_rows = materialize(open_rows.join(gone, "ord", "left_anti"))
-    return _union(dropped, bands).distinct()
+    return _union(dropped, open_rows).distinct()
 
 
 def _union(parts: list[DataFrame], bands: DataFrame) -> DataFrame:
