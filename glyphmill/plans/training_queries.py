@@ -162,3 +162,16 @@ def network_metrics(spark: SparkSession, sf: str) -> DataFrame:
     edges, nodes = hub_network(spark, sf)
     out = network.network_metrics(edges, nodes, **_PRECISE)
     return out.select("word", *[F.round(c, 6).alias(c) for c in ("degree", "betweenness", "eigenvector")])
+
+
+@query("word_centralities")
+def word_centralities(spark: SparkSession, sf: str) -> DataFrame:
+    """Degree and eigenvector centrality of every word of the whole network.
+
+    ``betweenness`` is that within the network of hub words and NULL for other words: it is quadratic in the words.
+    """
+    edges = materialize(word_network(spark, sf))
+    hubs, kept = (materialize(t) for t in network.filter_by_centrality(edges, CENTRALITY))
+    whole = network.degree_centrality(edges).join(network.eigenvector(edges), "word")
+    out = whole.join(network.betweenness(hubs, kept), "word", "left")
+    return out.select("word", *[F.round(c, 6).alias(n) for c, n in (("centrality", "degree"), ("betweenness", "betweenness"), ("eigenvector", "eigenvector"))])

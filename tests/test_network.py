@@ -125,3 +125,20 @@ def test_word_edges(spark, cross, min_freq, hot_keys):
     df = spark.createDataFrame(rng.sample(docs, len(docs)), "id long, text string").repartition(5)
     got = {(r["w1"], r["w2"]): r["weight"] for r in network.word_edges(df, "text", min_freq, cross).collect()}
     assert got == want
+
+
+def test_centralities_of_the_whole_network(spark):
+    from glyphmill.plans import training_queries
+
+    sf = "/root/testdata/sf0.001"
+    edges = [(r.w1, r.w2) for r in training_queries.word_network(spark, sf).collect()]
+    adj = {}
+    for a, b in edges:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+    got = {r.word: r for r in training_queries.word_centralities(spark, sf).collect()}
+    assert set(got) == set(adj) and len(got) > training_queries.eigenvector(spark, sf).count()
+    want = power(list(adj), adj)
+    ends = Counter(w for e in edges for w in e)
+    assert all(abs(got[w].eigenvector - want[w]) < 1e-5 and abs(got[w].degree - ends[w] / (len(adj) - 1)) < 1e-5 for w in adj)
+    assert 0 < sum(r.betweenness is not None for r in got.values()) < len(got)
