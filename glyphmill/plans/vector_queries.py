@@ -95,6 +95,39 @@ def similarity_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+_ROW_KNN = """
+    d AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS distance
+          FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
+    knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 5)"""
+
+
+def row_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row whose id is divisible by 100, as a query."""
+    return embeddings(spark, sf).where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("knn_search_rows", f"WITH {_ROW_KNN} SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM knn")
+def knn_search_rows(spark: SparkSession, sf: str) -> DataFrame:
+    found = neighbors.knn(embeddings(spark, sf), row_queries(spark, sf), 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+@query("knn_infer_rows", f"""
+    WITH {_ROW_KNN}, v AS (SELECT query_id, label, count(*) AS votes, min(rank) AS first FROM knn GROUP BY 1, 2)
+    SELECT query_id, label, votes FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, first) = 1""")
+def knn_infer_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbors.knn_label(embeddings(spark, sf), row_queries(spark, sf), 5)
+
+
+@query("similarity_rows", f"""
+    SELECT q.vec_id AS left_id, e.vec_id AS right_id, round(list_cosine_similarity({_V.replace('embedding', 'q.embedding')}, {_V.replace('embedding', 'e.embedding')}), 6) AS similarity
+    FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0""")
+def similarity_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every hundredth row against all rows, block by block."""
+    out = neighbors.similarity_matrix(row_queries(spark, sf).withColumnRenamed("query_id", "vec_id"), embeddings(spark, sf), "vec_id", "embedding")
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 # ---------------------------------------------------------------- clusters
 
 @query("non_noise", "SELECT vec_id, label FROM embeddings WHERE label <> 0")

@@ -171,3 +171,16 @@ def test_summaries_are_read_back(spark):
     topics.save_clusters(points, spark.createDataFrame([(0, "first"), (1, "second")], "label int, summary string"), path)
     assert sorted(tuple(r) for r in topics.load_summaries(spark, path).collect()) == [(0, "first"), (1, "second")]
     assert topics.load_clusters(spark, path).count() == 2
+
+
+def test_searches_of_rows_reach_the_blocks(spark, monkeypatch):
+    from glyphmill.plans import vector_queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = vector_queries.embeddings(spark, sf)
+    n, asked = rows.count(), rows.where("vec_id % 100 = 0").count()
+    got = {tuple(r) for r in vector_queries.knn_search_rows(spark, sf).collect()}
+    assert len(got) == 5 * asked and asked > 1
+    assert vector_queries.similarity_rows(spark, sf).count() == asked * n
+    monkeypatch.setattr(vector_queries.neighbors.knn, "__defaults__", ("vec_id", "query_id", "embedding", 0))
+    assert {tuple(r) for r in vector_queries.knn_search_rows(spark, sf).collect()} == got
