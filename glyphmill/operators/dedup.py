@@ -21,14 +21,19 @@ def _digest(text: str) -> Column:
     return F.unhex(F.sha2(F.coalesce(F.concat(F.lit("+"), F.col(text)), F.lit("-")), 256))
 
 
+def _known(column: str) -> Column:
+    """A column as text that is never NULL."""
+    return F.coalesce(F.concat(F.lit("+"), F.col(column).cast("string")), F.lit("-"))
+
+
 def later_copies(df: DataFrame, text: str, ord_col: str, by: list[str]) -> DataFrame:
-    """``by.., _digest, ord`` of the rows that are not the first, in ``ord``, of their text; NULL counts as one text.
+    """``_by0.., _digest, ord`` of the rows that are not the first, in ``ord``, of their text; NULL counts as one text.
 
     Only digests and ``ord`` move; copies are counted before the shuffle, and a text that many
     rows share is salted. Two equal texts with an equal ``ord`` have no first one: that raises.
     """
-    keys = [*by, "_digest"]
-    slim = df.select(*[F.col(c) for c in by], _digest(text).alias("_digest"), F.col(ord_col).alias("_ord"))
+    keys = [*[f"_by{i}" for i in range(len(by))], "_digest"]
+    slim = df.select(*[_known(c).alias(k) for k, c in zip(keys, by)], _digest(text).alias("_digest"), F.col(ord_col).alias("_ord"))
     groups = slim.groupBy(*keys).agg(F.min("_ord").alias("_first"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
     groups = materialize(groups)
     total = groups.agg(F.sum("_size")).first()[0] or 0
@@ -42,11 +47,13 @@ def later_copies(df: DataFrame, text: str, ord_col: str, by: list[str]) -> DataF
 def drop_exact(df: DataFrame, text: str = "text", ord_col: str = "ord", by: list[str] | None = None) -> DataFrame:
     """Keep the first row, in ``ord``, of each distinct text per ``by`` group.
 
-    The rows to drop are few, so they are what is joined. ``by`` columns and ``ord`` hold no NULLs.
+    The rows to drop are few, so they are what is joined. NULL in a ``by`` column is a value
+    like others; ``ord`` holds no NULLs.
     """
     by = by or []
     gone = later_copies(df, text, ord_col, by).withColumnRenamed("_ord", ord_col)
-    return df.withColumn("_digest", _digest(text)).join(gone, [*by, "_digest", ord_col], "left_anti").select(*df.columns)
+    keyed = df.withColumns({f"_by{i}": _known(c) for i, c in enumerate(by)} | {"_digest": _digest(text)})
+    return keyed.join(gone, gone.columns, "left_anti").select(*df.columns)
 
 
 def source_overlap(df: DataFrame, text: str, source: str) -> DataFrame:

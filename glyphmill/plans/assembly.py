@@ -12,11 +12,11 @@ from glyphmill.operators import dedup, stacking
 def after_new(published: DataFrame, source_no: int) -> DataFrame:
     """A published corpus with an ``ord`` behind all new sources, in its own order.
 
-    Its own ``ord``, of any type, is kept as the key within the corpus. Without one, rows go by their
+    A missing split is 'train'. Its own ``ord``, of any type, is kept as the key within the corpus. Without one, rows go by their
     text's digest, and rows with equal split and text are reduced to the least one.
     """
-    if "split" not in published.columns:
-        published = published.withColumn("split", F.lit("train"))
+    split = F.col("split") if "split" in published.columns else F.lit(None)
+    published = published.withColumn("split", F.coalesce(split, F.lit("train")))
     if "ord" in published.columns:
         key = stacking.sort_text(F.col("ord"), published.schema["ord"].dataType)
     else:

@@ -177,3 +177,13 @@ def test_new_rows_win_over_a_published_corpus(spark, own):
     assert got == [("test", "same", "old"), ("train", "fresh", "new"), ("train", "kept", "old"), ("train", "same", "new")]
     again = assembly.assemble([new], assembly.assemble([new], published))
     assert sorted(r["text"] for r in again.collect()) == ["fresh", "kept", "same", "same"]
+
+
+def test_exact_copies_with_missing_splits(spark):
+    rows = [(None, "a b", 1), (None, "a b", 2), ("train", "a b", 3), (None, None, 4), (None, None, 5)]
+    df = spark.createDataFrame(rows, "split string, text string, ord int")
+    assert sorted(r.ord for r in dedup.drop_exact(df, by=["split"]).collect()) == [1, 3, 4]
+    published = df.where("text IS NOT NULL").withColumn("dataset_source", F.lit("old"))
+    placed = assembly.after_new(published, 1)
+    assert {r.split for r in placed.collect()} == {"train"}
+    assert dedup.drop_exact(placed, by=["split"]).count() == 1
