@@ -1,8 +1,8 @@
 """Remove lines that many documents share; native DataFrame operations only.
 
 Hashes of the long lines are range-partitioned with a secondary sort by document (largest first) and
-position, so that a line's occurrences pass in order and its first occurrence names the document
-that keeps it. What comes back is a compressed keep bitmap per document, not text.
+position, which spares the grouping by document an exchange. An aggregate over each line, not the
+order, names the document that keeps it. What comes back is a compressed keep bitmap per document, not text.
 """
 
 from __future__ import annotations
