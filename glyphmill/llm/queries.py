@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, host_rules, line_dedup, mixing, pieces, rows, sharding, simhash, toxicity, vptree, warc
+from glyphmill.llm import alignment, chat, host_rules, line_dedup, mixing, pieces, rows, sharding, simhash, toxicity, vptree, warc
 from glyphmill.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,13 @@ def op2_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     index = warc.write(pages, scratch_path(spark, "warc"))
     return warc.read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of every whole text in which the ids of both tokenizers cover the same bytes, and how usual their links are."""
+    aligned = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_TOKENIZER, TOKENIZER)
+    return aligned.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
