@@ -169,3 +169,44 @@ rates AS (SELECT source, (fails + m * strength) / (n + strength) AS rate FROM ho
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= {queries.MAX_HOST_RATE} AS kept
 FROM judged j JOIN rates r ON j.source IS NOT DISTINCT FROM r.source
 """
+
+SQL["op12_filter_audit"] = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS} AS words FROM documents
+),
+marks AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), FALSE) AS good, coalesce(bool_or(toxic = 1), FALSE) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+),
+firsts AS (SELECT text, min(doc_id) AS first FROM texts GROUP BY text),
+masks AS (
+  SELECT part, coalesce(good, FALSE) AS good, coalesce(m.toxic, FALSE) AS toxic,
+         (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+         + 4 * (100 * len(regexp_extract_all(t.text, '[A-Z]')) > 3 * length(t.text))::INT + 8 * regexp_matches(t.text, '[#$%&*|]')::INT
+         + 16 * coalesce(first < t.doc_id, FALSE)::INT AS mask
+  FROM texts t JOIN firsts f ON t.text = f.text LEFT JOIN marks m ON t.doc_id = m.doc_id
+),
+counted AS (SELECT part, mask, good, toxic, count(*) AS n FROM masks GROUP BY ALL),
+filters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS filter, unnest([1, 2, 4, 8, 16]) AS bit),
+grown AS (
+  SELECT '' AS filter_order, 0 AS used UNION ALL
+  SELECT filter_order || filter, used + bit FROM grown, filters WHERE used & bit = 0
+),
+steps AS (
+  SELECT o.filter_order, s.step::INT AS step, bit,
+         coalesce(list_sum(list_transform(range(1, s.step), lambda i: 1 << (ascii(substr(o.filter_order, i::INT, 1)) - 65))), 0)::INT AS before
+  FROM (SELECT filter_order FROM grown WHERE used = 31) o, range(1, 6) s(step), filters f WHERE f.filter = substr(o.filter_order, s.step::INT, 1)
+),
+seen AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (mask & (bit | before) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0 AND good), 0)::BIGINT AS good_lost,
+         coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0 AND toxic), 0)::BIGINT AS toxic_lost
+  FROM counted, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM seen
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import alignment, chat, host_rules, line_dedup, mixing, pieces, rows, sharding, simhash, toxicity, vptree, warc
+from glyphmill.llm import alignment, audit, chat, host_rules, line_dedup, mixing, pieces, quality, rows, sharding, simhash, toxicity, vptree, warc
 from glyphmill.session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,25 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of every whole text in which the ids of both tokenizers cover the same bytes, and how usual their links are."""
     aligned = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_TOKENIZER, TOKENIZER)
     return aligned.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+GOOD_FROM = 0.7
+
+
+def quality_held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
+
+
+@query
+def op13_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned from the labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~quality_held_out(F.col("doc_id"))))
+    scored = docs.select("doc_id", quality_held_out(F.col("doc_id")).alias("held_out"), quality.score(F.col("text"), model, spark).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= GOOD_FROM).cast("int"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language in every order, from a stream over all documents."""
+    return audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
