@@ -1,10 +1,11 @@
 """Audit of how quality filters interact, as a stream over files that retracts what a smaller id takes back.
 
-All files of a table are processed as available-now micro-batches. A text's state, keyed by its digest, is
+All files of a table are processed as available-now micro-batches. A text's state, found by its digest, is
 the smallest id that holds it and the rows counted under that id: they are the only ones that the copy
 filter spares. When a smaller id arrives, their earlier mask of failures is retracted from the counters
 of their part and the mask with the copy filter is counted instead. Counters of (part, mask, marks) hold
-all that the orders of the filters need.
+all that the orders of the filters need. Some thousand texts, by their digests, share a key of the
+state store, because a call for each text costs far more than the text.
 
 Rows of a batch meet by digest and marks before they are shuffled, so a text that many rows share is a few
 rows of any batch, and its state counts rows instead of holding them.
@@ -12,6 +13,7 @@ rows of any batch, and its state counts rows instead of holding them.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import permutations
@@ -28,12 +30,14 @@ FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 # Micro-batches that the files are dealt into; the result is the same for any number.
 BATCHES = 4
+# Texts that share a key of the state, on average.
+TEXTS = 4096
 # Rows that a task gathers before it adds them up.
 GATHERED = 1 << 17
 
 _MARKS = ["part", "mask", "good", "toxic"]
-_ADDED = "digest binary, part string, mask int, good boolean, toxic boolean, known boolean, least bigint, at_least bigint, n bigint"
-_STATE = "least bigint, parts array<string>, good array<boolean>, toxic array<boolean>, n array<bigint>"
+_ADDED = "bucket bigint, digest binary, part string, mask int, good boolean, toxic boolean, known boolean, least bigint, at_least bigint, n bigint"
+_STATE = "texts binary"
 _MOVES = "part string, mask int, good boolean, toxic boolean, n bigint"
 
 
@@ -52,7 +56,7 @@ def text_mask(text: Column) -> Column:
 
 def _added(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of a task by digest and marks: the smallest id, how many rows have it, and how many there are."""
-    keys = ["digest", *_MARKS, "known"]
+    keys = ["bucket", "digest", *_MARKS, "known"]
 
     def summed(held: list[pd.DataFrame]) -> pd.DataFrame:
         rows = pd.concat(held)
@@ -73,41 +77,32 @@ def _added(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _followed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the counters that new rows of one text make, retractions included."""
-    least, *held = state.get if state.exists else (None, [], [], [], [])
-    spared = Counter(dict(zip(zip(*held[:3]), held[3])))
-    rows = [row for frame in frames for row in zip(*(frame[c].tolist() for c in [*_MARKS, "known", "least", "at_least", "n"]))]
-    smallest = min((r[5] for r in rows if r[4]), default=None)
+    """Changes of the counters that new rows make, retractions included; the state maps digests to ``(least, spared rows)``."""
+    texts = pickle.loads(state.get[0]) if state.exists else {}
     moves: Counter = Counter()
-    mask = rows[0][1]
-    if smallest is not None and (least is None or smallest < least):
-        for marks, n in spared.items():
-            moves[marks, mask] -= n
-            moves[marks, mask | COPY] += n
-        least, spared = smallest, Counter()
-    for part, _, good, toxic, known, first, at_first, n in rows:
-        marks = (part, good, toxic)
-        if not known:
-            # A row without an id is no copy of a smaller one and no other row's smaller one.
-            moves[marks, mask] += n
-            continue
-        stays = at_first if first == least else 0
-        if stays:
-            spared[marks] += stays
-            moves[marks, mask] += stays
-        if n > stays:
+    for frame in frames:
+        for digest, part, mask, good, toxic, known, first, at_first, n in zip(*(frame[c].tolist() for c in ["digest", *_MARKS, "known", "least", "at_least", "n"])):
+            marks = (part, good, toxic)
+            if not known:
+                # A row without an id is no copy of a smaller one and no other row's smaller one.
+                moves[marks, mask] += n
+                continue
+            least, spared = texts.get(digest, (None, {}))
+            if least is None or first < least:
+                for earlier, count in spared.items():
+                    moves[earlier, mask] -= count
+                    moves[earlier, mask | COPY] += count
+                least, spared = first, {}
+                texts[digest] = (least, spared)
+            stays = at_first if first == least else 0
+            if stays:
+                spared[marks] = spared.get(marks, 0) + stays
+                moves[marks, mask] += stays
             moves[marks, mask | COPY] += n - stays
-    if least is not None:
-        parts, good, toxic = zip(*spared) if spared else ((), (), ())
-        state.update((least, list(parts), list(good), list(toxic), list(spared.values())))
+    state.update((pickle.dumps(texts, pickle.HIGHEST_PROTOCOL),))
     yield pd.DataFrame([(part, bits, good, toxic, n) for ((part, good, toxic), bits), n in moves.items() if n], columns=["part", "mask", "good", "toxic", "n"])
 
 
-def _together(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        yield frame.groupby(_MARKS, as_index=False, sort=False)["n"].sum()
-
-
 def counters(spark: SparkSession, path: str, labels: DataFrame, part: str = "lang", batches: int = BATCHES) -> DataFrame:
     """``part, mask, good, toxic, n``: documents of the Parquet files under ``path`` by what they fail and how they are labelled.
 
@@ -119,12 +114,14 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, part: str = "lan
     fail it; rows with equal id and text don't either. Rows without a label have no mark. An empty table gives no rows.
     """
     table = spark.read.parquet(path)
+    # Counted from the files' footers.
+    buckets = max(1, table.count() // TEXTS)
     files = max(1, -(-len(table.inputFiles()) // batches))
     # A pattern, because a stream takes no single file by its plain name.
     given = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
     text, known = F.col("text"), F.col("doc_id").isNotNull()
     slim = given.select(
-        "doc_id", known.alias("known"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("digest"),
+        "doc_id", known.alias("known"), F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32)).alias("digest"),
         F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), text_mask(text).alias("mask"),
         # Rows without an id are dealt out as if they had different ones.
         F.when(known, 0).otherwise(F.xxhash64(text)).alias("spread"),
@@ -133,10 +130,13 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, part: str = "lan
     marked = stored(marked.agg(F.bool_or(F.col("quality") == 1).alias("good"), F.bool_or(F.col("toxic") == 1).alias("toxic")))
     marked = marked.withColumn("spread", F.lit(0).cast("bigint"))
     no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    rows = slim.join(marked, ["doc_id", "spread"], "left").select(F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("doc_id"), "known", "digest", "part", "mask", no("good"), no("toxic"))
-    followed = rows.mapInPandas(_added, _ADDED).groupBy("digest").applyInPandasWithState(_followed, _MOVES, _STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = slim.join(marked, ["doc_id", "spread"], "left").select(
+        F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("doc_id"), "known", F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket"), "digest", "part", "mask",
+        no("good"), no("toxic"),
+    )
+    followed = rows.mapInPandas(_added, _ADDED).groupBy("bucket").applyInPandasWithState(_followed, _MOVES, _STATE, "append", GroupStateTimeout.NoTimeout)
     out = scratch_path(spark, "audit-moves")
-    stream = followed.mapInPandas(_together, _MOVES).writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "audit-log"))
+    stream = followed.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "audit-log"))
     stream.outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
     moves = spark.read.schema(_MOVES).parquet(out)
     return moves.groupBy(*_MARKS).agg(F.sum("n").alias("n")).where("n <> 0")

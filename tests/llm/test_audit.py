@@ -59,6 +59,7 @@ def write(spark, folder, rows, files):
 def test_stream_against_plain_python(spark, tmp_path, files, batches, monkeypatch):
     if files == batches:
         monkeypatch.setattr(audit, "GATHERED", 3)
+        monkeypatch.setattr(audit, "TEXTS", 2)
     rows = sorted(odd_rows(), key=lambda r: -(r[0] or 0))
     folder = str(tmp_path / "documents.parquet")
     write(spark, folder, rows, files)
