@@ -15,6 +15,7 @@ are remembered; stretches of any length go through the same window.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections.abc import Iterator
@@ -32,7 +33,9 @@ UNKNOWN_PENALTY = 10.0
 # Stretches whose ids a task remembers, and their longest length.
 REMEMBER, SHORT = 1 << 19, 48
 # Lengths of beginnings whose windows a task remembers.
-HEADS = (4, 8)
+HEADS = (3, 5)
+# Characters before a boundary that tell which pieces can end there.
+TAIL = 4
 # Boundaries between two looks for a shared boundary.
 LOOK = 64
 
@@ -128,8 +131,8 @@ class Pieces:
         self.sizes = Remembered(self._sizes)
         self.tails: dict[str, set[int]] = {}
         for piece in self.ids:
-            if len(piece) > 2:
-                self.tails.setdefault(piece[-3:], set()).add(len(piece))
+            if len(piece) >= TAIL:
+                self.tails.setdefault(piece[-TAIL:], set()).add(len(piece))
         self.line_end = self.window("\n") if self.plain else ()
 
     def __reduce__(self):
@@ -192,9 +195,9 @@ class Pieces:
             across = score.get(ends[i] + starts[j])
 
     def _sizes(self, tail: str) -> tuple[int, ...]:
-        """Lengths, longest first, of the pieces that can end where the text ends in ``tail`` (up to three characters)."""
-        longer = self.tails.get(tail, ()) if len(tail) == 3 else ()
-        return (*sorted(longer, reverse=True), *((2,) if tail[-2:] in self.ids and len(tail) > 1 else ()), 1)
+        """Lengths, longest first, that pieces can have which end where the text ends in ``tail`` (up to ``TAIL`` characters)."""
+        longer = sorted(self.tails.get(tail, ()), reverse=True) if len(tail) == TAIL else ()
+        return (*longer, *(n for n in range(min(len(tail), TAIL - 1), 1, -1) if tail[-n:] in self.ids), 1)
 
     def _grow(self, text: str, last: list[str], total: list[float], base: int, start: int, stop: int) -> None:
         """Find the surviving step to each boundary from ``start`` to ``stop``.
@@ -203,28 +206,33 @@ class Pieces:
         surviving path to it and (unigram) its score.
         """
         ids, apart, sizes, score = self.ids, self.apart, self.sizes, self.score
-        by_merges = self.kind == BPE
+        if self.kind == BPE:
+            for i in range(start, stop + 1):
+                for size in sizes[text[i - TAIL : i] if i > TAIL else text[:i]]:
+                    if size < i:
+                        step = text[i - size : i]
+                        # Lengths up to the tail's are of pieces (or one character).
+                        if (size <= TAIL or step in ids) and apart[last[i - size - base], step]:
+                            break
+                    elif size == i:
+                        step = text[:i]
+                        if size <= TAIL or step in ids:
+                            break
+                last.append(step)
+            return
         for i in range(start, stop + 1):
-            if by_merges:
-                for size in sizes[text[i - 3 : i] if i > 2 else text[:i]]:
-                    if size > i:
+            best = step = None
+            for size in sizes[text[i - TAIL : i] if i > TAIL else text[:i]]:
+                piece = text[i - size : i] if size <= i else ""
+                value = score.get(piece)
+                if value is None:
+                    if size > 1:
                         continue
-                    step = text[i - size : i]
-                    if (step in ids or size == 1) and (size == i or apart[last[i - size - base], step]):
-                        break
-            else:
-                best = step = None
-                for size in sizes[text[i - 3 : i] if i > 2 else text[:i]]:
-                    piece = text[i - size : i] if size <= i else ""
-                    value = score.get(piece)
-                    if value is None:
-                        if size > 1:
-                            continue
-                        value = self.floor
-                    value += total[i - size - base]
-                    if best is None or value > best:
-                        step, best = piece, value
-                total.append(best)
+                    value = self.floor
+                value += total[i - size - base]
+                if best is None or value > best:
+                    step, best = piece, value
+            total.append(best)
             last.append(step)
 
     def _head(self, head: str) -> tuple[list[str], list[float]]:
@@ -236,6 +244,22 @@ class Pieces:
         self._grow(head, last, total, 0, len(last), len(head))
         return last, total
 
+    def _at_once(self, text: str) -> list[str]:
+        """:meth:`steps` of a stretch that one look covers: grown once, walked back once."""
+        n = len(text)
+        if n > HEADS[1]:
+            last, total = self.heads[text[: HEADS[1]]]
+            last, total = last[:], total[:]
+        else:
+            last, total = [""], [0.0]
+        self._grow(text, last, total, 0, len(last), n)
+        path = []
+        while n:
+            path.append(step := last[n])
+            n -= len(step)
+        path.reverse()
+        return path
+
     def steps(self, text: str) -> Iterator[str]:
         """Pieces (or unknown characters) of one stretch, committed as soon as no path can change them."""
         n, longest = len(text), self.longest
@@ -273,9 +297,10 @@ class Pieces:
         return [self.bytes[b] for b in piece.encode()] if self.fallback else [self.unknown]
 
     def window(self, stretch: str) -> tuple[int, ...]:
-        ids = [*map(self.ids.get, path := [*self.steps(stretch)])]
+        path = self._at_once(stretch) if len(stretch) <= LOOK else [*self.steps(stretch)]
+        ids = tuple(map(self.ids.get, path))
         if None not in ids:
-            return tuple(ids)
+            return ids
         out: list[int] = []
         for piece in path:
             found = self.ids_of(piece)
@@ -325,6 +350,14 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
     schema = StructType(list(source.schema.fields)).add(ids, ArrayType(IntegerType(), False)).add(intact, BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Nothing here refers to itself, and looking for what does costs a tenth of the time.
+        gc.disable()
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
             found, same = [], []
