@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import line_dedup, mixing, near_texts, pieces, queries, rows, toxicity
+from glyphmill.llm import line_dedup, mixing, pieces, queries, rows, simhash, toxicity
 from glyphmill.session import scratch_path, ship_package
 
 
@@ -24,9 +24,9 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no kept earlier one shares four fifths of all five-word shingles with."""
+    """One document of each group whose fingerprints link, with the shingles and the limit of the operator's query."""
     ship_package(spark)
-    return near_texts.drop_similar(docs)
+    return simhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
