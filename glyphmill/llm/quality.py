@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.session import stored
 
-BITS = 20
+BITS = 18
 BUCKETS = 1 << BITS
 # Labelled rows that a model is fitted on at most (drawn by a hash of the id).
 FIT_ROWS = 24_000
