@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.session import stored
+from glyphmill.session import materialize
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -155,7 +155,7 @@ def featured(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataF
             yield pd.Series([featurizer.buckets(t).astype(np.int32) for t in texts])
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    return stored(chosen.select(F.pmod(F.hash("doc_id"), F.lit(SHARDS)).alias("shard"), place.alias("place"), "label", hashed("text").alias("buckets")))
+    return chosen.select(F.pmod(F.hash("doc_id"), F.lit(SHARDS)).alias("shard"), place.alias("place"), "label", hashed("text").alias("buckets"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, step: Step = Step()) -> Model:
@@ -165,27 +165,35 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     the driver in a round is bounded by the buckets. Without any label the model scores 0.5.
     """
     spark = docs.sparkSession
-    texts = featured(docs, labels, label, rows)
+    # Whole shards lie in a task, in order, and stay there over the rounds.
+    texts = featured(docs, labels, label, rows).repartition(SHARDS, "shard").sortWithinPartitions("shard", "place", "label")
+    texts = materialize(texts)
     state = State()
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((state.z, state.n))
 
-        def steps(frame: pd.DataFrame) -> pd.DataFrame:
+        def steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             z, n = shared.value
-            own = State(z.copy(), n.copy())
-            for buckets, mark in frame.sort_values(["place", "label"])[["buckets", "label"]].itertuples(index=False):
-                own.learn(np.asarray(buckets, np.int64), mark, step)
-            moved = np.flatnonzero((own.n != n) | (own.z != z))
-            return pd.DataFrame({"bucket": moved, "z": own.z[moved] - z[moved], "n": own.n[moved] - n[moved], "shard": frame["shard"].iloc[0]})
-
-        moves = texts.groupBy("shard").applyInPandas(steps, "bucket bigint, z double, n double, shard int")
-        # Sums in the order of the shards are the same in every run.
-        ordered = moves.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("shard", "z", "n"))).alias("m"))
-        add = lambda of: F.aggregate("m", F.lit(0.0), lambda total, m: total + m[of]) / SHARDS
-        found = ordered.select("bucket", add("z").alias("z"), add("n").alias("n")).toPandas()
-        at = found["bucket"].to_numpy()
-        state.z[at] += found["z"].to_numpy()
-        state.n[at] += found["n"].to_numpy()
+            at, own = None, None
+
+            def moved() -> pd.DataFrame:
+                return pd.DataFrame({"shard": [at], "z": [(own.z - z).tobytes()], "n": [(own.n - n).tobytes()]})
+
+            for frame in frames:
+                for shard, mark, buckets in zip(frame["shard"], frame["label"], frame["buckets"]):
+                    if shard != at:
+                        if own is not None:
+                            yield moved()
+                        at, own = shard, State(z.copy(), n.copy())
+                    own.learn(np.asarray(buckets), mark, step)
+            if own is not None:
+                yield moved()
+
+        # One row for each shard, added up in their order, so that reruns agree.
+        moves = sorted(texts.mapInPandas(steps, "shard int, z binary, n binary").collect())
+        for i, total in enumerate((state.z, state.n), 1):
+            for move in moves:
+                total += np.frombuffer(move[i], np.float64) / SHARDS
         shared.unpersist()
     weights = state.weights(step)
     return Model(weights[:-1].astype(np.float32), float(weights[-1]))
