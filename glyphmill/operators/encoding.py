@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions.hashing import MERSENNE_31, draw
-from glyphmill.functions.text import let
+from glyphmill.operators.merges import Segmenter
 from glyphmill.operators.ordering import row_index
-from glyphmill.session import materialize
 
 # Special tokens and their ids, and the label that losses ignore.
 PAD, UNK, CLS, SEP, MASK = "<pad>", "<unk>", "<s>", "</s>", "<mask>"
@@ -62,6 +62,32 @@ def word_ids(words: Column, vocab: Vocabulary) -> Column:
     return look_up(words)
 
 
+@dataclass(frozen=True)
+class Subwords:
+    """A trained byte-pair vocabulary: ids of its characters and merges after the special ones."""
+
+    spark: SparkSession
+    alphabet: list[str]
+    merges: list[tuple[str, str]]
+
+    @property
+    def size(self) -> int:
+        return len(SPECIALS) + len(self.alphabet) + len({a + b for a, b in self.merges} - set(self.alphabet))
+
+
+def subword_ids(words: Column, vocab: Subwords) -> Column:
+    """Ids of the symbols of an array of words, one after the other (Arrow batches; a task cuts a word once and remembers it)."""
+    shared = vocab.spark.sparkContext.broadcast((vocab.alphabet, vocab.merges))
+
+    @F.pandas_udf("array<int>")
+    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Segmenter(*shared.value, first_id=len(SPECIALS), unknown=UNK_ID)
+        for s in batches:
+            yield s.map(lambda ws: np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), dtype=np.int32))
+
+    return look_up(words)
+
+
 def encode(
     df: DataFrame, words: Column, vocab: Vocabulary, max_length: int | Column,
     pad: bool = True, pad_left: bool = False, keep: list[str] | None = None,
@@ -73,7 +99,25 @@ def encode(
     """
     limit = F.lit(max_length) if isinstance(max_length, int) else max_length
     cut = df.select(*(keep or df.columns), limit.cast("int").alias("_limit"), F.slice(words, F.lit(1), limit.cast("int") - 2).alias("_w"))
-    out = cut.withColumn("_ids", word_ids(F.col("_w"), vocab)).drop("_w")
+    return _framed(cut.withColumn("_ids", word_ids(F.col("_w"), vocab)).drop("_w"), keep or df.columns, pad, pad_left)
+
+
+def encode_subwords(
+    df: DataFrame, words: Column, vocab: Subwords, max_length: int | Column,
+    pad: bool = True, pad_left: bool = False, keep: list[str] | None = None,
+) -> DataFrame:
+    """:func:`encode` with the symbols that the merges leave of every word; only characters can be unknown.
+
+    No word has fewer than one symbol, so words beyond the limit are cut before the look-up and symbols after it.
+    """
+    limit = (F.lit(max_length) if isinstance(max_length, int) else max_length).cast("int")
+    cut = df.select(*(keep or df.columns), limit.alias("_limit"), F.slice(words, F.lit(1), limit - 2).alias("_w"))
+    found = cut.withColumn("_ids", subword_ids(F.col("_w"), vocab)).drop("_w")
+    return _framed(found.withColumn("_ids", F.slice("_ids", F.lit(1), F.col("_limit") - 2)), keep or df.columns, pad, pad_left)
+
+
+def _framed(out: DataFrame, keep: list[str], pad: bool, pad_left: bool) -> DataFrame:
+    """Start and end, padding and the masks around ``_ids`` of rows with a ``_limit``."""
     n_pad = F.col("_limit") - F.size("_ids") - 2 if pad else F.lit(0)
     pads = lambda v: F.array_repeat(F.lit(v), n_pad)
     edge = lambda v: F.array(F.lit(v))
@@ -85,7 +129,7 @@ def encode(
     body = F.transform("_ids", lambda _: F.lit(1))
     none = F.transform("_ids", lambda _: F.lit(0))
     return out.select(
-        *(keep or df.columns),
+        *keep,
         build(edge(CLS_ID), F.col("_ids"), edge(SEP_ID), PAD_ID).alias("input_ids"),
         build(edge(1), body, edge(1), 0).alias("attention_mask"),
         build(edge(1), none, edge(1), 1).alias("special_tokens_mask"),
@@ -150,72 +194,3 @@ def curriculum(
     for i in range(1, parts + 1):
         length = F.when(F.col("step") * parts >= i * steps, F.lit(lengths[i])).otherwise(length)
     return out.withColumn("max_length", length)
-
-
-# ---------------------------------------------------------------- byte-pair style vocabulary
-
-_JOIN = "\u0001"
-
-
-def train_merges(df: DataFrame, words: Column, n_merges: int, look_ahead: int = 64) -> tuple[list[str], list[tuple[str, str]]]:
-    """Base symbols and the first ``n_merges`` byte-pair merges of the corpus's words.
-
-    Spark counts word types once and symbol pairs every round; the driver sees only the
-    ``look_ahead`` best pairs. The best pair is the most frequent, ties by symbols. A round applies
-    every leading pair that cannot influence the others: no shared symbols, a strictly smaller
-    count behind it, and no pair whose merged symbol is used by another.
-    """
-    types = df.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    state = materialize(types.select(F.concat(F.lit(_JOIN), F.regexp_replace("w", "(?<=.)", _JOIN)).alias("s"), "n"))
-    alphabet = sorted(r[0] for r in state.select(F.explode(_symbols(F.col("s"))).alias("c")).distinct().collect())
-    merges: list[tuple[str, str]] = []
-    while len(merges) < n_merges:
-        pairs = state.select(F.col("n"), F.explode(_symbol_pairs(_symbols(F.col("s")))).alias("p"))
-        ranked = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").limit(look_ahead + 1).collect()
-        batch = _independent(ranked, look_ahead, n_merges - len(merges))
-        if not batch:
-            break
-        merges.extend(batch)
-        state = materialize(state.select(_apply_merges(F.col("s"), batch).alias("s"), "n"))
-    return alphabet, merges
-
-
-def _symbols(s: Column) -> Column:
-    return F.regexp_extract_all(s, F.lit(f"[^{_JOIN}]+"), F.lit(0))
-
-
-def _symbol_pairs(symbols: Column) -> Column:
-    def pairs(s: Column) -> Column:
-        places = F.when(F.size(s) > 1, F.sequence(F.lit(0), F.size(s) - 2))
-        return F.transform(places, lambda i: F.struct(F.get(s, i).alias("a"), F.get(s, i + 1).alias("b")))
-
-    return let(symbols, pairs)
-
-
-def _independent(ranked: list, look_ahead: int, room: int) -> list[tuple[str, str]]:
-    """Leading pairs of the ranking that one pass can apply with the result of one-by-one merging."""
-    out: list[tuple[str, str]] = []
-    used: set[str] = set()
-    for i, row in enumerate(ranked[:look_ahead]):
-        a, b = row["a"], row["b"]
-        merged = {x + y for x, y in out}
-        if len(out) == room or (out and ({a, b} & (used | merged) or a + b in used or a + b in merged)):
-            break
-        # A new pair made by an earlier merge of the batch counts at most as much as the next in rank.
-        if out and i + 1 < len(ranked) and ranked[i + 1]["n"] == row["n"]:
-            break
-        out.append((a, b))
-        used |= {a, b}
-    return out
-
-
-def _apply_merges(s: Column, batch: list[tuple[str, str]]) -> Column:
-    """Left to right, join the two symbols of each merge; symbols are set between separators."""
-    for a, b in batch:
-        pair = f"(?<={_JOIN})" + _literal(a) + _JOIN + _literal(b) + f"(?={_JOIN})"
-        s = F.regexp_replace(s, pair, (a + b).replace("\\", "\\\\").replace("$", "\\$"))
-    return s
-
-
-def _literal(symbol: str) -> str:
-    return "".join(f"\\x{{{ord(c):X}}}" for c in symbol)

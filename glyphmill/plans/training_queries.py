@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
 from glyphmill.functions.hashing import draw
-from glyphmill.operators import encoding, inference, network
+from glyphmill.operators import encoding, inference, merges, network
 from glyphmill.plans.registry import query, spread_documents, sql_draw, sql_runs, sql_tokens, table
 from glyphmill.plans.text_queries import CENTRALITY, _NETWORK, _sql_mask, word_network
 from glyphmill.session import materialize
@@ -87,15 +87,65 @@ def context_curriculum(spark: SparkSession, sf: str) -> DataFrame:
     return encoded.select("doc_id", "step", "max_length", F.size("input_ids").alias("n_ids"))
 
 
+# Entries of the trained vocabulary beyond the characters; 70,000 take the same rounds, only more of them.
+MERGES = 2000
+_TRAINED: dict[tuple[str, str], encoding.Subwords] = {}
+
+
+def subwords(spark: SparkSession, sf: str) -> encoding.Subwords:
+    """The vocabulary of all words of the documents, trained once for a table and Spark context."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        alphabet, found = merges.train_merges(spread_documents(spark, sf, "text"), tx.clean_words(F.col("text")), MERGES)
+        _TRAINED[key] = encoding.Subwords(spark, alphabet, found)
+    return _TRAINED[key]
+
+
 @query("train_vocab")
 def train_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    """Base symbols and the first merges over all words of the documents."""
-    alphabet, merges = encoding.train_merges(spread_documents(spark, sf, "text"), tx.clean_words(F.col("text")), 30)
-    tokens = [(i, s, "symbol") for i, s in enumerate(alphabet)]
-    tokens += [(len(alphabet) + i, a + b, "merge") for i, (a, b) in enumerate(merges)]
+    """Base symbols and the first 2,000 merges over all words of the documents."""
+    vocab = subwords(spark, sf)
+    tokens = [(i, s, "symbol") for i, s in enumerate(vocab.alphabet)]
+    tokens += [(len(vocab.alphabet) + i, a + b, "merge") for i, (a, b) in enumerate(vocab.merges)]
     return spark.createDataFrame(tokens, "token_id int, token string, kind string")
 
 
+@query("token_count_subword")
+def token_count_subword(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of every document and the symbols that the trained merges leave of them."""
+    words = tx.clean_words(F.col("text"))
+    counted = spread_documents(spark, sf, "text").select("doc_id", words.alias("w"))
+    return counted.select("doc_id", F.size("w").alias("n_words"), F.size(encoding.subword_ids(F.col("w"), subwords(spark, sf))).alias("n_tokens"))
+
+
+def _subword_encoded(spark: SparkSession, sf: str, length: int, pad: bool = True) -> DataFrame:
+    return encoding.encode_subwords(spread_documents(spark, sf, "text"), tx.clean_words(F.col("text")), subwords(spark, sf), length, pad=pad, keep=["doc_id"])
+
+
+@query("encode_subword_pad")
+def encode_subword_pad(spark: SparkSession, sf: str) -> DataFrame:
+    encoded = _subword_encoded(spark, sf, CAUSAL)
+    return encoded.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("input_ids", "attention_mask", "special_tokens_mask")])
+
+
+@query("encode_subword_truncate")
+def encode_subword_truncate(spark: SparkSession, sf: str) -> DataFrame:
+    encoded = _subword_encoded(spark, sf, MASKED, pad=False)
+    return encoded.select("doc_id", F.array_join("input_ids", ",").alias("input_ids"), F.size("input_ids").alias("n_ids"))
+
+
+@query("mlm_mask_subword")
+def mlm_mask_subword(spark: SparkSession, sf: str) -> DataFrame:
+    masked = encoding.mlm_mask(_subword_encoded(spark, sf, MASKED), "doc_id", subwords(spark, sf).size, p=0.3)
+    return masked.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("input_ids", "labels")])
+
+
+@query("causal_labels_subword")
+def causal_labels_subword(spark: SparkSession, sf: str) -> DataFrame:
+    encoded = _subword_encoded(spark, sf, CAUSAL)
+    return encoded.select("doc_id", F.array_join(encoding.causal_labels(F.col("input_ids")), ",").alias("labels"))
+
+
 @query("batch_infer", f"""
     WITH m AS (SELECT doc_id, string_split({_sql_mask(7)}, ' ') AS w FROM documents)
     SELECT doc_id, 'previous_word' AS model, array_to_string(list_transform(w, lambda x, i: CASE WHEN x <> '<mask>' THEN x WHEN i > 1 THEN w[i - 1] ELSE '' END), ' ') AS output FROM m

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
+from glyphmill.operators import merges as merges_of
 from glyphmill.operators import encoding, evaluation, inference
 
 
@@ -107,7 +108,7 @@ def plain_merges(freq, n):
 ])
 def test_merges_equal_one_by_one_merging(spark, text, n):
     df = spark.createDataFrame([(t,) for t in text.split()], "text string")
-    alphabet, merges = encoding.train_merges(df, F.split("text", " "), n)
+    alphabet, merges = merges_of.train_merges(df, F.split("text", " "), n)
     assert merges == plain_merges(Counter(text.split()), n)
     assert alphabet == sorted(set(text.replace(" ", "")))
 
