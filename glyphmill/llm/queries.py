@@ -27,7 +27,7 @@ SHARDS, SHARD_SEED = 8, 20
 
 @query
 def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document; the text is read once and only its digest is sorted.
+    """Shard and slot of every document; only digests of the texts are sorted.
 
     A NULL text counts no bytes (size 1) and has CRC-32 0.
     """
