@@ -51,7 +51,7 @@ def test_run_and_empty_documents(spark, small, tmp_path):
 @pytest.mark.parametrize("name", [n for n in oracles.SQL if n != "op1_feistel_shards"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     want = con.execute(oracles.SQL[name])
     columns = [c[0] for c in want.description]
