@@ -233,45 +233,6 @@ def greedy_dropped(bands: DataFrame, keys: list[str]) -> DataFrame:
     return _union(dropped, bands)
 
 
-def verified_dropped(bands: DataFrame, keys: list[str], df: DataFrame, text: str, ord_col: str, n: int, threshold: float) -> DataFrame:
-    """``ord`` of the rows that a sequential pass with verification would drop.
-
-    A pass in ``ord`` drops a row if its true Jaccard similarity to an earlier **kept** row of one of its
-    buckets reaches ``threshold``. In rounds: a row that comes first in all of its open buckets is
-    kept, and the rest of these buckets is compared with it alone; what is similar is dropped, the
-    other rows go on without it. Every round decides the first open row at least, and a bucket takes
-    as many rounds as rows of it are kept, so pairs are never listed.
-    """
-    open_rows, total = shared_buckets(bands, keys)
-    sets = materialize(shingle_sets(df, open_rows.select("ord").distinct(), text, ord_col, n))
-    return similar_dropped(open_rows, total, keys, sets, threshold)
-
-
-def shared_buckets(bands: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
-    """``ord, keys`` of the buckets that more than one row falls into, and the number of rows of ``bands``."""
-    leaders = bucket_leaders(bands, keys)
-    total = bands.count()
-    return materialize(join_by_key(bands, leaders, keys, "size", total, ["ord"]).select("ord", *keys)), total
-
-
-def similar_dropped(open_rows: DataFrame, total: int, keys: list[str], sets: DataFrame, threshold: float) -> DataFrame:
-    """The rounds of :func:`verified_dropped` over shared buckets and the shingle sets ``ord, _s`` of their rows."""
-    dropped = []
-    while not is_empty(open_rows):
-        firsts = materialize(open_rows.groupBy(*keys).agg(F.min("ord").alias("leader"), F.count(F.lit(1)).alias("size")))
-        need = open_rows.groupBy(F.col("ord").alias("leader")).agg(F.count(F.lit(1)).alias("need"))
-        led = firsts.groupBy("leader").agg(F.count(F.lit(1)).alias("led"))
-        kept = materialize(led.join(need, "leader").where("led = need").select("leader"))
-        taken = firsts.join(kept, "leader", "left_semi").select(*keys, "leader", "size")
-        met = join_by_key(open_rows, taken, keys, "size", total, ["ord"])
-        links = materialize(met.where(F.col("ord") != F.col("leader")).select("ord", "leader").distinct())
-        similar = materialize(link_similarity(sets, links).where(F.col("jaccard") >= threshold).select("ord").distinct())
-        dropped.append(similar)
-        gone = similar.unionByName(kept.select(F.col("leader").alias("ord")))
-        open_rows = materialize(open_rows.join(gone, "ord", "left_anti"))
-    return _union(dropped, open_rows).distinct()
-
-
 def _union(parts: list[DataFrame], bands: DataFrame) -> DataFrame:
     if not parts:
         return bands.select("ord").limit(0)
@@ -283,9 +244,9 @@ def _union(parts: list[DataFrame], bands: DataFrame) -> DataFrame:
 
 def drop_near(
     df: DataFrame, text: str = "text", ord_col: str = "ord", by: list[str] | None = None,
-    n: int = 3, num_perm: int = 128, threshold: float = 0.75, seed: int = 1, keep_short: bool = False, verify: bool = False,
+    n: int = 3, num_perm: int = 128, threshold: float = 0.75, seed: int = 1, keep_short: bool = False,
 ) -> DataFrame:
-    """Near-duplicate removal, keep-first; ``verify`` drops a row only for a kept row of true similarity.
+    """Near-duplicate removal, keep-first, by buckets alone; :func:`near_pairs.drop_verified` asks for true similarity.
 
     ``by`` keeps separate indexes (for example per split); without it one index serves all rows in
     ``ord``. Blank rows and rows of fewer than ``n`` words are dropped unless ``keep_short``.
@@ -293,7 +254,7 @@ def drop_near(
     by = by or []
     bands = materialize(band_table(df, text, ord_col, by, n, num_perm, threshold, seed))
     keys = [*by, "band", "key"]
-    dropped = verified_dropped(bands, keys, df, text, ord_col, n, threshold) if verify else greedy_dropped(bands, keys)
+    dropped = greedy_dropped(bands, keys)
     if keep_short:
         return df.join(dropped.withColumnRenamed("ord", ord_col), ord_col, "left_anti").select(*df.columns)
     # Every comparable row has exactly one entry in band 0.

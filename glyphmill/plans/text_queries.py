@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
 from glyphmill.functions.hashing import draw
-from glyphmill.operators import dedup, network, ordering
+from glyphmill.operators import dedup, near_pairs, network, ordering
 from glyphmill.plans.benchmark import benchmark_rows
 from glyphmill.plans.registry import (
     query, spread_documents, sql_clean_words, sql_draw, sql_int31, sql_ngrams, sql_not_blank, sql_tokens, sql_words, table,
@@ -30,9 +30,7 @@ _SIGNED = f"""
     sig AS (SELECT doc_id, i, min((a::BIGINT * h + b) % 2147483647) AS m FROM hs CROSS JOIN perm GROUP BY 1, 2)"""
 _BANDED = f"""{_SIGNED},
     bands AS (SELECT doc_id, i // {_ROWS} AS band, string_agg(m::VARCHAR, ',' ORDER BY i) AS key FROM sig
-              WHERE i < {_BANDS * _ROWS} GROUP BY 1, 2),
-    led AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY band, key) AS leader FROM bands),
-    links AS (SELECT DISTINCT doc_id, leader FROM led WHERE doc_id > leader)"""
+              WHERE i < {_BANDS * _ROWS} GROUP BY 1, 2)"""
 
 
 @query("shingles", f"""
@@ -49,41 +47,44 @@ def minhash_signatures(spark: SparkSession, sf: str) -> DataFrame:
     return signed.select("doc_id", F.array_join("signature", ",").alias("signature"))
 
 
-@query("lsh_candidates", f"WITH {_BANDED} SELECT doc_id, leader FROM links")
+# Classes of equal shingle sets, all pairs of representatives in the buckets of the short bands, their true similarity.
+_VERIFIED = f"""{_SIGNED},
+    cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS rep FROM (SELECT doc_id, string_agg(s, chr(10) ORDER BY s) AS g FROM sh GROUP BY 1)),
+    bands AS (SELECT doc_id, i // {near_pairs.ROWS} AS band, string_agg(m::VARCHAR, ',' ORDER BY i) AS key FROM sig
+              WHERE i < {near_pairs.BANDS * near_pairs.ROWS} AND doc_id IN (SELECT rep FROM cls) GROUP BY 1, 2),
+    mates AS (SELECT DISTINCT p.doc_id AS later, q.doc_id AS earlier FROM bands p JOIN bands q ON p.band = q.band AND p.key = q.key AND p.doc_id > q.doc_id),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+    common AS (SELECT later, earlier, count(*) AS c FROM mates JOIN sh a ON a.doc_id = later JOIN sh b ON b.doc_id = earlier AND a.s = b.s GROUP BY 1, 2),
+    verified AS (SELECT later, earlier, c / (x.n + y.n - c) AS jaccard FROM common JOIN n x ON x.doc_id = later JOIN n y ON y.doc_id = earlier
+                 WHERE c / (x.n + y.n - c) >= 0.75)"""
+
+
+@query("lsh_candidates", f"""
+    WITH {_VERIFIED}, ends AS (SELECT rep, count(*) AS n FROM (SELECT later AS rep FROM verified UNION ALL SELECT earlier FROM verified) GROUP BY 1)
+    SELECT doc_id, rep AS class_id, coalesce(n, 0) AS n_links FROM cls LEFT JOIN ends USING (rep)""")
 def lsh_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    bands = materialize(dedup.band_table(spread_documents(spark, sf, "text"), "text", "doc_id"))
-    return dedup.candidate_links(bands).withColumnRenamed("ord", "doc_id")
+    """Class of equal shingle sets of every row, with the number of other classes that are near it."""
+    _, membership = near_pairs.verified_pairs(spread_documents(spark, sf, "text"), "text", "doc_id")
+    return membership.select(F.col("ord").alias("doc_id"), F.col("rep").alias("class_id"), "n_links")
 
 
-@query("jaccard_pairs", f"""
-    WITH {_BANDED}, n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
-         common AS (SELECT l.doc_id, l.leader, count(*) AS c FROM links l JOIN sh a ON a.doc_id = l.doc_id
-                    JOIN sh b ON b.doc_id = l.leader AND a.s = b.s GROUP BY 1, 2)
-    SELECT l.doc_id, l.leader, round(coalesce(c, 0) / (x.n + y.n - coalesce(c, 0)), 6) AS jaccard
-    FROM links l LEFT JOIN common c ON c.doc_id = l.doc_id AND c.leader = l.leader
-    JOIN n x ON x.doc_id = l.doc_id JOIN n y ON y.doc_id = l.leader""")
+@query("jaccard_pairs", f"WITH {_VERIFIED} SELECT later AS doc_id, earlier AS near_id, round(jaccard, 6) AS jaccard FROM verified")
 def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    df = spread_documents(spark, sf, "text")
-    links = dedup.candidate_links(materialize(dedup.band_table(df, "text", "doc_id")))
-    out = dedup.verified_links(df, links, "text", "doc_id", 3)
-    return out.select(F.col("ord").alias("doc_id"), "leader", F.round("jaccard", 6).alias("jaccard"))
+    """Every pair of class representatives that meets in a bucket and is similar, with its true similarity."""
+    pairs, _ = near_pairs.verified_pairs(spread_documents(spark, sf, "text"), "text", "doc_id")
+    return pairs.select(F.col("later").alias("doc_id"), F.col("earlier").alias("near_id"), F.round("jaccard", 6).alias("jaccard"))
 
 
 # The sequential pass in SQL: one step per row with a collision, carrying the rows dropped so far.
-_ALL_PAIRS = "SELECT later, earlier FROM met"
-_SIMILAR = """
-    SELECT m.later, m.earlier FROM met m JOIN (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1) x ON x.doc_id = m.later
-    JOIN (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1) y ON y.doc_id = m.earlier
-    JOIN (SELECT m.later, m.earlier, count(*) AS c FROM met m JOIN sh a ON a.doc_id = m.later JOIN sh b ON b.doc_id = m.earlier AND a.s = b.s GROUP BY 1, 2) c
-      ON c.later = m.later AND c.earlier = m.earlier WHERE c.c / (x.n + y.n - c.c) >= 0.75"""
+_MET = """
+    SELECT DISTINCT x.doc_id AS later, y.doc_id AS earlier FROM bands p JOIN bands q ON p.band = q.band AND p.key = q.key
+    JOIN o x ON x.doc_id = p.doc_id JOIN o y ON y.doc_id = q.doc_id WHERE y.o < x.o AND x.grp = y.grp"""
 
 
-def _greedy_sql(ord_expr: str, separate: str, select: str, pairs: str = _ALL_PAIRS) -> str:
+def _greedy_sql(ord_expr: str, separate: str, select: str, tables: str = _BANDED, pairs: str = _MET) -> str:
     return f"""
-    WITH RECURSIVE {_BANDED},
+    WITH RECURSIVE {tables},
       o AS (SELECT doc_id, {ord_expr} AS o, {separate} AS grp FROM documents),
-      met AS (SELECT DISTINCT x.doc_id AS later, y.doc_id AS earlier FROM bands p JOIN bands q ON p.band = q.band AND p.key = q.key
-                JOIN o x ON x.doc_id = p.doc_id JOIN o y ON y.doc_id = q.doc_id WHERE y.o < x.o AND x.grp = y.grp),
       pairs AS ({pairs}),
       near AS (SELECT later, list(earlier) AS es, row_number() OVER (ORDER BY min(o.o)) AS step FROM pairs JOIN o ON o.doc_id = later GROUP BY later),
       run(step, gone) AS (
@@ -107,9 +108,10 @@ def dedup_minhash_cross_split(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.drop_near(with_split(spread_documents(spark, sf, "text"), "doc_id").withColumn("ord", place), "text", "ord").select("doc_id", "split")
 
 
-@query("dedup_minhash_verified", _greedy_sql("doc_id", "1", "doc_id", _SIMILAR))
+@query("dedup_minhash_verified", _greedy_sql("doc_id", "1", "doc_id", _VERIFIED,
+       "SELECT c.doc_id AS later, earlier FROM verified JOIN cls c ON c.rep = later UNION ALL SELECT doc_id, rep FROM cls WHERE doc_id > rep"))
 def dedup_minhash_verified(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.drop_near(spread_documents(spark, sf, "text"), "text", "doc_id", verify=True).select("doc_id")
+    return near_pairs.drop_verified(spread_documents(spark, sf, "text"), "text", "doc_id").select("doc_id")
 
 
 # ---------------------------------------------------------------- bigrams and the word network

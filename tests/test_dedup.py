@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
 from glyphmill.functions.hashing import MERSENNE_31, py_int31
-from glyphmill.operators import dedup
+from glyphmill.operators import dedup, near_pairs
 
 
 def sequential(rows, keep_groups=False):
@@ -122,25 +122,79 @@ def test_source_overlap_counts_texts_once(spark):
     assert got == [("a", "b", 2), ("a", "c", 1), ("b", "c", 1)]
 
 
-def test_verified_removal_equals_a_sequential_pass(spark, hot_keys):
+def grams(text):
+    words = text.lower().split() if text else []
+    return frozenset(" ".join(words[i : i + 3]) for i in range(len(words) - 2))
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b)
+
+
+def plain_buckets(text):
+    hashes = [py_int31(g) for g in grams(text)]
+    sig = [min((a * h + b) % MERSENNE_31 for h in hashes) for a, b in dedup.permutations(128)]
+    return {(i, tuple(sig[i * near_pairs.ROWS : (i + 1) * near_pairs.ROWS])) for i in range(near_pairs.BANDS)}
+
+
+@pytest.mark.parametrize("limits", [{}, {"block_rows": 3}, {"block_shingles": 200}])
+def test_verified_pairs_equal_all_pairs(spark, hot_keys, limits):
     rows = corpus()
-    grams = lambda t: {tuple(t.lower().split()[i : i + 3]) for i in range(len(t.split()) - 2)}
-    kept, buckets = [], {}
-    for o, _, text in sorted(rows):
-        keys = plain_bands(text)
-        if keys is None:
-            continue
-        mates = {k for key in keys for k in buckets.get(key, [])}
-        if all(len(grams(text) & grams(m)) < 0.9 * len(grams(text) | grams(m)) for m in mates):
-            kept.append(o)
-            for key in keys:
-                buckets.setdefault(key, []).append(text)
+    sets = {o: grams(t) for o, _, t in rows if grams(t)}
+    first = {}
+    for o in sorted(sets):
+        first.setdefault(sets[o], o)
+    buckets = {o: plain_buckets(t) for o, _, t in rows if o in first.values()}
+    want = {
+        (b, a): similarity(sets[a], sets[b])
+        for a in buckets for b in buckets if a < b and buckets[a] & buckets[b] and similarity(sets[a], sets[b]) >= 0.75
+    }
+    df = spark.createDataFrame(rows, "ord long, split string, text string").repartition(5)
+    pairs, membership = near_pairs.verified_pairs(df, "text", "ord", 0.75, **limits)
+    found = [tuple(r) for r in pairs.collect()]
+    assert len(found) == len(want) and {(a, b): pytest.approx(s) for a, b, s in found} == want
+    ends = [o for pair in want for o in pair]
+    assert {tuple(r) for r in membership.collect()} == {(o, first[s], ends.count(first[s])) for o, s in sets.items()}
+
+
+@pytest.mark.parametrize("by", [None, ["split"]])
+def test_verified_removal_equals_a_sequential_pass(spark, by):
+    rows = corpus()
+    kept = []
+    for o, split, text in sorted(rows):
+        mine = grams(text)
+        mates = [t for _, s, t in kept if by is None or s == split]
+        if mine and all(similarity(mine, grams(m)) < 0.8 or not plain_buckets(text) & plain_buckets(m) for m in mates):
+            kept.append((o, split, text))
     df = spark.createDataFrame(rows, "ord long, split string, text string").repartition(5)
-    # Bands as for 0.75, verification at 0.9: some candidates are not similar enough.
-    bands = dedup.band_table(df, "text", "ord")
-    gone = {r["ord"] for r in dedup.verified_dropped(bands, ["band", "key"], df, "text", "ord", 3, 0.9).collect()}
-    assert sorted(o for o, _, t in rows if plain_bands(t) is not None and o not in gone) == kept
-    assert dedup.drop_near(df, verify=True).count() >= dedup.drop_near(df).count()
+    got = near_pairs.drop_verified(df, by=by, threshold=0.8)
+    assert sorted(r["ord"] for r in got.collect()) == [o for o, _, _ in kept]
+    assert near_pairs.drop_verified(df, by=by, threshold=0.8, keep_short=True).count() == len(kept) + 3
+
+
+def test_a_template_family_is_kept_whole_in_few_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    shared = [f"t{i}" for i in range(80)]
+    rows = [(o, " ".join([*shared, *[f"x{rng.randrange(10**9)}" for _ in range(20)]])) for o in range(2000)]
+    rounds = []
+    plain = near_pairs.is_empty
+    monkeypatch.setattr(near_pairs, "is_empty", lambda df: rounds.append(1) or plain(df))
+    df = spark.createDataFrame(rows, "ord long, text string")
+    assert near_pairs.drop_verified(df).count() == 2000
+    assert len(rounds) <= 10
+
+
+def test_first_kept_over_a_chain(spark):
+    links = [(o + 1, o) for o in range(30)] + [(100, 0), (101, 1)]
+    gone = {r["ord"] for r in near_pairs.first_kept(spark.createDataFrame(links, "later long, earlier long")).collect()}
+    assert gone == set(range(1, 31, 2)) | {100}
+
+
+def test_verified_pairs_of_empty_and_short_tables(spark):
+    rows = [(1, None), (2, ""), (3, "a b")]
+    for part in (rows, []):
+        pairs, membership = near_pairs.verified_pairs(spark.createDataFrame(part, "ord long, text string"), "text", "ord")
+        assert pairs.count() == 0 and membership.count() == 0
 
 
 def test_a_long_chain_of_links_finishes(spark):
