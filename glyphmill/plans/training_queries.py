@@ -187,41 +187,45 @@ def betweenness(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Rounds of the SQL iteration: many more than either side needs to agree in six digits.
-_EIGENVECTOR = """
-    links AS (SELECT a, b FROM adj UNION ALL SELECT w1, w1 FROM inner_net WHERE w1 = w2 UNION ALL SELECT word, word FROM kept),
+_EIGENVECTOR = f"""{_NETWORK},
+    links AS (SELECT w1 AS a, w2 AS b FROM net WHERE w1 <> w2 UNION ALL SELECT w2, w1 FROM net WHERE w1 <> w2
+              UNION ALL SELECT w1, w1 FROM net WHERE w1 = w2 UNION ALL SELECT word, word FROM deg),
     eig(it, word, x) AS (
-      SELECT 0, word, 1.0::DOUBLE / (SELECT count(*) FROM kept) FROM kept
+      SELECT 0, word, 1.0::DOUBLE / (SELECT count(*) FROM deg) FROM deg
       UNION ALL
-      SELECT it + 1, word, s / sqrt(sum(s * s) OVER ()) FROM (SELECT e.it, l.b AS word, sum(e.x) AS s FROM eig e JOIN links l ON l.a = e.word WHERE e.it < 200 GROUP BY e.it, l.b))"""
+      SELECT it + 1, word, s / sqrt(sum(s * s) OVER ()) FROM (SELECT e.it, l.b AS word, sum(e.x) AS s FROM eig e JOIN links l ON l.a = e.word WHERE e.it < 100 GROUP BY e.it, l.b))"""
+_METRICS = f"""
+    WITH RECURSIVE {_EIGENVECTOR}, {_BETWEENNESS.replace(_NETWORK + ",", "")}
+    SELECT d.word, round(d.centrality, 6) AS degree, round(CASE WHEN k.word IS NOT NULL THEN {_BC} END, 6) AS betweenness, round(e.x, 6) AS eigenvector
+    FROM cent d JOIN eig e ON e.word = d.word AND e.it = 100 LEFT JOIN kept k ON k.word = d.word LEFT JOIN between b ON b.word = d.word"""
 _PRECISE = {"max_rounds": 1000, "tolerance": 1e-12}
 
 
-@query("eigenvector", f"WITH RECURSIVE {_ADJ}, {_EIGENVECTOR} SELECT word, round(x, 6) AS eigenvector FROM eig WHERE it = 200")
+@query("eigenvector", f"WITH RECURSIVE {_EIGENVECTOR} SELECT word, round(x, 6) AS eigenvector FROM eig WHERE it = 100")
 def eigenvector(spark: SparkSession, sf: str) -> DataFrame:
-    """Eigenvector centrality of the network of hub words."""
-    edges, nodes = hub_network(spark, sf)
-    return network.eigenvector(edges, nodes, **_PRECISE).withColumn("eigenvector", F.round("eigenvector", 6))
+    """Eigenvector centrality of every word of the network."""
+    edges = materialize(word_network(spark, sf))
+    return network.eigenvector(edges, **_PRECISE).withColumn("eigenvector", F.round("eigenvector", 6))
 
 
-@query("network_metrics", f"""
-    WITH RECURSIVE {_BETWEENNESS}, {_EIGENVECTOR}
-    SELECT k.word, round(d.degree / ((SELECT count(*) FROM kept) - 1), 6) AS degree, round({_BC}, 6) AS betweenness, round(e.x, 6) AS eigenvector
-    FROM kept k LEFT JOIN between b ON b.word = k.word JOIN inner_deg d ON d.word = k.word JOIN eig e ON e.word = k.word AND e.it = 200""")
-def network_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """The three centralities of the network of hub words."""
-    edges, nodes = hub_network(spark, sf)
-    out = network.network_metrics(edges, nodes, **_PRECISE)
-    return out.select("word", *[F.round(c, 6).alias(c) for c in ("degree", "betweenness", "eigenvector")])
+def _metrics(spark: SparkSession, sf: str) -> DataFrame:
+    edges = materialize(word_network(spark, sf))
+    hubs, kept = (materialize(t) for t in network.filter_by_centrality(edges, CENTRALITY))
+    whole = network.degree_centrality(edges).join(network.eigenvector(edges, **_PRECISE), "word")
+    out = whole.join(network.betweenness(hubs, kept), "word", "left")
+    return out.select("word", *[F.round(c, 6).alias(n) for c, n in (("centrality", "degree"), ("betweenness", "betweenness"), ("eigenvector", "eigenvector"))])
 
 
-@query("word_centralities")
-def word_centralities(spark: SparkSession, sf: str) -> DataFrame:
-    """Degree and eigenvector centrality of every word of the whole network.
+@query("network_metrics", _METRICS)
+def network_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Degree and eigenvector centrality of every word of the whole network, highest degree first.
 
     ``betweenness`` is that within the network of hub words and NULL for other words: it is quadratic in the words.
     """
-    edges = materialize(word_network(spark, sf))
-    hubs, kept = (materialize(t) for t in network.filter_by_centrality(edges, CENTRALITY))
-    whole = network.degree_centrality(edges).join(network.eigenvector(edges), "word")
-    out = whole.join(network.betweenness(hubs, kept), "word", "left")
-    return out.select("word", *[F.round(c, 6).alias(n) for c, n in (("centrality", "degree"), ("betweenness", "betweenness"), ("eigenvector", "eigenvector"))])
+    return _metrics(spark, sf).orderBy(F.desc("degree"), "word")
+
+
+@query("word_centralities", _METRICS)
+def word_centralities(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of ``network_metrics`` in no order."""
+    return _metrics(spark, sf)
