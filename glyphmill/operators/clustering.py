@@ -367,6 +367,39 @@ def silhouette(df: DataFrame, vec: str, label: str, noise: int | None = NOISE) -
     return ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(ready)
 
 
+def exact_silhouette(df: DataFrame, id_col: str, vec: str, label: str, noise: int | None = NOISE) -> DataFrame:
+    """``id, silhouette`` of every row by Euclidean distance, from sums per row and cluster.
+
+    Blocks of rows meet each other and a pair of blocks leaves one sum per row and cluster it met, so
+    pairs of rows are never written; the distances themselves are quadratic, as the definition is. A row
+    alone in its cluster has 0; without a second cluster there are no rows.
+    """
+    kept = df if noise is None else non_noise(df, label, noise)
+    blocks = materialize(packed(kept, id_col, vec, "b", extra=label))
+    others = blocks.toDF("a", "a_ids", "a_flat", "a_extra")
+
+    def tile(ids: np.ndarray, rows: np.ndarray, mine: np.ndarray, _: np.ndarray, met: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
+        names, place = np.unique(labels, return_inverse=True)
+        sums = np.zeros((len(rows), len(names)))
+        # Rows one by one: exact differences, and one block of distances at a time.
+        for i, row in enumerate(rows):
+            sums[i] = np.bincount(place, np.sqrt(np.square(met - row).sum(axis=1)), len(names))
+        return pd.DataFrame({"id": np.repeat(ids, len(names)), "label": np.repeat(mine, len(names)),
+                             "other": np.tile(names, len(ids)), "total": sums.ravel()})
+
+    parts = block_pairs(others, blocks, tile, "id bigint, label bigint, other bigint, total double")
+    sums = parts.groupBy("id", "label", "other").agg(F.sum("total").alias("total"))
+    sizes = kept.groupBy(F.col(label).cast("bigint").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    own = F.col("label") == F.col("other")
+    # A row is at distance 0 from itself and so counts in no sum, only in the number it is divided by.
+    mean = F.col("total") / F.when(own, F.greatest(F.col("n") - 1, F.lit(1))).otherwise(F.col("n"))
+    both = sums.join(sizes, "other").groupBy("id").agg(
+        F.max(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b"), F.max(F.when(own, F.col("n"))).alias("n")
+    ).where("b IS NOT NULL")
+    value = F.when(F.col("n") == 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return both.select(F.col("id").alias(id_col), value.alias("silhouette"))
+
+
 def sweep(points: DataFrame, id_col: str, dims: list[str], grid: list[tuple[float, int]]) -> DataFrame:
     """DBSCAN over a small grid of parameters with clusters, noise rows and silhouette for each."""
     spark = points.sparkSession

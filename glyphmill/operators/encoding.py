@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.hashing import MERSENNE_31, draw
 from glyphmill.operators.merges import Segmenter
-from glyphmill.operators.ordering import row_index
+from glyphmill.operators.ordering import numbered, row_index
 
 # Special tokens and their ids, and the label that losses ignore.
 PAD, UNK, CLS, SEP, MASK = "<pad>", "<unk>", "<s>", "</s>", "<mask>"
@@ -194,3 +194,25 @@ def curriculum(
     for i in range(1, parts + 1):
         length = F.when(F.col("step") * parts >= i * steps, F.lit(lengths[i])).otherwise(length)
     return out.withColumn("max_length", length)
+
+
+def epoch_schedule(
+    ids: DataFrame, id_col: str, initial: int, final: int, effective_batch: int, epochs: int = 1, parts: int = 5, seed: int = 1998,
+) -> DataFrame:
+    """``id, epoch, step, max_length`` of every row in every epoch, each epoch in an order of its own.
+
+    The order is a draw of (seed, epoch, id), ties by id. Only ids are numbered and nothing else moves:
+    join texts or encodings to the schedule, not the schedule's order to the texts. Progress exactly on
+    a breakpoint has the later length, as in :func:`curriculum`.
+    """
+    if epochs < 1:
+        raise ValueError("epochs is at least 1")
+    every = ids.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
+    drawn = every.withColumn("_draw", draw(seed, F.col("epoch"), F.col(id_col)))
+    placed = numbered(drawn, F.col("epoch"), F.col("_draw"), F.col(id_col), name="_row")
+    steps = max(math.ceil(placed.count() / effective_batch), 1)
+    lengths = context_lengths(initial, final, parts)
+    step = F.floor(F.col("_row") / effective_batch)
+    # The breakpoints as whole steps; their place in the list is that of the length in force.
+    reached = F.size(F.filter(F.array(*[F.lit(-(-i * steps // parts)) for i in range(1, parts + 1)]), lambda b: step >= b))
+    return placed.select(id_col, "epoch", step.alias("step"), F.get(F.array(*[F.lit(v) for v in lengths]), reached).alias("max_length"))

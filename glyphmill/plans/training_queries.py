@@ -9,7 +9,7 @@ from glyphmill.functions import text as tx
 from glyphmill.functions.hashing import draw
 from glyphmill.operators import encoding, inference, merges, network
 from glyphmill.plans.registry import query, spread_documents, sql_draw, sql_runs, sql_tokens, table
-from glyphmill.plans.text_queries import CENTRALITY, _NETWORK, _sql_mask, word_network
+from glyphmill.plans.text_queries import CENTRALITY, _NETWORK, _PAIRS, _sql_mask, word_network
 from glyphmill.session import materialize
 
 # Length limits of the masked and of the causal models.
@@ -87,6 +87,24 @@ def context_curriculum(spark: SparkSession, sf: str) -> DataFrame:
     return encoded.select("doc_id", "step", "max_length", F.size("input_ids").alias("n_ids"))
 
 
+EPOCHS, BATCH = 3, 8
+
+
+@query("epoch_curriculum", f"""
+    WITH t AS (SELECT doc_id, len({sql_tokens('text')}) AS n FROM documents),
+         r AS (SELECT doc_id, n, epoch, (row_number() OVER (ORDER BY epoch, {sql_draw(1998, 'epoch', 'doc_id')}, doc_id) - 1) // {BATCH} AS step,
+                 ceil(count(*) OVER () / {BATCH}.0) AS total FROM t, range({EPOCHS}) e(epoch)),
+         p AS (SELECT *, floor(step * 5 / total) AS part FROM r)
+    SELECT doc_id, epoch::INT AS epoch, step, (128 + (part * (1024 - 128))::BIGINT // 5)::INT AS max_length,
+           least(n + 2, 128 + (part * (1024 - 128))::BIGINT // 5)::INT AS n_ids FROM p""")
+def epoch_curriculum(spark: SparkSession, sf: str) -> DataFrame:
+    """Three epochs, each in a drawn order: step, length in force and ids used of every row."""
+    df = spread_documents(spark, sf, "text")
+    schedule = encoding.epoch_schedule(df.select("doc_id"), "doc_id", 128, 1024, BATCH, EPOCHS)
+    lengths = df.select("doc_id", F.size(tx.word_tokens(F.col("text"))).alias("_n"))
+    return schedule.join(lengths, "doc_id").select("doc_id", "epoch", "step", "max_length", F.least(F.col("_n") + 2, "max_length").alias("n_ids"))
+
+
 # Entries of the trained vocabulary beyond the characters; 70,000 take the same rounds, only more of them.
 MERGES = 2000
 _TRAINED: dict[tuple[str, str], encoding.Subwords] = {}
@@ -156,6 +174,21 @@ def batch_infer(spark: SparkSession, sf: str) -> DataFrame:
     return inference.batch_infer(df, "doc_id", "masked", models, batch_size=16)
 
 
+@query("fill_mask", f"""
+    WITH {_PAIRS}, n AS (SELECT w1, w2, count(*) AS n FROM pairs GROUP BY 1, 2),
+      m AS (SELECT doc_id, string_split({_sql_mask(7)}, ' ') AS s FROM documents),
+      i AS (SELECT doc_id, s, list_position(s, '<mask>') AS hit FROM m),
+      c AS (SELECT doc_id, lower(s[hit - 1]) AS l, lower(s[hit + 1]) AS r FROM i WHERE hit > 1 AND hit < len(s))
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a.n * b.n DESC, a.w2) AS rank, a.w2 AS word, a.n * b.n AS score
+    FROM c JOIN n a ON a.w1 = l JOIN n b ON b.w1 = a.w2 AND b.w2 = r QUALIFY rank <= 3""")
+def fill_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """The three best words for the masked one by the bigram counts of the whole corpus."""
+    df = spread_documents(spark, sf, "text")
+    masked = df.select("doc_id", tx.mask_word(F.col("text"), draw(7, F.col("doc_id"))).alias("masked"))
+    counts = materialize(network.bigram_counts(df, "text"))
+    return inference.fill_by_bigrams(masked, "doc_id", "masked", counts, 3)
+
+
 # ---------------------------------------------------------------- graph centralities of the filtered word network
 
 def hub_network(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

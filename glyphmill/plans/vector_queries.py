@@ -235,6 +235,19 @@ def silhouette(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(value,)], "silhouette double").select(F.round("silhouette", 6).alias("silhouette"))
 
 
+@query("silhouette_rows", """
+    WITH d AS (SELECT x.vec_id, x.label, y.label AS other, sum(sqrt(list_sum(list_transform(list_zip(x.embedding, y.embedding),
+                 lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))))) AS total FROM embeddings x, embeddings y GROUP BY 1, 2, 3),
+         k AS (SELECT label AS other, count(*) AS n FROM embeddings GROUP BY 1),
+         ab AS (SELECT vec_id, max(n) FILTER (label = other) AS n, max(total / greatest(n - 1, 1)) FILTER (label = other) AS a,
+                  min(total / n) FILTER (label <> other) AS b FROM d JOIN k USING (other) GROUP BY 1)
+    SELECT vec_id, round(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM ab WHERE b IS NOT NULL""")
+def silhouette_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Silhouette of every row by Euclidean distance."""
+    rows = clustering.exact_silhouette(embeddings(spark, sf), "vec_id", "embedding", "label", noise=None)
+    return rows.withColumn("silhouette", F.round("silhouette", 6))
+
+
 _SWEEP = [(0.015, 4), (0.02, 4), (0.03, 8)]
 _SWEPT = " UNION ALL ".join(f"""
     SELECT * FROM (WITH RECURSIVE {_dbscan(eps, least)},

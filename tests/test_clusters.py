@@ -184,3 +184,22 @@ def test_searches_of_rows_reach_the_blocks(spark, monkeypatch):
     assert vector_queries.similarity_rows(spark, sf).count() == asked * n
     monkeypatch.setattr(vector_queries.neighbors.knn, "__defaults__", ("vec_id", "query_id", "embedding", 0))
     assert {tuple(r) for r in vector_queries.knn_search_rows(spark, sf).collect()} == got
+
+
+def test_exact_silhouette_against_all_distances(spark):
+    from glyphmill.operators import clustering
+
+    rng = np.random.default_rng(3)
+    vecs = np.vstack([rng.normal(c, 1.0, (20, 4)) for c in (0.0, 3.0, 6.0)] + [[[9.0] * 4]])
+    labels = [0] * 20 + [1] * 20 + [-1] * 20 + [2]
+    dist = np.sqrt(((vecs[:, None] - vecs) ** 2).sum(axis=2))
+    mean = lambda i, lab: dist[i, [j for j in range(61) if labels[j] == lab and j != i]].mean()
+    want = {}
+    for i, lab in enumerate(labels):
+        if lab != -1:
+            a, b = (0.0 if lab == 2 else mean(i, lab)), min(mean(i, o) for o in {0, 1, 2} - {lab})
+            want[i] = 0.0 if lab == 2 else (b - a) / max(a, b)
+    df = spark.createDataFrame([(i, v.tolist(), lab) for i, (v, lab) in enumerate(zip(vecs, labels))], "id long, v array<double>, label int").repartition(4)
+    got = {r["id"]: r["silhouette"] for r in clustering.exact_silhouette(df, "id", "v", "label").collect()}
+    assert got == {i: pytest.approx(s) for i, s in want.items()}
+    assert clustering.exact_silhouette(df.where("label = 0"), "id", "v", "label").count() == 0

@@ -153,3 +153,28 @@ def test_leaderboard_published_rates(spark):
     assert [(r["model"], r["wins"], r["total"], r["win_rate"]) for r in board.collect()] == [(m, *v) for m, v in arena.items()]
     gains = {r["model"]: r["gain_points"] for r in evaluation.gain_over(board, "base").collect()}
     assert gains["large"] == 72.88 and gains["base"] == 0.0
+
+
+def test_every_epoch_has_its_own_order_and_progress(spark):
+    from glyphmill.functions.hashing import py_int31
+    from glyphmill.operators import encoding
+
+    ids = list(range(37))
+    order = [(e, i) for e in range(3) for i in sorted(ids, key=lambda i: (py_int31(f"5|{e}|{i}"), i))]
+    steps = -(-len(order) // 4)
+    lengths = encoding.context_lengths(16, 64)
+    want = {(i, e, at // 4, lengths[(at // 4) * 5 // steps]) for at, (e, i) in enumerate(order)}
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(3)
+    got = encoding.epoch_schedule(df, "id", 16, 64, 4, epochs=3, seed=5).collect()
+    assert len(got) == len(order) and {tuple(r) for r in got} == want
+    assert encoding.epoch_schedule(df.limit(0), "id", 16, 64, 4, epochs=2).count() == 0
+
+
+def test_fill_mask_scores_both_neighbours(spark):
+    from glyphmill.operators import inference
+
+    counts = spark.createDataFrame([("a", "x", 3), ("x", "b", 2), ("a", "y", 6), ("y", "b", 1), ("a", "z", 9), ("q", "b", 9)], "w1 string, w2 string, n_pairs long")
+    rows = [(1, "A <mask> b"), (2, "<mask> b"), (3, "a <mask>"), (4, "a b"), (5, None), (6, ""), (7, "n <mask> b"), (8, "c a <mask> b d")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = sorted(tuple(r) for r in inference.fill_by_bigrams(df, "id", "t", counts, 2).collect())
+    assert got == [(i, rank, w, 6) for i in (1, 8) for rank, w in ((1, "x"), (2, "y"))]
