@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,12 @@ def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], size: str,
     """
     limit = hot_size(total)
     extra = [c for c in per_key.columns if c not in keys]
+    taken = {c.lower() for c in (*rows.columns, *per_key.columns)}
+    salt = next(name for i in count() if (name := f"_salt{i}") not in taken and f"{name}s" not in taken)
     salts = F.ceil(F.col(size) / limit).cast("int")
-    hot = per_key.where(F.col(size) > limit).select(*keys, salts.alias("_salts"))
+    hot = per_key.where(F.col(size) > limit).select(*keys, salts.alias(f"{salt}s"))
     marked = rows.join(F.broadcast(hot), keys, "left")
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.col("_salts")).cast("int")
-    marked = marked.withColumn("_salt", F.coalesce(spread, F.lit(0)))
-    repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
-    return marked.join(repeated, [*keys, "_salt"]).select(*rows.columns, *extra)
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.col(f"{salt}s")).cast("int")
+    marked = marked.withColumn(salt, F.coalesce(spread, F.lit(0)))
+    repeated = per_key.withColumn(salt, F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return marked.join(repeated, [*keys, salt]).select(*rows.columns, *extra)
