@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.hashing import int31
-from glyphmill.llm.rows import fresh, row_key, running
+from glyphmill.llm.rows import apart, fresh, row_key, running
 from glyphmill.operators.ordering import in_order, numbered
 from glyphmill.session import materialize
 
@@ -54,8 +54,9 @@ def systematic(rows: DataFrame, stratum: str, order: list[Column], expected: Dat
     A stratum may span any number of chunks of the global order; only chunk totals are put in
     sequence, so a stratum that holds a third of all rows is spread like any other.
     """
-    key = [F.col(stratum).isNull(), F.col(stratum)]
-    placed = in_order(rows, *key, *order).withColumn("_stratum", _known(F.col(stratum)))
+    keys = {f"key{i}": k for i, k in enumerate([F.col(stratum).isNull(), F.col(stratum), *order])}
+    held = apart(rows, ["copies", *[c.lower() for c in expected.columns if c != stratum]], **keys, _stratum=_known(F.col(stratum)))
+    placed = in_order(held, *[F.col(k) for k in keys])
     chunks = placed.groupBy("_part", "_stratum").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("_stratum").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
@@ -67,7 +68,7 @@ def systematic(rows: DataFrame, stratum: str, order: list[Column], expected: Dat
     upto = (F.col("_before") + F.col("_rank")) * F.col("units") + shift
     crossed = ranked.withColumns({"_upto": upto, "_from": upto - F.col("units")})
     copies = F.expr(f"_upto div {UNIT} - _from div {UNIT}")
-    return crossed.withColumn("copies", copies).drop("_part", "_at", "_stratum", "_before", "_rank", "_upto", "_from")
+    return crossed.withColumn("copies", copies).select("row.*", *[c for c in expected.columns if c != stratum], "copies")
 
 
 def _known(value: Column) -> Column:
@@ -80,7 +81,7 @@ def mix(docs: DataFrame, size: Column, order: list[Column], weights: list[int],
 
     NULL sources form one source. A source without words gets target 0 and no copies; a row of size
     0 may be emitted but takes no words. An empty table gives an empty table. Equal rows are
-    interchangeable. No row is emitted more than ``most`` times.
+    interchangeable. Columns ``size, source_size, target, units, copies`` of ``docs`` are replaced, all others stay. No row is emitted more than ``most`` times.
     """
     rows = docs.withColumn("size", size).drop("source_size", "target", "units", "copies")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))

@@ -166,7 +166,8 @@ prior AS (
   SELECT m, least(greatest(CASE WHEN apart > 0 THEN greatest(0, chance / apart - 1) ELSE largest END, 1), greatest(largest, 1)) AS strength FROM between_hosts
 ),
 rates AS (SELECT source, (fails + m * strength) / (n + strength) AS rate FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= {queries.MAX_HOST_RATE} AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= {queries.MAX_HOST_RATE} AS kept,
+       round(rate, 6) AS host_rate
 FROM judged j JOIN rates r ON j.source IS NOT DISTINCT FROM r.source
 """
 

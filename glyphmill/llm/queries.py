@@ -86,7 +86,7 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counted = materialize(docs.select("doc_id", "source", host_rules.count_texts(F.col("text")).alias("c")).select("doc_id", "source", "c.*"))
     judged = host_rules.judge(counted, "source", MAX_HOST_RATE)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
 
 
 TOXIC_FROM = 0.7

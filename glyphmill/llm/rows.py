@@ -25,6 +25,12 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFra
     return added.drop("_part", "_at", *[f"_{k}_{n}" for n in sums for k in ("own", "off")])
 
 
+def apart(df: DataFrame, without: list[str], **keys: Column) -> DataFrame:
+    """``row`` (the columns of ``df`` but ``without``, in one struct) next to the named keys, so that no name of ``df`` can clash."""
+    held = [F.col(f"`{c}`") for c in df.columns if c.lower() not in without]
+    return df.select(F.struct(*held).alias("row"), *[k.alias(name) for name, k in keys.items()])
+
+
 def words(text: Column) -> Column:
     """Words of a text between ASCII white space; none for NULL."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.rows import apart
 from glyphmill.operators.ordering import numbered
 
 ROUNDS = 6
@@ -102,15 +103,17 @@ def shard_rows(df: DataFrame, order: list[Column], shards: int, seed: int = 0) -
 
     ``order`` is a total order of the rows (rows that tie in all its columns are interchangeable).
     Give the key columns only and join the payload afterwards: ``df`` is sorted once. An empty table
-    gives an empty table; NULL keys sort first; columns ``shard`` and ``slot`` of ``df`` are replaced.
+    gives an empty table; NULL keys sort first; columns ``shard`` and ``slot`` of ``df`` are replaced, all others stay.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
-    rows = numbered(df.drop("shard", "slot"), *order, name="_row_no")
+    keys = {f"key{i}": k for i, k in enumerate(order)}
+    held = apart(df, ["shard", "slot"], **keys)
+    rows = numbered(held, *[F.col(k) for k in keys], name="_row_no")
     n = df.count()
     place = place_of(F.col("_row_no"), max(n, 1), seed)
     placed = rows.withColumn("_place", place)
     shard = F.pmod("_place", F.lit(shards)).cast("int")
     # Integer division keeps every bit; a double would not above 2**53.
     slot = F.expr(f"_place div {shards}")
-    return placed.withColumns({"shard": shard, "slot": slot}).drop("_row_no", "_place")
+    return placed.withColumns({"shard": shard, "slot": slot}).select("row.*", "shard", "slot")
