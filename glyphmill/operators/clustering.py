@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.hashing import draw
+from glyphmill.operators.bands import Bands
 from glyphmill.operators.components import components
 from glyphmill.operators.neighbors import BLOCK_ROWS, block_pairs, packed
 from glyphmill.operators.ordering import row_index
@@ -221,16 +222,21 @@ def dbscan_vectors(
 ) -> DataFrame:
     """Exact DBSCAN on vectors of any length, by comparing blocks of rows.
 
-    Every pair of blocks is looked at (there is no exact shortcut in many dimensions), but a pair
-    only yields a count, a tree edge or a label per member, never the pairs within eps.
+    Blocks meet only where the distances of their rows to a few pivots allow a pair within eps
+    (:class:`bands.Bands`); a pair of blocks yields a count, a tree edge or a label per member, never the
+    pairs within eps. Rows that lie in few bands, as in one dense cloud or at nearly equal distances, are
+    still compared all with all.
     """
     near = _near_blocks(eps)
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"), F.lit(0).cast("bigint").alias("e"))
+    if is_empty(rows):
+        return df.select(F.col(id_col).cast("bigint").alias(id_col), F.lit(NOISE).alias("label"))
+    bands = Bands(rows, eps, block_rows=block_rows)
 
     def count(a_ids, a, _a, b_ids, b, _b):
         return pd.DataFrame({"id": a_ids, "n": near(a, b).sum(axis=1)})
 
-    counted = block_pairs(packed(rows, "id", "v", "a", block_rows), packed(rows, "id", "v", "b", block_rows), count, "id bigint, n bigint")
+    counted = bands.run(rows, rows, count, "id bigint, n bigint")
     is_core = counted.groupBy("id").agg((F.sum("n") >= min_samples).alias("is_core"))
     marked = materialize(rows.join(is_core, "id"))
     core = marked.where("is_core")
@@ -247,8 +253,7 @@ def dbscan_vectors(
             la, lb = na, nb
         return pd.DataFrame({"id": np.r_[a_ids, b_ids], "to": np.r_[la, lb]}).query("id != to")
 
-    blocks_a, blocks_b = packed(core, "id", "v", "a", block_rows), packed(core, "id", "v", "b", block_rows)
-    roots = components(block_pairs(blocks_a, blocks_b, trees, "id bigint, to bigint"), "id", "to")
+    roots = components(bands.run(core, core, trees, "id bigint, to bigint"), "id", "to")
     rooted = materialize(core.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
     sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
     clusters = row_index(materialize(sizes), "root", name="_label").select("root", "_n", F.col("_label").cast("int").alias("label"))
@@ -258,8 +263,8 @@ def dbscan_vectors(
         first = np.where(near(a, b), b_label[None, :], np.iinfo(np.int64).max).min(axis=1)
         return pd.DataFrame({"id": a_ids, "label": first})[first < np.iinfo(np.int64).max]
 
-    named = packed(core.join(labelled, "id"), "id", "v", "b", block_rows, extra="label")
-    edge = block_pairs(packed(marked.where("NOT is_core"), "id", "v", "a", block_rows), named, border, "id bigint, label bigint")
+    named = core.drop("e").join(labelled, "id").withColumn("e", F.col("label").cast("bigint"))
+    edge = bands.run(marked.where("NOT is_core"), named, border, "id bigint, label bigint")
     edge = edge.groupBy("id").agg(F.min("label").cast("int").alias("label"))
     known = labelled.unionByName(edge)
     return rows.select("id").join(known, "id", "left").select(F.col("id").alias(id_col), F.coalesce("label", F.lit(NOISE)).alias("label"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,32 @@ def test_exact_silhouette_against_all_distances(spark):
     got = {r["id"]: r["silhouette"] for r in clustering.exact_silhouette(df, "id", "v", "label").collect()}
     assert got == {i: pytest.approx(s) for i, s in want.items()}
     assert clustering.exact_silhouette(df.where("label = 0"), "id", "v", "label").count() == 0
+
+
+def test_bands_bring_every_pair_within_eps_together(spark, monkeypatch):
+    from glyphmill.operators.bands import Bands
+
+    # Grids in every cell that holds more than four blocks.
+    monkeypatch.setattr("glyphmill.operators.skew.MIN_HOT", 1)
+    rng = np.random.default_rng(12)
+    centers = rng.normal(scale=4, size=(40, 16))
+    pts = np.repeat(centers, 30, axis=0) + rng.normal(scale=0.1, size=(1200, 16))
+    pts[300:700] = pts[300]
+    df = spark.createDataFrame([(i, p.tolist(), 0) for i, p in enumerate(pts)], "id long, v array<double>, e long").repartition(4)
+    near = np.square(pts[:, None] - pts[None]).sum(axis=2) <= 0.6**2
+
+    def pairs(a_ids, a, _a, b_ids, b, _b):
+        hit = np.square(a[:, None] - b[None]).sum(axis=2) <= 0.6**2
+        return pd.DataFrame({"id": a_ids, "n": hit.sum(axis=1), "compared": len(b_ids)})
+
+    got = Bands(df, 0.6, block_rows=16).run(df, df, pairs, "id long, n long, compared long").groupBy("id").sum("n", "compared").collect()
+    assert {r["id"]: r["sum(n)"] for r in got} == dict(enumerate(near.sum(axis=1)))
+    # The copies alone are a ninth of all pairs; of the others, few are compared.
+    copies = set(range(300, 700))
+    others = sum(r["sum(compared)"] for r in got if r["id"] not in copies)
+    assert others <= 0.1 * 800 * 1200
+
+
+def test_vector_dbscan_of_nothing(spark):
+    df = spark.createDataFrame([], "id long, v array<double>")
+    assert clustering.dbscan_vectors(df, "id", "v", 0.5, 3).collect() == []
