@@ -47,16 +47,17 @@ class Bands:
         self.names = [f"band{i}" for i in range(len(self.pivots))]
 
     def placed(self, rows: DataFrame) -> DataFrame:
+        """``id, v, e`` with the bands of each row."""
         constant = lambda p: F.split(F.lit(",".join(repr(float(x)) for x in p)), ",").cast("array<double>")
         far = [F.sqrt(vec_fn.squared_l2(F.col("v"), constant(p))) for p in self.pivots]
         return rows.select("id", "v", "e", *[F.floor(d / self.width).cast("bigint").alias(c) for c, d in zip(self.names, far)])
 
     def blocks(self, rows: DataFrame, side: str) -> DataFrame:
-        """Rows ``id, v, e`` packed by cell into blocks of at most ``block_rows``; the cell's bands stay columns.
+        """Placed rows packed by cell into blocks of at most ``block_rows``; the cell's bands stay columns.
 
         The rows of a cell are brought together, those of a hot cell over several tasks.
         """
-        placed = materialize(self.placed(rows))
+        placed = rows.select("id", "v", "e", *self.names)
         sizes = placed.groupBy(*self.names).agg(F.count(F.lit(1)).alias("n"))
         limit = max(hot_size(placed.count()), self.block_rows)
         hot = F.broadcast(sizes.where(F.col("n") > limit).select(*self.names, F.ceil(F.col("n") / limit).cast("int").alias("salts")))
@@ -78,13 +79,14 @@ class Bands:
         return packed.toDF(*names, *[f"{side}_{c}" for c in ("first", "ids", "flat", "extra")])
 
     def meetings(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        """Every left block next to every right block of its own and the neighbouring cells.
+        """Blocks of placed rows: every left block next to every right block of its own and the neighbouring cells.
 
         Within a hot cell the left blocks are dealt to rows and the right blocks to columns of a grid, so
         that no task meets all of them; fewer than 1,000 cells can be hot on either side.
         """
         a = materialize(self.blocks(left, "a"))
-        b = materialize(self.blocks(right, "b"))
+        same = [*self.names, *[f"b_{c}" for c in ("first", "ids", "flat", "extra")]]
+        b = a.toDF(*same) if left is right else materialize(self.blocks(right, "b"))
         steps = F.array(*[F.struct(*[F.lit(s).alias(c) for c, s in zip(self.names, step)]) for step in itertools.product((-1, 0, 1), repeat=len(self.names))])
         kept = [c for c in b.columns if c not in self.names]
         visiting = b.withColumn("step", F.explode(steps))
@@ -93,8 +95,8 @@ class Bands:
         visiting = visiting.join(a.select(*self.names).distinct(), self.names, "left_semi")
 
         def grid(blocks: DataFrame, side: str) -> DataFrame:
-            sizes = materialize(blocks.groupBy(*self.names).agg(F.count(F.lit(1)).alias("n")))
-            limit = max(hot_size(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), 4)
+            sizes = blocks.groupBy(*self.names).agg(F.count(F.lit(1)).alias("n"))
+            limit = max(hot_size(blocks.count()), 4)
             return F.broadcast(sizes.where(F.col("n") > limit).select(*self.names, F.ceil(F.col("n") / limit).cast("int").alias(f"{side}_slots")))
 
         def dealt(blocks: DataFrame, own: str, other: str, grids: dict[str, DataFrame]) -> DataFrame:

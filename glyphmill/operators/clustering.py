@@ -232,6 +232,7 @@ def dbscan_vectors(
     if is_empty(rows):
         return df.select(F.col(id_col).cast("bigint").alias(id_col), F.lit(NOISE).alias("label"))
     bands = Bands(rows, eps, block_rows=block_rows)
+    rows = materialize(bands.placed(rows))
 
     def count(a_ids, a, _a, b_ids, b, _b):
         return pd.DataFrame({"id": a_ids, "n": near(a, b).sum(axis=1)})
@@ -253,7 +254,7 @@ def dbscan_vectors(
             la, lb = na, nb
         return pd.DataFrame({"id": np.r_[a_ids, b_ids], "to": np.r_[la, lb]}).query("id != to")
 
-    roots = components(bands.run(core, core, trees, "id bigint, to bigint"), "id", "to")
+    roots = components(materialize(bands.run(core, core, trees, "id bigint, to bigint")), "id", "to")
     rooted = materialize(core.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
     sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
     clusters = row_index(materialize(sizes), "root", name="_label").select("root", "_n", F.col("_label").cast("int").alias("label"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,36 +11,69 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
-from glyphmill.operators import clustering
+from glyphmill.operators import clustering, hashed_search, neighbors
 from glyphmill.session import materialize
 
 
-def embed_text(df: DataFrame, id_col: str, text: str, dims: int = 64, features: int = 1 << 16, seed: int = 1998) -> DataFrame:
-    """Unit-length text vectors: hashed word counts, weighted by inverse document frequency, then a
-    seeded random projection that each worker rebuilds. The weights are one number per feature."""
-    hashed = df.select(id_col, F.transform(tx.clean_words(F.col(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int")).alias("_f"))
-    found = hashed.select(F.explode(F.array_distinct("_f")).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()
-    rows = df.count()
-    weight = np.full(features, np.log(rows + 1.0))
-    for f, n in found:
-        weight[f] = np.log((rows + 1.0) / (n + 1.0))
-    shared = df.sparkSession.sparkContext.broadcast(weight)
+def _features(text: Column, features: int) -> Column:
+    return F.transform(tx.clean_words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int"))
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """Text vectors of unit length: hashed word counts times inverse document frequency, then a seeded
+    random projection that each worker rebuilds. The weights are one number per feature."""
+
+    weights: np.ndarray
+    dims: int = 64
+    seed: int = 1998
+
+    @classmethod
+    def fit(cls, df: DataFrame, text: str, dims: int = 64, features: int = 1 << 16, seed: int = 1998) -> Embedder:
+        """Document frequencies over all rows of ``df``."""
+        hashed = df.select(F.explode(F.array_distinct(_features(F.col(text), features))).alias("f"))
+        found = hashed.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()
+        rows = df.count()
+        weights = np.full(features, np.log(rows + 1.0))
+        for f, n in found:
+            weights[f] = np.log((rows + 1.0) / (n + 1.0))
+        return cls(weights, dims, seed)
+
+    def embed(self, df: DataFrame, id_col: str, text: str) -> DataFrame:
+        """``id, embedding``; NULL texts and texts without a word get the zero vector."""
+        shared, dims, seed = df.sparkSession.sparkContext.broadcast(self.weights), self.dims, self.seed
+
+        @F.pandas_udf("array<double>")
+        def project(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            idf = shared.value
+            matrix = np.random.default_rng(seed).standard_normal((len(idf), dims))
+
+            def one(f: np.ndarray | None) -> np.ndarray:
+                if f is None:
+                    return np.zeros(dims)
+                idx, count = np.unique(np.asarray(f, dtype=np.int64), return_counts=True)
+                v = (count * idf[idx]) @ matrix[idx]
+                length = np.linalg.norm(v)
+                return v / length if length > 0 else v
 
-    @F.pandas_udf("array<double>")
-    def project(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matrix = np.random.default_rng(seed).standard_normal((features, dims))
-        idf = shared.value
+            for s in parts:
+                yield s.map(one)
 
-        def one(f: np.ndarray) -> np.ndarray:
-            idx, count = np.unique(np.asarray(f, dtype=np.int64), return_counts=True)
-            v = (count * idf[idx]) @ matrix[idx]
-            length = np.linalg.norm(v)
-            return v / length if length > 0 else v
+        return df.select(id_col, project(_features(F.col(text), len(self.weights))).alias("embedding"))
 
-        for s in parts:
-            yield s.map(one)
+    def save(self, spark: SparkSession, path: str) -> None:
+        row = [(self.weights.tolist(), self.dims, self.seed)]
+        spark.createDataFrame(row, "weights array<double>, dims int, seed bigint").write.mode("errorifexists").parquet(path)
 
-    return hashed.select(id_col, project("_f").alias("embedding"))
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Embedder:
+        weights, dims, seed = spark.read.parquet(path).select("weights", "dims", "seed").first()
+        return cls(np.array(weights), dims, seed)
+
+
+def embed_text(df: DataFrame, id_col: str, text: str, dims: int = 64, features: int = 1 << 16, seed: int = 1998) -> DataFrame:
+    """``id, embedding`` by an :class:`Embedder` fitted on ``df`` itself."""
+    return Embedder.fit(df, text, dims, features, seed).embed(df, id_col, text)
 
 
 def project_pca(df: DataFrame, id_col: str, vec: str, k: int = 2) -> DataFrame:
@@ -103,10 +137,13 @@ def fit_topics(
     return out
 
 
-def save_clusters(points: DataFrame, summaries: DataFrame | None, path: str) -> None:
+def save_clusters(points: DataFrame, summaries: DataFrame | None, path: str, embedder: Embedder | None = None) -> None:
+    """Points, and where given the summaries and the embedder that made the points' vectors."""
     points.write.mode("errorifexists").parquet(f"{path}/points")
     if summaries is not None:
         summaries.write.mode("errorifexists").parquet(f"{path}/summaries")
+    if embedder is not None:
+        embedder.save(points.sparkSession, f"{path}/embedder")
 
 
 def load_clusters(spark: SparkSession, path: str) -> DataFrame:
@@ -117,3 +154,24 @@ def load_clusters(spark: SparkSession, path: str) -> DataFrame:
 def load_summaries(spark: SparkSession, path: str) -> DataFrame:
     """The cluster summaries saved with the points."""
     return spark.read.parquet(f"{path}/summaries")
+
+
+def label_texts(
+    new: DataFrame, id_col: str, text: str, path: str, k: int = 1, saved_id: str = "doc_id", vec: str = "embedding", exact: bool = True,
+) -> DataFrame:
+    """``id, label, votes``: new texts labelled by a clustering saved with its embedder.
+
+    A text is embedded with the saved weights, its ``k`` nearest saved points vote and a tie goes to the
+    label met first; noise votes like any label. One row per new text, whose ids are distinct; a text without
+    a word, NULL included, has a NULL label and no votes, and saved points without a vector do not
+    vote. ``exact=False`` searches by :func:`hashed_search.knn_approx`.
+    """
+    spark = new.sparkSession
+    there = lambda v: F.exists(v, lambda x: x != 0)
+    points = load_clusters(spark, path).where(there(F.col(vec))).select(saved_id, vec, "label")
+    asked = Embedder.load(spark, f"{path}/embedder").embed(new, id_col, text).select(F.col(id_col).alias("query_id"), F.col("embedding").alias(vec))
+    asked = materialize(asked.where(there(F.col(vec))))
+    search = neighbors.knn if exact else hashed_search.knn_approx
+    votes = neighbors.vote(search(points, asked, k, base_id=saved_id, vec=vec), points, saved_id)
+    found = votes.select(F.col("query_id").alias(id_col), "label", "votes")
+    return new.select(id_col).join(found, id_col, "left").select(id_col, "label", F.coalesce("votes", F.lit(0)).alias("votes"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as tx
 from glyphmill.functions import vectors as vec
 from glyphmill.functions.hashing import uniform
-from glyphmill.operators import clustering, evaluation, neighbors, topics
-from glyphmill.plans.registry import query, spread_documents, sql_clean_words, sql_draw, sql_int31, sql_tokens, table
+from glyphmill.operators import clustering, evaluation, hashed_search, neighbors, topics
+from glyphmill.plans.registry import documents, query, spread_documents, sql_clean_words, sql_draw, sql_int31, sql_tokens, table
 from glyphmill.session import materialize, scratch_path
 
 EPS, MIN_SAMPLES = 0.02, 4
@@ -119,6 +119,13 @@ def knn_infer_rows(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.knn_label(embeddings(spark, sf), row_queries(spark, sf), 5)
 
 
+@query("knn_approx_rows")
+def knn_approx_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every hundredth row against all rows by probed sign buckets."""
+    found = hashed_search.knn_approx(embeddings(spark, sf), row_queries(spark, sf), 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
 @query("similarity_rows", f"""
     SELECT q.vec_id AS left_id, e.vec_id AS right_id, round(list_cosine_similarity({_V.replace('embedding', 'q.embedding')}, {_V.replace('embedding', 'e.embedding')}), 6) AS similarity
     FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0""")
@@ -325,6 +332,19 @@ def cluster_save_load(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.join(centers, "label").select("label", "n_points", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+@query("label_new_texts")
+def label_new_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Test texts labelled by a clustering of the train texts that was saved and loaded again."""
+    docs = documents(spark, sf).select("doc_id", "text", "split")
+    train = docs.where("split = 'train'")
+    embedder = topics.Embedder.fit(train, "text")
+    vectors = materialize(embedder.embed(train, "doc_id", "text"))
+    points = topics.fit_topics(vectors, "doc_id", "embedding", 0.05, 5)["points"].join(vectors, "doc_id")
+    path = scratch_path(spark, "clusters")
+    topics.save_clusters(points, None, path, embedder)
+    return topics.label_texts(docs.where("split = 'test'"), "doc_id", "text", path, k=5)
+
+
 # ---------------------------------------------------------------- model metrics
 
 _LOGITS = f"x AS (SELECT vec_id, label, {_V} AS l FROM embeddings)"

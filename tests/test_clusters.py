@@ -222,7 +222,9 @@ def test_bands_bring_every_pair_within_eps_together(spark, monkeypatch):
         hit = np.square(a[:, None] - b[None]).sum(axis=2) <= 0.6**2
         return pd.DataFrame({"id": a_ids, "n": hit.sum(axis=1), "compared": len(b_ids)})
 
-    got = Bands(df, 0.6, block_rows=16).run(df, df, pairs, "id long, n long, compared long").groupBy("id").sum("n", "compared").collect()
+    bands = Bands(df, 0.6, block_rows=16)
+    placed = bands.placed(df)
+    got = bands.run(placed, placed, pairs, "id long, n long, compared long").groupBy("id").sum("n", "compared").collect()
     assert {r["id"]: r["sum(n)"] for r in got} == dict(enumerate(near.sum(axis=1)))
     # The copies alone are a ninth of all pairs; of the others, few are compared.
     copies = set(range(300, 700))
@@ -233,3 +235,98 @@ def test_bands_bring_every_pair_within_eps_together(spark, monkeypatch):
 def test_vector_dbscan_of_nothing(spark):
     df = spark.createDataFrame([], "id long, v array<double>")
     assert clustering.dbscan_vectors(df, "id", "v", 0.5, 3).collect() == []
+
+
+def test_new_texts_take_the_label_of_the_saved_texts_near_them(spark):
+    from glyphmill.session import scratch_path
+
+    rng = np.random.default_rng(4)
+    words = [[f"{topic}{i}" for i in range(30)] for topic in ("sea", "hill", "town")]
+    texts = [" ".join(rng.choice(words[i % 3], 20)) for i in range(90)] + ["", "..."]
+    saved = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate(texts)], "doc_id long, text string, label int")
+    embedder = topics.Embedder.fit(saved, "text")
+    points = embedder.embed(saved, "doc_id", "text").join(saved.select("doc_id", "label"), "doc_id")
+    path = scratch_path(spark, "labels")
+    topics.save_clusters(points, None, path, embedder)
+    assert np.array_equal(topics.Embedder.load(spark, path + "/embedder").weights, embedder.weights)
+
+    fresh = [" ".join(rng.choice(words[i % 3], 15)) for i in range(30)] + [texts[7], "", None, " . "]
+    new = spark.createDataFrame(list(enumerate(fresh)), "id long, t string")
+    base = {r["doc_id"]: (np.array(r["embedding"]), r["label"]) for r in points.collect()}
+    asked = {r["id"]: np.array(r["embedding"]) for r in embedder.embed(new, "id", "t").collect()}
+    got = {r["id"]: (r["label"], r["votes"]) for r in topics.label_texts(new, "id", "t", path, k=5).collect()}
+    assert len(got) == len(fresh)
+    for i, v in asked.items():
+        if not v.any():
+            assert got[i] == (None, 0)
+            continue
+        near = sorted((((b - v) ** 2).sum(), j) for j, (b, _) in base.items() if b.any())[:5]
+        votes = [base[j][1] for _, j in near]
+        best = max(dict.fromkeys(votes), key=votes.count)
+        assert got[i] == (best, votes.count(best))
+    assert all(got[i][0] == i % 3 for i in range(30)) and got[30][0] == 7 % 3
+    loose = {r["id"]: r["label"] for r in topics.label_texts(new, "id", "t", path, k=5, exact=False).collect()}
+    assert np.mean([loose[i] == got[i][0] for i in got]) >= 0.9
+
+
+def exact_neighbours(base, asked, k):
+    far = {q: np.square(np.array(list(base.values())) - v).sum(axis=1) for q, v in asked.items()}
+    ids = np.array(list(base))
+    return {q: list(ids[np.lexsort((ids, d))[:k]]) for q, d in far.items()}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_approximate_search_against_brute_force(spark, monkeypatch, hot):
+    from glyphmill.operators import hashed_search
+
+    if hot:
+        monkeypatch.setattr("glyphmill.operators.skew.MIN_HOT", 1)
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(60, 24))
+    pts = np.repeat(centers, 50, axis=0) + rng.normal(scale=0.2, size=(3000, 24))
+    pts[1000:2000] = pts[1000]
+    base = dict(enumerate(pts))
+    asked = {q: pts[q] for q in range(0, 3000, 100)}
+    rows = [(i, v.tolist()) for i, v in base.items()] + [(-1, None), (-2, []), (-3, [float("nan")] + [0.0] * 23), (-4, [None] + [0.0] * 23), (None, [0.0] * 24)]
+    b = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in asked.items()] + [(-9, None)], "query_id long, embedding array<double>")
+    got = {}
+    for r in hashed_search.knn_approx(b, q, 10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+        assert r["distance"] == pytest.approx(np.square(base[r["id"]] - asked[r["query_id"]]).sum(), abs=1e-9)
+    want = exact_neighbours(base, asked, 10)
+    assert set(got) == set(asked)
+    assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in asked]) >= 0.9
+    # A query among a thousand copies finds the copies of the smallest ids.
+    assert got[1500] == list(range(1000, 1010))
+
+
+def test_approximate_search_looks_at_a_part_of_the_rows(spark):
+    from glyphmill.operators import hashed_search
+
+    rng = np.random.default_rng(10)
+    pts = np.repeat(rng.normal(size=(200, 24)), 20, axis=0) + rng.normal(scale=0.2, size=(4000, 24))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(pts)], "id long, v array<double>")
+    asked = rows.where("id % 100 = 0").select(rows["id"].alias("query_id"), rows["v"].alias("qv"))
+    pairs = hashed_search.candidates(rows, asked, hashed_search.fit_planes(rows, 8), 2).collect()
+    assert len({(r["query_id"], r["id"]) for r in pairs}) == len(pairs) < 0.5 * 40 * 4000
+
+
+def test_approximate_search_of_nothing(spark):
+    from glyphmill.operators import hashed_search
+
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    one = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    ask = lambda df: df.withColumnRenamed("vec_id", "query_id")
+    assert hashed_search.knn_approx(empty, ask(one), 3).collect() == []
+    assert hashed_search.knn_approx(one, ask(empty), 3).collect() == []
+    assert [tuple(r) for r in hashed_search.knn_approx(one, ask(one), 3).collect()] == [(1, 1, 1, 0.0)]
+
+
+def test_registered_approximate_search_reaches_its_recall(spark):
+    from glyphmill.plans import vector_queries
+
+    sf = "/root/testdata/sf0.01"
+    exact = {(r["query_id"], r["vec_id"]) for r in vector_queries.knn_search_rows(spark, sf).collect()}
+    found = {(r["query_id"], r["vec_id"]) for r in vector_queries.knn_approx_rows(spark, sf).collect()}
+    assert len(found & exact) >= 0.9 * len(exact) > 0
