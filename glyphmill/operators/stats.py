@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
+from glyphmill.session import is_empty, materialize
 
 
 def count_by(df: DataFrame, *cols: str, name: str = "n_rows") -> DataFrame:
@@ -72,17 +73,58 @@ def word_frequency(df: DataFrame, words: Column) -> DataFrame:
     return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def _ngram_rows(df: DataFrame, text: str, sizes: list[int]) -> DataFrame:
+    words = df.select(tx.clean_words(F.col(text)).alias("_w"))
+    return words.select(F.explode(F.concat(*[tx.ngrams(F.col("_w"), n, plain=True) for n in sizes])).alias("ngram"))
+
+
+def _ngram_size() -> Column:
+    """Words hold no space, so the spaces tell the size."""
+    return F.length("ngram") - F.length(F.replace("ngram", F.lit(" "), F.lit(""))) + 1
+
+
 def top_ngrams(df: DataFrame, text: str, sizes: list[int], k: int) -> DataFrame:
     """The ``k`` most frequent n-grams of each size, ties by n-gram."""
-    words = df.select(tx.clean_words(F.col(text)).alias("_w"))
-    runs = F.concat(*[tx.ngrams(F.col("_w"), n, plain=True) for n in sizes])
-    counted = words.select(F.explode(runs).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("freq"))
-    # Words hold no space, so the spaces tell the size.
-    sized = counted.select((F.length("ngram") - F.length(F.replace("ngram", F.lit(" "), F.lit(""))) + 1).alias("n"), "ngram", "freq")
+    counted = _ngram_rows(df, text, sizes).groupBy("ngram").agg(F.count(F.lit(1)).alias("freq"))
+    sized = counted.select(_ngram_size().alias("n"), "ngram", "freq")
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("freq"), "ngram"))
     return sized.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def frequent_ngrams(df: DataFrame, text: str, sizes: list[int], k: int, buckets: int = 1 << 18, first: int = 4096, seen: dict | None = None) -> DataFrame:
+    """The rows of :func:`top_ngrams` without a shuffle of all distinct n-grams.
+
+    First only the loads of ``buckets`` hash buckets per size are counted, a number of rows per task that
+    does not grow with the text. The n-grams of the ``first`` heaviest buckets are then counted
+    exactly; their ``k``-th count is a bound that every n-gram of the answer reaches, and so does its bucket.
+    Whatever other bucket reaches it is counted as well, so the result is exact for any data. The bucket
+    names, at most ``buckets`` per size, are broadcast. The text is read twice, or three times if the
+    heaviest buckets were not enough: this pays where the distinct n-grams are far more than ``buckets``.
+
+    ``seen``, if given, receives the number of n-grams that were counted exactly.
+    """
+    grams = _ngram_rows(df, text, sizes).select(_ngram_size().alias("n"), "ngram")
+    grams = grams.withColumn("bucket", F.pmod(F.xxhash64("ngram"), F.lit(buckets)).cast("int"))
+    loads = materialize(grams.groupBy("n", "bucket").agg(F.count(F.lit(1)).alias("load")))
+    by_load = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("load"), "bucket"))
+    heavy = materialize(loads.withColumn("place", by_load).where(F.col("place") <= first).select("n", "bucket"))
+
+    def recount(chosen: DataFrame) -> DataFrame:
+        met = grams.join(F.broadcast(chosen), ["n", "bucket"], "left_semi")
+        return materialize(met.groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("freq")))
+
+    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("freq"), "ngram"))
+    counted = recount(heavy)
+    bound = counted.withColumn("rank", rank).where(F.col("rank") == k).select("n", F.col("freq").alias("bound"))
+    left = loads.join(F.broadcast(heavy), ["n", "bucket"], "left_anti").join(F.broadcast(bound), "n", "left")
+    left = materialize(left.where(F.col("load") >= F.coalesce("bound", F.lit(0))).select("n", "bucket"))
+    if not is_empty(left):
+        counted = counted.unionByName(recount(left))
+    if seen is not None:
+        seen["counted"] = counted.count()
+    return counted.withColumn("rank", rank).where(F.col("rank") <= k).select("n", "ngram", "freq", "rank")
+
+
 def word_cloud(df: DataFrame, text: str, k: int) -> DataFrame:
     """The most frequent words with their weight relative to the first."""
     top = word_frequency(df, tx.clean_words(F.col(text))).orderBy(F.desc("freq"), "word").limit(k)

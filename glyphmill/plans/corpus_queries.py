@@ -263,14 +263,23 @@ _NGRAM_ROWS = " UNION ALL ".join(
 )
 
 
-@query("top_ngrams", f"""
+_TOP_NGRAMS = f"""
     WITH d AS (SELECT {sql_clean_words('text')} AS w FROM documents),
          c AS (SELECT n, ngram, count(*) AS freq FROM ({_NGRAM_ROWS}) GROUP BY 1, 2)
-    SELECT n, ngram, freq, row_number() OVER (PARTITION BY n ORDER BY freq DESC, ngram) AS rank FROM c QUALIFY rank <= 20""")
+    SELECT n, ngram, freq, row_number() OVER (PARTITION BY n ORDER BY freq DESC, ngram) AS rank FROM c QUALIFY rank <= 20"""
+
+
+@query("top_ngrams", _TOP_NGRAMS)
 def top_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     return stats.top_ngrams(spread_documents(spark, sf, "text"), "text", [1, 2, 3], 20)
 
 
+@query("frequent_ngrams", _TOP_NGRAMS)
+def frequent_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    """The same n-grams; only those of heavy hash buckets are shuffled."""
+    return stats.frequent_ngrams(spread_documents(spark, sf, "text"), "text", [1, 2, 3], 20)
+
+
 @query("word_cloud", f"""
     WITH f AS (SELECT w AS word, count(*) AS freq FROM (SELECT unnest({sql_clean_words('text')}) AS w FROM documents) GROUP BY w
                ORDER BY freq DESC, w LIMIT 100)

@@ -187,3 +187,24 @@ def test_exact_copies_with_missing_splits(spark):
     placed = assembly.after_new(published, 1)
     assert {r.split for r in placed.collect()} == {"train"}
     assert dedup.drop_exact(placed, by=["split"]).count() == 1
+
+
+@pytest.mark.parametrize("first, buckets", [(1, 7), (32, 2048), (5000, 4096)])
+def test_frequent_ngrams_equal_a_full_count(spark, first, buckets):
+    rng = np.random.default_rng(2)
+    odds = 1 / np.arange(1, 401)
+    texts = [" ".join(f"w{w}" for w in rng.choice(400, 60, p=odds / odds.sum())) for _ in range(150)] + [None, "", "one", "one two"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    seen = {}
+    got = {tuple(r) for r in stats.frequent_ngrams(df, "t", [1, 2, 3], 6, buckets, first, seen).collect()}
+    assert got == {tuple(r) for r in stats.top_ngrams(df, "t", [1, 2, 3], 6).select("n", "ngram", "freq", "rank").collect()}
+    every = stats.top_ngrams(df, "t", [1, 2, 3], 1 << 30).count()
+    if first == 32:
+        assert seen["counted"] <= every / 10
+
+
+def test_frequent_ngrams_when_all_are_wanted(spark):
+    df = spark.createDataFrame([("a b c a b",), ("a b",)], "t string")
+    got = {tuple(r) for r in stats.frequent_ngrams(df, "t", [2, 9], 50, 64, 1).collect()}
+    assert got == {(2, "a b", 3, 1), (2, "b c", 1, 2), (2, "c a", 1, 3)}
+    assert stats.frequent_ngrams(df.limit(0), "t", [2], 5).collect() == []
