@@ -127,7 +127,8 @@ def knn_approx(
     usable rows on either side gives no rows; vectors of different lengths raise.
     """
     spark = base.sparkSession
-    rows = base.select(F.col(base_id).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull())
+    # The index keeps the caller's type: a vector of floats is shuffled at half the width.
+    rows = base.select(F.col(base_id).cast("bigint").alias("id"), F.col(vec).alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull())
     same = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     rows = materialize(rows.withColumn("same", same).where(F.col("same") <= k).drop("same"))
     asked = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(vec).cast("array<double>").alias("qv"))
