@@ -142,3 +142,31 @@ def test_centralities_of_the_whole_network(spark):
     ends = Counter(w for e in edges for w in e)
     assert all(abs(got[w].eigenvector - want[w]) < 1e-5 and abs(got[w].degree - ends[w] / (len(adj) - 1)) < 1e-5 for w in adj)
     assert 0 < sum(r.betweenness is not None for r in got.values()) < len(got)
+
+
+def test_eigenvector_over_several_blocks(spark, monkeypatch):
+    """Blocks of three words and cells of two links give the values of one block, and a round moves no words."""
+    pairs = GRAPHS["random"]
+    nodes = sorted({v for p in pairs for v in p})
+    adj = {v: sorted({b if a == v else a for a, b in pairs if v in (a, b)}) for v in nodes}
+    monkeypatch.setattr(network, "BLOCK_WORDS", 3)
+    monkeypatch.setattr(network, "CELL_LINKS", 2)
+    monkeypatch.setattr(network, "BROADCAST_BYTES", 0)
+    seen = []
+    joined = network.join_by_key
+    monkeypatch.setattr(network, "join_by_key", lambda *a: seen.append(a) or joined(*a))
+    want = power(nodes, adj)
+    got = {r["word"]: r["eigenvector"] for r in network.eigenvector(edges_of(spark, pairs)).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    assert len(seen) == 2
+
+
+def test_eigenvector_of_lone_words_and_loops(spark):
+    edges = edges_of(spark, [("a", "a"), ("a", "b")])
+    nodes = spark.createDataFrame([("a",), ("b",), ("lone",)], "word string")
+    got = {r["word"]: r["eigenvector"] for r in network.eigenvector(edges, nodes).collect()}
+    # (A + I) is [[2, 1], [1, 1]] on a and b.
+    top = (3 + 5**0.5) / 2
+    a, b = 1.0, top - 2
+    assert got["a"] == pytest.approx(a / (a * a + b * b) ** 0.5, abs=1e-4) and got["b"] / got["a"] == pytest.approx(b, abs=1e-4)
+    assert got["lone"] == pytest.approx(0, abs=1e-4)
