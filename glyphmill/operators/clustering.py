@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions.hashing import draw
 from glyphmill.operators.bands import Bands
 from glyphmill.operators.components import components
-from glyphmill.operators.neighbors import BLOCK_ROWS, block_pairs, packed
+from glyphmill.operators.neighbors import BLOCK_ROWS, TILE, block_pairs, packed, squared_distances
 from glyphmill.operators.ordering import row_index
 from glyphmill.operators.skew import join_by_key
 from glyphmill.session import is_empty, materialize
@@ -214,7 +214,24 @@ def dbscan(points: DataFrame, id_col: str, dims: list[str], eps: float = 0.08, m
 # ---------------------------------------------------------------- DBSCAN on whole vectors
 
 def _near_blocks(eps: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    return lambda a, b: np.stack([np.square(b - row).sum(axis=1) for row in a]) <= eps * eps
+    """Which rows of two blocks lie within eps: by a matrix product, and by exact differences where its rounding could decide."""
+    limit = eps * eps
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        hit = np.empty((len(a), len(b)), bool)
+        for at in range(0, len(a), TILE[0]):
+            rows = a[at : at + TILE[0]]
+            sizes = np.square(rows).sum(axis=1)[:, None] + np.square(b).sum(axis=1)[None, :]
+            far = sizes - 2.0 * (rows @ b.T)
+            part = far <= limit
+            r, c = np.nonzero(~(np.abs(far - limit) > 1e-9 * sizes))
+            for to in range(0, len(r), TILE[1]):
+                q, w = r[to : to + TILE[1]], c[to : to + TILE[1]]
+                part[q, w] = np.square(b[w] - rows[q]).sum(axis=1) <= limit
+            hit[at : at + TILE[0]] = part
+        return hit
+
+    return near
 
 
 def dbscan_vectors(
@@ -385,11 +402,12 @@ def exact_silhouette(df: DataFrame, id_col: str, vec: str, label: str, noise: in
     others = blocks.toDF("a", "a_ids", "a_flat", "a_extra")
 
     def tile(ids: np.ndarray, rows: np.ndarray, mine: np.ndarray, _: np.ndarray, met: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
-        names, place = np.unique(labels, return_inverse=True)
-        sums = np.zeros((len(rows), len(names)))
-        # Rows one by one: exact differences, and one block of distances at a time.
-        for i, row in enumerate(rows):
-            sums[i] = np.bincount(place, np.sqrt(np.square(met - row).sum(axis=1)), len(names))
+        # By label, so that the distances to one are neighbours; a bounded number of distances at a time.
+        order = np.argsort(labels, kind="stable")
+        met, (names, first) = met[order], np.unique(labels[order], return_index=True)
+        sums = np.empty((len(rows), len(names)))
+        for at in range(0, len(rows), TILE[0]):
+            sums[at : at + TILE[0]] = np.add.reduceat(np.sqrt(squared_distances(rows[at : at + TILE[0]], met)), first, axis=1)
         return pd.DataFrame({"id": np.repeat(ids, len(names)), "label": np.repeat(mine, len(names)),
                              "other": np.tile(names, len(ids)), "total": sums.ravel()})
 

@@ -330,3 +330,41 @@ def test_registered_approximate_search_reaches_its_recall(spark):
     exact = {(r["query_id"], r["vec_id"]) for r in vector_queries.knn_search_rows(spark, sf).collect()}
     found = {(r["query_id"], r["vec_id"]) for r in vector_queries.knn_approx_rows(spark, sf).collect()}
     assert len(found & exact) >= 0.9 * len(exact) > 0
+
+
+def test_products_give_exact_distances():
+    """Copies have distance 0 and close pairs keep their digits, far from the origin too; bad components stay bad."""
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(700, 8)) + 1000.0
+    b = np.vstack([a[:300], a[300:500] + 1e-5, rng.normal(size=(100, 8))])
+    plain = np.stack([np.square(b - row).sum(axis=1) for row in a])
+    got = neighbors.squared_distances(a, b)
+    assert (got[plain == 0] == 0).all() and (plain == 0).sum() == 300
+    np.testing.assert_allclose(np.sqrt(got), np.sqrt(plain), rtol=1e-6)
+    a[0, 0], b[1, 0] = np.nan, np.inf
+    with np.errstate(invalid="ignore"):
+        assert np.isnan(neighbors.squared_distances(a, b)[0]).all() and np.isinf(neighbors.squared_distances(a, b)[2, 1])
+
+
+def test_near_blocks_decides_the_edge_by_differences():
+    """Pairs at exactly eps are near, as by plain differences."""
+    a = np.arange(600.0)[:, None] * np.array([[0.25, 0.0]]) + 100.0
+    plain = np.stack([np.square(a - row).sum(axis=1) for row in a]) <= 0.25
+    assert (clustering._near_blocks(0.5)(a, a) == plain).all()
+
+
+def test_blocks_meet_once_on_the_grid(spark):
+    a, b = spark.range(40).toDF("a"), spark.range(30).toDF("b")
+    left, right = neighbors.on_grid(a, b, 50)
+    assert left.count() == 40 * 8 and right.count() == 30 * 8
+    assert left.join(right, "slot").select("a", "b").distinct().count() == left.join(right, "slot").count() == 1200
+
+
+def test_similarity_frames_do_not_grow_with_the_right_table():
+    rng = np.random.default_rng(6)
+    left, right = rng.normal(size=(5, 4)), rng.normal(size=(2000, 4))
+    frames = list(neighbors._cosine_frames(np.arange(5), left, np.arange(2000), right))
+    assert max(map(len, frames)) <= 5 * 512
+    whole = neighbors._cosines(np.arange(5), left, np.arange(2000), right).sort_values(["left_id", "right_id"])
+    got = pd.concat(frames).sort_values(["left_id", "right_id"])
+    np.testing.assert_allclose(got.to_numpy(), whole.to_numpy(), atol=1e-12)
