@@ -102,6 +102,9 @@ def mixed_rows(docs: DataFrame, size: Column, weights: list[int], share: float,
     mixed = mix(slim, F.col("size"), [F.col("doc_id"), F.col("row")], weights, share, most, seed)
     # Equal rows are one row here and their copies are added up.
     taken = mixed.groupBy(F.col("row").alias(key), F.col("doc_id").alias(own)).agg(F.sum("copies").cast("int").alias(copies))
-    met = named.join(taken.where(F.col(copies) > 0), (F.col(row) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(own)))
+    # The key holds the id as well; comparing ids in no form that would be a second join key, the texts
+    # lie by ``row`` alone after the join and dropping their equals moves them no second time.
+    same_id = F.coalesce(F.col("doc_id") == F.col(own), F.col("doc_id").isNull() & F.col(own).isNull())
+    met = named.join(taken.where(F.col(copies) > 0), (F.col(row) == F.col(key)) & same_id)
     single = met.dropDuplicates([row, "doc_id"])
     return single.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -1,3 +1,4 @@
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -114,3 +115,17 @@ def test_mixed_rows_repeat_whole_rows(spark):
     for row, n in Counter(as_set(out)).items():
         assert n <= 2 * originals[row]
     assert mixing.mixed_rows(docs.limit(0), F.lit(1).cast("bigint"), [5, 2, 1], 1.5, 2).count() == 0
+
+
+def test_mixed_rows_move_texts_once(spark):
+    """The join has brought equal rows together already; no second exchange by key and id."""
+    docs = spark.createDataFrame([(i, f"w{i} x y", "s") for i in range(50)], "doc_id long, text string, source string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = mixing.mixed_rows(docs, F.lit(3).cast("bigint"), [5, 2, 1], 1.5, 2)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert not re.search(r"hashpartitioning\(_row#\d+L?, (doc_id|coalesce\(doc_id)", plan)
+    assert re.search(r"hashpartitioning\(_row#\d+L?, \d+", plan)
