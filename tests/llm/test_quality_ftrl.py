@@ -92,3 +92,13 @@ def test_held_out_rows(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.03 * len(bad)
     # Reruns agree bit by bit.
     assert sorted(map(tuple, got)) == sorted(map(tuple, queries.QUERIES["op13_ftrl_quality"](spark, TABLES).collect()))
+
+
+def test_parts_of_the_buckets_do_not_change_the_model(spark, monkeypatch):
+    """Moves are added up by parts of the buckets in tasks; the number of parts is not seen in the weights."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i % 3} tail{i}") for i in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = quality.fit(docs, labels)
+    monkeypatch.setattr(quality, "PARTS", 3)
+    again = quality.fit(docs, labels)
+    assert (model.weights == again.weights).all() and model.constant == again.constant and (model.weights != 0).any()
