@@ -1,6 +1,6 @@
 """Byte-pair vocabularies: merges learned from a table of word types, and texts cut by them.
 
-Word types and pair counts are Spark tables. A round applies a batch of merges to the types and
+Word types, packed into blocks, and pair counts are Spark tables. A round applies a batch of merges to the types and
 returns only what changes in the pair counts, so that a count is never taken anew. A batch holds as many
 merges as the ``LOOK`` best pairs decide without a further look at the types; it is the beginning of what
 merging one pair at a time would give, ties (the smaller symbols first) included.
@@ -8,22 +8,22 @@ merging one pair at a time would give, ties (the smaller symbols first) included
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.session import discard, stored
 
-# What separates the symbols of a type; words do not hold it.
-JOIN = "\u0001"
-# Best pairs that a round looks at, and pairs that a task adds up before it returns them.
+# Best pairs that a round looks at, and sums that a task holds before it returns them.
 LOOK, HELD = 512, 1 << 20
+# Symbols of a block (a batch of types more at most). A character's number is its code point, what merges make comes after all of them.
+BLOCK, CHARS = 1 << 18, 0x110000
 
 Pair = tuple[str, str]
-_ROUND = "kind int, s string, n bigint, a string, b string, x string"
+_ROUND = "kind int, n bigint, a string, b string, x string, symbols binary, counts binary"
 
 
 def merged(symbols: list[str], pair: Pair) -> list[str]:
@@ -41,60 +41,189 @@ def merged(symbols: list[str], pair: Pair) -> list[str]:
     return out
 
 
-def _changed(symbols: list[str], ranks: dict[Pair, int], batch: list[Pair]) -> list[str]:
-    """The merges of a batch in their order; each looks at what the ones before have left."""
-    done = -1
-    while True:
-        nxt = min((r for p in zip(symbols, symbols[1:]) if (r := ranks.get(p, -1)) > done), default=None)
-        if nxt is None:
-            return symbols
-        symbols, done = merged(symbols, batch[nxt]), nxt
+def _joined(s: np.ndarray, a: int, b: int, new: int) -> np.ndarray:
+    """:func:`merged` for an array of numbered symbols, in which a negative number ends a type."""
+    at = np.flatnonzero((s[:-1] == a) & (s[1:] == b))
+    if a == b and len(at):
+        # Of a run of equal symbols every second place.
+        starts = np.where(np.diff(at, prepend=-2) > 1, np.arange(len(at)), 0)
+        at = at[(at - at[np.maximum.accumulate(starts)]) % 2 == 0]
+    s[at] = new
+    return np.delete(s, at + 1)
+
+
+class _Finder:
+    """Finds some pairs of numbered symbols in an array."""
+
+    def __init__(self, pairs: list[tuple[int, int]], width: int) -> None:
+        codes = np.array([a * width + b for a, b in pairs], np.int64)
+        self.order, self.width = np.argsort(codes), width
+        self.codes = codes[self.order]
+        # One place more, which the number that ends a type looks at.
+        self.first, self.second = np.zeros(width + 1, bool), np.zeros(width + 1, bool)
+        self.first[codes // width] = True
+        self.second[codes % width] = True
+
+    def find(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``s`` pairs begin, and which."""
+        if not len(self.codes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.first[s[:-1]] & self.second[s[1:]])
+        codes = s[at].astype(np.int64) * self.width + s[at + 1]
+        place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        good = self.codes[place] == codes
+        return at[good], self.order[place[good]]
+
+
+class _Sums:
+    """Sums by code."""
+
+    def __init__(self) -> None:
+        self.codes, self.sums, self.held = [], [], 0
+
+    def add(self, codes: np.ndarray, n: np.ndarray) -> None:
+        self.codes.append(codes)
+        self.sums.append(n)
+        self.held += len(codes)
+
+    def crowded(self) -> bool:
+        """Whether there are too many sums to hold; adds up what waits."""
+        if self.held > HELD:
+            self._reduce()
+        return self.held > HELD // 2
+
+    def _reduce(self) -> None:
+        codes, n = np.concatenate(self.codes), np.concatenate(self.sums)
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        sums = np.add.reduceat(n, starts)
+        self.codes, self.sums, self.held = [codes[starts][sums != 0]], [sums[sums != 0]], int((sums != 0).sum())
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and their sums other than 0; holds nothing after."""
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._reduce()
+        out = self.codes[0], self.sums[0]
+        self.__init__()
+        return out
+
+
+def _sizes(s: np.ndarray) -> np.ndarray:
+    """Places that each type takes in an array of symbols, its end included."""
+    return np.diff(np.flatnonzero(s < 0), prepend=-1)
+
+
+def _count_pairs(moves: _Sums, s: np.ndarray, n: np.ndarray, width: int) -> None:
+    whole = (s[:-1] >= 0) & (s[1:] >= 0)
+    moves.add((s[:-1].astype(np.int64) * width + s[1:])[whole], np.repeat(n, _sizes(s))[:-1][whole])
+
+
+def _longer(s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The types of two symbols or more: one has nothing to merge any more."""
+    sizes = _sizes(s)
+    return s[np.repeat(sizes > 2, sizes)], n[sizes > 2]
+
+
+def _frame(**columns) -> pd.DataFrame:
+    return pd.DataFrame({c: columns.get(c) for c in ("kind", "n", "a", "b", "x", "symbols", "counts")})
+
 
+def _block(s: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    return _frame(kind=[0], symbols=[s.astype(np.int32).tobytes()], counts=[n.astype(np.int64).tobytes()])
 
-def _round(batch: list[Pair], looked: list[Pair], first: bool):
-    """Task function: the types after ``batch`` (kind 0), changes of pair counts (1), and what stands before and after the pairs ``looked`` at (2: before, 3: after)."""
-    ranks, looked_at = {p: i for i, p in enumerate(batch)}, frozenset(looked)
 
+def _pair_rows(moves: _Sums, width: int, name) -> Iterator[pd.DataFrame]:
+    codes, sums = moves.taken()
+    if len(codes):
+        yield _frame(kind=1, n=sums, a=[name(i) for i in (codes // width).tolist()], b=[name(i) for i in (codes % width).tolist()])
+
+
+def _pack(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Task function: types packed into blocks (kind 0), the counts of their pairs (1) and the characters (4)."""
+    moves, seen = _Sums(), set()
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush() -> Iterator[pd.DataFrame]:
+        s, n = (np.concatenate(part) for part in zip(*held))
+        held.clear()
+        if len(n):
+            _count_pairs(moves, s, n, CHARS)
+            yield _block(s, n)
+            if moves.crowded():
+                yield from _pair_rows(moves, CHARS, chr)
+
+    for frame in frames:
+        if not len(frame):
+            continue
+        sizes = frame["w"].str.len().to_numpy() + 1
+        s = np.full(sizes.sum(), -1, np.int32)
+        inner = np.ones(len(s), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        s[inner] = np.frombuffer("".join(frame["w"]).encode("utf-32-le", "surrogatepass"), np.int32)
+        seen.update(np.unique(s[inner]).tolist())
+        held.append(_longer(s, frame["n"].to_numpy()))
+        if sum(len(part) for part, _ in held) > BLOCK:
+            yield from flush()
+    if held:
+        yield from flush()
+    yield from _pair_rows(moves, CHARS, chr)
+    if seen:
+        yield _frame(kind=4, x=[chr(c) for c in sorted(seen)])
+
+
+def _round(batch: list[Pair], looked: list[Pair], made: list[str]):
+    """Task function: the blocks after ``batch`` (kind 0), changes of pair counts (1), and what stands before and after the pairs ``looked`` at (2: before, 3: after).
+
+    ``made`` are the strings that merges have made so far, those of the batch included.
+    """
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        moves: Counter = Counter()
-        around: Counter = Counter()
+        ids, width = {x: CHARS + i for i, x in enumerate(made)}, CHARS + len(made)
+        number = lambda x: ids[x] if len(x) > 1 else ord(x)
+        name = lambda i: made[i - CHARS] if i >= CHARS else chr(i)
+        steps = [(number(a), number(b), number(a + b)) for a, b in batch]
+        merging = _Finder([step[:2] for step in steps], width)
+        looking = _Finder([(number(a), number(b)) for a, b in looked], width)
+        moves, around = _Sums(), _Sums()
 
         def flush() -> Iterator[pd.DataFrame]:
-            rows = [(1, None, n, a, b, None) for (a, b), n in moves.items() if n] + [(kind, None, n, a, b, x) for (kind, a, b, x), n in around.items()]
-            moves.clear()
-            around.clear()
-            if rows:
-                yield pd.DataFrame(rows, columns=["kind", "s", "n", "a", "b", "x"])
+            yield from _pair_rows(moves, width, name)
+            codes, sums = around.taken()
+            if len(codes):
+                pairs = [looked[i] for i in (codes // (2 * width)).tolist()]
+                x = [name(i) for i in (codes // 2 % width).tolist()]
+                yield _frame(kind=2 + codes % 2, n=sums, a=[a for a, _ in pairs], b=[b for _, b in pairs], x=x)
 
         for frame in frames:
-            kept = []
-            for s, n in zip(frame["s"], frame["n"].tolist()):
-                symbols = s.split(JOIN)
-                pairs = list(zip(symbols, symbols[1:]))
-                if first:
-                    for p in pairs:
-                        moves[p] += n
-                elif not ranks.keys().isdisjoint(pairs):
-                    for p in pairs:
-                        moves[p] -= n
-                    symbols = _changed(symbols, ranks, batch)
-                    pairs = list(zip(symbols, symbols[1:]))
-                    for p in pairs:
-                        moves[p] += n
-                if pairs:
-                    # A type of one symbol has nothing to merge any more.
-                    kept.append((0, JOIN.join(symbols), n, None, None, None))
-                if not looked_at.isdisjoint(pairs):
-                    for i, p in enumerate(pairs):
-                        if p in looked_at:
-                            if i:
-                                around[2, *p, symbols[i - 1]] += n
-                            if i + 2 < len(symbols):
-                                around[3, *p, symbols[i + 2]] += n
-            if kept:
-                yield pd.DataFrame(kept, columns=["kind", "s", "n", "a", "b", "x"])
-            if len(moves) + len(around) > HELD:
-                yield from flush()
+            for symbols, counts in zip(frame["symbols"], frame["counts"]):
+                s, n = np.frombuffer(symbols, np.int32), np.frombuffer(counts, np.int64)
+                at, _ = merging.find(s)
+                if len(at):
+                    ends = s < 0
+                    owner = np.cumsum(ends) - ends
+                    hit = np.zeros(len(n), bool)
+                    hit[owner[at]] = True
+                    mine = hit[owner]
+                    # The merges of a batch in their order; each looks at what the ones before have left.
+                    new, new_n = s[mine], n[hit]
+                    _count_pairs(moves, new, -new_n, width)
+                    for step in steps:
+                        new = _joined(new, *step)
+                    _count_pairs(moves, new, new_n, width)
+                    new, new_n = _longer(new, new_n)
+                    s, n = np.concatenate([s[~mine], new]), np.concatenate([n[~hit], new_n])
+                if not len(n):
+                    continue
+                yield _block(s, n)
+                at, which = looking.find(s)
+                weight = np.repeat(n, _sizes(s))[at]
+                # Every type has its end behind it, and the first one finds the end of the last before it.
+                for side, x in ((0, s[at - 1]), (1, s[at + 2])):
+                    inner = x >= 0
+                    around.add(((which * width + x) * 2 + side)[inner], weight[inner])
+                if moves.crowded() | around.crowded():
+                    yield from flush()
         yield from flush()
 
     return run
@@ -145,32 +274,32 @@ def decided(ranked: list[tuple[str, str, int]], limit: tuple | None, bound: dict
 
 
 def word_types(df: DataFrame, words: Column) -> DataFrame:
-    """``s, n``: every distinct word as its characters, and how often it occurs."""
-    types = df.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return types.where("w <> ''").select(F.array_join(F.split("w", ""), JOIN).alias("s"), "n")
+    """``w, n``: every distinct word that is not empty, and how often it occurs."""
+    return df.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("w <> ''")
 
 
 def train_merges(df: DataFrame, words: Column, n_merges: int, look: int = LOOK) -> tuple[list[str], list[Pair]]:
     """Characters and the first ``n_merges`` byte-pair merges of the words of ``df`` (fewer, if no pair is left).
 
-    The best pair is the most frequent, ties by its symbols. A round writes the types and the changes of
-    the pair counts to the shared folder and removes the round before; the driver sees ``look`` pairs and
-    the triples that those share.
+    The best pair is the most frequent, ties by its symbols. The types are packed into blocks of numbered
+    symbols, so that a round goes over arrays. It writes the blocks and the changes of the pair counts to the
+    shared folder and removes the round before; the driver sees ``look`` pairs and the triples that those share.
     """
     spark = df.sparkSession
     # As many files as tasks can run, so that small tables are worked on by all of them.
-    state = stored(word_types(df, words).repartition(spark.sparkContext.defaultParallelism, "s"))
-    alphabet = sorted(r[0] for r in state.select(F.explode(F.split("s", JOIN)).alias("c")).distinct().collect())
+    done = stored(word_types(df, words).repartition(spark.sparkContext.defaultParallelism, "w").mapInPandas(_pack, _ROUND))
+    alphabet = sorted(r[0] for r in done.where("kind = 4").select("x").distinct().collect())
     merges: list[Pair] = []
-    batch: list[Pair] = []
+    made: dict[str, None] = {}
     looked: list[Pair] = []
-    counts, first, old = None, True, [state]
+    counts = None
     while len(merges) < n_merges:
-        done = stored(state.mapInPandas(_round(batch, looked, first), _ROUND))
-        moved = done.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n"))
-        if not first:
-            moved = counts.unionByName(moved).groupBy("a", "b").agg(F.sum("n").alias("n"))
-        counts = stored(moved.where("n > 0"))
+        moved = done.where("kind = 1").select("a", "b", "n")
+        if counts is not None:
+            moved = counts.unionByName(moved)
+        old, counts = counts, stored(moved.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0"))
+        if old is not None:
+            discard(old)
         best = counts.orderBy(F.desc("n"), "a", "b").limit(look + 1).collect()
         ranked = [(r.a, r.b, r.n) for r in best[:look]]
         limit = (-best[look].n, best[look].a, best[look].b) if len(best) > look else None
@@ -179,14 +308,18 @@ def train_merges(df: DataFrame, words: Column, n_merges: int, look: int = LOOK)
         if not batch:
             break
         merges += batch
+        if len(merges) >= n_merges:
+            break
+        made |= dict.fromkeys(a + b for a, b in batch)
         gone = set(batch)
         # The pairs that the batch creates, as far as they can be among the best, are looked at as well.
         new = sorted((-n, (x, a + b) if kind == 2 else (a + b, x)) for a, b in batch for kind, x, n in beside.get((a, b), ()))
         looked = list(dict.fromkeys([(a, b) for a, b, _ in ranked if (a, b) not in gone] + [p for _, p in new[:look]]))
-        state, first = done.where("kind = 0").select("s", "n"), False
-        for table in old:
+        before, done = done, stored(done.where("kind = 0").mapInPandas(_round(batch, looked, list(made)), _ROUND))
+        discard(before)
+    for table in (done, counts):
+        if table is not None:
             discard(table)
-        old = [done, counts]
     return alphabet, merges
 
 

@@ -69,6 +69,20 @@ def test_batches_equal_merging_one_by_one(spark, look):
     assert got == plain_merges(Counter(words), 16) and alphabet == sorted(set("".join(words)))
 
 
+def test_types_go_over_many_blocks_and_flushes(spark, monkeypatch):
+    """Blocks and held sums of a few numbers; runs of one symbol and characters beyond 16 bits."""
+    monkeypatch.setattr(merges, "BLOCK", 20)
+    monkeypatch.setattr(merges, "HELD", 8)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aaab\U0001D400é") for _ in range(rng.randint(1, 12))) for _ in range(200)]
+    df = spark.createDataFrame([(w,) for w in words], "w string").repartition(3)
+    frames = [merges.word_types(df, F.array("w")).toPandas().iloc[i : i + 5] for i in (0, 5, 10)]
+    blocks = [b for f in merges._pack(iter(frames)) if f["kind"].iloc[0] == 0 for b in f["symbols"]]
+    assert 1 < len(blocks) <= 3 and all(len(b) % 4 == 0 for b in blocks)
+    alphabet, got = merges.train_merges(df, F.array("w"), 25, 8)
+    assert got == plain_merges(Counter(words), 25) and alphabet == sorted(set("".join(words)))
+
+
 def test_no_pairs_and_empty_tables(spark):
     df = spark.createDataFrame([("a",), ("",), (None,)], "w string")
     assert merges.train_merges(df, F.array("w"), 5) == (["a"], [])
