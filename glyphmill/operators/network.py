@@ -26,9 +26,11 @@ BLOCK_WORDS, MOST_BLOCKS, CELL_LINKS = 1 << 14, 16, 1 << 18
 
 def adjacent(words: Column) -> Column:
     """Array of adjacent word pairs ``(w1, w2)``; empty below two words."""
-    n = F.size(words)
-    nexts = F.slice(words, 2, F.greatest(n - 1, F.lit(0)))
-    return F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), nexts, lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
+    def pairs(w: Column) -> Column:
+        inner = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(F.slice(w, 1, inner), F.slice(w, 2, inner), lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
+
+    return tx.let(words, pairs)
 
 
 def document_bigrams(df: DataFrame, text: str, keep: list[str] | None = None) -> DataFrame:

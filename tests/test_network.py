@@ -170,3 +170,10 @@ def test_eigenvector_of_lone_words_and_loops(spark):
     a, b = 1.0, top - 2
     assert got["a"] == pytest.approx(a / (a * a + b * b) ** 0.5, abs=1e-4) and got["b"] / got["a"] == pytest.approx(b, abs=1e-4)
     assert got["lone"] == pytest.approx(0, abs=1e-4)
+
+
+def test_words_are_found_once_per_text(spark):
+    df = spark.createDataFrame([("a b b a",), ("b",), ("",), (None,), ("c a",)], "t string")
+    pairs = network.document_bigrams(df, "t")
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert sorted(tuple(r) for r in pairs.collect()) == [("a", "b"), ("b", "a"), ("b", "b"), ("c", "a")]
