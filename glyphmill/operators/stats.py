@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,44 +75,68 @@ def word_frequency(df: DataFrame, words: Column) -> DataFrame:
     return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def _ngram_rows(df: DataFrame, text: str, sizes: list[int]) -> DataFrame:
+def _hashed_words(df: DataFrame, text: str) -> DataFrame:
+    """``_w, _h``: the words of every text and their hashes."""
     words = df.select(tx.clean_words(F.col(text)).alias("_w"))
-    return words.select(F.explode(F.concat(*[tx.ngrams(F.col("_w"), n, plain=True) for n in sizes])).alias("ngram"))
+    return words.select("_w", F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
+
+
+def _starts(n: int) -> Column:
+    """Where n-grams of :func:`_hashed_words` begin."""
+    return F.when(F.size("_h") >= n, F.sequence(F.lit(0), F.size("_h") - n))
+
+
+def _bucket(n: int, buckets: int, first: int) -> Callable[[Column], Column]:
+    """Bucket, from ``first`` on, of the n-gram that begins at a place; from the hashes of its words, so nothing is spelled for it."""
+    return lambda i: (F.pmod(F.xxhash64(*[F.get("_h", i + k) for k in range(n)]), F.lit(buckets)) + first).cast("int")
 
 
-def _ngram_size() -> Column:
-    """Words hold no space, so the spaces tell the size."""
-    return F.length("ngram") - F.length(F.replace("ngram", F.lit(" "), F.lit(""))) + 1
+def _spelled(n: int) -> Callable[[Column], Column]:
+    return lambda i: F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[F.get("_w", i + k) for k in range(n)]).alias("ngram"))
+
+
+def _bitmap(chosen: DataFrame, buckets: int) -> Column:
+    """Array of 64-bit words, a constant; bit ``b % 64`` of word ``b div 64`` says that bucket ``b`` is among ``chosen``."""
+    words = dict(chosen.groupBy(F.expr("bucket div 64")).agg(F.expr("bit_or(shiftleft(1L, bucket % 64))")).collect())
+    return F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(buckets // 64 + 1))), ",").cast("array<bigint>")
 
 
 def top_ngrams(df: DataFrame, text: str, sizes: list[int], k: int) -> DataFrame:
     """The ``k`` most frequent n-grams of each size, ties by n-gram."""
-    counted = _ngram_rows(df, text, sizes).groupBy("ngram").agg(F.count(F.lit(1)).alias("freq"))
-    sized = counted.select(_ngram_size().alias("n"), "ngram", "freq")
-    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("freq"), "ngram"))
-    return sized.withColumn("rank", rank).where(F.col("rank") <= k)
+    return frequent_ngrams(df, text, sizes, k)
 
 
 def frequent_ngrams(df: DataFrame, text: str, sizes: list[int], k: int, buckets: int = 1 << 18, first: int = 4096, seen: dict | None = None) -> DataFrame:
-    """The rows of :func:`top_ngrams` without a shuffle of all distinct n-grams.
+    """The ``k`` most frequent n-grams of each size, ties by n-gram, without a shuffle of all distinct n-grams.
 
     First only the loads of ``buckets`` hash buckets per size are counted, a number of rows per task that
     does not grow with the text. The n-grams of the ``first`` heaviest buckets are then counted
     exactly; their ``k``-th count is a bound that every n-gram of the answer reaches, and so does its bucket.
-    Whatever other bucket reaches it is counted as well, so the result is exact for any data. The bucket
-    names, at most ``buckets`` per size, are broadcast. The text is read twice, or three times if the
-    heaviest buckets were not enough: this pays where the distinct n-grams are far more than ``buckets``.
+    Whatever other bucket reaches it is counted as well, so the result is exact for any data. The buckets
+    chosen are a bitmap of ``buckets`` bits per size, and only their n-grams are spelled. The text is read twice,
+    or three times if the heaviest buckets were not enough.
 
     ``seen``, if given, receives the number of n-grams that were counted exactly.
     """
-    grams = _ngram_rows(df, text, sizes).select(_ngram_size().alias("n"), "ngram")
-    grams = grams.withColumn("bucket", F.pmod(F.xxhash64("ngram"), F.lit(buckets)).cast("int"))
-    loads = materialize(grams.groupBy("n", "bucket").agg(F.count(F.lit(1)).alias("load")))
+    sizes = list(dict.fromkeys(sizes))
+    hashed = _hashed_words(df, text)
+    bucket = [_bucket(n, buckets, at * buckets) for at, n in enumerate(sizes)]
+    none = F.array().cast("array<int>")
+    every = hashed.select(F.explode(F.concat(*[F.coalesce(F.transform(_starts(n), f), none) for n, f in zip(sizes, bucket)])).alias("bucket"))
+    size = F.get(F.array(*map(F.lit, sizes)), F.expr(f"int(bucket div {buckets})")).alias("n")
+    loads = materialize(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("load")).select(size, "bucket", "load"))
     by_load = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("load"), "bucket"))
     heavy = materialize(loads.withColumn("place", by_load).where(F.col("place") <= first).select("n", "bucket"))
 
     def recount(chosen: DataFrame) -> DataFrame:
-        met = grams.join(F.broadcast(chosen), ["n", "bucket"], "left_semi")
+        bits = _bitmap(chosen, len(sizes) * buckets)
+        none = F.array().cast("array<struct<n:int,ngram:string>>")
+
+        def found(n: int, bucket: Callable[[Column], Column]) -> Column:
+            inside = lambda b: F.getbit(F.get(bits, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1
+            return F.coalesce(F.transform(F.filter(_starts(n), lambda i: inside(bucket(i))), _spelled(n)), none)
+
+        met = hashed.select(F.inline(F.concat(*[found(n, f) for n, f in zip(sizes, bucket)])))
         return materialize(met.groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("freq")))
 
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("freq"), "ngram"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -208,3 +209,15 @@ def test_frequent_ngrams_when_all_are_wanted(spark):
     got = {tuple(r) for r in stats.frequent_ngrams(df, "t", [2, 9], 50, 64, 1).collect()}
     assert got == {(2, "a b", 3, 1), (2, "b c", 1, 2), (2, "c a", 1, 3)}
     assert stats.frequent_ngrams(df.limit(0), "t", [2], 5).collect() == []
+
+
+def test_top_ngrams_shuffle_hash_buckets_and_equal_a_plain_count(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randint(0, 60))) for _ in range(150)] + ["", None, "Ünd ÜND ünd"]
+    plain = {n: Counter(" ".join(w[i : i + n]) for t in texts if t for w in [t.lower().split()] for i in range(len(w) - n + 1)) for n in (1, 2, 3)}
+    want = {(n, g, c, r) for n in plain for r, (g, c) in enumerate(sorted(plain[n].items(), key=lambda x: (-x[1], x[0]))[:5], 1)}
+    counted = []
+    monkeypatch.setattr(stats, "materialize", lambda df: counted.append(df.columns) or df.localCheckpoint())
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    assert {tuple(r) for r in stats.top_ngrams(df, "t", [1, 2, 3], 5).select("n", "ngram", "freq", "rank").collect()} == want
+    assert ["n", "bucket", "load"] in counted
