@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -202,3 +204,52 @@ def test_a_long_chain_of_links_finishes(spark):
     bands = spark.createDataFrame(rows, "ord long, band int, key string")
     gone = {r["ord"] for r in dedup.greedy_dropped(bands.where("ord < 40"), ["band", "key"]).collect()}
     assert gone == set(range(1, 40, 2))
+
+
+def test_sets_move_only_to_the_bucket_where_a_pair_is_compared(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(20)]
+    rows = [(2 * o + k, " ".join([*t, f"end{k}"])) for o, t in enumerate(texts) for k in (0, 1)]
+    sent = []
+    plain = near_pairs.materialize
+
+    def noted(df):
+        out = plain(df)
+        if "side" in out.columns:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_pairs, "materialize", noted)
+    pairs, _ = near_pairs.verified_pairs(spark.createDataFrame(rows, "ord long, text string"), "text", "ord")
+    assert {(r.later, r.earlier) for r in pairs.collect()} == {(2 * o + 1, 2 * o) for o in range(20)}
+    assert sent == [40]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_rows_met_in_a_bucket_equal_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    n = 120
+    frame = pd.DataFrame({"band": 2, "key": np.sort(rng.integers(0, 6, n)), "i": 0, "j": rng.integers(0, 2, n), "size": rng.integers(5, 15, n)})
+    frame["side"] = [int(rng.integers(0, 2)) if j else 0 for j in frame["j"]]
+    frame["keys"] = [*rng.integers(0, 4, (n, 4))]
+    frame = frame.sort_values(near_pairs.UNIT, kind="stable", ignore_index=True)
+    rows = frame.to_dict("records")
+
+    def meet(x, y):
+        same = all(x[c] == y[c] for c in near_pairs.UNIT) and (x["i"] == x["j"] or x["side"] != y["side"])
+        ratio = min(x["size"], y["size"]) / max(x["size"], y["size"])
+        return same and ratio >= 0.75 and not (x["keys"][:2] == y["keys"][:2]).any()
+
+    want = [any(meet(x, y) for k, y in enumerate(rows) if k != a) for a, x in enumerate(rows)]
+    assert near_pairs.met_here(frame, 0.75).tolist() == want and 0 < sum(want) < n
+    cut = [frame.iloc[a : a + 7] for a in range(0, n, 7)]
+    units = [f for f in near_pairs.whole_units(iter(cut))]
+    assert pd.concat(units, ignore_index=True)["keys"].map(tuple).tolist() == frame["keys"].map(tuple).tolist()
+    assert len({k for f in units for k in map(tuple, f[near_pairs.UNIT].drop_duplicates().to_numpy())}) == sum(len(f[near_pairs.UNIT].drop_duplicates()) for f in units)
+
+
+def test_signature_at_the_ends_of_the_hashes():
+    ab = dedup.permutations(128)
+    for hashes in ([0], [MERSENNE_31], [MERSENNE_31 - 1, 1], list(range(1, 1200))):
+        got = dedup._signature(np.array(hashes, dtype=">u4"), *(np.array(x, dtype=np.uint64) for x in zip(*ab)))
+        assert got.tolist() == [min((a * h + b) % MERSENNE_31 for h in hashes) for a, b in ab]
