@@ -9,6 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from glyphmill.session import is_empty, materialize
 
 # Words of a block of the vector at least, its blocks at most, and links in a packed row (a batch of rows more at most).
 BLOCK_WORDS, MOST_BLOCKS, CELL_LINKS = 1 << 14, 16, 1 << 18
+# Words of a block of texts, and pairs of words of a bucket, whose numbers are added up at once.
+CODED_WORDS, BUCKET_PAIRS = 1 << 20, 1 << 19
 
 
 # ---------------------------------------------------------------- bigrams and edges
@@ -84,16 +89,147 @@ def with_frequencies(edges: DataFrame, freq: DataFrame, total: int, min_freq: in
     return join_by_key(one, right, ["w2"], "freq2", total, ["w1"])
 
 
+def _lists(offsets: np.ndarray, values) -> pa.Array:
+    """One list per stretch of ``values`` between two offsets."""
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def _coded_block(lists: pa.Array, counted: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``words, n, lo, hi, weight`` of a block of word lists: its words in order, how often they occur in ``counted``
+    lists, and its unordered pairs of adjacent words by their places in ``words`` (a word next to itself counts twice)."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    at = rank[coded.indices.to_numpy()]
+    n = np.bincount(at[np.repeat(counted, lengths)], minlength=len(order))
+    goes_on = np.ones(len(at), bool)
+    goes_on[np.cumsum(lengths)[lengths > 0] - 1] = False
+    first = np.flatnonzero(goes_on)
+    a, b = at[first], at[first + 1]
+    key, times = np.unique(np.minimum(a, b) * len(order) + np.maximum(a, b), return_counts=True)
+    lo, hi = np.divmod(key, max(len(order), 1))
+    return coded.dictionary.take(pa.array(order)), n, lo, hi, np.where(lo == hi, 2 * times, times)
+
+
+def _code(block_words: int):
+    """Task function over word lists: blocks of some ``block_words`` words, one row each."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, held_words = TaskContext.get().partitionId(), 0, [], 0
+
+        def row() -> pa.RecordBatch:
+            lists = pa.concat_arrays([b.column(0) for b in held])
+            counted = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in held]).astype(bool)
+            words, n, lo, hi, weight = _coded_block(lists, counted)
+            columns = [pa.array([(part << 32) + number], pa.int64())]
+            columns += [_lists([0, len(words)], c) for c in (words, n.astype(np.int64))]
+            columns += [_lists([0, len(lo)], c) for c in (lo.astype(np.int32), hi.astype(np.int32), weight.astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "words", "n", "lo", "hi", "weight"])
+
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
+            sums = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            start = 0
+            while start < len(lengths):
+                # As many lists as fill the block, at least one.
+                stop = int(np.searchsorted(sums, sums[start] + block_words - held_words))
+                stop = min(max(stop, start + 1), len(lengths))
+                held.append(batch.slice(start, stop - start))
+                held_words += int(sums[stop] - sums[start])
+                if held_words >= block_words:
+                    yield row()
+                    number, held, held_words = number + 1, [], 0
+                start = stop
+        if held_words:
+            yield row()
+
+    return code
+
+
+def _deal(min_freq: int, n_buckets: int):
+    """Task function over blocks with the frequencies of their frequent words: the pairs of such words, by buckets."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                cell = lambda c: batch.column(c).slice(k, 1).flatten()
+                words, known = cell("words"), cell("known")
+                place = known.field("pos").to_numpy()
+                freq, code = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint64)
+                freq[place], code[place] = known.field("freq").to_numpy(), known.field("code").to_numpy().view(np.uint64)
+                lo, hi, weight = (cell(c).to_numpy() for c in ("lo", "hi", "weight"))
+                both = np.flatnonzero((freq[lo] >= min_freq) & (freq[hi] >= min_freq))
+                mixed = code[lo[both]] * np.uint64(0x9E3779B97F4A7C15) + code[hi[both]]
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                bucket = ((mixed >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int64)
+                both = both[np.argsort(bucket, kind="stable")]
+                sizes = np.bincount(bucket, minlength=n_buckets)
+                used = np.flatnonzero(sizes)
+                offsets = np.concatenate([[0], np.cumsum(sizes[used])])
+                lo, hi = lo[both], hi[both]
+                columns = [words.take(pa.array(lo)), words.take(pa.array(hi)), weight[both], freq[lo], freq[hi]]
+                out = [pa.array(used.astype(np.int32)), *[_lists(offsets, c) for c in columns]]
+                yield pa.RecordBatch.from_arrays(out, names=["bucket", "w1", "w2", "weight", "freq1", "freq2"])
+
+    return deal
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: the pairs of a bucket, each once with its weights added up."""
+    names = ["w1", "w2", "weight", "freq1", "freq2"]
+
+    def merged(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w1, w2, weight, freq1, freq2 = (pa.concat_arrays([r.column(c) for r in rows]).flatten() for c in names)
+        one, two = w1.dictionary_encode(), w2.dictionary_encode()
+        key = one.indices.to_numpy().astype(np.int64) * len(two.dictionary) + two.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        total = np.add.reduceat(weight.to_numpy()[order], starts)
+        firsts = pa.array(order[starts])
+        table = pa.table([w1.take(firsts), w2.take(firsts), pa.array(total), freq1.take(firsts), freq2.take(firsts)], names=names)
+        yield from table.to_batches(max_chunksize=1 << 16)
+
+    at, held = None, []
+    for batch in batches:
+        buckets = batch.column("bucket").to_numpy()
+        cuts = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1), len(buckets)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi == lo:
+                continue
+            if held and buckets[lo] != at:
+                yield from merged(held)
+                held = []
+            at = buckets[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield from merged(held)
+
+
 def frequent_edges(df: DataFrame, text: str, min_freq: int = 2, cross_document_order: str | None = None) -> DataFrame:
-    """Undirected weighted edges between words of at least ``min_freq`` occurrences, with both frequencies."""
-    steps = materialize(counted_steps(df, text))
-    freq = steps.groupBy(F.col("w1").alias("word")).agg(F.sum("n_pairs").alias("freq"))
-    pairs = steps.where("w2 IS NOT NULL")
+    """Undirected weighted edges between words of at least ``min_freq`` occurrences, with both frequencies.
+
+    Texts are cut into blocks of words whose distinct words and pairs are counted by number. A block gets the frequencies
+    of its words back (a word is in a block once, so no word is hot) and sends the pairs of frequent words only,
+    packed by buckets of a hash of the pair, where they are added up.
+    """
+    lists = df.select(tx.clean_words(F.col(text)).alias("_w"), F.lit(True).alias("_counted"))
     if cross_document_order:
         across = border_bigrams(df, text, cross_document_order)
-        pairs = pairs.unionByName(across.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n_pairs")))
-    total = steps.agg(F.sum("n_pairs")).first()[0] or 0
-    return with_frequencies(undirected(pairs), freq, total, min_freq)
+        lists = lists.unionByName(across.select(F.array("w1", "w2").alias("_w"), F.lit(False).alias("_counted")))
+    blocks = materialize(lists.mapInArrow(_code(CODED_WORDS), "block bigint, words array<string>, n array<bigint>, lo array<int>, hi array<int>, weight array<bigint>"))
+    n_pairs = blocks.agg(F.sum(F.size("lo"))).first()[0] or 0
+    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "n")).alias("pos", "_x")).select("block", "pos", "_x.words", "_x.n")
+    freq = words.groupBy("words").agg(F.sum("n").alias("freq")).where(F.col("freq") >= min_freq)
+    found = words.join(freq, "words").groupBy("block").agg(F.collect_list(F.struct("pos", "freq", F.xxhash64("words").alias("code"))).alias("known"))
+    dealt = blocks.drop("n").join(found, "block").mapInArrow(
+        _deal(min_freq, -(-n_pairs // BUCKET_PAIRS) or 1),
+        "bucket int, w1 array<string>, w2 array<string>, weight array<bigint>, freq1 array<bigint>, freq2 array<bigint>",
+    )
+    sorted_buckets = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    return sorted_buckets.mapInArrow(_add_up, "w1 string, w2 string, weight bigint, freq1 bigint, freq2 bigint")
 
 
 def word_edges(df: DataFrame, text: str, min_freq: int = 2, cross_document_order: str | None = None) -> DataFrame:

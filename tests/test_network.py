@@ -177,3 +177,25 @@ def test_words_are_found_once_per_text(spark):
     pairs = network.document_bigrams(df, "t")
     assert pairs._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert sorted(tuple(r) for r in pairs.collect()) == [("a", "b"), ("b", "a"), ("b", "b"), ("c", "a")]
+
+
+@pytest.mark.parametrize("cross", [None, "doc_id"])
+def test_word_edges_over_many_blocks_keep_no_row_per_pair(spark, monkeypatch, cross):
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(60)] + ["Straße", "ÉTÉ", "été", "日本"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.choice([0, 1, 2, 30, 90]))) for _ in range(60)] + [None, "", "w0 w0 w0"]
+    monkeypatch.setattr(network, "CODED_WORDS", 100, raising=False)
+    monkeypatch.setattr(network, "BUCKET_PAIRS", 50, raising=False)
+    kept = []
+    plain = network.materialize
+    monkeypatch.setattr(network, "materialize", lambda df: kept.append(plain(df)) or kept[-1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(r.w1, r.w2): (r.weight, r.freq1, r.freq2) for r in network.frequent_edges(df, "text", 20, cross).collect()}
+    words = [t.lower().split() if t else [] for t in texts]
+    freq = Counter(w for ws in words for w in ws)
+    pairs = [p for ws in ([[w for ws in words for w in ws]] if cross else words) for p in zip(ws, ws[1:])]
+    weight = Counter()
+    for a, b in pairs:
+        weight[min(a, b, key=lambda x: x.encode()), max(a, b, key=lambda x: x.encode())] += 1 + (a == b)
+    assert got == {(a, b): (n, freq[a], freq[b]) for (a, b), n in weight.items() if freq[a] >= 20 and freq[b] >= 20}
+    assert kept[-1].count() < len(weight) / 10
