@@ -1,18 +1,22 @@
 """Word co-occurrence networks: bigrams, edges, centralities and filtering.
 
-A network is two tables: ``edges(w1, w2, weight)`` with ``w1 <= w2`` and ``nodes(word)``.
+A network is two tables: ``edges(w1, w2, weight)`` with ``w1 <= w2`` and ``nodes(word)``. Degrees, sizes and filters also
+take :class:`PackedEdges`.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as tx
@@ -23,8 +27,8 @@ from glyphmill.session import is_empty, materialize
 
 # Words of a block of the vector at least, its blocks at most, and links in a packed row (a batch of rows more at most).
 BLOCK_WORDS, MOST_BLOCKS, CELL_LINKS = 1 << 14, 16, 1 << 18
-# Words of a block of texts, and pairs of words of a bucket, whose numbers are added up at once.
-CODED_WORDS, BUCKET_PAIRS = 1 << 20, 1 << 19
+# Words of a block of texts, pairs of words of a cell on average, and numbers of a block at most, that are added up at once.
+CODED_WORDS, BUCKET_PAIRS, MOST_WIDTH = 1 << 20, 1 << 19, 1 << 20
 
 
 # ---------------------------------------------------------------- bigrams and edges
@@ -148,72 +152,164 @@ def _code(block_words: int):
     return code
 
 
-def _deal(min_freq: int, n_buckets: int):
-    """Task function over blocks with the frequencies of their frequent words: the pairs of such words, by buckets."""
+def _stretches(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple[int, ...], list[pa.RecordBatch]]]:
+    """Rows sorted by ``keys``: each key with its rows."""
+    at, held = None, []
+    for batch in batches:
+        values = [batch.column(k).to_numpy() for k in keys]
+        changes = np.any([v[1:] != v[:-1] for v in values], axis=0)
+        cuts = [0, *(np.flatnonzero(changes) + 1), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi == lo:
+                continue
+            key = tuple(int(v[lo]) for v in values)
+            if held and key != at:
+                yield at, held
+                held = []
+            at = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield at, held
+
+
+def _values(rows: list[pa.RecordBatch], column: str) -> np.ndarray:
+    """The values of a list column of some rows, one after the other."""
+    return np.concatenate([r.column(column).flatten().to_numpy() for r in rows])
+
+
+def _number(min_freq: int, held_words: int):
+    """Task function over the words of blocks, sorted by word: the words of at least ``min_freq`` occurrences, numbered
+    from 0 in each task, and per block the places of its words with their numbers."""
+    names = ["part", "first", "words", "freq", "block", "pos", "at"]
+
+    def packed(part: int, first: int, words: list, freq: list, places: list) -> Iterator[pa.RecordBatch]:
+        lists = [_lists([0, sum(map(len, x))], c) for x, c in ((words, pa.concat_arrays(words)), (freq, np.concatenate(freq)))]
+        none = [pa.nulls(1, t) for t in (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), *lists, *none], names=names)
+        block, pos, at = (np.concatenate(x) for x in zip(*places))
+        order = np.argsort(block, kind="stable")
+        own, sizes = np.unique(block, return_counts=True)
+        offsets, n = np.concatenate([[0], np.cumsum(sizes)]), len(own)
+        none = [pa.nulls(n, t) for t in (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))]
+        places = [pa.array(own, pa.int64()), _lists(offsets, pos[order].astype(np.int32)), _lists(offsets, at[order])]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part), pa.int32()), *none, *places], names=names)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, last, rest = TaskContext.get().partitionId(), 0, 0, None
+        words, freq, places, held = [], [], [], 0
+        for batch in itertools.chain(batches, [None]):
+            here = [x for x in (rest, batch) if x is not None and x.num_rows]
+            if not here:
+                continue
+            rows = pa.concat_batches(here)
+            index = rows.column("word").dictionary_encode().indices.to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(index[1:] != index[:-1]) + 1])
+            # The last word may go on in the next batch.
+            done = rows.num_rows if batch is None else int(starts[-1])
+            rest, rows = (None if batch is None else rows.slice(done)), rows.slice(0, done)
+            starts = starts[starts < done]
+            if not done:
+                continue
+            block, pos, n = (rows.column(c).to_numpy() for c in ("block", "pos", "n"))
+            sums = np.add.reduceat(n, starts)
+            often = sums >= min_freq
+            at = np.repeat(last + np.cumsum(often) - 1, np.diff([*starts, done]))
+            own = np.repeat(often, np.diff([*starts, done]))
+            if not often.any():
+                continue
+            words.append(rows.column("word").take(pa.array(starts[often])))
+            freq.append(sums[often])
+            places.append((block[own], pos[own], at[own]))
+            last, held = last + int(often.sum()), held + int(own.sum())
+            if held >= held_words:
+                yield from packed(part, first, words, freq, places)
+                first, words, freq, places, held = last, [], [], [], 0
+        if words:
+            yield from packed(part, first, words, freq, places)
+
+    return number
+
+
+def _deal(width: int, side: int):
+    """Task function over blocks with the numbers of their frequent words: the pairs of such words, by cells."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 cell = lambda c: batch.column(c).slice(k, 1).flatten()
-                words, known = cell("words"), cell("known")
-                place = known.field("pos").to_numpy()
-                freq, code = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint64)
-                freq[place], code[place] = known.field("freq").to_numpy(), known.field("code").to_numpy().view(np.uint64)
-                lo, hi, weight = (cell(c).to_numpy() for c in ("lo", "hi", "weight"))
-                both = np.flatnonzero((freq[lo] >= min_freq) & (freq[hi] >= min_freq))
-                mixed = code[lo[both]] * np.uint64(0x9E3779B97F4A7C15) + code[hi[both]]
-                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                bucket = ((mixed >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int64)
-                both = both[np.argsort(bucket, kind="stable")]
-                sizes = np.bincount(bucket, minlength=n_buckets)
-                used = np.flatnonzero(sizes)
-                offsets = np.concatenate([[0], np.cumsum(sizes[used])])
-                lo, hi = lo[both], hi[both]
-                columns = [words.take(pa.array(lo)), words.take(pa.array(hi)), weight[both], freq[lo], freq[hi]]
-                out = [pa.array(used.astype(np.int32)), *[_lists(offsets, c) for c in columns]]
-                yield pa.RecordBatch.from_arrays(out, names=["bucket", "w1", "w2", "weight", "freq1", "freq2"])
+                ids = np.full(batch.column("n_words")[k].as_py(), -1, np.int64)
+                known = cell("known")
+                before, pos, at = (known.field(c) for c in ("before", "pos", "at"))
+                ids[pos.flatten().to_numpy()] = np.repeat(before.to_numpy(), pc.list_value_length(pos).to_numpy()) + at.flatten().to_numpy()
+                a, b, weight = ids[cell("lo").to_numpy()], ids[cell("hi").to_numpy()], cell("weight").to_numpy()
+                both = np.flatnonzero((a >= 0) & (b >= 0))
+                (i, lo), (j, hi) = np.divmod(a[both], width), np.divmod(b[both], width)
+                at = i * side + j
+                order = np.argsort((at * width + lo) * width + hi, kind="stable")
+                used, sizes = np.unique(at, return_counts=True)
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                columns = [lo[order].astype(np.int32), hi[order].astype(np.int32), weight[both][order]]
+                out = [pa.array((used // side).astype(np.int32)), pa.array((used % side).astype(np.int32)), *[_lists(offsets, c) for c in columns]]
+                yield pa.RecordBatch.from_arrays(out, names=["i", "j", "lo", "hi", "weight"])
 
     return deal
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: the pairs of a bucket, each once with its weights added up."""
-    names = ["w1", "w2", "weight", "freq1", "freq2"]
+def _merge(width: int):
+    """Task function over rows sorted by cell: the pairs of a cell, each once with its weights added up."""
 
-    def merged(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w1, w2, weight, freq1, freq2 = (pa.concat_arrays([r.column(c) for r in rows]).flatten() for c in names)
-        one, two = w1.dictionary_encode(), w2.dictionary_encode()
-        key = one.indices.to_numpy().astype(np.int64) * len(two.dictionary) + two.indices.to_numpy()
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        total = np.add.reduceat(weight.to_numpy()[order], starts)
-        firsts = pa.array(order[starts])
-        table = pa.table([w1.take(firsts), w2.take(firsts), pa.array(total), freq1.take(firsts), freq2.take(firsts)], names=names)
-        yield from table.to_batches(max_chunksize=1 << 16)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (i, j), rows in _stretches(batches, "i", "j"):
+            key = _values(rows, "lo").astype(np.int64) * width + _values(rows, "hi")
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            weight = np.add.reduceat(_values(rows, "weight")[order], starts)
+            lo, hi = np.divmod(key[starts], width)
+            columns = [pa.array([i], pa.int32()), pa.array([j], pa.int32())]
+            columns += [_lists([0, len(lo)], c) for c in (lo.astype(np.int32), hi.astype(np.int32), weight)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([int(weight.sum())])], names=["i", "j", "lo", "hi", "weight", "total"])
 
-    at, held = None, []
+    return merge
+
+
+def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block and number: the words of a block with their frequencies."""
+    for (i,), rows in _stretches(batches, "i"):
+        columns = [pa.concat_arrays([r.column(c) for r in rows]) for c in ("word", "freq")]
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *[_lists([0, len(c)], c) for c in columns]], names=["i", "words", "freq"])
+
+
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells with the words of their two blocks: the edges by their words."""
     for batch in batches:
-        buckets = batch.column("bucket").to_numpy()
-        cuts = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1), len(buckets)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if hi == lo:
-                continue
-            if held and buckets[lo] != at:
-                yield from merged(held)
-                held = []
-            at = buckets[lo]
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield from merged(held)
+        for k in range(batch.num_rows):
+            cell = lambda c: batch.column(c).slice(k, 1).flatten()
+            lo, hi = cell("lo"), cell("hi")
+            columns = [cell("words1").take(lo), cell("words2").take(hi), cell("weight"), cell("freqs1").take(lo), cell("freqs2").take(hi)]
+            yield from pa.table(columns, names=["w1", "w2", "weight", "freq1", "freq2"]).to_batches(max_chunksize=1 << 16)
 
 
-def frequent_edges(df: DataFrame, text: str, min_freq: int = 2, cross_document_order: str | None = None) -> DataFrame:
-    """Undirected weighted edges between words of at least ``min_freq`` occurrences, with both frequencies.
+class PackedEdges(NamedTuple):
+    """A network by numbers: ``words(id, word, freq)`` numbered from 0 in no order, and ``cells(i, j, lo, hi, weight, total)``.
 
-    Texts are cut into blocks of words whose distinct words and pairs are counted by number. A block gets the frequencies
-    of its words back (a word is in a block once, so no word is hot) and sends the pairs of frequent words only,
-    packed by buckets of a hash of the pair, where they are added up.
+    A cell has the edges between the words of the blocks ``i`` and ``j`` of ``width`` numbers, by their places in the
+    blocks, ``w1 <= w2`` as everywhere; ``total`` is the sum of its weights. There are ``side`` blocks.
+    """
+
+    words: DataFrame
+    cells: DataFrame
+    width: int
+    side: int
+
+
+def packed_edges(df: DataFrame, text: str, min_freq: int = 2, cross_document_order: str | None = None) -> PackedEdges:
+    """Undirected weighted edges between words of at least ``min_freq`` occurrences, packed by the numbers of the words.
+
+    Texts are cut into blocks of words whose distinct words and pairs are counted by place. The words move once, to be
+    added up and numbered (a word is in a block once, so no word is hot); a block gets the numbers of its frequent words
+    back and sends the pairs of such words only, to the cells of a grid over the numbers, where they are added up.
+    As words are numbered in the order of a hash, frequent ones are spread over the grid.
     """
     lists = df.select(tx.clean_words(F.col(text)).alias("_w"), F.lit(True).alias("_counted"))
     if cross_document_order:
@@ -221,19 +317,50 @@ def frequent_edges(df: DataFrame, text: str, min_freq: int = 2, cross_document_o
         lists = lists.unionByName(across.select(F.array("w1", "w2").alias("_w"), F.lit(False).alias("_counted")))
     blocks = materialize(lists.mapInArrow(_code(CODED_WORDS), "block bigint, words array<string>, n array<bigint>, lo array<int>, hi array<int>, weight array<bigint>"))
     n_pairs = blocks.agg(F.sum(F.size("lo"))).first()[0] or 0
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "n")).alias("pos", "_x")).select("block", "pos", "_x.words", "_x.n")
-    freq = words.groupBy("words").agg(F.sum("n").alias("freq")).where(F.col("freq") >= min_freq)
-    found = words.join(freq, "words").groupBy("block").agg(F.collect_list(F.struct("pos", "freq", F.xxhash64("words").alias("code"))).alias("known"))
-    dealt = blocks.drop("n").join(found, "block").mapInArrow(
-        _deal(min_freq, -(-n_pairs // BUCKET_PAIRS) or 1),
-        "bucket int, w1 array<string>, w2 array<string>, weight array<bigint>, freq1 array<bigint>, freq2 array<bigint>",
-    )
-    sorted_buckets = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    return sorted_buckets.mapInArrow(_add_up, "w1 string, w2 string, weight bigint, freq1 bigint, freq2 bigint")
-
-
-def word_edges(df: DataFrame, text: str, min_freq: int = 2, cross_document_order: str | None = None) -> DataFrame:
-    """The word network: undirected weighted edges between frequent words."""
+    places = blocks.select("block", F.posexplode(F.arrays_zip("words", "n")).alias("pos", "_x")).select("block", "pos", F.col("_x.words").alias("word"), "_x.n")
+    numbers = materialize(places.repartition("word").sortWithinPartitions("word").mapInArrow(
+        _number(min_freq, CODED_WORDS), "part int, first bigint, words array<string>, freq array<bigint>, block bigint, pos array<int>, at array<bigint>",
+    ))
+    spelled = numbers.where("block IS NULL").select("part", "first", "words", "freq")
+    sizes = spelled.groupBy("part").agg(F.sum(F.size("words")).alias("_n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition of the exchange by words: bounded by spark.sql.shuffle.partitions.
+    offsets = F.broadcast(sizes.select("part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("before")))
+    n_words = sizes.agg(F.sum("_n")).first()[0] or 0
+    side = max(math.isqrt(max(n_pairs - 1, 0) // BUCKET_PAIRS) + 1, -(-n_words // MOST_WIDTH))
+    width = max(-(-n_words // side), 1)
+    found = numbers.where("block IS NOT NULL").join(offsets, "part").groupBy("block").agg(F.collect_list(F.struct("before", "pos", "at")).alias("known"))
+    sent = blocks.select("block", F.size("words").alias("n_words"), "lo", "hi", "weight").join(found, "block")
+    dealt = sent.mapInArrow(_deal(width, side), "i int, j int, lo array<int>, hi array<int>, weight array<bigint>")
+    sorted_cells = dealt.repartition("i", "j").sortWithinPartitions("i", "j")
+    cells = sorted_cells.mapInArrow(_merge(width), "i int, j int, lo array<int>, hi array<int>, weight array<bigint>, total bigint")
+    words = spelled.join(offsets, "part").select((F.col("before") + F.col("first")).alias("_from"), F.posexplode(F.arrays_zip("words", "freq")).alias("_at", "_x"))
+    return PackedEdges(words.select((F.col("_from") + F.col("_at")).alias("id"), F.col("_x.words").alias("word"), "_x.freq"), cells, width, side)
+
+
+def frequent_edges(df: DataFrame, text: str, min_freq: int = 2, cross_document_order: str | None = None) -> DataFrame:
+    """Undirected weighted edges between words of at least ``min_freq`` occurrences, with both frequencies.
+
+    They are counted by numbers (see :func:`packed_edges`); a cell gets the words of its two blocks at the end.
+    """
+    packed = packed_edges(df, text, min_freq, cross_document_order)
+    dealt = packed.words.select(F.floor(F.col("id") / packed.width).cast("int").alias("i"), "id", "word", "freq")
+    by_block = dealt.repartition("i").sortWithinPartitions("i", "id").mapInArrow(_word_blocks, "i int, words array<string>, freq array<bigint>")
+    every = F.explode(F.sequence(F.lit(0), F.lit(packed.side - 1)))
+    one = by_block.select("i", every.alias("j"), F.col("words").alias("words1"), F.col("freq").alias("freqs1"))
+    two = by_block.select(F.col("i").alias("j"), every.alias("i"), F.col("words").alias("words2"), F.col("freq").alias("freqs2"))
+    both = packed.cells.drop("total").join(one, ["i", "j"]).join(two, ["i", "j"])
+    return both.mapInArrow(_spell, "w1 string, w2 string, weight bigint, freq1 bigint, freq2 bigint")
+
+
+def word_edges(df: DataFrame, text: str, min_freq: int = 2, cross_document_order: str | None = None, packed: bool = False) -> DataFrame | PackedEdges:
+    """The word network: undirected weighted edges between frequent words.
+
+    ``packed`` gives them by numbers and written once, for degrees, sizes and filters that need no row per edge.
+    """
+    if packed:
+        found = packed_edges(df, text, min_freq, cross_document_order)
+        return found._replace(cells=materialize(found.cells))
     return frequent_edges(df, text, min_freq, cross_document_order).select("w1", "w2", "weight")
 
 
@@ -243,35 +370,105 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- degree and filtering
 
-def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def _ends(width: int):
+    """Task function over cells: how many edges each number of the two blocks has in the cell."""
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                for block, places in (("i", "lo"), ("j", "hi")):
+                    n = np.bincount(batch.column(places).slice(k, 1).flatten().to_numpy(), minlength=width).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column(block).slice(k, 1), _lists([0, width], n)], names=["i", "degree"])
+
+    return ends
+
+
+def _sums(width: int):
+    """Task function over rows sorted by block: the counts of a block added up."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (i,), rows in _stretches(batches, "i"):
+            total = np.zeros(width, np.int64)
+            for n in (r.column("degree").flatten().to_numpy() for r in rows):
+                total += n.reshape(-1, width).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), _lists([0, width], total)], names=["i", "degree"])
+
+    return sums
+
+
+def _degree_blocks(edges: PackedEdges) -> DataFrame:
+    """Degrees by blocks of numbers; zero for words without an edge."""
+    ends = edges.cells.select("i", "j", "lo", "hi").mapInArrow(_ends(edges.width), "i int, degree array<int>")
+    return ends.repartition("i").sortWithinPartitions("i").mapInArrow(_sums(edges.width), "i int, degree array<bigint>")
+
+
+def degrees(edges: DataFrame | PackedEdges, nodes: DataFrame | None = None) -> DataFrame:
     """Degree per node; a self-loop adds two, an isolated node has zero."""
-    ends = edges.select(F.explode(F.array("w1", "w2")).alias("word"), F.lit(1).alias("_one"))
+    if isinstance(edges, PackedEdges):
+        counted = _degree_blocks(edges).select("i", F.posexplode("degree").alias("_at", "_one")).where("_one > 0")
+        counted = counted.select((F.col("i").cast("bigint") * edges.width + F.col("_at")).alias("id"), "_one")
+        ends = materialize(edges.words.join(counted, "id").select("word", "_one"))
+    else:
+        ends = edges.select(F.explode(F.array("w1", "w2")).alias("word"), F.lit(1).alias("_one"))
     if nodes is not None:
         ends = ends.unionByName(nodes.select("word", F.lit(0).alias("_one")))
     return ends.groupBy("word").agg(F.sum("_one").alias("degree"))
 
 
-def degree_centrality(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def degree_centrality(edges: DataFrame | PackedEdges, nodes: DataFrame | None = None) -> DataFrame:
     """``degree / (n - 1)``; one node alone has centrality 1."""
     deg = degrees(edges, nodes)
     n = deg.agg(F.count(F.lit(1)).alias("n")).scalar()
     return deg.withColumn("centrality", F.when(n > 1, F.col("degree") / F.nullif(n - 1, F.lit(0))).otherwise(F.lit(1.0)))
 
 
-def network_size(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    n_nodes = (nodes if nodes is not None else nodes_of(edges)).agg(F.count(F.lit(1)).alias("n_nodes"))
-    return edges.agg(F.count(F.lit(1)).alias("n_edges"), F.coalesce(F.sum("weight"), F.lit(0)).alias("total_weight")).withColumn(
-        "n_nodes", n_nodes.scalar()
-    )
+def network_size(edges: DataFrame | PackedEdges, nodes: DataFrame | None = None) -> DataFrame:
+    if isinstance(edges, PackedEdges):
+        linked = _degree_blocks(edges).agg(F.coalesce(F.sum(F.size(F.filter("degree", lambda n: n > 0))), F.lit(0)).alias("n_nodes"))
+        n_edges, weight = F.coalesce(F.sum(F.size("lo")), F.lit(0)), F.sum("total")
+        rows = edges.cells
+    else:
+        linked = nodes_of(edges).agg(F.count(F.lit(1)).alias("n_nodes"))
+        n_edges, weight = F.count(F.lit(1)), F.sum("weight")
+        rows = edges
+    n_nodes = linked if nodes is None else nodes.agg(F.count(F.lit(1)).alias("n_nodes"))
+    return rows.agg(n_edges.alias("n_edges"), F.coalesce(weight, F.lit(0)).alias("total_weight")).withColumn("n_nodes", n_nodes.scalar())
 
 
-def filter_by_centrality(edges: DataFrame, threshold: float, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells with the kept places of their two blocks: the edges between them."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            lo, hi, weight, kept1, kept2 = (batch.column(c).slice(k, 1).flatten().to_numpy() for c in ("lo", "hi", "weight", "kept1", "kept2"))
+            both = np.flatnonzero(np.isin(lo, kept1) & np.isin(hi, kept2))
+            columns = [pa.array(np.full(len(both), batch.column(c)[k].as_py(), np.int32)) for c in ("i", "j")]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x[both]) for x in (lo, hi, weight)]], names=["i", "j", "lo", "hi", "weight"])
+
+
+def _between(edges: PackedEdges, kept: DataFrame) -> DataFrame:
+    """The edges between the words of ``kept``, by their words."""
+    numbered = materialize(edges.words.join(kept, "word").select("id", "word"))
+    few = 8 * numbered.count() <= BROADCAST_BYTES
+    near = lambda t: F.broadcast(t) if few else t  # the cells stay where they lie while few words are kept
+    places = numbered.groupBy(F.floor(F.col("id") / edges.width).cast("int").alias("i")).agg(F.collect_list(F.pmod("id", F.lit(edges.width)).cast("int")).alias("kept1"))
+    cells = edges.cells.join(near(places), "i").join(near(places.select(F.col("i").alias("j"), F.col("kept1").alias("kept2"))), "j")
+    inner = cells.select("i", "j", "lo", "hi", "weight", "kept1", "kept2").mapInArrow(_inside, "i int, j int, lo int, hi int, weight bigint")
+    at = lambda block, place: F.col(block).cast("bigint") * edges.width + F.col(place)
+    inner = inner.select(at("i", "lo").alias("_a"), at("j", "hi").alias("_b"), "weight")
+    inner = inner.join(near(numbered.select(F.col("id").alias("_a"), F.col("word").alias("w1"))), "_a")
+    return inner.join(near(numbered.select(F.col("id").alias("_b"), F.col("word").alias("w2"))), "_b").select("w1", "w2", "weight")
+
+
+def filter_by_centrality(edges: DataFrame | PackedEdges, threshold: float, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Keep nodes with degree centrality of at least ``threshold`` and the edges between them.
 
     Returns ``(edges, nodes)``: nodes left without edges stay in the node table.
     """
     scored = degree_centrality(edges, nodes)
     kept = scored.where(F.col("centrality") >= threshold).select("word")
+    if isinstance(edges, PackedEdges):
+        kept = materialize(kept)
+        return _between(edges, kept), kept
     inner = edges.join(kept.withColumnRenamed("word", "w1"), "w1", "left_semi")
     inner = inner.join(kept.withColumnRenamed("word", "w2"), "w2", "left_semi")
     return inner.select("w1", "w2", "weight"), kept

@@ -9,7 +9,7 @@ from glyphmill.functions import text as tx
 from glyphmill.functions.hashing import draw
 from glyphmill.operators import encoding, inference, merges, network
 from glyphmill.plans.registry import query, spread_documents, sql_draw, sql_runs, sql_tokens, table
-from glyphmill.plans.text_queries import CENTRALITY, _NETWORK, _PAIRS, _sql_mask, word_network
+from glyphmill.plans.text_queries import CENTRALITY, _NETWORK, _PAIRS, _sql_mask, packed_network, word_network
 from glyphmill.session import materialize
 
 # Length limits of the masked and of the causal models.
@@ -192,7 +192,7 @@ def fill_mask(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- graph centralities of the filtered word network
 
 def hub_network(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    edges, nodes = network.filter_by_centrality(materialize(word_network(spark, sf)), CENTRALITY)
+    edges, nodes = network.filter_by_centrality(packed_network(spark, sf), CENTRALITY)
     return materialize(edges), materialize(nodes)
 
 

@@ -199,3 +199,65 @@ def test_word_edges_over_many_blocks_keep_no_row_per_pair(spark, monkeypatch, cr
         weight[min(a, b, key=lambda x: x.encode()), max(a, b, key=lambda x: x.encode())] += 1 + (a == b)
     assert got == {(a, b): (n, freq[a], freq[b]) for (a, b), n in weight.items() if freq[a] >= 20 and freq[b] >= 20}
     assert kept[-1].count() < len(weight) / 10
+
+
+@pytest.mark.parametrize("near", [True, False])
+@pytest.mark.parametrize("cross", [None, "doc_id"])
+def test_packed_networks_give_degrees_sizes_and_filters(spark, monkeypatch, cross, near):
+    rng = random.Random(11)
+    pool = [f"w{i}" for i in range(50)] + ["Straße", "ÉTÉ", "été", "日本"]
+    texts = [" ".join(rng.choice(pool[: rng.choice([4, 20, 54])]) for _ in range(rng.choice([0, 1, 2, 20, 60]))) for _ in range(50)] + [None, "", "w0 w0 w0"]
+    for name, value in {"CODED_WORDS": 90, "BUCKET_PAIRS": 40, "MOST_WIDTH": 7}.items():
+        monkeypatch.setattr(network, name, value)
+    if not near:
+        monkeypatch.setattr(network, "BROADCAST_BYTES", 0)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    words = [t.lower().split() if t else [] for t in texts]
+    freq = Counter(w for ws in words for w in ws)
+    pairs = [p for ws in ([[w for ws in words for w in ws]] if cross else words) for p in zip(ws, ws[1:])]
+    weight = Counter()
+    for a, b in pairs:
+        if freq[a] >= 9 and freq[b] >= 9:
+            weight[min(a, b, key=str.encode), max(a, b, key=str.encode)] += 1 + (a == b)
+    degree = Counter(w for p in weight for w in p)
+    packed = network.word_edges(df, "text", 9, cross, packed=True)
+    assert packed.side > 2 and {r.word: r.freq for r in packed.words.collect()} == {w: n for w, n in freq.items() if n >= 9}
+    assert sorted(r.id for r in packed.words.collect()) == list(range(packed.words.count()))
+    assert {r.word: r.degree for r in network.degrees(packed).collect()} == degree
+    lone = spark.createDataFrame([("lone",), ("w0",)], "word string")
+    assert {r.word: r.degree for r in network.degrees(packed, lone).collect()} == {**degree, "lone": 0}
+    size = network.network_size(packed).first()
+    assert tuple(size) == (len(weight), sum(weight.values()), len(degree))
+    limit = sorted(degree.values())[len(degree) // 2] / (len(degree) - 1)
+    edges, nodes = network.filter_by_centrality(packed, limit)
+    kept = {w for w, n in degree.items() if n / (len(degree) - 1) >= limit}
+    assert {r.word for r in nodes.collect()} == kept and 0 < len(kept) < len(degree)
+    assert {(r.w1, r.w2): r.weight for r in edges.collect()} == {p: n for p, n in weight.items() if kept.issuperset(p)}
+
+
+def test_packed_networks_without_words(spark):
+    df = spark.createDataFrame([("",), (None,), ("a b",)], "text string")
+    packed = network.word_edges(df, "text", 3, packed=True)
+    edges, nodes = network.filter_by_centrality(packed, 0.05)
+    assert edges.count() == nodes.count() == network.degree_centrality(packed).count() == 0
+    assert tuple(network.network_size(packed).first()) == (0, 0, 0)
+    one = network.word_edges(spark.createDataFrame([("a a a",)], "text string"), "text", 3, packed=True)
+    assert [tuple(r) for r in network.degree_centrality(one).collect()] == [("a", 2, 1.0)]
+
+
+@pytest.mark.parametrize("name", ["degree_centrality", "network_size", "filter_network", "word_network", "betweenness"])
+def test_network_queries_keep_no_row_per_edge(spark, monkeypatch, name):
+    from glyphmill.plans import text_queries, training_queries
+    from glyphmill.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    n_edges = QUERIES["word_edges"](spark, sf).count()
+    kept = []
+    plain = network.materialize
+    for module in (network, text_queries, training_queries):
+        monkeypatch.setattr(module, "materialize", lambda df: kept.append(plain(df)) or kept[-1], raising=False)
+    out = QUERIES[name](spark, sf)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert max(t.count() for t in kept) < n_edges / 3
+    # The few filtered edges may be exploded.
+    assert name == "word_network" or "explode(array(w1" not in plan
