@@ -261,3 +261,41 @@ def test_network_queries_keep_no_row_per_edge(spark, monkeypatch, name):
     assert max(t.count() for t in kept) < n_edges / 3
     # The few filtered edges may be exploded.
     assert name == "word_network" or "explode(array(w1" not in plan
+
+
+def test_betweenness_as_tables_by_groups_of_sources(spark, monkeypatch):
+    """Links that no task may hold: groups of two sources, the values of one search; nodes without links and doubled ones."""
+    monkeypatch.setattr(network, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(network, "STATE_ROWS", 22)
+    for name in ("random", "two_parts"):
+        pairs = GRAPHS[name]
+        nodes = sorted({v for p in pairs for v in p}) + ["lone"]
+        adj = {v: sorted({b if a == v else a for a, b in pairs if v in (a, b)}) for v in nodes}
+        table = spark.createDataFrame([(v,) for v in nodes], "word string")
+        got = {r["word"]: r["betweenness"] for r in network.betweenness(edges_of(spark, pairs + [("a", "a")]), table).collect()}
+        assert got == pytest.approx(brandes(nodes, adj), abs=1e-12)
+
+
+@pytest.mark.parametrize("once", [True, False])
+def test_betweenness_of_some_sources_and_a_long_path(spark, monkeypatch, once):
+    monkeypatch.setattr(network, "BLOCK_WORDS", 4)
+    if not once:
+        monkeypatch.setattr(network, "BROADCAST_BYTES", 0)
+    pairs = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)]
+    sources = spark.createDataFrame([("n00",), ("n00",), ("n12",), (None,)], "word string")
+    got = {r["word"]: r["betweenness"] for r in network.betweenness(edges_of(spark, pairs), None, sources).collect()}
+    # Every inner word owes the words behind it, 12 from both ends together; the sum is scaled from four rows to 13 words.
+    want = {f"n{i:02d}": (12 if 0 < i < 12 else 0) / (12 * 11) * 13 / 4 for i in range(13)}
+    assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_network_metrics_has_the_betweenness_of_every_word(spark, tmp_path):
+    """Forty legs of two words at one hub: the words of the legs are no hubs."""
+    from glyphmill.plans import training_queries
+
+    legs = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    rows = [(i, f"hub x{x} y{x}", "en", "s", 1) for i, x in enumerate(legs * 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.word: r.betweenness for r in training_queries.network_metrics(spark, str(tmp_path)).collect()}
+    want = {f"x{x}": round(2 * 79 / (80 * 79), 6) for x in legs} | {f"y{x}": 0.0 for x in legs} | {"hub": round((80 * 79 - 80) / (80 * 79), 6)}
+    assert got == pytest.approx(want, abs=2e-6)
