@@ -3,11 +3,14 @@
 Word types, packed into blocks, and pair counts are Spark tables. A round applies a batch of merges to the types and
 returns only what changes in the pair counts, so that a count is never taken anew. A batch holds as many
 merges as the ``LOOK`` best pairs decide without a further look at the types; it is the beginning of what
-merging one pair at a time would give, ties (the smaller symbols first) included.
+merging one pair at a time would give, ties (the smaller symbols first) included. Once the types have at most
+``WHOLE`` symbols, one task ends the work: it merges one pair after the other in one array.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,6 +24,9 @@ from glyphmill.session import discard, stored
 LOOK, HELD = 512, 1 << 20
 # Symbols of a block (a batch of types more at most). A character's number is its code point, what merges make comes after all of them.
 BLOCK, CHARS = 1 << 18, 0x110000
+# Symbols that one task holds with their places (some 50 bytes each), the most frequent pairs that it follows then, and
+# rounds from one look at the number of symbols to the next.
+WHOLE, PAIRS, EVERY = 1 << 24, 1 << 17, 8
 
 Pair = tuple[str, str]
 _ROUND = "kind int, n bigint, a string, b string, x string, symbols binary, counts binary"
@@ -229,6 +235,192 @@ def _round(batch: list[Pair], looked: list[Pair], made: list[str]):
     return run
 
 
+class _Whole:
+    """All types in one array, in which places of merged symbols fall out of a chain: the merges one after the other.
+
+    Only pairs of at least ``floor`` occurrences are counted. A pair of less can only get more when a merge makes a
+    symbol that there is already; its pairs are counted anew then. When no counted pair is left, all are counted
+    again from a lower floor. So the counts that decide are whole ones.
+    """
+
+    def __init__(self, s: np.ndarray, n: np.ndarray, made: list[str]) -> None:
+        self.names, self.ids = made, {x: CHARS + i for i, x in enumerate(made)}
+        self.s, self.weight = s.astype(np.int32), np.repeat(n, _sizes(s))
+        self._look()
+
+    def name(self, i: int) -> str:
+        return self.names[i - CHARS] if i >= CHARS else chr(i)
+
+    def _look(self) -> None:
+        """Packs what is left and counts its pairs; the most frequent ones are followed."""
+        keep = self.s > -2
+        self.s, self.weight = self.s[keep], self.weight[keep]
+        sizes = _sizes(self.s)
+        longer = np.repeat(sizes > 2, sizes)
+        self.s, self.weight = self.s[longer], self.weight[longer]
+        self.heap, self.count, self.places = [], {}, {}
+        self.next = self.last = None
+        first = np.flatnonzero((self.s[:-1] >= 0) & (self.s[1:] >= 0)).astype(np.int32)
+        code = self.s[first].astype(np.int64) << 32 | self.s[first + 1]
+        order = np.argsort(code, kind="stable")
+        code, first = code[order], first[order]
+        del order
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        sums = np.add.reduceat(self.weight[first], starts) if len(starts) else np.zeros(0, np.int64)
+        # Only the most frequent are followed; of those that tie for the last place none, if there are many.
+        self.floor = 1
+        if len(sums) > PAIRS:
+            self.floor = int(np.partition(sums, -PAIRS)[-PAIRS])
+            if (sums >= self.floor).sum() > 2 * PAIRS:
+                self.floor = min(self.floor + 1, int(sums.max()))
+        places = np.arange(len(self.s), dtype=np.int32)
+        self.next, self.last = places + 1, places - 1
+        bounds = np.append(starts, len(code))
+        for k in np.flatnonzero(sums >= self.floor).tolist():
+            pair = int(code[starts[k]])
+            self.places[pair] = [first[bounds[k] : bounds[k + 1]]]
+            self._set(pair, int(sums[k]))
+
+    def _set(self, pair: int, n: int) -> None:
+        self.count[pair] = n
+        heapq.heappush(self.heap, (-n, self.name(pair >> 32), self.name(pair & 0xFFFFFFFF), pair))
+
+    def _best(self) -> int | None:
+        while True:
+            while self.heap:
+                n, _, _, pair = self.heap[0]
+                now = self.count.get(pair, 0)
+                if now == -n and now >= self.floor:
+                    return pair
+                heapq.heappop(self.heap)
+                if now < self.floor:
+                    self.count.pop(pair, None)
+                    self.places.pop(pair, None)
+                elif now < -n:
+                    self._set(pair, now)
+            if self.floor == 1:
+                return None
+            self._look()
+
+    def _found(self, a: int, b: int, places: list[np.ndarray]) -> np.ndarray:
+        """Where the pair stands now, of a run of equal symbols every second place."""
+        at = np.unique(np.concatenate(places))
+        at = at[(self.s[at] == a) & (self.s[self.next[at]] == b)]
+        if a == b and len(at):
+            taken, end = [], -1
+            for x, y in zip(at.tolist(), self.next[at].tolist()):
+                if x != end:
+                    taken.append(x)
+                    end = y
+            at = np.array(taken, np.int32)
+        return at
+
+    def merge(self) -> Pair | None:
+        """The next merge, done; None if no pair is left."""
+        pair = self._best()
+        if pair is None:
+            return None
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        left, right = self.name(a), self.name(b)
+        known = left + right in self.ids
+        if not known:
+            self.ids[left + right] = CHARS + len(self.names)
+            self.names.append(left + right)
+        new = self.ids[left + right]
+        at = self._found(a, b, self.places[pair])
+        s, follow, last, weight = self.s, self.next, self.last, self.weight
+        changes: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def around(begins: np.ndarray, sign: int) -> np.ndarray:
+            begins = begins[s[begins] >= 0]
+            ends = s[follow[begins]]
+            begins, ends = begins[ends >= 0], ends[ends >= 0]
+            changes.append((s[begins].astype(np.int64) << 32 | ends, sign * weight[begins]))
+            return begins
+
+        # Places that begin a pair which goes: before, at and behind the merge.
+        second = follow[at]
+        before = last[at]
+        around(np.unique(np.concatenate([before[before >= 0], at, second])), -1)
+        behind = follow[second]
+        s[at], s[second] = new, -2
+        follow[at], last[behind] = behind, at
+        before = last[at]
+        begins = around(np.unique(np.concatenate([before[before >= 0], at])), 1)
+        self._count(changes, begins)
+        self.count.pop(pair, None)
+        self.places.pop(pair, None)
+        if known:
+            self._recount(new)
+        return left, right
+
+    def _count(self, changes: list, begins: np.ndarray) -> None:
+        codes, sums = np.concatenate([c for c, _ in changes]), np.concatenate([w for _, w in changes])
+        found, which = np.unique(codes, return_inverse=True)
+        moved = np.zeros(len(found), np.int64)
+        np.add.at(moved, which, sums)
+        grown = []
+        for pair, n in zip(found.tolist(), moved.tolist()):
+            if pair in self.count:
+                self.count[pair] += n
+                if n > 0:
+                    self._set(pair, self.count[pair])
+                    grown.append(pair)
+            elif n >= self.floor:
+                self.places[pair] = []
+                self._set(pair, n)
+                grown.append(pair)
+        if grown:
+            self._remember(changes[-1][0], begins, np.array(grown, np.int64))
+
+    def _remember(self, codes: np.ndarray, begins: np.ndarray, grown: np.ndarray) -> None:
+        """Adds the places of some pairs."""
+        mine = np.isin(codes, grown)
+        codes, begins = codes[mine], begins[mine]
+        order = np.argsort(codes, kind="stable")
+        codes, begins = codes[order], begins[order]
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        for k, end in zip(starts.tolist(), [*starts[1:].tolist(), len(codes)]):
+            self.places[int(codes[k])].append(begins[k:end])
+
+    def _recount(self, symbol: int) -> None:
+        """The counts of all pairs of a symbol that there was already."""
+        at = np.flatnonzero(self.s == symbol).astype(np.int32)
+        before = self.last[at]
+        begins = np.unique(np.concatenate([before[before >= 0], at]))
+        begins = begins[self.s[begins] >= 0]
+        ends = self.s[self.next[begins]]
+        begins, ends = begins[ends >= 0], ends[ends >= 0]
+        codes = self.s[begins].astype(np.int64) << 32 | ends
+        found, which = np.unique(codes, return_inverse=True)
+        sums = np.zeros(len(found), np.int64)
+        np.add.at(sums, which, self.weight[begins])
+        order = np.argsort(which, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(found)))])
+        for k in np.flatnonzero(sums >= self.floor).tolist():
+            pair = int(found[k])
+            self.places[pair] = [begins[order[bounds[k] : bounds[k + 1]]]]
+            if self.count.get(pair) != int(sums[k]):
+                self._set(pair, int(sums[k]))
+
+
+def _finish(made: list[str], n_merges: int):
+    """Task function over all blocks: the next ``n_merges`` merges in order, as far as there are pairs."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks = [(np.frombuffer(x, np.int32), np.frombuffer(n, np.int64)) for f in frames for x, n in zip(f["symbols"], f["counts"])]
+        if not blocks:
+            return
+        whole = _Whole(*(np.concatenate(part) for part in zip(*blocks)), list(made))
+        blocks.clear()
+        out = []
+        while len(out) < n_merges and (pair := whole.merge()) is not None:
+            out.append(pair)
+        yield pd.DataFrame({"at": range(len(out)), "a": [a for a, _ in out], "b": [b for _, b in out]})
+
+    return run
+
+
 def decided(ranked: list[tuple[str, str, int]], limit: tuple | None, bound: dict[Pair, int], chains: dict[tuple[Pair, Pair], int], room: int) -> list[Pair]:
     """The first merges that counting once decides.
 
@@ -284,6 +476,7 @@ def train_merges(df: DataFrame, words: Column, n_merges: int, look: int = LOOK)
     The best pair is the most frequent, ties by its symbols. The types are packed into blocks of numbered
     symbols, so that a round goes over arrays. It writes the blocks and the changes of the pair counts to the
     shared folder and removes the round before; the driver sees ``look`` pairs and the triples that those share.
+    As soon as all types together have at most ``WHOLE`` symbols, one task does the rest of the merges.
     """
     spark = df.sparkSession
     # As many files as tasks can run, so that small tables are worked on by all of them.
@@ -293,7 +486,13 @@ def train_merges(df: DataFrame, words: Column, n_merges: int, look: int = LOOK)
     made: dict[str, None] = {}
     looked: list[Pair] = []
     counts = None
-    while len(merges) < n_merges:
+    for number in itertools.count():
+        if len(merges) >= n_merges:
+            break
+        if number % EVERY == 0 and (done.where("kind = 0").agg(F.sum(F.length("symbols"))).first()[0] or 0) <= 4 * WHOLE:
+            rest = done.where("kind = 0").select("symbols", "counts").coalesce(1).mapInPandas(_finish(list(made), n_merges - len(merges)), "at int, a string, b string")
+            merges += [(r.a, r.b) for r in sorted(rest.collect())]
+            break
         moved = done.where("kind = 1").select("a", "b", "n")
         if counts is not None:
             moved = counts.unionByName(moved)

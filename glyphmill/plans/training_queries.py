@@ -105,8 +105,8 @@ def epoch_curriculum(spark: SparkSession, sf: str) -> DataFrame:
     return schedule.join(lengths, "doc_id").select("doc_id", "epoch", "step", "max_length", F.least(F.col("_n") + 2, "max_length").alias("n_ids"))
 
 
-# Entries of the trained vocabulary beyond the characters; 70,000 take the same rounds, only more of them.
-MERGES = 2000
+# Entries of the trained vocabulary beyond the characters, as many as the reference trains.
+MERGES = 70_000
 _TRAINED: dict[tuple[str, str], encoding.Subwords] = {}
 
 
@@ -121,7 +121,7 @@ def subwords(spark: SparkSession, sf: str) -> encoding.Subwords:
 
 @query("train_vocab")
 def train_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    """Base symbols and the first 2,000 merges over all words of the documents."""
+    """Base symbols and the first 70,000 merges over all words of the documents (all there are, if fewer)."""
     vocab = subwords(spark, sf)
     tokens = [(i, s, "symbol") for i, s in enumerate(vocab.alphabet)]
     tokens += [(len(vocab.alphabet) + i, a + b, "merge") for i, (a, b) in enumerate(vocab.merges)]

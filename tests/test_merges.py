@@ -2,6 +2,7 @@ import heapq
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,36 @@ def test_types_go_over_many_blocks_and_flushes(spark, monkeypatch):
     assert got == plain_merges(Counter(words), 25) and alphabet == sorted(set("".join(words)))
 
 
+@pytest.mark.parametrize("whole, pairs", [(0, 4), (150, 4), (1 << 24, 4), (1 << 24, 1 << 17)])
+def test_all_merges_in_rounds_and_in_one_task(spark, monkeypatch, whole, pairs):
+    """Until no pair is left: by rounds alone, by one task after some rounds, and by one task that follows few pairs or all."""
+    monkeypatch.setattr(merges, "WHOLE", whole)
+    monkeypatch.setattr(merges, "PAIRS", pairs)
+    monkeypatch.setattr(merges, "EVERY", 2)
+    rng = random.Random(11)
+    words = ["".join(rng.choice("aabbc\U0001D400") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    df = spark.createDataFrame([(w,) for w in words], "w string").repartition(3)
+    want = plain_merges(Counter(words), 10_000)
+    assert merges.train_merges(df, F.array("w"), 10_000, 512)[1] == want
+
+
+@pytest.mark.parametrize("pairs", [3, 50, 1 << 17])
+def test_one_array_of_many_words_against_plain_merging(monkeypatch, pairs):
+    monkeypatch.setattr(merges, "PAIRS", pairs)
+    for seed in range(12):
+        rng = random.Random(seed)
+        words = Counter("".join(rng.choice("aaabcd"[: 2 + seed % 5]) for _ in range(rng.randint(1, 14))) for _ in range(150))
+        s, n = merges._longer(np.array([c for w in words for c in [*map(ord, w), -1]], np.int32), np.array(list(words.values())))
+        whole, got = merges._Whole(s, n, []), []
+        while (pair := whole.merge()) is not None:
+            got.append(pair)
+        assert got == plain_merges(words, 10_000)
+
+
+def test_the_trained_vocabulary_has_as_many_entries_as_the_reference():
+    assert training_queries.MERGES == 70_000
+
+
 def test_no_pairs_and_empty_tables(spark):
     df = spark.createDataFrame([("a",), ("",), (None,)], "w string")
     assert merges.train_merges(df, F.array("w"), 5) == (["a"], [])
