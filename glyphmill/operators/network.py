@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -57,8 +58,13 @@ def border_bigrams(df: DataFrame, text: str, order: str) -> DataFrame:
     return ordering.follow(ends, "_ord", {"_first": "w2"}).where("w2 IS NOT NULL").select("w1", "w2")
 
 
-def bigram_counts(df: DataFrame, text: str, cross_document_order: str | None = None) -> DataFrame:
-    """Directed counts of adjacent words, within documents or over the documents read as one text."""
+def bigram_counts(df: DataFrame, text: str, cross_document_order: str | None = None, packed: bool = False) -> DataFrame | PackedBigrams:
+    """Directed counts of adjacent words, within documents or over the documents read as one text.
+
+    ``packed`` gives them by numbers and by blocks of text, for readers that need no row per pair.
+    """
+    if packed:
+        return packed_bigrams(df, text, cross_document_order)
     pairs = document_bigrams(df, text)
     if cross_document_order:
         pairs = pairs.unionByName(border_bigrams(df, text, cross_document_order))
@@ -101,9 +107,24 @@ def _lists(offsets: np.ndarray, values) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
 
 
-def _coded_block(lists: pa.Array, counted: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``words, n, lo, hi, weight`` of a block of word lists: its words in order, how often they occur in ``counted``
-    lists, and its unordered pairs of adjacent words by their places in ``words`` (a word next to itself counts twice)."""
+def _pressed(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Numbers in order, each once, with a count each: as compressed steps."""
+    parts = (np.diff(key, prepend=0).astype(np.int64), n.astype(np.int64))
+    return pickle.dumps((len(key), *(pa.compress(x.tobytes(), "zstd", asbytes=True) for x in parts)))
+
+
+def _unpressed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers and counts of :func:`_pressed`."""
+    size, *parts = pickle.loads(data)
+    steps, n = (np.frombuffer(pa.decompress(x, 8 * size, "zstd", asbytes=True), np.int64) for x in parts)
+    return np.cumsum(steps), n
+
+
+def _coded_block(lists: pa.Array, counted: np.ndarray, directed: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """``words, n, key, weight`` of a block of word lists: its words in order, how often they occur in ``counted``
+    lists, and its unordered pairs of adjacent words by their places in ``words`` (a word next to itself counts twice),
+    the first place times the number of words and the second one in one ``key``.
+    ``directed`` pairs are the first and the second word, each counted as it is."""
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     coded = lists.flatten().dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
@@ -115,12 +136,12 @@ def _coded_block(lists: pa.Array, counted: np.ndarray) -> tuple[pa.Array, np.nda
     goes_on[np.cumsum(lengths)[lengths > 0] - 1] = False
     first = np.flatnonzero(goes_on)
     a, b = at[first], at[first + 1]
-    key, times = np.unique(np.minimum(a, b) * len(order) + np.maximum(a, b), return_counts=True)
+    key, times = np.unique(a * len(order) + b if directed else np.minimum(a, b) * len(order) + np.maximum(a, b), return_counts=True)
     lo, hi = np.divmod(key, max(len(order), 1))
-    return coded.dictionary.take(pa.array(order)), n, lo, hi, np.where(lo == hi, 2 * times, times)
+    return coded.dictionary.take(pa.array(order)), n, key, np.where((lo == hi) & (not directed), 2 * times, times)
 
 
-def _code(block_words: int):
+def _code(block_words: int, directed: bool = False):
     """Task function over word lists: blocks of some ``block_words`` words, one row each."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +150,11 @@ def _code(block_words: int):
         def row() -> pa.RecordBatch:
             lists = pa.concat_arrays([b.column(0) for b in held])
             counted = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in held]).astype(bool)
-            words, n, lo, hi, weight = _coded_block(lists, counted)
+            words, n, key, weight = _coded_block(lists, counted, directed)
             columns = [pa.array([(part << 32) + number], pa.int64())]
             columns += [_lists([0, len(words)], c) for c in (words, n.astype(np.int64))]
-            columns += [_lists([0, len(lo)], c) for c in (lo.astype(np.int32), hi.astype(np.int32), weight.astype(np.int64))]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "words", "n", "lo", "hi", "weight"])
+            columns += [pa.array([len(key)], pa.int64()), pa.array([_pressed(key, weight)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "words", "n", "n_pairs", "pairs"])
 
         for batch in batches:
             lengths = pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
@@ -240,11 +261,9 @@ def _deal(width: int, side: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 cell = lambda c: batch.column(c).slice(k, 1).flatten()
-                ids = np.full(batch.column("n_words")[k].as_py(), -1, np.int64)
-                known = cell("known")
-                before, pos, at = (known.field(c) for c in ("before", "pos", "at"))
-                ids[pos.flatten().to_numpy()] = np.repeat(before.to_numpy(), pc.list_value_length(pos).to_numpy()) + at.flatten().to_numpy()
-                a, b, weight = ids[cell("lo").to_numpy()], ids[cell("hi").to_numpy()], cell("weight").to_numpy()
+                ids = _known_ids(cell("known"), batch.column("n_words")[k].as_py())
+                key, weight = _unpressed(batch.column("pairs")[k].as_py())
+                a, b = (ids[x] for x in np.divmod(key, len(ids)))
                 both = np.flatnonzero((a >= 0) & (b >= 0))
                 (i, lo), (j, hi) = np.divmod(a[both], width), np.divmod(b[both], width)
                 at = i * side + j
@@ -306,22 +325,22 @@ class PackedEdges(NamedTuple):
     side: int
 
 
-def packed_edges(df: DataFrame, text: str, min_freq: int = 2, cross_document_order: str | None = None) -> PackedEdges:
-    """Undirected weighted edges between words of at least ``min_freq`` occurrences, packed by the numbers of the words.
+def _numbered_blocks(
+    df: DataFrame, text: str, min_freq: int, cross_document_order: str | None, directed: bool = False,
+) -> tuple[DataFrame, int, DataFrame, int, DataFrame]:
+    """``blocks`` of texts and the number of their pairs, ``words(id, word, freq)`` and their number, ``found(block, known)``: the numbers of the words of a block.
 
-    Texts are cut into blocks of words whose distinct words and pairs are counted by place. The words move once, to be
-    added up and numbered (a word is in a block once, so no word is hot); a block gets the numbers of its frequent words
-    back and sends the pairs of such words only, to the cells of a grid over the numbers, where they are added up.
-    As words are numbered in the order of a hash, frequent ones are spread over the grid.
+    The words of ``directed`` blocks are numbered in their order, else in that of a hash.
     """
     lists = df.select(tx.clean_words(F.col(text)).alias("_w"), F.lit(True).alias("_counted"))
     if cross_document_order:
         across = border_bigrams(df, text, cross_document_order)
         lists = lists.unionByName(across.select(F.array("w1", "w2").alias("_w"), F.lit(False).alias("_counted")))
-    blocks = materialize(lists.mapInArrow(_code(CODED_WORDS), "block bigint, words array<string>, n array<bigint>, lo array<int>, hi array<int>, weight array<bigint>"))
-    n_pairs = blocks.agg(F.sum(F.size("lo"))).first()[0] or 0
+    blocks = materialize(lists.mapInArrow(_code(CODED_WORDS, directed), "block bigint, words array<string>, n array<bigint>, n_pairs bigint, pairs binary"))
+    n_pairs = blocks.agg(F.sum("n_pairs")).first()[0] or 0
     places = blocks.select("block", F.posexplode(F.arrays_zip("words", "n")).alias("pos", "_x")).select("block", "pos", F.col("_x.words").alias("word"), "_x.n")
-    numbers = materialize(places.repartition("word").sortWithinPartitions("word").mapInArrow(
+    dealt = places.repartitionByRange("word") if directed else places.repartition("word")
+    numbers = materialize(dealt.sortWithinPartitions("word").mapInArrow(
         _number(min_freq, CODED_WORDS), "part int, first bigint, words array<string>, freq array<bigint>, block bigint, pos array<int>, at array<bigint>",
     ))
     spelled = numbers.where("block IS NULL").select("part", "first", "words", "freq")
@@ -330,15 +349,62 @@ def packed_edges(df: DataFrame, text: str, min_freq: int = 2, cross_document_ord
     # One row per partition of the exchange by words: bounded by spark.sql.shuffle.partitions.
     offsets = F.broadcast(sizes.select("part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("before")))
     n_words = sizes.agg(F.sum("_n")).first()[0] or 0
+    found = numbers.where("block IS NOT NULL").join(offsets, "part").groupBy("block").agg(F.collect_list(F.struct("before", "pos", "at")).alias("known"))
+    words = spelled.join(offsets, "part").select((F.col("before") + F.col("first")).alias("_from"), F.posexplode(F.arrays_zip("words", "freq")).alias("_at", "_x"))
+    return blocks, n_pairs, words.select((F.col("_from") + F.col("_at")).alias("id"), F.col("_x.words").alias("word"), "_x.freq"), n_words, found
+
+
+def _known_ids(known: pa.Array, n_words: int) -> np.ndarray:
+    """The numbers of the words of a block, -1 for those that have none."""
+    ids = np.full(n_words, -1, np.int64)
+    before, pos, at = (known.field(c) for c in ("before", "pos", "at"))
+    ids[pos.flatten().to_numpy()] = np.repeat(before.to_numpy(), pc.list_value_length(pos).to_numpy()) + at.flatten().to_numpy()
+    return ids
+
+
+class PackedBigrams(NamedTuple):
+    """Directed pairs by numbers: ``words(id, word, freq)`` numbered from 0 in their order, and ``pairs(n_words, pairs, known)``, a row
+    per block of texts (:func:`numbered_pairs` reads it). A pair is in as many rows as blocks have it; there are ``n_pairs`` in all rows."""
+
+    words: DataFrame
+    pairs: DataFrame
+    n_words: int
+    n_pairs: int
+
+
+def packed_bigrams(df: DataFrame, text: str, cross_document_order: str | None = None) -> PackedBigrams:
+    """Directed counts of adjacent words by the numbers of the words, counted in blocks of texts (see :func:`packed_edges`)."""
+    blocks, n_pairs, words, n_words, found = _numbered_blocks(df, text, 0, cross_document_order, directed=True)
+    pairs = blocks.select("block", F.size("words").alias("n_words"), "pairs").join(found, "block")
+    return PackedBigrams(words, pairs.select("n_words", "pairs", "known"), n_words, n_pairs)
+
+
+def numbered_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The numbers of the two words and the counts of the pairs of each row of :class:`PackedBigrams`."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            ids = _known_ids(batch.column("known").slice(k, 1).flatten(), batch.column("n_words")[k].as_py())
+            key, n = _unpressed(batch.column("pairs")[k].as_py())
+            a, b = np.divmod(key, len(ids))
+            yield ids[a], ids[b], n
+
+
+def packed_edges(df: DataFrame, text: str, min_freq: int = 2, cross_document_order: str | None = None) -> PackedEdges:
+    """Undirected weighted edges between words of at least ``min_freq`` occurrences, packed by the numbers of the words.
+
+    Texts are cut into blocks of words whose distinct words and pairs are counted by place. The words move once, to be
+    added up and numbered (a word is in a block once, so no word is hot); a block gets the numbers of its frequent words
+    back and sends the pairs of such words only, to the cells of a grid over the numbers, where they are added up.
+    As words are numbered in the order of a hash, frequent ones are spread over the grid.
+    """
+    blocks, n_pairs, words, n_words, found = _numbered_blocks(df, text, min_freq, cross_document_order)
     side = max(math.isqrt(max(n_pairs - 1, 0) // BUCKET_PAIRS) + 1, -(-n_words // MOST_WIDTH))
     width = max(-(-n_words // side), 1)
-    found = numbers.where("block IS NOT NULL").join(offsets, "part").groupBy("block").agg(F.collect_list(F.struct("before", "pos", "at")).alias("known"))
-    sent = blocks.select("block", F.size("words").alias("n_words"), "lo", "hi", "weight").join(found, "block")
+    sent = blocks.select("block", F.size("words").alias("n_words"), "pairs").join(found, "block")
     dealt = sent.mapInArrow(_deal(width, side), "i int, j int, lo array<int>, hi array<int>, weight array<bigint>")
     sorted_cells = dealt.repartition("i", "j").sortWithinPartitions("i", "j")
     cells = sorted_cells.mapInArrow(_merge(width), "i int, j int, lo array<int>, hi array<int>, weight array<bigint>, total bigint")
-    words = spelled.join(offsets, "part").select((F.col("before") + F.col("first")).alias("_from"), F.posexplode(F.arrays_zip("words", "freq")).alias("_at", "_x"))
-    return PackedEdges(words.select((F.col("_from") + F.col("_at")).alias("id"), F.col("_x.words").alias("word"), "_x.freq"), cells, width, side)
+    return PackedEdges(words, cells, width, side)
 
 
 def frequent_edges(df: DataFrame, text: str, min_freq: int = 2, cross_document_order: str | None = None) -> DataFrame:

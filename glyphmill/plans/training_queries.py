@@ -185,7 +185,7 @@ def fill_mask(spark: SparkSession, sf: str) -> DataFrame:
     """The three best words for the masked one by the bigram counts of the whole corpus."""
     df = spread_documents(spark, sf, "text")
     masked = df.select("doc_id", tx.mask_word(F.col("text"), draw(7, F.col("doc_id"))).alias("masked"))
-    counts = materialize(network.bigram_counts(df, "text"))
+    counts = network.bigram_counts(df, "text", packed=True)
     return inference.fill_by_bigrams(masked, "doc_id", "masked", counts, 3)
 
 

@@ -1,6 +1,7 @@
 """Encoding, masking, schedules, merges, inference and metrics."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -190,3 +191,63 @@ def test_fill_candidates_come_from_the_smaller_side(spark):
     contexts = spark.createDataFrame([("rare", "the"), ("the", "end"), ("the", "nowhere")], "left string, right string")
     got = sorted(tuple(r) for r in inference.candidates(contexts, before, after).select("left", "right", "word", "_n1", "_n2").collect())
     assert got == [("rare", "the", "x", 2, 3), ("rare", "the", "y", 1, 1), ("the", "end", "x", 5, 1)]
+
+
+@pytest.mark.parametrize("blocks, looked_up, contexts", [(1 << 21, 1 << 22, 1 << 22), (40, 3, 1 << 22), (40, 1, 7)])
+def test_packed_fill_mask_equals_counting_by_hand(spark, monkeypatch, blocks, looked_up, contexts):
+    """Many blocks of candidate words, few look-ups at once and several shares of the contexts; ties, loops, hot words and rows without a context."""
+    from collections import defaultdict
+
+    from glyphmill.operators import network
+
+    for name, value in (("BLOCK_PAIRS", blocks), ("LOOKED_UP", looked_up), ("CONTEXTS", contexts), ("BUCKET", 4)):
+        monkeypatch.setattr(inference, name, value)
+    monkeypatch.setattr(network, "CODED_WORDS", 16)
+    rng = random.Random(3)
+    vocabulary = ["the", "the", "the", "été", "a", "ab", "b", "c", "dd", "zz", "of", "of"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None, "", "lone"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(4)
+    counts = Counter(p for t in texts for p in zip((t or "").split(), (t or "").split()[1:]))
+    masked = [(i, f"{rng.choice(vocabulary)} <mask> {rng.choice([*vocabulary, 'UNSEEN', 'The'])} x") for i in range(50)]
+    masked += [(50, "<mask> the"), (51, "the <mask>"), (52, None), (53, "the of"), (7, "the <mask> of")]
+    want = []
+    for i, t in masked:
+        w = (t or "").split(" ")
+        if "<mask>" not in w or not 0 < w.index("<mask>") < len(w) - 1:
+            continue
+        left, right = w[w.index("<mask>") - 1].lower(), w[w.index("<mask>") + 1].lower()
+        scores = defaultdict(int)
+        for (x, y), n in counts.items():
+            if x == left and counts[y, right]:
+                scores[y] = n * counts[y, right]
+        best = sorted(scores.items(), key=lambda s: (-s[1], s[0]))[:3]
+        want += [(i, rank + 1, word, score) for rank, (word, score) in enumerate(best)]
+    rows = spark.createDataFrame(masked, "id long, m string")
+    packed = network.bigram_counts(docs, "t", packed=True)
+    got = inference.fill_by_bigrams(rows, "id", "m", packed, 3)
+    plain = inference.fill_by_bigrams(rows, "id", "m", network.bigram_counts(docs, "t"), 3)
+    assert got.schema.simpleString() == plain.schema.simpleString()
+    assert sorted(map(tuple, got.collect())) == sorted(want) == sorted(map(tuple, plain.collect()))
+
+
+def test_packed_bigrams_across_documents_and_of_nothing(spark):
+    from glyphmill.operators import network
+
+    docs = spark.createDataFrame([(1, "b a"), (2, ""), (3, "a a c")], "id long, t string")
+    packed = network.bigram_counts(docs, "t", "id", packed=True)
+    names = {r.id: r.word for r in packed.words.collect()}
+    assert names == {0: "a", 1: "b", 2: "c"}
+    found = {}
+    for block in network.numbered_pairs(packed.pairs.toArrow().to_batches()):
+        for a, b, n in zip(*(x.tolist() for x in block)):
+            found[names[a], names[b]] = found.get((names[a], names[b]), 0) + n
+    assert found == {tuple(r)[:2]: r.n_pairs for r in network.bigram_counts(docs, "t", "id").collect()}
+    masked = spark.createDataFrame([(1, "a <mask> c")], "id long, m string")
+    assert inference.fill_by_bigrams(masked, "id", "m", network.bigram_counts(docs.limit(0), "t", packed=True)).collect() == []
+
+
+def test_fill_mask_makes_no_row_per_candidate(spark, monkeypatch):
+    from glyphmill.plans import training_queries
+
+    monkeypatch.setattr(inference, "candidates", lambda *a: pytest.fail("a row per candidate"))
+    assert training_queries.fill_mask(spark, "/root/testdata/sf0.001").count() > 0
