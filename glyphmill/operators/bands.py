@@ -18,6 +18,8 @@ from glyphmill.session import materialize
 
 # Rows that pivots are chosen from; the choice decides the work, never the result.
 PIVOT_ROWS = 256
+# Shares that the block pairs are cut into at least, and block pairs of a share at least.
+TASKS, LEAST = 64, 16
 
 Tile = Callable[..., "pd.DataFrame | None"]
 
@@ -75,14 +77,18 @@ class Bands:
                                             "ids": [cut["id"].to_numpy()], "flat": [np.concatenate(cut["v"].to_numpy())], "extra": [cut["e"].to_numpy()]})
 
         cells = ", ".join(f"{c} bigint" for c in names)
-        packed = dealt.mapInPandas(pack, f"{cells}, first bigint, ids array<bigint>, flat array<double>, extra array<bigint>")
+        flat = rows.schema["v"].dataType.simpleString()
+        packed = dealt.mapInPandas(pack, f"{cells}, first bigint, ids array<bigint>, flat {flat}, extra array<bigint>")
         return packed.toDF(*names, *[f"{side}_{c}" for c in ("first", "ids", "flat", "extra")])
 
-    def meetings(self, left: DataFrame, right: DataFrame) -> DataFrame:
+    def meetings(self, left: DataFrame, right: DataFrame, once: bool = False) -> DataFrame:
         """Blocks of placed rows: every left block next to every right block of its own and the neighbouring cells.
 
+        ``once``, for rows that meet themselves, gives two blocks in one order only, the one with the smaller first id first;
+        blocks with the same first id (one block, or copies of an id) still meet both ways.
+
         Within a hot cell the left blocks are dealt to rows and the right blocks to columns of a grid, so
-        that no task meets all of them; fewer than 1,000 cells can be hot on either side.
+        that no task meets all of them; fewer cells are hot than there are shares.
         """
         a = materialize(self.blocks(left, "a"))
         same = [*self.names, *[f"b_{c}" for c in ("first", "ids", "flat", "extra")]]
@@ -94,22 +100,29 @@ class Bands:
         # Most neighbouring cells of clustered rows are empty; what would visit those is not sent.
         visiting = visiting.join(a.select(*self.names).distinct(), self.names, "left_semi")
 
-        def grid(blocks: DataFrame, side: str) -> DataFrame:
-            sizes = blocks.groupBy(*self.names).agg(F.count(F.lit(1)).alias("n"))
-            limit = max(hot_size(blocks.count()), 4)
-            return F.broadcast(sizes.where(F.col("n") > limit).select(*self.names, F.ceil(F.col("n") / limit).cast("int").alias(f"{side}_slots")))
+        def sizes(blocks: DataFrame, side: str) -> DataFrame:
+            return blocks.groupBy(*self.names).agg(F.count(F.lit(1)).alias(f"n_{side}"))
+
+        # A cell with more than its share of the block pairs is cut into a grid, in the proportion of its two sides, so that few copies are sent.
+        work = sizes(a, "a").join(sizes(visiting.drop("b_ids", "b_flat", "b_extra"), "b"), self.names).withColumn("work", F.col("n_a") * F.col("n_b"))
+        work = materialize(work)
+        share = max((work.agg(F.sum("work")).first()[0] or 0) // max(TASKS, 4 * a.sparkSession.sparkContext.defaultParallelism), LEAST)
+        slots = F.ceil(F.col("work") / share)
+        hot = work.where(F.col("work") > share).withColumn("a_slots", F.ceil(F.sqrt(slots * F.col("n_a") / F.col("n_b"))).cast("int"))
+        hot = F.broadcast(hot.select(*self.names, "a_slots", F.ceil(slots / F.col("a_slots")).cast("int").alias("b_slots")))
 
-        def dealt(blocks: DataFrame, own: str, other: str, grids: dict[str, DataFrame]) -> DataFrame:
-            both = blocks.join(grids[own], self.names, "left").join(grids[other], self.names, "left")
+        def dealt(blocks: DataFrame, own: str, other: str) -> DataFrame:
+            both = blocks.join(hot, self.names, "left")
             mine = F.coalesce(F.pmod(F.xxhash64(f"{own}_first"), F.col(f"{own}_slots")).cast("int"), F.lit(0))
             every = F.explode(F.sequence(F.lit(0), F.coalesce(f"{other}_slots", F.lit(1)) - 1))
             return both.withColumn(f"{own}_slot", mine).withColumn(f"{other}_slot", every).drop("a_slots", "b_slots")
 
-        grids = {"a": grid(a, "a"), "b": grid(visiting.drop("b_ids", "b_flat", "b_extra"), "b")}
-        pairs = dealt(a, "a", "b", grids).join(dealt(visiting, "b", "a", grids), [*self.names, "a_slot", "b_slot"])
+        pairs = dealt(a, "a", "b").join(dealt(visiting, "b", "a"), [*self.names, "a_slot", "b_slot"])
+        if once:
+            pairs = pairs.where("a_first <= b_first")
         return pairs.select(*[f"{s}_{c}" for s in "ab" for c in ("ids", "flat", "extra")])
 
-    def run(self, left: DataFrame, right: DataFrame, tile: Tile, schema: str) -> DataFrame:
+    def run(self, left: DataFrame, right: DataFrame, tile: Tile, schema: str, once: bool = False) -> DataFrame:
         """``tile`` on every pair of blocks that :meth:`meetings` brings together; its tables as one."""
 
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,10 +130,10 @@ class Bands:
                 for row in pdf.itertuples(index=False):
                     a_ids, b_ids = np.asarray(row.a_ids), np.asarray(row.b_ids)
                     out = tile(
-                        a_ids, np.asarray(row.a_flat).reshape(len(a_ids), -1), np.asarray(row.a_extra),
-                        b_ids, np.asarray(row.b_flat).reshape(len(b_ids), -1), np.asarray(row.b_extra),
+                        a_ids, np.asarray(row.a_flat, dtype=float).reshape(len(a_ids), -1), np.asarray(row.a_extra),
+                        b_ids, np.asarray(row.b_flat, dtype=float).reshape(len(b_ids), -1), np.asarray(row.b_extra),
                     )
                     if out is not None and len(out):
                         yield out
 
-        return self.meetings(left, right).mapInPandas(each, schema)
+        return self.meetings(left, right, once).mapInPandas(each, schema)

@@ -213,27 +213,92 @@ def dbscan(points: DataFrame, id_col: str, dims: list[str], eps: float = 0.08, m
 
 # ---------------------------------------------------------------- DBSCAN on whole vectors
 
-def _near_blocks(eps: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Which rows of two blocks lie within eps: by a matrix product, and by exact differences where its rounding could decide."""
+# Rounding of a product in single precision, for each entry of the vectors, as a share of both squared lengths; lengths beyond
+# LONGEST and tiles of which more than UNSURE of the pairs could go either way are taken in double precision.
+SINGLE, LONGEST, UNSURE = 2.5e-7, 1e30, 0.01
+
+
+def _near_pairs(eps: float) -> Callable[[np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Which rows of two blocks lie within eps, by tiles of rows: by a matrix product, and by exact differences where its rounding could decide.
+
+    The product is taken in single precision first, which leaves out most pairs.
+    """
     limit = eps * eps
 
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        hit = np.empty((len(a), len(b)), bool)
+    def exact(rows: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        near = np.empty(len(r), bool)
+        for to in range(0, len(r), TILE[1]):
+            q, w = r[to : to + TILE[1]], c[to : to + TILE[1]]
+            near[to : to + TILE[1]] = np.square(b[w] - rows[q]).sum(axis=1) <= limit
+        return near
+
+    def double(rows: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        far = sizes - 2.0 * (rows @ b.T)
+        part = far <= limit
+        r, c = np.nonzero(~(np.abs(far - limit) > 1e-9 * sizes))
+        part[r, c] = exact(rows, b, r, c)
+        return np.nonzero(part)
+
+    def near(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        size_a, size_b = np.square(a).sum(axis=1), np.square(b).sum(axis=1)
+        most = size_a.max(initial=0.0) + size_b.max(initial=0.0)
+        # Not ">": lengths that are no numbers go the other way as well.
+        short = bool(most <= LONGEST) and limit <= LONGEST
+        if short:
+            slack = SINGLE * (a.shape[1] + 4) * (most + limit)
+            low, high = np.float32(limit - slack), np.nextafter(np.float32(limit + slack), np.float32(np.inf))
+            left = np.column_stack([a, size_a, np.ones(len(a))]).astype(np.float32)
+            right = np.column_stack([-2.0 * b, np.ones(len(b)), size_b]).astype(np.float32).T
         for at in range(0, len(a), TILE[0]):
             rows = a[at : at + TILE[0]]
-            sizes = np.square(rows).sum(axis=1)[:, None] + np.square(b).sum(axis=1)[None, :]
-            far = sizes - 2.0 * (rows @ b.T)
-            part = far <= limit
-            r, c = np.nonzero(~(np.abs(far - limit) > 1e-9 * sizes))
-            for to in range(0, len(r), TILE[1]):
-                q, w = r[to : to + TILE[1]], c[to : to + TILE[1]]
-                part[q, w] = np.square(b[w] - rows[q]).sum(axis=1) <= limit
-            hit[at : at + TILE[0]] = part
+            if short:
+                far = left[at : at + TILE[0]] @ right
+                place = np.flatnonzero(far <= high)
+                unsure = far.ravel()[place] >= np.nextafter(low, np.float32(-np.inf))
+                if unsure.sum() <= UNSURE * far.size:
+                    r, c = np.divmod(place, len(b))
+                    keep = ~unsure
+                    keep[unsure] = exact(rows, b, r[unsure], c[unsure])
+                    yield r[keep] + at, c[keep]
+                    continue
+            r, c = double(rows, b, size_a[at : at + TILE[0], None] + size_b[None, :])
+            yield r + at, c
+
+    return near
+
+
+def _near_blocks(eps: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Which rows of two blocks lie within eps, as a matrix."""
+    pairs = _near_pairs(eps)
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        hit = np.zeros((len(a), len(b)), bool)
+        for r, c in pairs(a, b):
+            hit[r, c] = True
         return hit
 
     return near
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``id, to``: each id of the links ``a, b`` that is not the smallest of those it is linked with, and the smallest one."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        # What a root is linked with its whole tree is.
+        np.minimum.at(low, root, low)
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    linked = root != np.arange(len(ids))
+    return ids[linked], ids[root[linked]]
+
+
 def dbscan_vectors(
     df: DataFrame, id_col: str, vec: str, eps: float = 0.08, min_samples: int = 50, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -244,41 +309,44 @@ def dbscan_vectors(
     pairs within eps. Rows that lie in few bands, as in one dense cloud or at nearly equal distances, are
     still compared all with all.
     """
-    near = _near_blocks(eps)
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"), F.lit(0).cast("bigint").alias("e"))
+    near = _near_pairs(eps)
+    # Vectors of floats move as floats.
+    kind = "array<float>" if df.schema[vec].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast(kind).alias("v"), F.lit(0).cast("bigint").alias("e"))
     if is_empty(rows):
         return df.select(F.col(id_col).cast("bigint").alias(id_col), F.lit(NOISE).alias("label"))
     bands = Bands(rows, eps, block_rows=block_rows)
     rows = materialize(bands.placed(rows))
 
     def count(a_ids, a, _a, b_ids, b, _b):
-        return pd.DataFrame({"id": a_ids, "n": near(a, b).sum(axis=1)})
-
-    counted = bands.run(rows, rows, count, "id bigint, n bigint")
+        n_a, n_b = np.zeros(len(a_ids), np.int64), np.zeros(len(b_ids), np.int64)
+        for r, c in near(a, b):
+            n_a += np.bincount(r, minlength=len(n_a))
+            n_b += np.bincount(c, minlength=len(n_b))
+        if a_ids[0] == b_ids[0]:
+            return pd.DataFrame({"id": a_ids, "n": n_a})
+        return pd.DataFrame({"id": np.r_[a_ids, b_ids], "n": np.r_[n_a, n_b]}).query("n > 0")
+
+    counted = bands.run(rows, rows, count, "id bigint, n bigint", once=True)
     is_core = counted.groupBy("id").agg((F.sum("n") >= min_samples).alias("is_core"))
     marked = materialize(rows.join(is_core, "id"))
     core = marked.where("is_core")
 
     def trees(a_ids, a, _a, b_ids, b, _b):
-        hit = near(a, b)
-        la, lb = a_ids.copy(), b_ids.copy()
-        top = np.iinfo(np.int64).max
-        while True:
-            na = np.minimum(la, np.where(hit, lb[None, :], top).min(axis=1))
-            nb = np.minimum(lb, np.where(hit, na[:, None], top).min(axis=0))
-            if (na == la).all() and (nb == lb).all():
-                break
-            la, lb = na, nb
-        return pd.DataFrame({"id": np.r_[a_ids, b_ids], "to": np.r_[la, lb]}).query("id != to")
-
-    roots = components(materialize(bands.run(core, core, trees, "id bigint, to bigint")), "id", "to")
+        found = [_forest(a_ids[r], b_ids[c]) for r, c in near(a, b)]
+        ids, to = _forest(*(np.concatenate(part) for part in zip(*found)))
+        return pd.DataFrame({"id": ids, "to": to})
+
+    roots = components(materialize(bands.run(core, core, trees, "id bigint, to bigint", once=True)), "id", "to")
     rooted = materialize(core.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
     sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
     clusters = row_index(materialize(sizes), "root", name="_label").select("root", "_n", F.col("_label").cast("int").alias("label"))
     labelled = materialize(join_by_key(rooted, clusters, ["root"], "_n", rooted.count(), ["id"]).select("id", "label"))
 
     def border(a_ids, a, _a, b_ids, b, b_label):
-        first = np.where(near(a, b), b_label[None, :], np.iinfo(np.int64).max).min(axis=1)
+        first = np.full(len(a_ids), np.iinfo(np.int64).max)
+        for r, c in near(a, b):
+            np.minimum.at(first, r, b_label[c])
         return pd.DataFrame({"id": a_ids, "label": first})[first < np.iinfo(np.int64).max]
 
     named = core.drop("e").join(labelled, "id").withColumn("e", F.col("label").cast("bigint"))

@@ -353,6 +353,47 @@ def test_near_blocks_decides_the_edge_by_differences():
     assert (clustering._near_blocks(0.5)(a, a) == plain).all()
 
 
+@pytest.mark.parametrize("shift, scale", [(0, 1), (50, 1), (3000, 1), (1e9, 1), (0, 1e25), (0, 1e-30)])
+def test_near_pairs_in_single_precision_and_beyond(shift, scale):
+    """Far from the origin, very long, very short and with values that are no numbers: as by plain differences."""
+    rng = np.random.default_rng(6)
+    a = (np.round(rng.normal(size=(700, 5)), 1) + shift) * scale
+    b = (np.round(rng.normal(size=(90, 5)), 1) + shift) * scale
+    b[:40], b[40, 0], b[41, 1] = a[:40], np.nan, np.inf if scale == 1 else 1.0
+    eps = 1.3 * scale
+    with np.errstate(invalid="ignore", over="ignore"):
+        for x in (a, b):
+            plain = np.stack([np.square(x - row).sum(axis=1) for row in a]) <= eps * eps
+            hit = np.zeros(plain.shape, bool)
+            for r, c in clustering._near_pairs(eps)(a, x):
+                hit[r, c] = True
+            assert (hit == plain).all()
+
+
+def test_vector_dbscan_compares_two_blocks_once(spark, monkeypatch):
+    """Blocks of seven rows, copies of rows and ids among them: the labels of plain DBSCAN from half of the block pairs."""
+    from glyphmill.operators.bands import Bands
+
+    asked = []
+    run = Bands.run
+    monkeypatch.setattr(Bands, "run", lambda self, left, right, *a, **k: asked.append((left is right, k.get("once", False))) or run(self, left, right, *a, **k))
+    rng = np.random.default_rng(2)
+    pts = np.vstack([rng.normal(size=(3, 6))[[0, 1, 2] * 20] + rng.normal(scale=0.2, size=(60, 6)), rng.normal(size=(10, 6))])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "id long, v array<double>").repartition(3)
+    got = {r["id"]: r["label"] for r in clustering.dbscan_vectors(df, "id", "v", 0.7, 4, block_rows=7).collect()}
+    assert [got[i] for i in range(len(pts))] == plain_dbscan(pts.tolist(), 0.7, 4)
+    assert asked == [(True, True), (True, True), (False, False)]
+    monkeypatch.setattr("glyphmill.operators.bands.LEAST", 1)
+    floats = df.selectExpr("id", "cast(v AS array<float>) AS v")
+    got = {r["id"]: r["label"] for r in clustering.dbscan_vectors(floats, "id", "v", 0.7, 4, block_rows=7).collect()}
+    assert [got[i] for i in range(len(pts))] == plain_dbscan(pts.astype(np.float32).astype(float).tolist(), 0.7, 4)
+    rows = Bands(df.selectExpr("id", "v", "0L AS e"), 0.7, block_rows=7)
+    placed = rows.placed(df.selectExpr("id", "v", "0L AS e"))
+    both, half = (rows.meetings(placed, placed, once).selectExpr("a_ids[0] AS a", "b_ids[0] AS b") for once in (False, True))
+    own = both.where("a = b").count()
+    assert 0 < own and half.count() == (both.count() - own) // 2 + own
+
+
 def test_blocks_meet_once_on_the_grid(spark):
     a, b = spark.range(40).toDF("a"), spark.range(30).toDF("b")
     left, right = neighbors.on_grid(a, b, 50)
